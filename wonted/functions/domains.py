@@ -1,15 +1,17 @@
 """Host names: registrable domain, freemail test, hosts of links.
 
 The public-suffix rules become hash-set membership tests on the last labels of the host, so the
-registrable domain is an ordinary column expression: no join, no shuffle, no Python.
+registrable domain is an ordinary expression: no join, no shuffle, no Python.  Like all of
+``wonted.functions`` these take and return Spark SQL expression text, for ``F.expr``/``selectExpr``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+
+from wonted.functions.sql import BLANKS, literal, one_of
 
 # Mailbox providers open to everyone; reputation never spreads inside them.
 FREEMAIL_DOMAINS = (
@@ -98,50 +100,57 @@ DEFAULT_SUFFIXES = SuffixRules(
 )
 
 
-def clean_host(host: Column) -> Column:
+def clean_host(host: str) -> str:
     """Trimmed, dot-stripped, lower-cased host."""
-    return F.lower(F.regexp_replace(F.regexp_replace(host, r"^\s+|\s+$", ""), r"^\.+|\.+$", ""))
+    return f"lower(btrim(btrim({host}, {literal(BLANKS)}), '.'))"
+
+
+def reg_domain(host: str, rules: SuffixRules = DEFAULT_SUFFIXES) -> str:
+    """Registrable domain of any host text; see ``reg_domain_of_clean``."""
+    return reg_domain_of_clean(clean_host(host), rules)
 
 
-def reg_domain(host: Column, rules: SuffixRules = DEFAULT_SUFFIXES) -> Column:
-    """Registrable domain by the longest matching suffix rule; the host itself when none matches."""
-    h = clean_host(host)
+def reg_domain_of_clean(host: str, rules: SuffixRules = DEFAULT_SUFFIXES) -> str:
+    """Registrable domain of a clean host by the longest matching suffix rule (an exception rule
+    wins over all); the host itself when none matches."""
 
-    def tail(k: int) -> Column:
-        return F.substring_index(h, ".", -k)
+    def tail(k):
+        return f"substring_index({host}, '.', -{k})"
 
-    def of_size(entries, k: int) -> list:
+    def of_size(entries, k):
         return [e for e in entries if e.count(".") + 1 == k]
 
-    depth = max([e.count(".") + 1 for e in rules.exact] + [e.count(".") + 2 for e in rules.wildcard] + [1])
-    picked = F.lit(None).cast("string")
-    for k in range(1, depth + 1):  # later, longer rules take precedence
-        if k == 1 and rules.open_top_level:
-            hit = tail(1).rlike(r"^(?:\p{L}{2,63}|xn--[a-z0-9-]+)$") & ~tail(1).isin(*SPECIAL_USE_LABELS)
-            picked = F.when(hit, tail(2)).otherwise(picked)
-        if of_size(rules.exact, k):
-            picked = F.when(tail(k).isin(*of_size(rules.exact, k)), tail(k + 1)).otherwise(picked)
-        if k > 1 and of_size(rules.wildcard, k - 1):
-            labels = F.length(h) - F.length(F.replace(h, F.lit("."))) + 1
-            hit = tail(k - 1).isin(*of_size(rules.wildcard, k - 1)) & (labels >= k)
-            picked = F.when(hit, tail(k + 1)).otherwise(picked)
-    for k in sorted({e.count(".") + 1 for e in rules.exception}):
-        picked = F.when(tail(k).isin(*of_size(rules.exception, k)), tail(k)).otherwise(picked)
-    return F.coalesce(picked, h)
+    exceptions, cases = [], []
+    for k in sorted({e.count(".") + 1 for e in rules.exception}, reverse=True):
+        exceptions.append(f"WHEN {one_of(tail(k), of_size(rules.exception, k))} THEN {tail(k)}")
+    longest = max([0, *(e.count(".") + 1 for e in rules.exact), *(e.count(".") + 2 for e in rules.wildcard)])
+    for k in range(longest, 0, -1):
+        if wild := of_size(rules.wildcard, k - 1):
+            enough = f"size(split({host}, '[.]')) >= {k}"
+            cases.append(f"WHEN {one_of(tail(k - 1), wild)} AND {enough} THEN {tail(k + 1)}")
+        if exact := of_size(rules.exact, k):
+            cases.append(f"WHEN {one_of(tail(k), exact)} THEN {tail(k + 1)}")
+    if rules.open_top_level:
+        plausible = f"{tail(1)} RLIKE {literal(TOP_LEVEL)}"
+        special = one_of(tail(1), SPECIAL_USE_LABELS)
+        cases.append(f"WHEN {plausible} AND NOT {special} THEN {tail(2)}")
+    return f"CASE {' '.join(exceptions + cases)} ELSE {host} END"
 
 
-def is_freemail(domain: Column) -> Column:
-    return domain.isin(*FREEMAIL_DOMAINS)
+def is_freemail(domain: str) -> str:
+    return one_of(domain, FREEMAIL_DOMAINS)
 
 
-LINK_HOST = r"""(?i)https?://(?:[^\s/@"'<>]*@)?([^\s/:?#"'<>\)\]]+)"""
+TOP_LEVEL = r"^(?:\p{L}{2,63}|xn--[a-z0-9-]+)$"
+LINK_HOST = r"""(?iU)https?://(?:[^\s/@"'<>]*@)?([^\s/:?#"'<>\)\]]+)"""
 
 
-def link_hosts(text: Column) -> Column:
+def link_hosts(text: str) -> str:
     """Hosts of the http(s) links in a text, in order; user info, port and path are left out."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + LINK_HOST), F.lit(1))
+    return f"regexp_extract_all({text}, {literal(LINK_HOST)}, 1)"
 
 
-def link_domain_list(text: Column, rules: SuffixRules = DEFAULT_SUFFIXES) -> Column:
+def link_domain_list(text: str, rules: SuffixRules = DEFAULT_SUFFIXES) -> str:
     """Registrable domain of every link in a text, one entry per link."""
-    return F.filter(F.transform(link_hosts(text), lambda h: reg_domain(h, rules)), lambda d: d != "")
+    cleaned = f"transform({link_hosts(text)}, h -> {clean_host('h')})"
+    return f"filter(transform({cleaned}, h -> {reg_domain_of_clean('h', rules)}), d -> d <> '')"

@@ -1,98 +1,92 @@
-"""Numeric building blocks of the scoring rules and date-header handling."""
+"""Numeric building blocks of the scoring rules and date-header handling, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from wonted.config import DEFAULT_REGISTRY, Registry
+from wonted.functions.sql import literal
 
 
-def fired(raw: Column) -> Column:
+def fired(raw: str) -> str:
     """Raw value clamped to 0..1 and rounded to four digits; NULL when it does not fire."""
-    clamped = F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
-    return F.when(clamped > 0, F.round(clamped, 4))
+    return f"CASE WHEN ({raw}) > 0 THEN round(least({raw}, 1D), 4) END"
 
 
-def confidence(n: Column, registry: Registry = DEFAULT_REGISTRY) -> Column:
+def confidence(n: str, registry: Registry = DEFAULT_REGISTRY) -> str:
     """How much a baseline of n messages is worth."""
-    return n / (n + F.lit(registry.confidence_k))
+    return f"({n} / ({n} + {registry.confidence_k}))"
 
 
-def ramp(z: Column, bounds: tuple) -> Column:
+def ramp(z: str, bounds: tuple) -> str:
     start, full = bounds
-    return (z - F.lit(start)) / F.lit(full - start)
+    return f"(({z} - {start}D) / {full - start}D)"
 
 
-def mean_of(total: Column, n: Column) -> Column:
-    return F.when(n > 0, total / n)
+def mean_of(total: str, n: str) -> str:
+    return f"({total} / nullif({n}, 0))"
 
 
-def std_of(total: Column, squares: Column, n: Column) -> Column:
+def std_of(total: str, squares: str, n: str) -> str:
     """Sample standard deviation from running sums; 0 below two values."""
-    spread = F.greatest(squares - total * total / n, F.lit(0.0))
-    return F.when(n > 1, F.sqrt(spread / (n - 1))).otherwise(F.lit(0.0))
+    spread = f"greatest({squares} - cast({total} AS double) * {total} / {n}, 0D)"
+    return f"(CASE WHEN {n} > 1 THEN sqrt({spread} / ({n} - 1)) ELSE 0D END)"
 
 
-def hour_rarity(same_hour: Column, all_hours: Column, registry: Registry = DEFAULT_REGISTRY) -> Column:
+def hour_rarity(same_hour: str, all_hours: str, registry: Registry = DEFAULT_REGISTRY) -> str:
     """1 - 24 p for the smoothed probability p of an hour."""
     a = registry.hour_alpha
-    return F.lit(1.0) - F.lit(24.0) * ((same_hour + F.lit(a)) / (all_hours + F.lit(24 * a)))
+    return f"(1D - 24D * (({same_hour} + {a}D) / ({all_hours} + {24 * a}D)))"
 
 
-def log_size(size_bytes: Column) -> Column:
-    return F.ln(F.greatest(size_bytes, F.lit(1)).cast("double"))
+def log_size(size_bytes: str) -> str:
+    return f"ln(cast(greatest({size_bytes}, 1) AS double))"
 
 
-def histogram(counts: Column, bins: int) -> Column:
+def histogram(counts: str, bins: int) -> str:
     """Fixed-length array from a map bin -> count; a missing map gives zeros."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda b: F.coalesce(F.element_at(counts, b), F.lit(0).cast("bigint")),
-    )
+    return f"transform(sequence(0, {bins - 1}), b -> coalesce(element_at({counts}, b), 0L))"
 
 
-_DATE = (
+DATE_HEADER = (
     r"^\s*(?:[A-Za-z]{3,9}\s*,)?\s*(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{2,4})\s+"
     r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4}|[A-Za-z]+)?"
 )
-# Zone names allowed in mail date headers, minutes east of UTC.
+# Zone names of mail date headers, minutes east of UTC.
 ZONE_MINUTES = {
-    "UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300,
+    "EST": -300, "EDT": -240, "CST": -360, "CDT": -300,
     "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
 }
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
 
-def sender_local_time(date_header: Column) -> Column:
+def sender_local_time(header: str) -> str:
     """struct(epoch, hour, dow) of a mail date header; hour and weekday (0 = Monday) are on the
-    sender's own clock.  All NULL when the header cannot be read; a missing zone counts as UTC."""
-    def g(i):
-        return F.regexp_extract(date_header, _DATE, i)
-
-    year = g(3).try_cast("int")
-    full_year = F.when(F.length(g(3)) >= 4, year).when(year > 68, year + 1900).otherwise(year + 2000)
-    months = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
-    month = F.array_position(months, F.lower(F.substring(g(2), 1, 3)))
-    hour, minute = g(4).try_cast("int"), g(5).try_cast("int")
-    second = F.coalesce(g(6).try_cast("int"), F.lit(0))
-    day = F.try_to_date(F.concat_ws("-", full_year, month, g(1)), "y-M-d")
-    zone = g(7)
-    named = F.lit(0)
-    for name, minutes in ZONE_MINUTES.items():
-        named = F.when(F.upper(zone) == name, minutes).otherwise(named)
-    digits = F.regexp_extract(zone, r"^[+-](\d{4})$", 1)
-    offset = F.when(
-        digits != "",
-        F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
-        * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")),
-    ).otherwise(named)
-    ok = day.isNotNull() & (hour < 24) & (minute < 60) & (second < 60)
-    epoch = (
-        F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
-        + hour * 3600 + minute * 60 + second - offset * 60
+    sender's own clock.  All NULL when the header cannot be read; a missing or unknown zone counts
+    as UTC.  The parts are bound once by an array of one element."""
+    parts = ", ".join(
+        f"'{n}', regexp_extract({header}, {literal(DATE_HEADER)}, {i})"
+        for i, n in enumerate(("day", "mon", "year", "hour", "min", "sec", "zone"), 1)
+    )
+    year = (
+        "CASE WHEN length(p.year) >= 4 THEN int(p.year) WHEN try_cast(p.year AS int) > 68 "
+        "THEN 1900 + try_cast(p.year AS int) ELSE 2000 + try_cast(p.year AS int) END"
+    )
+    month = f"array_position(split('{MONTHS}', ' '), lower(left(p.mon, 3)))"
+    date = f"try_to_timestamp(concat_ws('-', {year}, {month}, p.day), 'y-M-d')"
+    zones = " ".join(f"WHEN '{z}' THEN {m}" for z, m in ZONE_MINUTES.items())
+    offset = (
+        "CASE WHEN p.zone RLIKE '^[+-][0-9]{4}$' THEN if(left(p.zone, 1) = '-', -1, 1) * "
+        "(int(substr(p.zone, 2, 2)) * 60 + int(substr(p.zone, 4, 2))) "
+        f"ELSE CASE upper(p.zone) {zones} ELSE 0 END END"
+    )
+    numbers = (
+        f"named_struct('d', cast({date} AS date), 'h', try_cast(p.hour AS int), "
+        f"'m', try_cast(p.min AS int), 's', coalesce(try_cast(p.sec AS int), 0), 'o', {offset})"
     )
-    return F.struct(
-        F.when(ok, epoch).alias("epoch"),
-        F.when(ok, hour).alias("hour"),
-        F.when(ok, F.weekday(day)).alias("dow"),
+    ok = "v.d IS NOT NULL AND v.h < 24 AND v.m < 60 AND v.s < 60"
+    epoch = "unix_date(v.d) * 86400L + v.h * 3600 + v.m * 60 + v.s - v.o * 60"
+    result = (
+        f"named_struct('epoch', if({ok}, {epoch}, NULL), 'hour', if({ok}, v.h, NULL), "
+        f"'dow', if({ok}, weekday(v.d), NULL))"
     )
+    bound = f"transform(array(named_struct({parts})), p -> {numbers})"
+    return f"get(transform({bound}, v -> {result}), 0)"

@@ -1,4 +1,8 @@
-"""Addresses, display names, header fields and string similarity as column expressions."""
+"""Addresses, display names, header fields and string similarity.
+
+Everything takes and returns Spark SQL expression text, except the two folds that need Unicode
+decomposition, which Spark lacks: those are columns backed by one Arrow UDF each.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wonted.functions.domains import DEFAULT_SUFFIXES, DOTLESS_DOMAINS, SuffixRules, reg_domain
+from wonted.functions.domains import DEFAULT_SUFFIXES, DOTLESS_DOMAINS, SuffixRules, reg_domain_of_clean
+from wonted.functions.sql import BLANKS, literal, one_of
 
 # Characters folded onto the Latin letter they look like.
 LOOKALIKE_LETTERS = {
@@ -28,8 +33,6 @@ LOOKALIKE_LETTERS = {
 
 _FOLD = str.maketrans(LOOKALIKE_LETTERS)
 ASCII_ONLY = r"^[\x00-\x7F]*$"
-# White space as Python counts it, for strings where Java's \s is narrower.
-SPACE = r"[\s\x1C-\x1F\x85   -     　]"
 
 
 @F.pandas_udf(T.StringType())
@@ -46,120 +49,117 @@ def _casefold_unicode(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
-def skeleton_ascii(text: Column) -> Column:
+def skeleton_ascii(text: str) -> str:
     """Lookalike-folded form of text known to be ASCII; stays in generated JVM code."""
     pairs = {k: v for k, v in LOOKALIKE_LETTERS.items() if k.isascii()}
-    return F.translate(F.lower(text), "".join(pairs), "".join(pairs.values()))
+    return f"translate(lower({text}), '{''.join(pairs)}', '{''.join(pairs.values())}')"
 
 
-def skeleton(text: Column) -> Column:
+def skeleton(column: str) -> Column:
     """Lookalike-folded form: lower case, compatibility decomposition, no accents, folded letters.
 
-    Spark has no decomposition function, so only non-ASCII strings go through an Arrow UDF; the
-    others reach it as NULL.  Use it on distinct names and domains.
+    Only non-ASCII strings go through the UDF, the others reach it as NULL.  Use it on distinct
+    names and domains where possible.
     """
-    plain = text.rlike(ASCII_ONLY)
-    return F.when(plain, skeleton_ascii(text)).otherwise(_skeleton_unicode(F.when(~plain, text)))
+    plain, text = F.col(column).rlike(ASCII_ONLY), F.col(column)
+    return F.when(plain, F.expr(skeleton_ascii(column))).otherwise(_skeleton_unicode(F.when(~plain, text)))
+
+
+def _trim(text: str, characters: str) -> str:
+    return f"btrim({text}, {literal(characters)})"
 
 
-def _strip_name(name: Column) -> Column:
-    ends = lambda c, what: F.regexp_replace(c, f"^(?:{what})+|(?:{what})+$", "")
-    return F.regexp_replace(ends(ends(ends(name, SPACE), '"'), SPACE), f"{SPACE}+", " ")
+def plain_name(name: str) -> str:
+    """Display name without outer blanks and quotes, inner white space collapsed."""
+    bare = _trim(_trim(_trim(name, BLANKS), '"'), BLANKS)
+    return f"regexp_replace({bare}, {literal(f'[{BLANKS}]+')}, ' ')"
 
 
-def display_name_ascii(name: Column) -> Column:
-    return F.lower(_strip_name(name))
+def display_name_ascii(name: str) -> str:
+    return f"lower({plain_name(name)})"
 
 
-def normalize_display_name(name: Column) -> Column:
-    """Display name without outer blanks and quotes, inner white space collapsed, case-folded."""
-    s = _strip_name(name)
+def normalize_display_name(name: str) -> Column:
+    """``plain_name``, case-folded."""
+    s = F.expr(plain_name(name))
     plain = s.rlike(ASCII_ONLY)
     return F.when(plain, F.lower(s)).otherwise(_casefold_unicode(F.when(~plain, s)))
 
 
-def address_domain(addr: Column) -> Column:
+def address_domain(address: str) -> str:
     """Text after the last '@' (the whole text when there is none)."""
-    return F.substring_index(addr, "@", -1)
+    return f"substring_index({address}, '@', -1)"
 
 
-def normalize_address(addr: Column, rules: SuffixRules = DEFAULT_SUFFIXES) -> Column:
+def normalize_address(address: str, rules: SuffixRules = DEFAULT_SUFFIXES) -> str:
     """Canonical mailbox: lower case, no tag, and no local dots where the provider ignores them."""
-    trimmed = F.regexp_replace(addr, f"^{SPACE}+|{SPACE}+$", "")
-    a = F.lower(F.regexp_replace(trimmed, "^[<>]+|[<>]+$", ""))
-    domain = F.regexp_replace(address_domain(a), r"^\.+|\.+$", "")
-    local = F.substring_index(F.regexp_replace(a, r"@[^@]*$", ""), "+", 1)
-    dotless = reg_domain(domain, rules).isin(*DOTLESS_DOMAINS) | domain.isin(*DOTLESS_DOMAINS)
-    local = F.when(dotless, F.replace(local, F.lit("."), F.lit(""))).otherwise(local)
-    return F.when(F.instr(a, "@") == 0, a).otherwise(F.concat(local, F.lit("@"), domain))
+    a = f"lower({_trim(_trim(address, BLANKS), '<>')})"
+    domain = _trim(address_domain(a), ".")
+    local = f"substring_index(regexp_replace({a}, '@[^@]*$', ''), '+', 1)"
+    dotless = f"({one_of(reg_domain_of_clean(domain, rules), DOTLESS_DOMAINS)} OR {one_of(domain, DOTLESS_DOMAINS)})"
+    return (
+        f"CASE WHEN instr({a}, '@') = 0 THEN {a} "
+        f"WHEN {dotless} THEN concat(replace({local}, '.', ''), '@', {domain}) "
+        f"ELSE concat({local}, '@', {domain}) END"
+    )
 
 
-EMAIL_TOKEN = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
+EMAIL_TOKEN = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 
 
-def emails_in_text(text: Column) -> Column:
+def emails_in_text(text: str) -> str:
     """Address-like tokens of a text, lower-cased, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit("(?U)" + EMAIL_TOKEN), F.lit(0)), F.lower)
+    return f"transform(regexp_extract_all({text}, {literal(EMAIL_TOKEN)}, 0), e -> lower(e))"
 
 
-def auth_verdict(header: Column, mechanism: str) -> Column:
+def auth_verdict(header: str, mechanism: str) -> str:
     """First verdict of one mechanism (spf, dkim, dmarc) in an Authentication-Results header."""
-    found = F.regexp_extract(header, rf"(?iU)\b{mechanism}\s*=\s*([a-z0-9]+)", 1)
-    return F.nullif(F.lower(found), F.lit(""))
+    pattern = literal(rf"(?iU)\b{mechanism}\s*=\s*([a-z0-9]+)")
+    return f"nullif(lower(regexp_extract({header}, {pattern}, 1)), '')"
 
 
-def message_id_list(header: Column) -> Column:
+def message_id_list(header: str) -> str:
     """All <...> tokens of a header."""
-    return F.coalesce(
-        F.regexp_extract_all(header, F.lit("<[^<>]+>"), F.lit(0)), F.array().cast("array<string>")
-    )
+    return f"coalesce(regexp_extract_all({header}, '<[^<>]+>', 0), cast(array() AS array<string>))"
 
 
-def file_extension(filename: Column) -> Column:
+def file_extension(filename: str) -> str:
     """Lower-case text after the last dot, at most 16 characters; empty when there is no dot."""
-    ext = F.substring(F.lower(F.substring_index(filename, ".", -1)), 1, 16)
-    return F.when(F.instr(filename, ".") > 0, ext).otherwise(F.lit(""))
+    ext = f"left(lower(substring_index({filename}, '.', -1)), 16)"
+    return f"CASE WHEN instr({filename}, '.') > 0 THEN {ext} ELSE '' END"
 
 
-def format_size(n_bytes: Column) -> Column:
-    mb, kb = n_bytes / F.lit(1024 * 1024), n_bytes / F.lit(1024)
+def format_size(n_bytes: str) -> str:
     return (
-        F.when(n_bytes >= 1024 * 1024, F.format_string("%.1f MB", mb))
-        .when(n_bytes >= 1024, F.format_string("%.1f KB", kb))
-        .otherwise(F.concat(n_bytes.cast("string"), F.lit(" B")))
+        f"CASE WHEN {n_bytes} >= 1048576 THEN format_string('%.1f MB', {n_bytes} / 1048576D) "
+        f"WHEN {n_bytes} >= 1024 THEN format_string('%.1f KB', {n_bytes} / 1024D) "
+        f"ELSE concat(cast({n_bytes} AS string), ' B') END"
     )
 
 
-def osa_distance(a: Column, b: Column, cap: int = 3) -> Column:
-    """Optimal-string-alignment distance, capped: a fold over the rows of the edit matrix."""
-
-    def next_row(state, i):
-        prev, before = state["prev"], state["before"]
-        ch = F.substr(a, i, F.lit(1))
-        last = F.substr(a, i - 1, F.lit(1))
-
-        def cell(row, j):
-            other = F.substr(b, j, F.lit(1))
-            best = F.least(
-                F.element_at(prev, j + 1) + 1,
-                F.element_at(row, -1) + 1,
-                F.element_at(prev, j) + F.when(ch == other, 0).otherwise(1),
-            )
-            swapped = (i > 1) & (j > 1) & (ch == F.substr(b, j - 1, F.lit(1))) & (last == other)
-            swap = F.when(swapped, F.get(before, j - 2) + 1)
-            return F.concat(row, F.array(F.least(best, swap)))
-
-        row = F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(i), cell)
-        return F.struct(row.alias("prev"), prev.alias("before"))
-
-    first = F.sequence(F.lit(0), F.length(b))
-    start = F.struct(first.alias("prev"), first.alias("before"))
-    full = F.aggregate(
-        F.sequence(F.lit(1), F.length(a)), start, next_row, lambda s: F.element_at(s["prev"], -1)
+def osa_distance(a: str, b: str, cap: int = 3) -> str:
+    """Optimal-string-alignment distance, capped: a fold over the rows of the edit matrix.
+
+    State: ``cur`` the last finished row, ``old`` the row above it.  For single comparisons; similar
+    domains are found by equality joins instead (``operators.lookalike``).
+    """
+    here, there = f"substr({a}, i, 1)", f"substr({b}, j, 1)"
+    swapped = (
+        f"i > 1 AND j > 1 AND {here} = substr({b}, j - 1, 1) AND substr({a}, i - 1, 1) = {there}"
+    )
+    cell = (
+        f"least(m.cur[j] + 1, element_at(r, -1) + 1, m.cur[j - 1] + if({here} = {there}, 0, 1), "
+        f"if({swapped}, get(m.old, j - 2) + 1, NULL))"
+    )
+    row = f"aggregate(sequence(1, length({b})), array(i), (r, j) -> concat(r, array({cell})))"
+    full = (
+        f"aggregate(sequence(1, length({a})), "
+        f"named_struct('cur', sequence(0, length({b})), 'old', sequence(0, length({b}))), "
+        f"(m, i) -> named_struct('cur', {row}, 'old', m.cur), m -> element_at(m.cur, -1))"
     )
     return (
-        F.when(a == b, 0)
-        .when(F.abs(F.length(a) - F.length(b)) > cap, cap)
-        .when((F.length(a) == 0) | (F.length(b) == 0), F.least(F.greatest(F.length(a), F.length(b)), F.lit(cap)))
-        .otherwise(F.least(full, F.lit(cap)))
+        f"CASE WHEN {a} = {b} THEN 0 "
+        f"WHEN abs(length({a}) - length({b})) > {cap} THEN {cap} "
+        f"WHEN length({a}) = 0 OR length({b}) = 0 THEN least(greatest(length({a}), length({b})), {cap}) "
+        f"ELSE least({full}, {cap}) END"
     )

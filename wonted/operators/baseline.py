@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wonted.config import DEFAULT_SKEW, SkewPolicy
@@ -13,19 +13,19 @@ from wonted.operators.skew import NONE_HOT, HotKeys
 
 
 
-def own_state() -> dict[str, tuple[str, Column]]:
+def own_state() -> dict[str, tuple[str, str]]:
     """What one message adds to its sender's state; every entry merges by sum, min or max."""
-    size, links = log_size(F.col("size_bytes")), F.col("n_links").cast("bigint")
+    size = log_size("size_bytes")
     return {
-        "p_n": ("count", F.lit(True)),
-        "p_first": ("min", F.nullif("sent_at", F.lit(0).cast("bigint"))),
-        "p_last": ("max", F.col("sent_at")),
+        "p_n": ("count", "true"),
+        "p_first": ("min", "nullif(sent_at, 0L)"),
+        "p_last": ("max", "sent_at"),
         "p_size": ("sum", size),
-        "p_size2": ("sum", size * size),
-        "p_links": ("sum", links),
-        "p_links2": ("sum", links * links),
-        "p_hours": ("count", F.col("sent_hour_local").isNotNull()),
-        "p_att": ("count", F.col("n_attachments") > 0),
+        "p_size2": ("sum", f"{size} * {size}"),
+        "p_links": ("sum", "n_links"),
+        "p_links2": ("sum", "n_links * n_links"),
+        "p_hours": ("count", "sent_hour_local IS NOT NULL"),
+        "p_att": ("count", "n_attachments > 0"),
     }
 
 
@@ -61,7 +61,7 @@ def prior_same_hour(
         incoming,
         ["sender", "sent_hour_local"],
         order,
-        {"p_hour": ("count", F.lit(True))},
+        {"p_hour": ("count", "true")},
         hot=hot.get("sender"),
         policy=policy,
         carry=carry,
@@ -72,35 +72,20 @@ def value_rows(incoming: DataFrame) -> DataFrame:
     """One row per (message, kind, value): link domains, attachment types, Reply-To addresses and
     display names, so that one aggregation serves all four."""
 
-    def entry(kind, a, b, n):
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            F.coalesce(a, F.lit("")).alias("a"),
-            F.coalesce(b, F.lit("")).alias("b"),
-            n.cast("bigint").alias("n"),
-        )
-
-    one, none = F.lit(1), F.lit(None).cast("string")
-    entries = F.concat(
-        F.transform(
-            F.coalesce(F.map_entries("link_domains"), F.array()),
-            lambda e: entry("link", e["key"], none, e["value"]),
-        ),
-        F.transform(
-            F.coalesce("attachments", F.array()),
-            lambda x: entry("attachment", x["extension"], x["mime_type"], one),
-        ),
-        F.filter(
-            F.array(entry("reply_to", F.col("reply_to_email_norm"), none, one)),
-            lambda e: e["a"] != "",
-        ),
-        F.filter(
-            F.array(entry("name", F.col("name_norm"), F.col("name_skel"), one)),
-            lambda e: e["a"] != "",
-        ),
-    )
-    return incoming.select("sender", "pos", "sent_at", F.explode(entries).alias("e")).select(
-        "sender", "pos", "sent_at", "e.*"
+    def entry(kind, a, b="''", n="1L"):
+        return f"named_struct('kind', '{kind}', 'a', {a}, 'b', {b}, 'n', bigint({n}))"
+
+    entries = ", ".join(
+        [
+            f"transform(coalesce(map_entries(link_domains), array()), e -> {entry('link', 'e.key', n='e.value')})",
+            "transform(coalesce(attachments, array()), x -> "
+            + entry("attachment", "coalesce(x.extension, '')", "x.mime_type") + ")",
+            f"array({entry('reply_to', 'reply_to_email_norm')})",
+            f"array({entry('name', 'name_norm', 'name_skel')})",
+        ]
+    )
+    return incoming.selectExpr(
+        "sender", "pos", f"inline(filter(concat({entries}), e -> e.a IS NOT NULL))"
     )
 
 
@@ -126,34 +111,34 @@ def novelties(
     A value is new exactly in the message at its first position, so no prior sets are carried.
     ``values`` holds first uses; ``carry`` the number of link domains known per sender before.
     """
+
     def of(kind, value):
-        return F.array_sort(F.collect_set(F.when(F.col("kind") == kind, value)))
+        return F.expr(f"array_sort(collect_set(if(kind = '{kind}', {value}, NULL)))")
 
-    label = F.when(F.col("a") != "", F.concat(F.lit("."), F.col("a"))).otherwise(F.col("b"))
     per_message = (
         values.filter("kind != 'name'")
         .groupBy("sender", F.col("first_pos").alias("pos"))
         .agg(
-            of("link", F.col("a")).alias("new_links"),
-            of("attachment", label).alias("new_attachments"),
-            F.max(F.col("kind") == "reply_to").alias("new_reply_to"),
+            of("link", "a").alias("new_links"),
+            of("attachment", "if(a <> '', concat('.', a), b)").alias("new_attachments"),
+            F.expr("max(kind = 'reply_to') AS new_reply_to"),
         )
-        .select("*", F.col("pos.t").alias("t"), F.col("pos.msg_id").alias("msg_id"))
+        .selectExpr("*", "pos.t", "pos.msg_id")
     )
     return running(
         per_message,
         ["sender"],
         order,
-        {"p_link_domains": ("sum", F.size("new_links").cast("bigint"))},
+        {"p_link_domains": ("sum", "bigint(size(new_links))")},
         hot=hot.get("sender"),
         policy=policy,
         carry=carry,
-    ).select(
+    ).selectExpr(
         "msg_id",
         "new_links",
         "new_attachments",
         "new_reply_to",
-        F.coalesce("p_link_domains", F.lit(0).cast("bigint")).alias("p_link_domains"),
+        "coalesce(p_link_domains, 0L) AS p_link_domains",
     )
 
 
@@ -183,39 +168,37 @@ def sender_profiles(incoming: DataFrame, credits: DataFrame, tiers: DataFrame) -
     Every group-by here combines before the shuffle, so a dominating sender costs one partial row per
     task.  Histograms are collected from at most 24 and 7 pre-counted rows.
     """
-    size, links = log_size(F.col("size_bytes")), F.col("n_links").cast("double")
-
-    def m2(x):
-        return F.coalesce(F.var_samp(x) * (F.count(F.lit(1)) - 1), F.lit(0.0))
-
-    def yes(cond):
-        return F.count_if(cond)
-
+    size = log_size("size_bytes")
     base = incoming.groupBy("sender").agg(
-        F.count(F.lit(1)).alias("n_messages"),
-        F.avg(size).alias("log_size_mean"),
-        m2(size).alias("log_size_m2"),
-        F.avg(links).alias("links_mean"),
-        m2(links).alias("links_m2"),
-        yes(F.col("n_attachments") > 0).alias("n_with_attachments"),
-        yes(F.col("n_links") > 0).alias("n_with_links"),
-        yes(F.col("reply_to_email_norm").isNotNull()).alias("n_replyto_divergent"),
-        F.coalesce(F.min(F.nullif("sent_at", F.lit(0).cast("bigint"))), F.lit(0)).alias("first_msg_at"),
-        F.max("sent_at").alias("last_msg_at"),
-        F.max("thread_depth").alias("max_thread_depth"),
+        *[
+            F.expr(text)
+            for text in (
+                "count(*) AS n_messages",
+                f"avg({size}) AS log_size_mean",
+                f"coalesce(var_samp({size}) * (count(*) - 1), 0D) AS log_size_m2",
+                "avg(n_links) AS links_mean",
+                "coalesce(var_samp(n_links) * (count(*) - 1), 0D) AS links_m2",
+                "count_if(n_attachments > 0) AS n_with_attachments",
+                "count_if(n_links > 0) AS n_with_links",
+                "count_if(reply_to_email_norm IS NOT NULL) AS n_replyto_divergent",
+                "coalesce(min(nullif(sent_at, 0L)), 0L) AS first_msg_at",
+                "max(sent_at) AS last_msg_at",
+                "max(thread_depth) AS max_thread_depth",
+            )
+        ]
     )
 
     def bins(column, size_, name):
-        pairs = F.collect_list(F.struct(F.col(column).cast("int"), F.col("n")))
+        counts = f"map_from_entries(collect_list(struct(int({column}), n)))"
         return (
             sender_hours(incoming, column)
             .groupBy("sender")
-            .agg(histogram(F.map_from_entries(pairs), size_).alias(name))
+            .agg(F.expr(f"{histogram(counts, size_)} AS {name}"))
         )
 
     credited = credits.groupBy("sender").agg(
-        yes(F.col("kind") == "replied").alias("n_replied_threads"),
-        yes(F.col("kind") == "initiated").alias("n_user_initiated"),
+        F.expr("count_if(kind = 'replied') AS n_replied_threads"),
+        F.expr("count_if(kind = 'initiated') AS n_user_initiated"),
     )
     joined = (
         base.join(thread_counts(incoming), "sender", "left")
@@ -260,7 +243,7 @@ def domain_profiles(incoming: DataFrame, domain_replies: DataFrame) -> DataFrame
             "n_senders",
             "n_messages",
             F.coalesce("n_replied_threads", F.lit(0).cast("bigint")).alias("n_replied_threads"),
-            is_freemail(F.col("rd")).alias("is_freemail"),
+            F.expr(is_freemail("rd")).alias("is_freemail"),
             "first_seen_at",
             "last_seen_at",
         )

@@ -1,206 +1,176 @@
-"""The fifteen scoring features as guarded columns, the score, and its long form."""
+"""The fifteen scoring features, the score, and its long form.
+
+Each rule is a pair of SQL texts over one judged message: the raw value (NULL when the rule does not
+apply) and the explanation.  Columns: the message; p_* the sender's prior state; pos3, reply_pos,
+trust_pos, look0..2, owner1..2 activation positions; new_* first uses; tier.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from wonted.config import DEFAULT_REGISTRY, FEATURES, Registry
-from wonted.functions.domains import reg_domain
+from wonted.functions.domains import reg_domain_of_clean
+from wonted.functions.sql import say
 from wonted.functions.stats import confidence, fired, hour_rarity, log_size, mean_of, ramp, std_of
 from wonted.functions.text import address_domain, emails_in_text, format_size
 
 NAMES = tuple(n for n, _, _ in FEATURES)
 
 
-def text(*parts) -> Column:
-    """Concatenation of literals and columns; NULL parts become empty."""
-    return F.concat(
-        *[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts]
-    )
-
-
-def c(name: str) -> Column:
-    return F.col(name)
-
-
-def feature(raw: Column, explanation: Column) -> tuple[Column, Column]:
-    return fired(raw), explanation
+def when(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} END"
 
 
 def lookalike_domain(r: Registry):
-    pos = c("pos")
-    levels = (("look0", 1.0), ("look1", 0.9), ("look2", 0.6))
-    trusted = F.coalesce(c("trust_pos") < pos, F.lit(False))
-    raw, target = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for column, value in reversed(levels):
-        hit = ~trusted & (c(f"{column}.pos") < pos)
-        raw = F.when(hit, value).otherwise(raw)
-        target = F.when(hit, c(f"{column}.target")).otherwise(target)
-    return feature(raw, text("domain '", c("rd"), "' resembles known domain '", target, "'"))
+    unknown = "coalesce(trust_pos < pos, false) = false"
+    raw = " ".join(
+        f"WHEN {unknown} AND look{i}.pos < pos THEN {v}D" for i, v in ((0, 1.0), (1, 0.9), (2, 0.6))
+    )
+    target = (
+        "CASE WHEN look0.pos < pos THEN look0.target WHEN look1.pos < pos THEN look1.target "
+        "ELSE look2.target END"
+    )
+    return f"CASE {raw} END", say("domain '", "=rd", "' resembles known domain '", f"={target}", "'")
 
 
 def display_name_collision(r: Registry):
-    other = F.when(c("owner1.sender") != c("sender"), c("owner1")).otherwise(c("owner2"))
-    hit = (F.length("name_norm") >= r.name_min_len) & (other["pos"] < c("pos"))
-    words = text(
-        "display name '", c("from_display_name"), "' matches known contact <", other["sender"],
-        "> but address is <", c("sender"), ">",
+    other = "if(owner1.sender <> sender, owner1, owner2)"
+    hit = f"length(name_norm) >= {r.name_min_len} AND {other}.pos < pos"
+    words = say(
+        "display name '", "=from_display_name", "' matches known contact <", f"={other}.sender",
+        "> but address is <", "=sender", ">",
     )
-    return feature(F.when(hit, 1.0), words)
+    return when(hit, "1D"), words
 
 
 def auth_fail(r: Registry):
-    dmarc = c("auth_dmarc") == "fail"
-    both = (c("auth_dkim") == "fail") & c("auth_spf").isin("fail", "softfail")
-    soft = c("auth_spf") == "softfail"
-    return feature(
-        F.when(dmarc, 1.0).when(both, 0.8).when(soft, 0.4),
-        F.when(dmarc, "DMARC failed for sending domain")
-        .when(both, "DKIM and SPF both failed")
-        .when(soft, "SPF softfail for sending domain"),
+    both = "auth_dkim = 'fail' AND auth_spf IN ('fail', 'softfail')"
+
+    def pick(strict, two, soft):
+        return (
+            f"CASE WHEN auth_dmarc = 'fail' THEN {strict} WHEN {both} THEN {two} "
+            f"WHEN auth_spf = 'softfail' THEN {soft} END"
+        )
+
+    return pick("1D", "0.8D", "0.4D"), pick(
+        "'DMARC failed for sending domain'",
+        "'DKIM and SPF both failed'",
+        "'SPF softfail for sending domain'",
     )
 
 
 def reply_to_divergence(r: Registry):
-    hit = (c("tier") >= 2) & (c("reply_rd") != c("rd")) & F.coalesce("new_reply_to", F.lit(False))
-    words = text(
-        "replies redirect to <", c("reply_to_email_norm"), ">, never seen from this sender in ",
-        c("p_n"), " messages",
+    words = say(
+        "replies redirect to <", "=reply_to_email_norm", ">, never seen from this sender in ",
+        "=p_n", " messages",
     )
-    return feature(F.when(hit, 1.0), words)
+    return when("tier >= 2 AND reply_rd <> rd AND new_reply_to", "1D"), words
 
 
 def embedded_addr_mismatch(r: Registry):
-    foreign = F.filter(
-        emails_in_text(c("from_display_name")), lambda e: reg_domain(address_domain(e)) != c("rd")
-    )
-    first = F.get(foreign, F.lit(0))
-    words = text("display name shows '", first, "' but real sender is <", c("sender"), ">")
-    return feature(F.when(first.isNotNull(), 1.0), words)
-
-
-def behavioral(r: Registry) -> Column:
-    return (c("tier") >= 2) & (c("p_n") >= r.min_baseline)
+    domain = reg_domain_of_clean(address_domain("e"))
+    first = f"get(filter({emails_in_text('from_display_name')}, e -> {domain} <> rd), 0)"
+    words = say("display name shows '", f"={first}", "' but real sender is <", "=sender", ">")
+    # the cheap test keeps ordinary names away from the pattern
+    return when(f"instr(from_display_name, '@') > 0 AND {first} IS NOT NULL", "1D"), words
 
 
-def cold(r: Registry) -> Column:
-    return (c("tier") <= 1) & (c("p_n") < r.min_baseline)
+def behavioral(r: Registry) -> str:
+    return f"tier >= 2 AND p_n >= {r.min_baseline}"
 
 
-def sorted_labels(labels: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(labels)), ", ")
+def cold(r: Registry) -> str:
+    return f"tier <= 1 AND p_n < {r.min_baseline}"
 
 
 def first_attachment_ever(r: Registry):
-    kinds = F.array_sort(
-        F.array_distinct(
-            F.transform(
-                "attachments",
-                lambda a: F.when(a["extension"] != "", a["extension"]).otherwise(a["mime_type"]),
-            )
-        )
+    kinds = "transform(attachments, a -> if(a.extension <> '', a.extension, a.mime_type))"
+    shown = (
+        f"array_join(transform(array_sort(array_distinct({kinds})), "
+        "e -> if(contains(e, '.') OR contains(e, '/'), e, concat('.', e))), ', ')"
     )
-    shown = F.transform(
-        kinds, lambda e: F.when(e.contains(".") | e.contains("/"), e).otherwise(F.concat(F.lit("."), e))
+    hit = f"{behavioral(r)} AND n_attachments > 0 AND p_att = 0"
+    words = say(
+        "first attachment of any kind (", f"={shown}", ") in ", "=p_n", " messages from this sender"
     )
-    hit = behavioral(r) & (c("n_attachments") > 0) & (c("p_att") == 0)
-    words = text(
-        "first attachment of any kind (", F.array_join(shown, ", "), ") in ", c("p_n"),
-        " messages from this sender",
-    )
-    return feature(F.when(hit, confidence(c("p_n"), r)), words)
+    return when(hit, confidence("p_n", r)), words
 
 
 def attachment_type_novelty(r: Registry):
-    hit = behavioral(r) & (c("p_att") > 0) & (F.size("new_attachments") > 0)
-    words = text(
-        "first ", F.array_join("new_attachments", ", "), " from this sender in ", c("p_n"), " messages"
+    hit = f"{behavioral(r)} AND p_att > 0 AND size(new_attachments) > 0"
+    words = say(
+        "first ", "=array_join(new_attachments, ', ')", " from this sender in ", "=p_n", " messages"
     )
-    return feature(F.when(hit, confidence(c("p_n"), r)), words)
+    return when(hit, confidence("p_n", r)), words
 
 
 def link_domain_novelty(r: Registry):
-    new = F.size("new_links")
-    hit = behavioral(r) & c("links_extracted") & (new > 0)
-    words = text(
-        "links to ", F.array_join(F.slice("new_links", 1, 3), ", "),
-        F.when(new > 3, " (+more)").otherwise(""), ", never linked before (", c("p_link_domains"),
+    hit = f"{behavioral(r)} AND links_extracted AND size(new_links) > 0"
+    words = say(
+        "links to ", "=array_join(slice(new_links, 1, 3), ', ')",
+        "=if(size(new_links) > 3, ' (+more)', '')", ", never linked before (", "=p_link_domains",
         " prior link domains)",
     )
-    return feature(F.when(hit, new / F.size("link_domains") * confidence(c("p_n"), r)), words)
+    return when(hit, f"size(new_links) / size(link_domains) * {confidence('p_n', r)}"), words
 
 
 def send_hour_anomaly(r: Registry):
-    hit = behavioral(r) & c("sent_hour_local").isNotNull() & (c("p_hours") >= r.min_baseline)
-    words = text(
-        "sent at ", F.lpad(c("sent_hour_local").cast("string"), 2, "0"), ":00 sender-local; ",
-        c("p_hour"), " of ", c("p_hours"), " prior messages at this hour",
+    hit = f"{behavioral(r)} AND sent_hour_local IS NOT NULL AND p_hours >= {r.min_baseline}"
+    words = say(
+        "sent at ", "=lpad(cast(sent_hour_local AS string), 2, '0')", ":00 sender-local; ", "=p_hour",
+        " of ", "=p_hours", " prior messages at this hour",
     )
-    return feature(F.when(hit, hour_rarity(c("p_hour"), c("p_hours"), r)), words)
+    return when(hit, hour_rarity("p_hour", "p_hours", r)), words
 
 
 def link_density_anomaly(r: Registry):
-    mean = mean_of(c("p_links"), c("p_n"))
-    std = F.greatest(std_of(c("p_links"), c("p_links2"), c("p_n")), F.lit(r.links_std_floor))
-    hit = behavioral(r) & (c("n_links") > 0)
-    words = text(
-        c("n_links"), " links; sender's typical is ", F.format_string("%.1f ± %.1f", mean, std)
+    mean = mean_of("p_links", "p_n")
+    std = f"greatest({std_of('p_links', 'p_links2', 'p_n')}, {r.links_std_floor}D)"
+    words = say(
+        "=n_links", " links; sender's typical is ", f"=format_string('%.1f ± %.1f', {mean}, {std})"
     )
-    return feature(F.when(hit, ramp((c("n_links") - mean) / std, r.links_z)), words)
+    return when(f"{behavioral(r)} AND n_links > 0", ramp(f"((n_links - {mean}) / {std})", r.links_z)), words
 
 
 def size_anomaly(r: Registry):
-    mean = mean_of(c("p_size"), c("p_n"))
-    std = F.greatest(std_of(c("p_size"), c("p_size2"), c("p_n")), F.lit(r.size_std_floor))
-    z = F.abs(log_size(c("size_bytes")) - mean) / std
-    typical = F.exp(mean).cast("bigint")
-    words = text(
-        format_size(c("size_bytes")), " message; sender's typical is ", format_size(typical)
-    )
-    return feature(F.when(behavioral(r), ramp(z, r.size_z)), words)
+    mean = mean_of("p_size", "p_n")
+    std = f"greatest({std_of('p_size', 'p_size2', 'p_n')}, {r.size_std_floor}D)"
+    z = f"(abs({log_size('size_bytes')} - {mean}) / {std})"
+    words = say(
+        f"={format_size('size_bytes')}", " message; sender's typical is ",
+        f"={format_size(f'cast(exp({mean}) AS bigint)')}",
+    )
+    return when(behavioral(r), ramp(z, r.size_z)), words
 
 
-def dormant(r: Registry) -> Column:
+def dormant_resurrection(r: Registry):
     """The gap part of the rule; the score also asks for another fired feature."""
-    return (
-        behavioral(r)
-        & (c("gap") >= r.dormant_gap)
-        & (c("median_gap") > 0)
-        & (c("gap") > r.dormant_multiple * c("median_gap"))
+    hit = (
+        f"{behavioral(r)} AND gap >= {r.dormant_gap} AND median_gap > 0 "
+        f"AND gap > {r.dormant_multiple} * median_gap"
     )
+    return when(hit, "1D"), say("first message in ", "=gap div 86400", " days, combined with other anomalies")
 
 
-def dormant_resurrection(r: Registry):
-    days = F.floor(c("gap") / 86400)
-    words = text("first message in ", days, " days, combined with other anomalies")
-    return feature(F.when(dormant(r), 1.0), words)
-
-
-def cold_scale() -> Column:
-    return F.when(c("p_n") == 0, 1.0).otherwise(0.5)
-
-
-def cold_who() -> Column:
-    return F.when(c("p_n") == 0, "a never-seen sender").otherwise(
-        text("a barely-known sender (", c("p_n"), " prior messages)")
-    )
+SCALE = "if(p_n = 0, 1D, 0.5D)"
+WHO = (
+    "if(p_n = 0, 'a never-seen sender', "
+    "concat('a barely-known sender (', cast(p_n AS string), ' prior messages)'))"
+)
 
 
 def cold_attachment(r: Registry):
-    hit = cold(r) & (c("n_attachments") > 0)
-    return feature(F.when(hit, cold_scale()), text("attachment from ", cold_who()))
+    return when(f"{cold(r)} AND n_attachments > 0", SCALE), say("attachment from ", f"={WHO}")
 
 
 def cold_links(r: Registry):
-    hit = cold(r) & (c("n_links") > 0)
-    return feature(F.when(hit, cold_scale()), text(c("n_links"), " link(s) from ", cold_who()))
+    return when(f"{cold(r)} AND n_links > 0", SCALE), say("=n_links", " link(s) from ", f"={WHO}")
 
 
 def cold_replyto(r: Registry):
-    hit = cold(r) & (c("reply_rd") != c("rd"))
-    words = text(cold_who(), " redirects replies to <", c("reply_to_email_norm"), ">")
-    return feature(F.when(hit, cold_scale()), words)
+    words = say(f"={WHO}", " redirects replies to <", "=reply_to_email_norm", ">")
+    return when(f"{cold(r)} AND reply_rd <> rd", SCALE), words
 
 
 RULES = {
@@ -214,59 +184,48 @@ RULES = {
 }
 
 
+def feature(name: str, registry: Registry = DEFAULT_REGISTRY) -> list[str]:
+    """SQL texts ``raw_<name>`` and ``explain_<name>`` of one rule taken by itself."""
+    raw, words = RULES[name](registry)
+    return [f"{fired(raw)} AS raw_{name}", f"{words} AS explain_{name}"]
+
+
 def with_features(judged: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
-    """Add raw_<feature> for all features, explain_<feature>, and anomaly_score.
-
-    ``judged`` has the message, its sender's prior state, the activation columns and the tier.
-    """
-    rules = {n: RULES[n](registry) for n in NAMES}
-    raws = judged.withColumns({f"raw_{n}": rules[n][0] for n in NAMES if n != "dormant_resurrection"})
-    others = [
-        n for n, _, group in FEATURES if group != "cold" and n != "dormant_resurrection"
-    ]
-    any_other = F.coalesce(*[F.col(f"raw_{n}") for n in others]).isNotNull()
-    raws = raws.withColumn("raw_dormant_resurrection", F.when(any_other, rules["dormant_resurrection"][0]))
-    points = [F.coalesce(f"raw_{n}", F.lit(0.0)) * registry.weights[n] for n in NAMES]
-    total = points[0]
-    for p in points[1:]:
-        total = total + p
-    score = F.least(F.round(total, 4), F.lit(registry.max_score))
-    return raws.withColumns({f"explain_{n}": rules[n][1] for n in NAMES}).withColumn(
-        "anomaly_score", score
+    """Add raw_<feature>, explain_<feature> and anomaly_score."""
+    raws = judged.selectExpr("*", *[text for n in NAMES for text in feature(n, registry)])
+    dormant = "raw_dormant_resurrection"
+    others = [f"raw_{n}" for n, _, g in FEATURES if g != "cold" and f"raw_{n}" != dormant]
+    gated = f"if(coalesce({', '.join(others)}) IS NULL, NULL, {dormant}) AS {dormant}"
+    raws = raws.selectExpr(*[gated if c == dormant else c for c in raws.columns])
+    points = " + ".join(f"coalesce(raw_{n}, 0D) * {float(registry.weights[n])}D" for n in NAMES)
+    return raws.selectExpr(
+        "*", f"least(round({points}, 4), {float(registry.max_score)}D) AS anomaly_score"
     )
 
 
 def message_scores(scored: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
     """One row per incoming message."""
-    return scored.select(
+    return scored.selectExpr(
         "msg_id",
-        F.lit(registry.version).alias("engine_version"),
-        F.col("tier").alias("trust_tier_at_scoring"),
-        F.col("p_n").alias("baseline_n"),
+        f"'{registry.version}' AS engine_version",
+        "tier AS trust_tier_at_scoring",
+        "p_n AS baseline_n",
         "anomaly_score",
     )
 
 
 def score_features(scored: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
     """One row per fired feature; their contributions add up to the score below its cap."""
-    fired_ = F.array_compact(F.array(*[_as_row(n, registry) for n in NAMES]))
-    return scored.select("msg_id", F.explode(fired_).alias("f")).select("msg_id", "f.*")
-
-
-def _as_row(name: str, registry: Registry) -> Column:
-    raw, weight = F.col(f"raw_{name}"), registry.weights[name]
-    return F.when(
-        raw.isNotNull(),
-        F.struct(
-            F.lit(name).alias("feature"),
-            raw.alias("raw_value"),
-            F.lit(float(weight)).alias("weight"),
-            F.round(raw * weight, 4).alias("contribution"),
-            F.col(f"explain_{name}").alias("explanation"),
-        ),
+    rows = ", ".join(
+        f"if(raw_{n} IS NULL, NULL, named_struct('feature', '{n}', 'raw_value', raw_{n}, "
+        f"'weight', {float(registry.weights[n])}D, "
+        f"'contribution', round(raw_{n} * {float(registry.weights[n])}D, 4), "
+        f"'explanation', explain_{n}))"
+        for n in NAMES
     )
+    return scored.selectExpr("msg_id", f"inline(array_compact(array({rows})))")
 
 
 def stale_scores(scores: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
     """Stored scores computed by another registry version."""
-    return scores.filter(F.col("engine_version") != registry.version)
+    return scores.filter(f"engine_version <> '{registry.version}'")

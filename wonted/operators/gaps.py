@@ -23,27 +23,23 @@ def median_gaps(
     (sender, stretch between silences, gap), so a message reads the few distinct gaps of the earlier
     stretches instead of the sender's history, and a sender has at most one stretch per silence.
     """
-    silence = F.col("gap") >= registry.dormant_gap
-    silent = silence & (F.col("p_n") >= registry.min_baseline)
+    silence = f"coalesce(gap >= {registry.dormant_gap}, false)"
+    silent = f"{silence} AND p_n >= {registry.min_baseline}"
     order, common = ["t", "msg_id"], {"hot": hot.get("sender"), "policy": policy}
-    gaps = state.select(
-        "sender", "t", "msg_id", "p_n", (F.col("sent_at") - F.col("p_last")).alias("gap")
-    )
+    gaps = state.selectExpr("sender", "t", "msg_id", "p_n", "sent_at - p_last AS gap")
     counted_silences = running(gaps, ["sender"], order, {"_before": ("count", silence)}, **common)
     ahead = running(
         counted_silences, ["sender"], order, {"_ahead": ("count", silent)}, descending=True, **common
     )
-    stretches = ahead.filter(silent | (F.col("_ahead") > 0)).withColumn(
-        "stretch", F.col("_before") + F.when(silence, 1).otherwise(0)
+    stretches = ahead.filter(f"({silent}) OR _ahead > 0").selectExpr(
+        "sender", "msg_id", "p_n", "gap", f"_before + if({silence}, 1, 0) AS stretch"
     )
     counted = (
         stretches.filter("gap IS NOT NULL")
         .groupBy("sender", "stretch", F.col("gap").alias("g"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    readers = stretches.filter(silent).select(
-        "sender", "msg_id", "gap", F.col("stretch").alias("reader")
-    )
+    readers = stretches.filter(silent).selectExpr("sender", "msg_id", "gap", "stretch AS reader")
     return (
         readers.join(counted, "sender")
         .filter("stretch < reader")

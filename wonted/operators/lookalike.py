@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wonted.config import DEFAULT_REGISTRY, Registry
 from wonted.functions.domains import is_freemail
+from wonted.functions.sql import literal
 from wonted.functions.text import skeleton
 
 SUBSTITUTED, SWAPPED = "\x01", "\x02"
@@ -23,62 +24,39 @@ SUBSTITUTED, SWAPPED = "\x01", "\x02"
 def edit_forms(df: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` once per form of a string column, with form, marks and drops: every result of
     applying at most two edits to the string."""
-    s = F.col(column)
+    s = column
 
-    def char(i):
-        return F.substr(s, i, F.lit(1))
-
-    def edit(pos, width, out, marks, drops):
-        return F.struct(
-            pos.alias("pos"), F.lit(width).alias("width"), out.alias("out"),
-            F.lit(marks).alias("marks"), F.lit(drops).alias("drops"),
-        )
-
-    def swap(i):
-        pair = F.concat(F.least(char(i), char(i + 1)), F.greatest(char(i), char(i + 1)))
-        return edit(i, 2, F.concat(F.lit(SWAPPED), pair), 1, 0)
+    def edit(width, out, marks, drops):
+        return (
+            f"named_struct('pos', i, 'width', {width}, 'out', {out}, 'marks', {marks}, 'drops', {drops})"
+        )
 
-    at = F.sequence(F.lit(1), F.length(s))
-    single = F.concat(
-        F.transform(at, lambda i: edit(i, 1, F.lit(SUBSTITUTED), 1, 0)),
-        F.transform(at, lambda i: edit(i, 1, F.lit(""), 0, 1)),
-        F.transform(F.filter(at, lambda i: (i < F.length(s)) & (char(i) != char(i + 1))), swap),
+    at, left, right = f"sequence(1, length({s}))", f"substr({s}, i, 1)", f"substr({s}, i + 1, 1)"
+    pair = f"concat('{SWAPPED}', least({left}, {right}), greatest({left}, {right}))"
+    unequal = f"filter({at}, i -> i < length({s}) AND {left} <> {right})"
+    single = (
+        f"concat(transform({at}, i -> {edit(1, literal(SUBSTITUTED), 1, 0)}), "
+        f"transform({at}, i -> {edit(1, literal(''), 0, 1)}), "
+        f"transform({unequal}, i -> {edit(2, pair, 1, 0)}))"
     )
-
-    def form(pieces, marks, drops):
-        return F.struct(F.concat(*pieces).alias("form"), marks.alias("marks"), drops.alias("drops"))
-
-    def head(e):
-        return [F.substr(s, F.lit(1), e["pos"] - 1), e["out"]]
-
-    def rest(e):
-        return F.substr(s, e["pos"] + e["width"], F.length(s))
-
-    def once(e):
-        return form([*head(e), rest(e)], e["marks"], e["drops"])
-
-    def twice(e):
-        after = e["pos"] + e["width"]
-
-        def both(x):
-            between = F.substr(s, after, x["pos"] - after)
-            pieces = [*head(e), between, x["out"], rest(x)]
-            return form(pieces, e["marks"] + x["marks"], e["drops"] + x["drops"])
-
-        return F.transform(F.filter("_edits", lambda x: x["pos"] >= after), both)
-
-    forms = F.concat(
-        F.array(form([s], F.lit(0), F.lit(0))),
-        F.transform("_edits", once),
-        F.flatten(F.transform("_edits", twice)),
+    head = f"substr({s}, 1, e.pos - 1), e.out"
+    once = (
+        f"named_struct('form', concat({head}, substr({s}, e.pos + e.width)), "
+        "'marks', e.marks, 'drops', e.drops)"
     )
-    return (
-        df.withColumn("_edits", single)
-        .withColumn("_f", F.explode(F.array_distinct(forms)))
-        .drop("_edits")
-        .select("*", "_f.*")
-        .drop("_f")
+    between = f"substr({s}, e.pos + e.width, x.pos - e.pos - e.width)"
+    both = (
+        f"named_struct('form', concat({head}, {between}, x.out, substr({s}, x.pos + x.width)), "
+        "'marks', e.marks + x.marks, 'drops', e.drops + x.drops)"
+    )
+    later = "filter(_edits, x -> x.pos >= e.pos + e.width)"
+    forms = (
+        f"concat(array(named_struct('form', {s}, 'marks', 0, 'drops', 0)), "
+        f"transform(_edits, e -> {once}), "
+        f"flatten(transform(_edits, e -> transform({later}, x -> {both}))))"
     )
+    kept = [c for c in df.columns]
+    return df.selectExpr("*", f"{single} AS _edits").selectExpr(*kept, f"inline(array_distinct({forms}))")
 
 
 def lookalikes(domains: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
@@ -89,11 +67,11 @@ def lookalikes(domains: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> Dat
     and short domains are no targets.  At equal activation the smaller name is taken.
     """
     long = domains.filter(F.length("rd") >= registry.lookalike_min_len)
-    folded = long.select("rd", "trust_pos", skeleton(F.col("rd")).alias("skel"))
+    folded = long.select("rd", "trust_pos", skeleton("rd").alias("skel"))
     forms = edit_forms(folded, "skel").drop("skel")
     earliest = W.partitionBy("form", "drops").orderBy("trust_pos", "rd")
     targets = (
-        forms.filter(F.col("trust_pos").isNotNull() & ~is_freemail(F.col("rd")))
+        forms.filter(f"trust_pos IS NOT NULL AND NOT {is_freemail('rd')}")
         .withColumn("_r", F.row_number().over(earliest))
         .filter("_r <= 2")  # two, so that one of them is another domain
         .select(

@@ -7,11 +7,11 @@ which it became true.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
-from wonted.functions.domains import is_freemail, reg_domain
+from wonted.functions.domains import is_freemail, reg_domain_of_clean
 from wonted.functions.text import address_domain
 from wonted.operators.baseline import TIMES, prior_state
 from wonted.operators.running import running
@@ -28,7 +28,7 @@ def thread_senders(incoming: DataFrame) -> DataFrame:
 def addressed(outgoing: DataFrame) -> DataFrame:
     """(thread, recipient) with the first outgoing message addressed to the recipient."""
     return (
-        outgoing.select("thread_id", "pos", F.explode(F.array_distinct("recipients")).alias("sender"))
+        outgoing.selectExpr("thread_id", "pos", "explode(array_distinct(recipients)) AS sender")
         .groupBy("thread_id", "sender")
         .agg(F.min("pos").alias("pos"))
     )
@@ -49,32 +49,30 @@ def reply_credits(
     someone can be one, because later ones follow either that credit or an earlier incoming message.
     """
     wrote = thread_senders(incoming)
-    marks = wrote.select(
-        "thread_id", F.col("min_in").alias("t"), F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("id"),
-        "sender", F.lit(None).cast(POSITION).alias("out_pos"),
-    )
-    sent = outgoing.select(
-        "thread_id", F.col("sent_at").alias("t"), F.lit(0).alias("side"), F.col("msg_id").alias("id"),
-        F.lit(None).cast("string").alias("sender"), F.col("pos").alias("out_pos"),
-    )
+    marks = wrote.selectExpr(
+        "thread_id", "min_in AS t", "1 AS side", "0L AS id", "sender", f"cast(NULL AS {POSITION}) AS out_pos"
+    )
+    sent = outgoing.selectExpr(
+        "thread_id", "sent_at AS t", "0 AS side", "msg_id AS id", "cast(NULL AS string) AS sender", "pos AS out_pos"
+    )
     replied = (
         running(
             marks.unionByName(sent),
             ["thread_id"],
             ["t", "side", "id"],
-            {"next_out": ("min", F.col("out_pos"))},
+            {"next_out": ("min", "out_pos")},
             hot=hot.get("thread_id"),
             policy=policy,
             descending=True,
         )
         .filter("side = 1 AND next_out IS NOT NULL")
-        .select("thread_id", "sender", F.lit("replied").alias("kind"), F.col("next_out").alias("pos"))
+        .selectExpr("thread_id", "sender", "'replied' AS kind", "next_out AS pos")
     )
     initiated = (
         addressed(outgoing)
         .join(wrote, ["thread_id", "sender"], "left")
         .filter("min_in IS NULL OR pos.t <= min_in")
-        .select("thread_id", "sender", F.lit("initiated").alias("kind"), "pos")
+        .selectExpr("thread_id", "sender", "'initiated' AS kind", "pos")
     )
     return first_credit(replied.unionByName(initiated))
 
@@ -85,32 +83,42 @@ def first_credit(events: DataFrame) -> DataFrame:
     )
 
 
-def domain_of_sender(sender: Column) -> Column:
-    return reg_domain(address_domain(sender))
+SENDER_DOMAIN = reg_domain_of_clean(address_domain("sender"))
 
 
 def domain_replies(credits: DataFrame) -> DataFrame:
     """Per domain the first "replied" credit and their number."""
     return (
         credits.filter("kind = 'replied'")
-        .select(domain_of_sender(F.col("sender")).alias("rd"), "pos")
+        .selectExpr(f"{SENDER_DOMAIN} AS rd", "pos")
         .groupBy("rd")
         .agg(F.min("pos").alias("reply_pos"), F.count(F.lit(1)).alias("n_replied_threads"))
     )
 
 
-def one_way_known(first: Column, last: Column, n: Column, registry: Registry) -> Column:
-    return (n >= registry.one_way_messages) & (last - first >= registry.one_way_span)
+def one_way_known(first: str, last: str, n: str, registry: Registry) -> str:
+    return f"{n} >= {registry.one_way_messages} AND {last} - {first} >= {registry.one_way_span}"
 
 
-def own_included(registry: Registry) -> Column:
+def own_included(registry: Registry) -> str:
     """Whether the one-way rule holds once the row itself is counted."""
-    dated = F.nullif("sent_at", F.lit(0).cast("bigint"))
-    return one_way_known(
-        F.least("p_first", dated), F.greatest("p_last", "sent_at"), F.col("p_n") + 1, registry
+    first, last = "least(p_first, nullif(sent_at, 0L))", "greatest(p_last, sent_at)"
+    return one_way_known(first, last, "(p_n + 1)", registry)
+
+
+def tier(three: str, two: str, registry: Registry, position: str) -> str:
+    """First tier whose rule holds; tier 1 needs a reply in the sender's own, closed, domain."""
+    return (
+        f"CASE WHEN {three} THEN 3 WHEN {two} THEN 2 "
+        f"WHEN NOT {is_freemail('rd')} AND reply_pos < {position} THEN 1 ELSE 0 END"
     )
 
 
+def tier_before(registry: Registry = DEFAULT_REGISTRY) -> str:
+    """Tier of the sender just before the message, from prior state and activation positions."""
+    return tier("pos3 < pos", one_way_known("p_first", "p_last", "p_n", registry), registry, "pos")
+
+
 def activations(
     incoming: DataFrame,
     credits: DataFrame,
@@ -127,27 +135,15 @@ def activations(
         grown.filter(own_included(registry)).groupBy("sender").agg(F.min("pos").alias("own_pos2"))
     )
     credited = credits.groupBy("sender").agg(F.min("pos").alias("pos3"))
-    return one_way.join(credited, "sender", "full").select(
-        "sender", "pos3", F.array_min(F.array_compact(F.array("own_pos2", "pos3"))).alias("pos2")
+    return one_way.join(credited, "sender", "full").selectExpr(
+        "sender", "pos3", "array_min(array_compact(array(own_pos2, pos3))) AS pos2"
     )
 
 
 def domain_trust(acts: DataFrame) -> DataFrame:
     """Per domain the first moment one of its senders reached tier 2."""
     return (
-        acts.select(domain_of_sender(F.col("sender")).alias("rd"), "pos2")
-        .groupBy("rd")
-        .agg(F.min("pos2").alias("trust_pos"))
-    )
-
-
-def tier_before(registry: Registry = DEFAULT_REGISTRY) -> Column:
-    """Tier of the sender just before the message, from prior state and activation positions."""
-    return (
-        F.when(F.col("pos3") < F.col("pos"), 3)
-        .when(one_way_known(F.col("p_first"), F.col("p_last"), F.col("p_n"), registry), 2)
-        .when(~is_freemail(F.col("rd")) & (F.col("reply_pos") < F.col("pos")), 1)
-        .otherwise(0)
+        acts.selectExpr(f"{SENDER_DOMAIN} AS rd", "pos2").groupBy("rd").agg(F.min("pos2").alias("trust_pos"))
     )
 
 
@@ -163,22 +159,14 @@ def current_tiers(
     """Tier stored per sender: the rules evaluated at the sender's own last event."""
     seen = incoming.groupBy("sender").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(F.nullif("sent_at", F.lit(0).cast("bigint"))).alias("first"),
+        F.expr("min(nullif(sent_at, 0L)) AS first"),
         F.max("sent_at").alias("last"),
         F.max("pos").alias("last_pos"),
     )
-    credited = credits.select("sender").distinct().withColumn("credited", F.lit(True))
-    everyone = seen.join(credited, "sender", "full").withColumn("rd", domain_of_sender(F.col("sender")))
-    return (
-        salted_left_join(
-            everyone, replies.select("rd", "reply_pos"), "rd", "sender", hot.get("rd"), policy
-        )
-        .select(
-            "sender",
-            F.when(F.col("credited"), 3)
-            .when(one_way_known(F.col("first"), F.col("last"), F.col("n"), registry), 2)
-            .when(~is_freemail(F.col("rd")) & (F.col("reply_pos") < F.col("last_pos")), 1)
-            .otherwise(0)
-            .alias("trust_tier"),
-        )
+    credited = credits.select("sender").distinct().selectExpr("sender", "true AS credited")
+    everyone = seen.join(credited, "sender", "full").selectExpr("*", f"{SENDER_DOMAIN} AS rd")
+    known = salted_left_join(
+        everyone, replies.select("rd", "reply_pos"), "rd", "sender", hot.get("rd"), policy
     )
+    now = tier("credited", one_way_known("first", "last", "n", registry), registry, "last_pos")
+    return known.selectExpr("sender", f"{now} AS trust_tier")

@@ -8,32 +8,30 @@ carry-in also continues from state stored by earlier incremental batches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wonted.config import DEFAULT_SKEW, SkewPolicy
 from wonted.operators.skew import chunk_columns
 
-_AGG = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
-
-def _merge(kind: str, a: Column, b: Column) -> Column:
-    if kind in ("sum", "count"):
-        zero = F.lit(0)
-        return F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, zero) + F.coalesce(b, zero))
-    return F.least(a, b) if kind == "min" else F.greatest(a, b)
+def _aggregate(kind: str, value: str) -> str:
+    if kind == "count":
+        return f"sum(if({value}, 1L, 0L))"
+    return f"{kind}({value})"
 
 
-def _value(kind: str, column: Column) -> Column:
-    return F.when(column, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")) if kind == "count" else column
+def _merge(kind: str, a: str, b: str) -> str:
+    if kind in ("sum", "count"):
+        return f"if({a} IS NULL AND {b} IS NULL, NULL, coalesce({a}, 0) + coalesce({b}, 0))"
+    return f"least({a}, {b})" if kind == "min" else f"greatest({a}, {b})"
 
 
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    aggs: dict[str, tuple[str, Column]],
+    aggs: dict[str, tuple[str, str]],
     *,
     hot: DataFrame | None = None,
     policy: SkewPolicy = DEFAULT_SKEW,
@@ -42,40 +40,51 @@ def running(
 ) -> DataFrame:
     """Add one column per aggregate over all rows of ``keys`` strictly before this one in ``order``.
 
-    ``aggs`` maps a new column to ("sum" | "min" | "max", value) or ("count", condition).  ``order``
-    ends with a unique row id.  With ``descending`` the rows *after* this one are meant.  ``hot``
-    lists large values of ``keys[0]``.  ``carry`` holds earlier state: the keys and the same columns.
+    ``aggs`` maps a new column to ("sum" | "min" | "max", value) or ("count", condition), both SQL
+    text.  ``order`` ends with a unique row id.  With ``descending`` the rows *after* this one are
+    meant.  ``hot`` lists large values of ``keys[0]``.  ``carry`` holds earlier state: the keys and
+    the same columns, one row per key.
     """
-    names = list(aggs)
-    before = (W.unboundedPreceding, -1)
-
-    def direction(c):
-        return F.col(c).desc() if descending else F.col(c).asc()
-
+    way = "DESC" if descending else "ASC"
     by = list(keys)
     if hot is not None:
         df = chunk_columns(df, keys[0], order, hot, policy)
         by.append("_chunk")
-    inside = W.partitionBy(*by).orderBy(*[direction(c) for c in order]).rowsBetween(*before)
-    out = df.select("*", *[_AGG[k](_value(k, c)).over(inside).alias(n) for n, (k, c) in aggs.items()])
+
+    def over(partition, ordering):
+        return (
+            f"OVER (PARTITION BY {', '.join(partition)} "
+            f"ORDER BY {', '.join(f'{o} {way}' for o in ordering)} "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        )
+
+    out = df.selectExpr(
+        "*", *[f"{_aggregate(k, v)} {over(by, order)} AS {n}" for n, (k, v) in aggs.items()]
+    )
     if hot is not None:
         totals = (
-            df.filter(F.size("_chunk") > 0)
+            df.filter("size(_chunk) > 0")
             .groupBy(*by)
-            .agg(*[_AGG[k](_value(k, c)).alias(n) for n, (k, c) in aggs.items()])
+            .agg(*[F.expr(f"{_aggregate(k, v)} AS {n}") for n, (k, v) in aggs.items()])
         )
-        over = W.partitionBy(*keys).orderBy(direction("_chunk")).rowsBetween(*before)
-        offsets = totals.select(
-            *by, *[_AGG[k](F.col(n)).over(over).alias(f"_o_{n}") for n, (k, _) in aggs.items()]
+        offsets = totals.selectExpr(
+            *by,
+            *[
+                f"{'sum' if k == 'count' else k}({n}) {over(keys, ['_chunk'])} AS _o_{n}"
+                for n, (k, _) in aggs.items()
+            ],
         )
         out = _add_offsets(out.join(offsets, by, "left"), aggs, "_o_").drop("_chunk")
     if carry is not None:
-        earlier = carry.select(*keys, *[F.col(n).alias(f"_c_{n}") for n in names])
+        earlier = carry.selectExpr(*keys, *[f"{n} AS _c_{n}" for n in aggs])
         out = _add_offsets(out.join(earlier, keys, "left"), aggs, "_c_")
-    zero = {n: F.coalesce(n, F.lit(0).cast("bigint")) for n, (k, _) in aggs.items() if k == "count"}
-    return out.withColumns(zero) if zero else out
+    counts = [n for n, (k, _) in aggs.items() if k == "count"]
+    if not counts:
+        return out
+    return out.selectExpr(*[f"coalesce({c}, 0L) AS {c}" if c in counts else c for c in out.columns])
 
 
 def _add_offsets(df: DataFrame, aggs: dict, prefix: str) -> DataFrame:
-    merged = {n: _merge(k, F.col(prefix + n), F.col(n)) for n, (k, _) in aggs.items()}
-    return df.withColumns(merged).drop(*[prefix + n for n in aggs])
+    kept = [c for c in df.columns if c not in aggs and not c.startswith(prefix)]
+    merged = [f"{_merge(k, prefix + n, n)} AS {n}" for n, (k, _) in aggs.items()]
+    return df.selectExpr(*kept, *merged)

@@ -121,5 +121,5 @@ def judge(
     judged = salted_left_join(state, context, "sender", "msg_id", hot.get("sender"), policy)
     judged = salted_left_join(judged, owners, "name_skel", "msg_id", hot.get("name_skel"), policy)
     judged = judged.join(baseline.novelties(values, ORDER, **common), "msg_id", "left")
-    judged = judged.join(median, "msg_id", "left").withColumn("tier", relations.tier_before(registry))
+    judged = judged.join(median, "msg_id", "left").selectExpr("*", f"{relations.tier_before(registry)} AS tier")
     return features.with_features(judged, registry)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wonted.functions.domains import DEFAULT_SUFFIXES, SuffixRules, is_freemail, reg_domain
+from wonted.functions.domains import DEFAULT_SUFFIXES, SuffixRules, is_freemail, reg_domain_of_clean
 from wonted.functions.text import (
     address_domain,
     display_name_ascii,
@@ -52,35 +52,32 @@ def prepare(
     ``order_by`` is "sent_at" to replay history in time order or "msg_id" for order of arrival.
     ``ascii_names`` promises ASCII display names, which keeps the projection out of Python.
     """
-    missing = {
-        k: F.lit(v).cast(t) for k, (t, v) in DEFAULTS.items() if k not in messages.columns
-    }
-    fold, norm = (
-        (skeleton_ascii, display_name_ascii) if ascii_names else (skeleton, normalize_display_name)
-    )
-    m = messages.withColumns(missing) if missing else messages
-    t = F.col(order_by).cast("bigint")
-    return (
-        m.withColumns(
-            {
-                "sender": F.col("from_email_norm"),
-                "rd": reg_domain(address_domain(F.col("from_email_norm")), rules),
-                "reply_rd": reg_domain(address_domain(F.col("reply_to_email_norm")), rules),
-                "name_norm": F.nullif(norm(F.col("from_display_name")), F.lit("")),
-                "n_attachments": F.coalesce(F.size("attachments"), F.lit(0)),
-                "n_links": n_links(),
-                "t": t,
-                "pos": F.struct(t.alias("t"), F.col("msg_id").cast("bigint").alias("msg_id")),
-            }
-        )
-        .withColumn("name_skel", fold(F.col("name_norm")))
-        .withColumn("n_attachments", F.greatest("n_attachments", F.lit(0)))
+    kept = list(messages.columns)
+    missing = [f"cast({_value(v)} AS {t}) AS {c}" for c, (t, v) in DEFAULTS.items() if c not in kept]
+    t = f"bigint({order_by})"
+    m = messages.selectExpr("*", *missing).selectExpr(
+        "*",
+        "from_email_norm AS sender",
+        f"{reg_domain_of_clean(address_domain('from_email_norm'), rules)} AS rd",
+        f"{reg_domain_of_clean(address_domain('reply_to_email_norm'), rules)} AS reply_rd",
+        "coalesce(array_size(attachments), 0) AS n_attachments",
+        f"{N_LINKS} AS n_links",
+        f"{t} AS t",
+        f"named_struct('t', {t}, 'msg_id', bigint(msg_id)) AS pos",
     )
+    if ascii_names:
+        return m.selectExpr(
+            "*", f"nullif({display_name_ascii('from_display_name')}, '') AS name_norm"
+        ).selectExpr("*", f"{skeleton_ascii('name_norm')} AS name_skel")
+    named = m.withColumn("name_norm", F.nullif(normalize_display_name("from_display_name"), F.lit("")))
+    return named.withColumn("name_skel", skeleton("name_norm"))
+
 
+def _value(v) -> str:
+    return "NULL" if v is None else repr(v).lower() if isinstance(v, bool) else repr(v)
 
-def n_links():
-    values = F.coalesce(F.map_values("link_domains"), F.array().cast("array<int>"))
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+N_LINKS = "aggregate(coalesce(map_values(link_domains), array()), 0L, (a, x) -> a + x)"
 
 
 def incoming(facts: DataFrame) -> DataFrame:
@@ -98,19 +95,17 @@ def sender_dimension(facts: DataFrame) -> DataFrame:
 
     Domain columns are computed once per distinct address.
     """
-    seen = F.when(F.col("direction") == "in", F.array("sender")).otherwise(
-        F.array_distinct(F.coalesce("recipients", F.array().cast("array<string>")))
-    )
-    rd = F.col("reg_domain")
+    seen = "if(direction = 'in', array(sender), array_distinct(coalesce(recipients, array())))"
+    domain = address_domain("email_norm")
     return (
-        facts.select(F.explode(seen).alias("email_norm"), "sent_at")
+        facts.selectExpr(f"explode({seen}) AS email_norm", "sent_at")
         .groupBy("email_norm")
         .agg(F.min("sent_at").alias("first_seen_at"), F.max("sent_at").alias("last_seen_at"))
-        .withColumn("domain", address_domain(F.col("email_norm")))
-        .withColumn("reg_domain", reg_domain(F.col("domain")))
-        .select(
-            "email_norm", "domain", "reg_domain", skeleton(rd).alias("reg_domain_skeleton"),
-            is_freemail(rd).alias("is_freemail"), "first_seen_at", "last_seen_at",
+        .selectExpr("*", f"{domain} AS domain", f"{reg_domain_of_clean(domain)} AS reg_domain")
+        .withColumn("reg_domain_skeleton", skeleton("reg_domain"))
+        .selectExpr(
+            "email_norm", "domain", "reg_domain", "reg_domain_skeleton",
+            f"{is_freemail('reg_domain')} AS is_freemail", "first_seen_at", "last_seen_at",
         )
     )
 
