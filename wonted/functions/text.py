@@ -129,10 +129,15 @@ def file_extension(filename: str) -> str:
     return f"CASE WHEN instr({filename}, '.') > 0 THEN {ext} ELSE '' END"
 
 
+def one_decimal(x: str) -> str:
+    """One decimal; a value exactly half-way goes to the even digit."""
+    return f"format_string('%.1f', if({x} * 4D = floor({x} * 4D), bround({x}, 1), {x}))"
+
+
 def format_size(n_bytes: str) -> str:
     return (
-        f"CASE WHEN {n_bytes} >= 1048576 THEN format_string('%.1f MB', {n_bytes} / 1048576D) "
-        f"WHEN {n_bytes} >= 1024 THEN format_string('%.1f KB', {n_bytes} / 1024D) "
+        f"CASE WHEN {n_bytes} >= 1048576 THEN concat({one_decimal(f'({n_bytes} / 1048576D)')}, ' MB') "
+        f"WHEN {n_bytes} >= 1024 THEN concat({one_decimal(f'({n_bytes} / 1024D)')}, ' KB') "
         f"ELSE concat(cast({n_bytes} AS string), ' B') END"
     )
 

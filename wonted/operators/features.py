@@ -13,7 +13,7 @@ from wonted.config import DEFAULT_REGISTRY, FEATURES, Registry
 from wonted.functions.domains import reg_domain_of_clean
 from wonted.functions.sql import say
 from wonted.functions.stats import confidence, fired, hour_rarity, log_size, mean_of, ramp, std_of
-from wonted.functions.text import address_domain, emails_in_text, format_size
+from wonted.functions.text import address_domain, emails_in_text, format_size, one_decimal
 
 NAMES = tuple(n for n, _, _ in FEATURES)
 
@@ -128,7 +128,7 @@ def link_density_anomaly(r: Registry):
     mean = mean_of("p_links", "p_n")
     std = f"greatest({std_of('p_links', 'p_links2', 'p_n')}, {r.links_std_floor}D)"
     words = say(
-        "=n_links", " links; sender's typical is ", f"=format_string('%.1f ± %.1f', {mean}, {std})"
+        "=n_links", " links; sender's typical is ", f"={one_decimal(mean)}", " ± ", f"={one_decimal(std)}"
     )
     return when(f"{behavioral(r)} AND n_links > 0", ramp(f"((n_links - {mean}) / {std})", r.links_z)), words
 
@@ -184,44 +184,73 @@ RULES = {
 }
 
 
+# What each rule reads besides the message and the sender's running state.
+INPUTS = {
+    "lookalike_domain": {"context"},
+    "display_name_collision": {"owners"},
+    "auth_fail": set(),
+    "reply_to_divergence": {"tier", "novelties"},
+    "embedded_addr_mismatch": set(),
+    "attachment_type_novelty": {"tier", "state", "novelties"},
+    "first_attachment_ever": {"tier", "state"},
+    "link_domain_novelty": {"tier", "state", "novelties"},
+    "send_hour_anomaly": {"tier", "state", "hours"},
+    "link_density_anomaly": {"tier", "state"},
+    "size_anomaly": {"tier", "state"},
+    "dormant_resurrection": {"tier", "state", "gaps"},
+    "cold_attachment": {"tier", "state"},
+    "cold_links": {"tier", "state"},
+    "cold_replyto": {"tier", "state"},
+}
+
+
+def inputs_of(names) -> set:
+    return set().union(*(INPUTS[n] for n in names))
+
+
 def feature(name: str, registry: Registry = DEFAULT_REGISTRY) -> list[str]:
     """SQL texts ``raw_<name>`` and ``explain_<name>`` of one rule taken by itself."""
     raw, words = RULES[name](registry)
     return [f"{fired(raw)} AS raw_{name}", f"{words} AS explain_{name}"]
 
 
-def with_features(judged: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
-    """Add raw_<feature>, explain_<feature> and anomaly_score."""
-    raws = judged.selectExpr("*", *[text for n in NAMES for text in feature(n, registry)])
+def with_features(
+    judged: DataFrame, registry: Registry = DEFAULT_REGISTRY, names: tuple[str, ...] = NAMES
+) -> DataFrame:
+    """Add raw_<feature>, explain_<feature> and anomaly_score for the given features."""
+    raws = judged.selectExpr("*", *[text for n in names for text in feature(n, registry)])
     dormant = "raw_dormant_resurrection"
-    others = [f"raw_{n}" for n, _, g in FEATURES if g != "cold" and f"raw_{n}" != dormant]
-    gated = f"if(coalesce({', '.join(others)}) IS NULL, NULL, {dormant}) AS {dormant}"
-    raws = raws.selectExpr(*[gated if c == dormant else c for c in raws.columns])
-    points = " + ".join(f"coalesce(raw_{n}, 0D) * {float(registry.weights[n])}D" for n in NAMES)
+    others = [f"raw_{n}" for n, _, g in FEATURES if g != "cold" and n in names and f"raw_{n}" != dormant]
+    if others and dormant[4:] in names:
+        gated = f"if(coalesce({', '.join(others)}) IS NULL, NULL, {dormant}) AS {dormant}"
+        raws = raws.selectExpr(*[gated if c == dormant else c for c in raws.columns])
+    points = " + ".join(f"coalesce(raw_{n}, 0D) * {float(registry.weights[n])}D" for n in names)
     return raws.selectExpr(
         "*", f"least(round({points}, 4), {float(registry.max_score)}D) AS anomaly_score"
     )
 
 
 def message_scores(scored: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
-    """One row per incoming message."""
+    """One row per incoming message; tier and baseline where the features needed them."""
+    columns = {"tier": "trust_tier_at_scoring", "p_n": "baseline_n"}
     return scored.selectExpr(
         "msg_id",
         f"'{registry.version}' AS engine_version",
-        "tier AS trust_tier_at_scoring",
-        "p_n AS baseline_n",
+        *[f"{c} AS {name}" for c, name in columns.items() if c in scored.columns],
         "anomaly_score",
     )
 
 
-def score_features(scored: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
+def score_features(
+    scored: DataFrame, registry: Registry = DEFAULT_REGISTRY, names: tuple[str, ...] = NAMES
+) -> DataFrame:
     """One row per fired feature; their contributions add up to the score below its cap."""
     rows = ", ".join(
         f"if(raw_{n} IS NULL, NULL, named_struct('feature', '{n}', 'raw_value', raw_{n}, "
         f"'weight', {float(registry.weights[n])}D, "
         f"'contribution', round(raw_{n} * {float(registry.weights[n])}D, 4), "
         f"'explanation', explain_{n}))"
-        for n in NAMES
+        for n in names
     )
     return scored.selectExpr("msg_id", f"inline(array_compact(array({rows})))")
 

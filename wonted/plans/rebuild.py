@@ -56,12 +56,14 @@ def replay(
     policy: SkewPolicy = DEFAULT_SKEW,
     hot: HotKeys | None = None,
     cut: Callable[[DataFrame], DataFrame] | None = None,
+    names: tuple[str, ...] = features.NAMES,
 ) -> Derived:
     """Score every incoming message of ``facts`` (see ``facts.prepare``) against the state before it.
 
     The number of shuffles is fixed: by sender for state, by thread for credits, by message id (never
     skewed) to put columns together, and small ones by domain, name and form.  ``cut`` stores the
-    credits, which several branches read; pass ``DataFrame.checkpoint`` for large history.
+    credits, activations and value counts, which several branches read; pass ``checkpointed`` for
+    large history.  ``names`` restricts the work to some features and what they need.
     """
     if hot is None:
         hot = find_hot_keys(facts, ["sender", "thread_id", "name_skel", "rd"], "sent_at", "msg_id", policy)
@@ -72,34 +74,42 @@ def replay(
     replies = relations.domain_replies(credits)
     acts = keep(relations.activations(inc, credits, ORDER, registry=registry, **common))
     values = keep(baseline.sender_values(inc))
-    scored = judge(inc.select(*MESSAGE), credits, replies, acts, values, registry=registry, **common)
+    scored = judge(
+        inc.select(*MESSAGE), replies, acts, values, registry=registry, names=names, **common
+    )
     return Derived(
         scored,
         features.message_scores(scored, registry),
-        features.score_features(scored, registry),
+        features.score_features(scored, registry, names),
         credits, values, inc, replies, registry, hot, policy,
     )
 
 
 def sender_context(
-    inc: DataFrame, replies: DataFrame, acts: DataFrame, registry: Registry, hot: HotKeys, policy: SkewPolicy
+    inc: DataFrame,
+    replies: DataFrame,
+    acts: DataFrame,
+    registry: Registry,
+    hot: HotKeys,
+    policy: SkewPolicy,
+    lookalikes: bool = True,
 ) -> DataFrame:
     """Per sender the positions that concern it: its own credit and everything about its domain.
 
     Looked up once per sender, so a domain shared by very many messages is joined on far fewer rows.
     """
-    trust = relations.domain_trust(acts)
-    domains = (
-        inc.select("rd").distinct().join(trust, "rd", "full").join(replies.select("rd", "reply_pos"), "rd", "left")
-    )
-    per_domain = domains.join(lookalike.lookalikes(domains.select("rd", "trust_pos"), registry), "rd", "left")
     senders = inc.select("sender", "rd").distinct().join(acts.select("sender", "pos3"), "sender", "left")
+    per_domain = replies.select("rd", "reply_pos")
+    if lookalikes:
+        trust = relations.domain_trust(acts)
+        domains = inc.select("rd").distinct().join(trust, "rd", "full")
+        alike = lookalike.lookalikes(domains, registry)
+        per_domain = domains.join(per_domain, "rd", "left").join(alike, "rd", "left")
     return salted_left_join(senders, per_domain, "rd", "sender", hot.get("rd"), policy).drop("rd")
 
 
 def judge(
     inc: DataFrame,
-    credits: DataFrame,
     replies: DataFrame,
     acts: DataFrame,
     values: DataFrame,
@@ -107,19 +117,31 @@ def judge(
     registry: Registry = DEFAULT_REGISTRY,
     hot: HotKeys = NONE_HOT,
     policy: SkewPolicy = DEFAULT_SKEW,
+    names: tuple[str, ...] = features.NAMES,
 ) -> DataFrame:
-    """Messages with prior state, context, novelties, tier, features and score."""
-    common = {"hot": hot, "policy": policy}
-    context = sender_context(inc, replies, acts, registry, hot, policy)
-    state = baseline.prior_state(inc, ORDER, **common)
-    state = baseline.prior_same_hour(state, ORDER, **common)
-    times = baseline.prior_state(
-        inc.select("sender", "t", "msg_id", "sent_at"), ORDER, only=baseline.TIMES, **common
-    )
-    median = gaps.median_gaps(times, registry=registry, **common)
-    owners = lookalike.name_owners(values, acts)
-    judged = salted_left_join(state, context, "sender", "msg_id", hot.get("sender"), policy)
-    judged = salted_left_join(judged, owners, "name_skel", "msg_id", hot.get("name_skel"), policy)
-    judged = judged.join(baseline.novelties(values, ORDER, **common), "msg_id", "left")
-    judged = judged.join(median, "msg_id", "left").selectExpr("*", f"{relations.tier_before(registry)} AS tier")
-    return features.with_features(judged, registry)
+    """Messages with prior state, context, novelties, tier, features and score.
+
+    Only the inputs that the wanted features read are computed and joined.
+    """
+    common, needs = {"hot": hot, "policy": policy}, features.inputs_of(names)
+    judged = inc
+    if needs & {"tier", "state"}:
+        judged = baseline.prior_state(judged, ORDER, **common)
+    if "hours" in needs:
+        judged = baseline.prior_same_hour(judged, ORDER, **common)
+    if needs & {"tier", "context"}:
+        context = sender_context(inc, replies, acts, registry, hot, policy, "context" in needs)
+        judged = salted_left_join(judged, context, "sender", "msg_id", hot.get("sender"), policy)
+    if "owners" in needs:
+        owners = lookalike.name_owners(values, acts)
+        judged = salted_left_join(judged, owners, "name_skel", "msg_id", hot.get("name_skel"), policy)
+    if "novelties" in needs:
+        judged = judged.join(baseline.novelties(values, ORDER, **common), "msg_id", "left")
+    if "gaps" in needs:
+        times = baseline.prior_state(
+            inc.select("sender", "t", "msg_id", "sent_at"), ORDER, only=baseline.TIMES, **common
+        )
+        judged = judged.join(gaps.median_gaps(times, registry=registry, **common), "msg_id", "left")
+    if "tier" in needs:
+        judged = judged.selectExpr("*", f"{relations.tier_before(registry)} AS tier")
+    return features.with_features(judged, registry, names)

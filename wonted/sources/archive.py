@@ -86,19 +86,22 @@ def _columns(raw: bytes, limit: int) -> dict:
     }
 
 
-def read_messages(spark: SparkSession, path: str, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
-    """Landed columns of every message file (.eml, .emlx) below a path.
-
-    Spark lists and splits the files; a bounded Arrow batch is parsed at a time.  A file that cannot
-    be read gives a row with ``parse_error`` instead of failing the job.
-    """
-    files = (
+def message_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of every message file below a path; Spark lists and splits the files."""
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{eml,emlx}")
         .load(path)
         .select("path", "content")
     )
+
+
+def parse_messages(files: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
+    """Landed columns of message files (path, content), a bounded Arrow batch at a time.
+
+    A file that cannot be read gives a row with ``parse_error`` instead of failing the job.
+    """
     names = [f.strip().split(" ")[0] for f in PARSED.split(", ")]
     limit = registry.max_text_bytes
 
@@ -121,7 +124,11 @@ def read_messages(spark: SparkSession, path: str, registry: Registry = DEFAULT_R
                 rows.append(row)
             yield pd.DataFrame(rows, columns=names).astype({"uid": "Int64", "size_bytes": "Int64"})
 
-    return files.mapInPandas(parse, PARSED)
+    return files.select("path", "content").mapInPandas(parse, PARSED)
+
+
+def read_messages(spark: SparkSession, path: str, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
+    return parse_messages(message_files(spark, path), registry)
 
 
 def good_rows(parsed: DataFrame) -> DataFrame:
