@@ -69,7 +69,7 @@ CTES = {
       SELECT k.*, pos3, trust_pos, CASE WHEN pos3 < pos THEN 3 WHEN p_n >= 2 AND p_last - p_first >= 604800 THEN 2
         WHEN k.rd NOT IN ({FREEMAIL}) AND reply_pos < pos THEN 1 ELSE 0 END AS tier
       FROM known k LEFT JOIN acts a USING (sender) LEFT JOIN replies r ON r.rd = k.rd LEFT JOIN trust t ON t.rd = k.rd""",
-    "similar": f"""
+    "likenesses": f"""
       SELECT a.rd, b.rd AS target, b.trust_pos AS target_pos, CASE WHEN a.sk = b.sk THEN 1.0
         ELSE CASE damerau_levenshtein(a.sk, b.sk) WHEN 1 THEN 0.9 WHEN 2 THEN 0.6 END END AS likeness
       FROM (SELECT DISTINCT rd, translate(lower(rd), '0135', 'oles') AS sk FROM inc) a
@@ -77,7 +77,7 @@ CTES = {
         ON a.rd <> b.rd AND length(a.rd) >= 6 AND length(b.rd) >= 6 AND b.rd NOT IN ({FREEMAIL}) AND b.trust_pos IS NOT NULL""",
     "alike": """
       SELECT m.msg_id, arg_min(s.target, row(-s.likeness, s.target_pos, s.target)) AS target, max(s.likeness) AS likeness
-      FROM tiered m JOIN similar s ON s.rd = m.rd AND s.target_pos < m.pos AND s.likeness IS NOT NULL
+      FROM tiered m JOIN likenesses s ON s.rd = m.rd AND s.target_pos < m.pos AND s.likeness IS NOT NULL
       WHERE NOT coalesce(m.trust_pos < m.pos, false) GROUP BY ALL""",
     "owners": """
       SELECT i.name, i.sender AS owner, greatest(min(i.pos), any_value(a.pos3)) AS owned
@@ -184,7 +184,9 @@ def sql(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + "\n" + body
+    shared = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
+    own = body.strip().removeprefix("WITH ")
+    return shared + (",\n" if own != body.strip() else "\n") + own
 
 
 def one_feature(name: str) -> str:
@@ -223,11 +225,11 @@ ORACLES = {
         FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'example.com' ELSE 'partnerfirm.com' END AS rd FROM documents))
       WHERE len(foreign_) > 0""",
     "dormant_resurrection": f"""
-      WITH o AS (SELECT o_orderkey AS msg_id, o_custkey AS sender, {SECONDS.format('o_orderdate')} AS at FROM orders),
-      g AS (SELECT *, at - lag(at) OVER w AS gap, count(*) OVER w - 1 AS n FROM o WINDOW w AS (PARTITION BY sender ORDER BY at, msg_id)),
+      WITH o AS (SELECT o_orderkey AS msg_id, o_custkey AS sender, {SECONDS.format('o_orderdate')} AS ts_ FROM orders),
+      g AS (SELECT *, ts_ - lag(ts_) OVER w AS gap, count(*) OVER w - 1 AS n FROM o WINDOW w AS (PARTITION BY sender ORDER BY ts_, msg_id)),
       c AS (SELECT * FROM g WHERE gap >= 90 * 86400 AND n >= 8)
       SELECT c.msg_id, c.gap, median(g.gap) AS median_gap, c.gap // 86400 AS days
-      FROM c JOIN g ON g.sender = c.sender AND g.at < c.at AND g.gap IS NOT NULL
+      FROM c JOIN g ON g.sender = c.sender AND g.ts_ < c.ts_ AND g.gap IS NOT NULL
       GROUP BY c.msg_id, c.gap HAVING median(g.gap) > 0 AND c.gap > 6 * median(g.gap) AND count(*) >= 2""",
     "anomaly_score": "SELECT * FROM scores",
     "score_features": "SELECT msg_id, feature, raw_value, weight, round(raw_value * weight, 4) AS contribution FROM fired",
@@ -254,14 +256,14 @@ ORACLES = {
       SELECT msg_id, CASE WHEN new_link THEN link ELSE '' END AS new_links, CASE WHEN new_ext THEN '.' || ext ELSE '' END AS new_attachments,
         new_reply AS new_reply_to, p_link_domains FROM known WHERE new_link OR new_ext OR new_reply""",
     "reply_credits": """
-      SELECT thread_id, sender, kind, CAST(pos // 10000000000 AS BIGINT) AS at, CAST(pos % 10000000000 AS BIGINT) AS msg_id FROM credits""",
+      SELECT thread_id, sender, kind, CAST(pos // 10000000000 AS BIGINT) AS "at", CAST(pos % 10000000000 AS BIGINT) AS msg_id FROM credits""",
     "conversation_credits": """
-      WITH c AS (SELECT conv_id, conv_id * 1000 + turn AS id, conv_id * 1000000 + turn * 60 AS at, role = 'assistant' AS out,
+      WITH c AS (SELECT conv_id, conv_id * 1000 + turn AS id, conv_id * 1000000 + turn * 60 AS ts_, role = 'assistant' AS sent_,
           'peer' || conv_id || '@partnerfirm.com' AS peer FROM conversations),
-      w AS (SELECT conv_id, min(at) AS first_in FROM c WHERE NOT out GROUP BY ALL),
-      ev AS (SELECT c.conv_id, peer, CASE WHEN first_in < at THEN 'replied' ELSE 'initiated' END AS kind, at, id
-        FROM c LEFT JOIN w USING (conv_id) WHERE out)
-      SELECT conv_id AS thread_id, peer AS sender, arg_min(kind, row(at, id)) AS kind, min(at) AS at, arg_min(id, row(at, id)) AS msg_id
+      w AS (SELECT conv_id, min(ts_) AS first_in FROM c WHERE NOT sent_ GROUP BY ALL),
+      ev AS (SELECT c.conv_id, peer, CASE WHEN first_in < ts_ THEN 'replied' ELSE 'initiated' END AS kind, ts_, id
+        FROM c LEFT JOIN w USING (conv_id) WHERE sent_)
+      SELECT conv_id AS thread_id, peer AS sender, arg_min(kind, row(ts_, id)) AS kind, min(ts_) AS "at", arg_min(id, row(ts_, id)) AS msg_id
       FROM ev GROUP BY ALL""",
     "trust_activations": """
       SELECT sender, CAST(pos3 % 10000000000 AS BIGINT) AS tier3_at, CAST(pos2 % 10000000000 AS BIGINT) AS tier2_at FROM acts""",
@@ -275,10 +277,10 @@ ORACLES = {
         UNION ALL SELECT u.msg_id, w.thread_id, w.thread_depth + 1 FROM up u JOIN walk w ON u.parent = w.msg_id)
       SELECT * FROM walk""",
     "similar_hosts": rf"""
-      WITH h AS (SELECT lower(regexp_extract(url, '{LINK}', 1)) AS host, min(page_id) AS at FROM pages GROUP BY 1),
-      p AS (SELECT a.host, b.host AS other, b.at, damerau_levenshtein(translate(a.host, '0135', 'oles'), translate(b.host, '0135', 'oles')) AS d
+      WITH h AS (SELECT lower(regexp_extract(url, '{LINK}', 1)) AS host, min(page_id) AS ts_ FROM pages GROUP BY 1),
+      p AS (SELECT a.host, b.host AS other, b.ts_, damerau_levenshtein(translate(a.host, '0135', 'oles'), translate(b.host, '0135', 'oles')) AS d
         FROM h a JOIN h b ON a.host <> b.host AND abs(length(a.host) - length(b.host)) <= 2 WHERE length(a.host) >= 6 AND length(b.host) >= 6)
-      SELECT host, arg_min(other, at) FILTER (d <= 1) AS within_one, arg_min(other, at) FILTER (d <= 2) AS within_two
+      SELECT host, arg_min(other, ts_) FILTER (d <= 1) AS within_one, arg_min(other, ts_) FILTER (d <= 2) AS within_two
       FROM p WHERE d <= 2 GROUP BY host""",
     "normalize_address": f"""
       SELECT c_custkey, address, split_part(address, '@', 2) AS domain, {REG_DOMAIN.format("split_part(address, '@', 2)")} AS reg_domain,
@@ -292,8 +294,8 @@ ORACLES = {
       SELECT page_id, reg_domain, count(*) AS n FROM (SELECT page_id, {REG_DOMAIN.format('lower(host)')} AS reg_domain
         FROM (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, '{LINK}', 1, 'i')) AS host FROM pages)) GROUP BY ALL""",
     "emails_in_text": rf"""
-      SELECT doc_id, at - 1 AS at, email, {REG_DOMAIN.format("split_part(email, '@', 2)")} AS reg_domain
-      FROM (SELECT doc_id, unnest(m) AS email, generate_subscripts(m, 1) AS at
+      SELECT doc_id, n_ - 1 AS "at", email, {REG_DOMAIN.format("split_part(email, '@', 2)")} AS reg_domain
+      FROM (SELECT doc_id, unnest(m) AS email, generate_subscripts(m, 1) AS n_
         FROM (SELECT doc_id, [lower(x) for x in regexp_extract_all(text, '{EMAIL}')] AS m FROM documents))""",
     "text_skeletons": "SELECT doc_id, md5(translate(strip_accents(lower(text)), '0135', 'oles')) AS skeleton_md5 FROM documents",
     "display_names": """

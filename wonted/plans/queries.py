@@ -490,7 +490,7 @@ def catalogue(spark, folder) -> DataFrame:
     """Four mailboxes per nation, some URLs quoted and some not, and a local one."""
     paths = "array('INBOX', '%5BGmail%5D/All%20Mail', 'Sent Items', 'Sent%20Messages', 'Other')"
     return read(spark, folder, "nation").selectExpr(
-        "n_nationkey", f"posexplode({paths}) AS (i, path)"
+        "n_nationkey", "n_name", f"posexplode({paths}) AS (i, path)"
     ).selectExpr(
         "bigint(n_nationkey * 10 + i) AS rowid",
         "concat(if(i = 4, 'local', 'imap'), '://', n_name, '/', path) AS url",

@@ -69,7 +69,10 @@ def replay(
         hot = find_hot_keys(facts, ["sender", "thread_id", "name_skel", "rd"], "sent_at", "msg_id", policy)
     keep = cut or (lambda df: df)
     common = {"hot": hot, "policy": policy}
-    inc, out = facts_.incoming(facts).select(*MESSAGE, "thread_id", "thread_depth", "sent_dow_local"), facts_.outgoing(facts)
+    inc = facts_.incoming(facts).select(
+        *MESSAGE, "message_id", "thread_id", "thread_depth", "sent_dow_local"
+    )
+    out = facts_.outgoing(facts)
     credits = keep(relations.reply_credits(inc, out, **common))
     replies = relations.domain_replies(credits)
     acts = keep(relations.activations(inc, credits, ORDER, registry=registry, **common))
