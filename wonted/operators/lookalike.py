@@ -59,37 +59,45 @@ def edit_forms(df: DataFrame, column: str) -> DataFrame:
     return df.selectExpr("*", f"{single} AS _edits").selectExpr(*kept, f"inline(array_distinct({forms}))")
 
 
-def lookalikes(domains: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
+def domain_forms(domains: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
+    """Forms of the skeletons of domains long enough to be compared; keeps the other columns."""
+    long = domains.filter(f"length(rd) >= {registry.lookalike_min_len}")
+    return edit_forms(long.withColumn("_skel", skeleton("rd")), "_skel").drop("_skel")
+
+
+def match_forms(candidates: DataFrame, trusted: DataFrame) -> DataFrame:
     """(rd, look0, look1, look2): struct(pos, target) of the earliest trusted other domain whose
     skeleton is equal, within one and within two edits.
 
-    ``domains`` has one row per registrable domain: rd, trust_pos (NULL if never trusted).  Freemail
-    and short domains are no targets.  At equal activation the smaller name is taken.
+    ``candidates`` are forms with rd; ``trusted`` forms with rd and trust_pos.  At equal activation
+    the smaller name is taken.
     """
-    long = domains.filter(F.length("rd") >= registry.lookalike_min_len)
-    folded = long.select("rd", "trust_pos", skeleton("rd").alias("skel"))
-    forms = edit_forms(folded, "skel").drop("skel")
     earliest = W.partitionBy("form", "drops").orderBy("trust_pos", "rd")
     targets = (
-        forms.filter(f"trust_pos IS NOT NULL AND NOT {is_freemail('rd')}")
-        .withColumn("_r", F.row_number().over(earliest))
+        trusted.withColumn("_r", F.row_number().over(earliest))
         .filter("_r <= 2")  # two, so that one of them is another domain
-        .select(
-            "form", "marks", F.col("drops").alias("t_drops"),
-            F.struct(F.col("trust_pos").alias("pos"), F.col("rd").alias("target")).alias("hit"),
-        )
+        .selectExpr("form", "marks", "drops AS t_drops", "struct(trust_pos AS pos, rd AS target) AS hit")
     )
     found = (
-        forms.select("rd", "form", "marks", "drops")
+        candidates.select("rd", "form", "marks", "drops")
         .join(targets, ["form", "marks"])
-        .withColumn("edits", F.col("marks") + F.col("drops") + F.col("t_drops"))
-        .filter("hit.target != rd AND edits <= 2")
+        .selectExpr("rd", "hit", "marks + drops + t_drops AS edits")
+        .filter("hit.target <> rd AND edits <= 2")
     )
+    return found.groupBy("rd").agg(
+        *[F.expr(f"min(if(edits <= {k}, hit, NULL)) AS look{k}") for k in (0, 1, 2)]
+    )
+
 
-    def within(k):
-        return F.min(F.when(F.col("edits") <= k, F.col("hit"))).alias(f"look{k}")
+def can_be_target(domains: DataFrame) -> DataFrame:
+    """Trusted domains that others may imitate: anyone can have an address at a freemail one."""
+    return domains.filter(f"trust_pos IS NOT NULL AND NOT {is_freemail('rd')}")
 
-    return found.groupBy("rd").agg(within(0), within(1), within(2))
+
+def lookalikes(domains: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
+    """``match_forms`` of every domain (rd, trust_pos or NULL) against the trusted ones among them."""
+    forms = domain_forms(domains, registry)
+    return match_forms(forms, can_be_target(forms))
 
 
 def name_owners(values: DataFrame, acts: DataFrame) -> DataFrame:
@@ -100,21 +108,14 @@ def name_owners(values: DataFrame, acts: DataFrame) -> DataFrame:
         .groupBy(F.col("b").alias("name_skel"), "sender")
         .agg(F.min("first_pos").alias("used_pos"))
     )
-    owned = (
-        used.join(acts.filter("pos3 IS NOT NULL").select("sender", "pos3"), "sender")
-        .select("name_skel", F.struct(F.greatest("used_pos", "pos3").alias("pos"), "sender").alias("own"))
+    established = acts.filter("pos3 IS NOT NULL").select("sender", "pos3")
+    owned = used.join(established, "sender").selectExpr(
+        "name_skel", "struct(greatest(used_pos, pos3) AS pos, sender) AS own"
     )
-    return two_earliest_owners(owned)
-
-
-def two_earliest_owners(owned: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("name_skel").orderBy("own"))
     return (
         owned.withColumn("_r", rank)
         .filter("_r <= 2")
         .groupBy("name_skel")
-        .agg(
-            F.min(F.when(F.col("_r") == 1, F.col("own"))).alias("owner1"),
-            F.min(F.when(F.col("_r") == 2, F.col("own"))).alias("owner2"),
-        )
+        .agg(*[F.expr(f"min(if(_r = {i}, own, NULL)) AS owner{i}") for i in (1, 2)])
     )

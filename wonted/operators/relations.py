@@ -119,27 +119,34 @@ def tier_before(registry: Registry = DEFAULT_REGISTRY) -> str:
     return tier("pos3 < pos", one_way_known("p_first", "p_last", "p_n", registry), registry, "pos")
 
 
-def activations(
+def one_way_positions(
     incoming: DataFrame,
-    credits: DataFrame,
     order: list[str],
     *,
     registry: Registry = DEFAULT_REGISTRY,
     hot: HotKeys = NONE_HOT,
     policy: SkewPolicy = DEFAULT_SKEW,
+    carry: DataFrame | None = None,
 ) -> DataFrame:
-    """Per sender: ``pos3`` first credit, ``pos2`` first moment of tier 2 or above."""
+    """(sender, own_pos2): the first message with which the one-way rule holds."""
     narrow = incoming.select("sender", "t", "msg_id", "sent_at", "pos")
-    grown = prior_state(narrow, order, only=TIMES, hot=hot, policy=policy)
-    one_way = (
-        grown.filter(own_included(registry)).groupBy("sender").agg(F.min("pos").alias("own_pos2"))
-    )
+    grown = prior_state(narrow, order, only=TIMES, hot=hot, policy=policy, carry=carry)
+    return grown.filter(own_included(registry)).groupBy("sender").agg(F.min("pos").alias("own_pos2"))
+
+
+def join_activations(one_way: DataFrame, credits: DataFrame) -> DataFrame:
+    """Per sender: ``pos3`` first credit, ``pos2`` first moment of tier 2 or above."""
     credited = credits.groupBy("sender").agg(F.min("pos").alias("pos3"))
     return one_way.join(credited, "sender", "full").selectExpr(
         "sender", "pos3", "array_min(array_compact(array(own_pos2, pos3))) AS pos2"
     )
 
 
+def activations(incoming: DataFrame, credits: DataFrame, order: list[str], **options) -> DataFrame:
+    """Per sender: ``pos3`` first credit, ``pos2`` first moment of tier 2 or above."""
+    return join_activations(one_way_positions(incoming, order, **options), credits)
+
+
 def domain_trust(acts: DataFrame) -> DataFrame:
     """Per domain the first moment one of its senders reached tier 2."""
     return (

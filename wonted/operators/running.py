@@ -61,30 +61,37 @@ def running(
     out = df.selectExpr(
         "*", *[f"{_aggregate(k, v)} {over(by, order)} AS {n}" for n, (k, v) in aggs.items()]
     )
+    offsets = None
+    if carry is not None:
+        offsets = carry.selectExpr(*keys, *[f"{n} AS _o_{n}" for n in aggs])
     if hot is not None:
         totals = (
             df.filter("size(_chunk) > 0")
             .groupBy(*by)
             .agg(*[F.expr(f"{_aggregate(k, v)} AS {n}") for n, (k, v) in aggs.items()])
         )
-        offsets = totals.selectExpr(
+        chunks = totals.selectExpr(
             *by,
             *[
-                f"{'sum' if k == 'count' else k}({n}) {over(keys, ['_chunk'])} AS _o_{n}"
+                f"{'sum' if k == 'count' else k}({n}) {over(keys, ['_chunk'])} AS {n}"
                 for n, (k, _) in aggs.items()
             ],
         )
-        out = _add_offsets(out.join(offsets, by, "left"), aggs, "_o_").drop("_chunk")
-    if carry is not None:
-        earlier = carry.selectExpr(*keys, *[f"{n} AS _c_{n}" for n in aggs])
-        out = _add_offsets(out.join(earlier, keys, "left"), aggs, "_c_")
+        if offsets is not None:
+            # the state of a split key goes into its few chunk totals, not onto its rows
+            chunks = _add_offsets(chunks.join(offsets, keys, "left"), aggs)
+            whole = offsets.selectExpr("*", "cast(array() AS array<bigint>) AS _chunk")
+        chunks = chunks.selectExpr(*by, *[f"{n} AS _o_{n}" for n in aggs])
+        offsets = chunks if offsets is None else chunks.unionByName(whole)
+    if offsets is not None:
+        out = _add_offsets(out.join(offsets, by, "left"), aggs).drop("_chunk")
     counts = [n for n, (k, _) in aggs.items() if k == "count"]
     if not counts:
         return out
     return out.selectExpr(*[f"coalesce({c}, 0L) AS {c}" if c in counts else c for c in out.columns])
 
 
-def _add_offsets(df: DataFrame, aggs: dict, prefix: str) -> DataFrame:
-    kept = [c for c in df.columns if c not in aggs and not c.startswith(prefix)]
-    merged = [f"{_merge(k, prefix + n, n)} AS {n}" for n, (k, _) in aggs.items()]
+def _add_offsets(df: DataFrame, aggs: dict) -> DataFrame:
+    kept = [c for c in df.columns if c not in aggs and not c.startswith("_o_")]
+    merged = [f"{_merge(k, f'_o_{n}', n)} AS {n}" for n, (k, _) in aggs.items()]
     return df.selectExpr(*kept, *merged)

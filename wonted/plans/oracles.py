@@ -22,7 +22,7 @@ CTES = {
         'user ' || (user_id % 40) AS name,
         CASE WHEN event_type = 'purchase' AND user_id % 3 = 0 THEN 'out' ELSE 'in' END AS direction,
         user_id * 10 + k % 5 AS thread_id, CAST(floor(value * 100) AS BIGINT) + 1 AS size,
-        CASE WHEN event_type = 'click' THEN k % 4 ELSE 0 END AS n_links,
+        CAST(CASE WHEN event_type = 'click' THEN k % 4 ELSE 0 END AS BIGINT) AS n_links,
         CASE WHEN event_type = 'click' AND k % 4 > 0 THEN 'site' || (k % 30) || '.net' END AS link,
         CASE WHEN event_type = 'signup' THEN ['pdf', 'zip', 'docx', 'png'][k % 4 + 1] END AS ext,
         CASE WHEN k % 25 = 0 THEN 'r' || k || '@elsewhere.net' END AS reply,
@@ -219,7 +219,7 @@ ORACLES = {
     },
     "link_density_anomaly": "SELECT msg_id, raw_value FROM fired WHERE feature = 'link_density_anomaly'",
     "embedded_addr_mismatch": f"""
-      SELECT doc_id AS msg_id, 1.0 AS raw_value, 'display name shows ''' || foreign_[1] || ''' but real sender is <d' || doc_id || '@' || rd || '>' AS explanation
+      SELECT doc_id AS msg_id, CAST(1.0 AS DOUBLE) AS raw_value, 'display name shows ''' || foreign_[1] || ''' but real sender is <d' || doc_id || '@' || rd || '>' AS explanation
       FROM (SELECT doc_id, rd, list_filter([lower(x) for x in regexp_extract_all(text, '{EMAIL}')],
           lambda e: array_to_string(split(split_part(e, '@', 2), '.')[-2:], '.') <> rd) AS foreign_
         FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'example.com' ELSE 'partnerfirm.com' END AS rd FROM documents))
@@ -232,10 +232,10 @@ ORACLES = {
       FROM c JOIN g ON g.sender = c.sender AND g.ts_ < c.ts_ AND g.gap IS NOT NULL
       GROUP BY c.msg_id, c.gap HAVING median(g.gap) > 0 AND c.gap > 6 * median(g.gap) AND count(*) >= 2""",
     "anomaly_score": "SELECT * FROM scores",
-    "score_features": "SELECT msg_id, feature, raw_value, weight, round(raw_value * weight, 4) AS contribution FROM fired",
+    "score_features": "SELECT msg_id, feature, raw_value, CAST(weight AS DOUBLE) AS weight, round(raw_value * weight, 4) AS contribution FROM fired",
     "score_explanations": "SELECT msg_id, feature, explanation FROM fired WHERE feature <> 'link_density_anomaly'",
     "stale_scores": """
-      SELECT msg_id, '1.0.0' AS engine_version, CASE WHEN dmarc = 'fail' THEN 15.0 ELSE 0.0 END AS anomaly_score FROM inc""",
+      SELECT msg_id, '1.0.0' AS engine_version, CAST(CASE WHEN dmarc = 'fail' THEN 15.0 ELSE 0.0 END AS DOUBLE) AS anomaly_score FROM inc""",
     "prior_state": """
       SELECT msg_id, p_n, p_first, p_last, sent_at - p_last AS gap, p_hours, p_hour, p_att, round(size_mean, 6) AS size_mean,
         round(size_std, 6) AS size_std, round(links_mean, 6) AS links_mean, round(links_std, 6) AS links_std FROM prior""",
@@ -246,7 +246,7 @@ ORACLES = {
         min(sent_at) AS first_seen_at, max(sent_at) AS last_seen_at
       FROM inc i LEFT JOIN replies r ON r.rd = i.rd GROUP BY i.rd""",
     "value_counts": """
-      SELECT sender, kind, value, detail, sum(n) AS n, arg_min(sent_at, pos) AS first_seen_at FROM (
+      SELECT sender, kind, value, detail, CAST(sum(n) AS BIGINT) AS n, arg_min(sent_at, pos) AS first_seen_at FROM (
         SELECT sender, 'link' AS kind, link AS value, '' AS detail, n_links AS n, sent_at, pos FROM inc
         UNION ALL SELECT sender, 'attachment', ext, 'application/' || ext, 1, sent_at, pos FROM inc
         UNION ALL SELECT sender, 'reply_to', reply, '', 1, sent_at, pos FROM inc
@@ -254,7 +254,7 @@ ORACLES = {
       WHERE value IS NOT NULL GROUP BY ALL""",
     "first_uses": """
       SELECT msg_id, CASE WHEN new_link THEN link ELSE '' END AS new_links, CASE WHEN new_ext THEN '.' || ext ELSE '' END AS new_attachments,
-        new_reply AS new_reply_to, p_link_domains FROM known WHERE new_link OR new_ext OR new_reply""",
+        new_reply AS new_reply_to, CAST(p_link_domains AS BIGINT) AS p_link_domains FROM known WHERE new_link OR new_ext OR new_reply""",
     "reply_credits": """
       SELECT thread_id, sender, kind, CAST(pos // 10000000000 AS BIGINT) AS "at", CAST(pos % 10000000000 AS BIGINT) AS msg_id FROM credits""",
     "conversation_credits": """
@@ -294,7 +294,7 @@ ORACLES = {
       SELECT page_id, reg_domain, count(*) AS n FROM (SELECT page_id, {REG_DOMAIN.format('lower(host)')} AS reg_domain
         FROM (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, '{LINK}', 1, 'i')) AS host FROM pages)) GROUP BY ALL""",
     "emails_in_text": rf"""
-      SELECT doc_id, n_ - 1 AS "at", email, {REG_DOMAIN.format("split_part(email, '@', 2)")} AS reg_domain
+      SELECT doc_id, CAST(n_ - 1 AS INT) AS "at", email, {REG_DOMAIN.format("split_part(email, '@', 2)")} AS reg_domain
       FROM (SELECT doc_id, unnest(m) AS email, generate_subscripts(m, 1) AS n_
         FROM (SELECT doc_id, [lower(x) for x in regexp_extract_all(text, '{EMAIL}')] AS m FROM documents))""",
     "text_skeletons": "SELECT doc_id, md5(translate(strip_accents(lower(text)), '0135', 'oles')) AS skeleton_md5 FROM documents",
@@ -318,7 +318,7 @@ ORACLES = {
     "sender_dimension": "SELECT * FROM people",
     "message_children": """
       SELECT msg_id, 'attachment' AS kind, ext AS value, 1 AS n FROM mail WHERE ext IS NOT NULL
-      UNION ALL SELECT msg_id, 'link', link, n_links FROM mail WHERE link IS NOT NULL
+      UNION ALL SELECT msg_id, 'link', link, CAST(n_links AS INT) FROM mail WHERE link IS NOT NULL
       UNION ALL SELECT msg_id, 'recipient', sender, 1 FROM outs""",
     "reassembled_facts": """
       SELECT msg_id, direction, CASE WHEN ext IS NULL THEN 0 ELSE 1 END AS n_attachments, n_links, ext AS extension FROM mail""",
@@ -339,7 +339,7 @@ ORACLES = {
         page_id % 5 = 0 OR page_id % 4 = 0 AS is_reply, CASE WHEN page_id % 3 = 0 THEN 'pass' END AS auth_spf, dmarc AS auth_dmarc FROM q""",
     "parsed_messages": """
       SELECT doc_id AS msg_id, 'd' || doc_id || '@' || lang || '.example.com' AS from_email_norm, true AS to_me_directly, 2 AS n_recipients,
-        1767607200 AS sent_at, strlen('From: Doc <d' || doc_id || '@' || lang || '.Example.com>') + strlen('To: a@x.org, B <b@x.org>')
+        CAST(1767607200 AS BIGINT) AS sent_at, strlen('From: Doc <d' || doc_id || '@' || lang || '.Example.com>') + strlen('To: a@x.org, B <b@x.org>')
           + strlen('Date: Mon, 5 Jan 2026 10:00:00 +0000') + strlen('Message-ID: <' || doc_id || '@x>') + strlen('MIME-Version: 1.0')
           + strlen('Content-Type: text/plain; charset=utf-8') + strlen('Content-Transfer-Encoding: 8bit') + 8
           + strlen('http://www.' || lang || '.example.org/ ' || text) AS size_bytes,
@@ -360,7 +360,7 @@ ORACLES = {
       FROM st LEFT JOIN top USING (account_id, folder)""",
     "invalidated_generation": "SELECT account_id, folder, uid FROM landed WHERE folder <> 'error'",
     "switched_source": """
-      SELECT account_id, folder, role, CASE WHEN account_id = 1 THEN NULL ELSE generation END AS generation,
+      SELECT account_id, folder, role, CAST(CASE WHEN account_id = 1 THEN NULL ELSE generation END AS BIGINT) AS generation,
         CASE WHEN account_id = 1 THEN 0 ELSE last_seen_uid END AS last_seen_uid FROM folders""",
     "mailbox_catalogue": """
       SELECT rowid_ AS rowid, account_uuid, path, coalesce(top, 0) AS top
