@@ -388,6 +388,7 @@ ORACLES = {
       FROM (SELECT * FROM {partial_scores('auth_fail', 'cold_attachment', 'cold_links', 'cold_replyto')} ORDER BY anomaly_score DESC, sent_at DESC, msg_id LIMIT 100) l
       LEFT JOIN (SELECT msg_id, string_agg(feature, ',' ORDER BY -raw_value * weight, feature) AS f FROM fired
         WHERE feature IN ('auth_fail', 'cold_attachment', 'cold_links', 'cold_replyto') GROUP BY ALL) USING (msg_id)""",
+    "stream_score": "SELECT * FROM scores",
     "status_counts": "SELECT count(*) AS messages, count(*) FILTER (direction = 'in') AS incoming, count(DISTINCT sender) AS senders FROM mail",
     "sender_detail": """
       SELECT p.*, n_messages, n_replied_threads, n_user_initiated, trust_tier, n_with_attachments, n_with_links, first_msg_at, last_msg_at

@@ -5,6 +5,7 @@ Each takes (spark, folder) and returns a DataFrame over the whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,11 @@ from wonted.functions import text as tx
 from wonted.operators import baseline, features, gaps, lookalike, relations, threads
 from wonted.plans import reports
 from wonted.plans.rebuild import ORDER, Derived, replay
-from wonted.session import checkpointed
+from wonted.session import work_folder
 from wonted.sources import archive, facts, landed, shaped
 from wonted.sources.shaped import read
+from wonted.streaming import incremental
+from wonted.streaming.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -562,6 +565,24 @@ def sender_detail(spark, folder):
     return reports.sender_detail(facts.sender_dimension(mail(spark, folder)), d.sender_profiles())
 
 
+# ---- streaming -----------------------------------------------------------------------------------
+
+
+@query
+def stream_score(spark, folder):
+    """All events landed in two steps and scored in order of arrival by the streaming job."""
+    base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = read(spark, folder, "events")
+    half = events.agg(F.expr("max(event_id) div 2")).first()[0]
+    for arrived in (f"event_id <= {half}", f"event_id > {half}"):
+        shaped.mail_events(events.filter(arrived)).write.mode("append").parquet(f"{base}/landed")
+        schema = spark.read.parquet(f"{base}/landed").schema
+        stream = incremental.file_stream(spark, f"{base}/landed", schema)
+        job = incremental.score_stream(stream, f"{base}/store", f"{base}/offsets", ascii_names=True)
+        job.awaitTermination()
+    return Store(spark, f"{base}/store").rows("message_scores").drop("batch_id")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Every message scored against the state before it, highest scores first."""
     return QUERIES["ranked_listing"](spark, folder)

@@ -7,6 +7,7 @@ the batch and the state of the senders, threads, names and domains in it, not th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,8 +15,9 @@ from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
 from wonted.operators import arrival, baseline, features, lookalike, relations, threads
 from wonted.operators.skew import find_hot_keys, salted_left_join
 from wonted.plans.rebuild import MESSAGE
+from wonted.session import checkpointed
 from wonted.sources import facts as facts_
-from wonted.streaming.store import POSITION, Store
+from wonted.streaming.store import Store
 
 ORDER = ["msg_id"]
 
@@ -67,8 +69,6 @@ def score_batch(
             messages = messages.withColumn(column, F.expr(default))
     fresh = with_threads(new_rows(messages, store, batch), store, batch, policy)
     prepared = facts_.prepare(fresh, order_by="msg_id", ascii_names=ascii_names)
-    from wonted.session import checkpointed
-
     prepared = checkpointed(prepared)  # read by every branch below
     hot = find_hot_keys(prepared, ["sender", "thread_id", "name_skel", "rd"], "msg_id", "msg_id", policy)
     common = {"hot": hot, "policy": policy}
@@ -178,8 +178,6 @@ def late_senders(store: Store) -> DataFrame:
         F.expr("min_by(sent_at, msg_id) AS first"), F.expr("max_by(sent_at, msg_id) AS last"),
     )
     inside = per_batch.filter("lo < first OR hi > last").select("sender")
-    from pyspark.sql import Window as W
-
     earlier = F.max("hi").over(W.partitionBy("sender").orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1))
     across = per_batch.withColumn("_before", earlier).filter("lo < _before").select("sender")
     return inside.union(across).distinct()
@@ -207,14 +205,9 @@ def score_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1, glob: str = "*.parquet") -> DataFrame:
-    """Stream of landed Parquet files, a bounded number per batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", glob)
-        .parquet(folder)
-    )
-
-
-__all__ = ["POSITION", "file_stream", "late_senders", "score_batch", "score_stream"]
+def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of landed Parquet files, optionally a bounded number per batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)

@@ -8,6 +8,7 @@ restart.  ``compact`` merges all batches into one, in a new folder.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,24 +65,23 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     def write(self, table: str, df: DataFrame, batch: int) -> DataFrame:
         """Replace one batch's rows and read them back, which also cuts the lineage."""
         path = f"{self.folder}/{table}/batch_id={int(batch)}"
-        schema = T._parse_datatype_string(SCHEMAS[table])
+        schema = T.StructType.fromDDL(SCHEMAS[table])
         shaped = df.selectExpr(*[f"cast({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema])
         shaped.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def rows(self, table: str, before: int | None = None) -> DataFrame:
         """Rows of all batches, or of those before one (a partition filter)."""
-        schema = T._parse_datatype_string(SCHEMAS[table] + ", batch_id bigint")
-        if not self._exists(table):
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
+        schema = T.StructType.fromDDL(SCHEMAS[table] + ", batch_id bigint")
+        try:
+            df = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # before the first batch
         return df if before is None else df.filter(F.col("batch_id") < before)
 
     def state(self, table: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
