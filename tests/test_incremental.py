@@ -6,7 +6,9 @@ from mailboxes import frame, random_mailbox
 from test_replay import TINY, same
 
 from wonted.config import SkewPolicy
+from wonted.functions.position import id_of
 from wonted.operators.arrival import arrival_credits
+from wonted.operators.skew import find_hot_keys
 from wonted.plans.rebuild import replay
 from wonted.sources import facts
 from wonted.sources.facts import prepare
@@ -73,12 +75,11 @@ def test_arrival_credits_with_very_late_rows(spark, policy):
             if m["direction"] == "in" and i % 3 == 0:
                 m |= {"direction": "out", "recipients": [m["from_email_norm"]], "from_email_norm": "me@myco.com"}
         p = prepare(frame(spark, rows), order_by="msg_id")
-        from wonted.operators.skew import find_hot_keys
-
         hot = find_hot_keys(p, ["thread_id"], "msg_id", "msg_id", policy)
-        got = arrival_credits(facts.incoming(p), facts.outgoing(p), hot=hot, policy=policy).collect()
+        got = arrival_credits(facts.incoming(p), facts.outgoing(p), hot=hot, policy=policy)
+        got = got.selectExpr("thread_id", "sender", "kind", f"{id_of('pos')} AS at").collect()
         box = Mailbox(rows, arrival=True)
         want = {k: (kind, box.seq[i]["msg_id"]) for k, (i, kind) in box.credits.items()}
-        assert {(r["thread_id"], r["sender"]): (r["kind"], r["pos"]["msg_id"]) for r in got} == want
+        assert {(r["thread_id"], r["sender"]): (r["kind"], r["at"]) for r in got} == want
 
 

@@ -47,7 +47,7 @@ def histogram(counts: str, bins: int) -> str:
 
 
 DATE_HEADER = (
-    r"^\s*(?:[A-Za-z]{3,9}\s*,)?\s*(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{2,4})\s+"
+    r"(?s)^\s*(?:[A-Za-z]{3,9}\s*,)?\s*(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{2,4})\s+"
     r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4}|[A-Za-z]+)?"
 )
 # Zone names of mail date headers, minutes east of UTC.
@@ -61,11 +61,12 @@ MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 def sender_local_time(header: str) -> str:
     """struct(epoch, hour, dow) of a mail date header; hour and weekday (0 = Monday) are on the
     sender's own clock.  All NULL when the header cannot be read; a missing or unknown zone counts
-    as UTC.  The parts are bound once by an array of one element."""
-    parts = ", ".join(
-        f"'{n}', regexp_extract({header}, {literal(DATE_HEADER)}, {i})"
-        for i, n in enumerate(("day", "mon", "year", "hour", "min", "sec", "zone"), 1)
-    )
+    as UTC.  One pattern run splits the header; arrays of at most one element bind the parts."""
+    split_up = "concat_ws('\x01', " + ", ".join(f"'${i}'" for i in range(1, 8)) + ")"
+    fields = f"split(regexp_replace({header}, {literal(DATE_HEADER + '.*$')}, {split_up}), '\x01')"
+    names = ("day", "mon", "year", "hour", "min", "sec", "zone")
+    parts = ", ".join(f"'{n}', get(f, {i})" for i, n in enumerate(names))
+    named = f"transform(filter(array({fields}), f -> size(f) = 7), f -> named_struct({parts}))"
     year = (
         "CASE WHEN length(p.year) >= 4 THEN int(p.year) WHEN try_cast(p.year AS int) > 68 "
         "THEN 1900 + try_cast(p.year AS int) ELSE 2000 + try_cast(p.year AS int) END"
@@ -80,7 +81,7 @@ def sender_local_time(header: str) -> str:
     )
     numbers = (
         f"named_struct('d', cast({date} AS date), 'h', try_cast(p.hour AS int), "
-        f"'m', try_cast(p.min AS int), 's', coalesce(try_cast(p.sec AS int), 0), 'o', {offset})"
+        f"'m', try_cast(p.min AS int), 's', if(p.sec = '', 0, try_cast(p.sec AS int)), 'o', {offset})"
     )
     ok = "v.d IS NOT NULL AND v.h < 24 AND v.m < 60 AND v.s < 60"
     epoch = "unix_date(v.d) * 86400L + v.h * 3600 + v.m * 60 + v.s - v.o * 60"
@@ -88,5 +89,6 @@ def sender_local_time(header: str) -> str:
         f"named_struct('epoch', if({ok}, {epoch}, NULL), 'hour', if({ok}, v.h, NULL), "
         f"'dow', if({ok}, weekday(v.d), NULL))"
     )
-    bound = f"transform(array(named_struct({parts})), p -> {numbers})"
-    return f"get(transform({bound}, v -> {result}), 0)"
+    bound = f"transform({named}, p -> {numbers})"
+    none = "named_struct('epoch', cast(NULL AS bigint), 'hour', cast(NULL AS int), 'dow', cast(NULL AS int))"
+    return f"coalesce(get(transform({bound}, v -> {result}), 0), {none})"

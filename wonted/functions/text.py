@@ -32,7 +32,6 @@ LOOKALIKE_LETTERS = {
 }
 
 _FOLD = str.maketrans(LOOKALIKE_LETTERS)
-ASCII_ONLY = r"^[\x00-\x7F]*$"
 
 
 @F.pandas_udf(T.StringType())
@@ -49,6 +48,11 @@ def _casefold_unicode(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
+def is_ascii(text: str) -> str:
+    """Whether every character takes one byte."""
+    return f"(octet_length({text}) = char_length({text}))"
+
+
 def skeleton_ascii(text: str) -> str:
     """Lookalike-folded form of text known to be ASCII; stays in generated JVM code."""
     pairs = {k: v for k, v in LOOKALIKE_LETTERS.items() if k.isascii()}
@@ -61,7 +65,7 @@ def skeleton(column: str) -> Column:
     Only non-ASCII strings go through the UDF, the others reach it as NULL.  Use it on distinct
     names and domains where possible.
     """
-    plain, text = F.col(column).rlike(ASCII_ONLY), F.col(column)
+    plain, text = F.expr(is_ascii(column)), F.col(column)
     return F.when(plain, F.expr(skeleton_ascii(column))).otherwise(_skeleton_unicode(F.when(~plain, text)))
 
 
@@ -81,8 +85,7 @@ def display_name_ascii(name: str) -> str:
 
 def normalize_display_name(name: str) -> Column:
     """``plain_name``, case-folded."""
-    s = F.expr(plain_name(name))
-    plain = s.rlike(ASCII_ONLY)
+    s, plain = F.expr(plain_name(name)), F.expr(is_ascii(name))
     return F.when(plain, F.lower(s)).otherwise(_casefold_unicode(F.when(~plain, s)))
 
 
@@ -109,7 +112,9 @@ EMAIL_TOKEN = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 
 def emails_in_text(text: str) -> str:
     """Address-like tokens of a text, lower-cased, in order."""
-    return f"transform(regexp_extract_all({text}, {literal(EMAIL_TOKEN)}, 0), e -> lower(e))"
+    found = f"transform(regexp_extract_all({text}, {literal(EMAIL_TOKEN)}, 0), e -> lower(e))"
+    # most texts have no '@' and need no pattern at all
+    return f"if(instr({text}, '@') > 0, {found}, cast(array() AS array<string>))"
 
 
 def auth_verdict(header: str, mechanism: str) -> str:
@@ -162,9 +167,9 @@ def osa_distance(a: str, b: str, cap: int = 3) -> str:
         f"named_struct('cur', sequence(0, length({b})), 'old', sequence(0, length({b}))), "
         f"(m, i) -> named_struct('cur', {row}, 'old', m.cur), m -> element_at(m.cur, -1))"
     )
+    # a swap counts two in the built-in distance, which is banded and cheap, so it settles most pairs
     return (
-        f"CASE WHEN {a} = {b} THEN 0 "
-        f"WHEN abs(length({a}) - length({b})) > {cap} THEN {cap} "
-        f"WHEN length({a}) = 0 OR length({b}) = 0 THEN least(greatest(length({a}), length({b})), {cap}) "
-        f"ELSE least({full}, {cap}) END"
+        f"CASE levenshtein({a}, {b}, {2 * cap - 2}) WHEN -1 THEN {cap} WHEN 0 THEN 0 WHEN 1 THEN 1 "
+        f"ELSE CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN least(greatest(length({a}), length({b})), {cap}) "
+        f"ELSE least({full}, {cap}) END END"
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
+from wonted.functions.position import position
 from wonted.operators.relations import first_credit
 from wonted.operators.running import running
 from wonted.operators.skew import NONE_HOT, HotKeys, find_hot_keys
@@ -36,7 +37,7 @@ def initiated(
         .filter("out AND (min_in IS NULL OR sent_at <= min_in)")
         .groupBy("thread_id", "sender")
         .agg(F.min("msg_id").alias("msg_id"))
-        .selectExpr("thread_id", "sender", "'initiated' AS kind", "struct(msg_id AS t, msg_id) AS pos")
+        .selectExpr("thread_id", "sender", "'initiated' AS kind", f"{position('msg_id', 'msg_id')} AS pos")
     )
 
 
@@ -71,7 +72,7 @@ def replied(
     return (
         found.groupBy("thread_id", "sender")
         .agg(F.min("found").alias("msg_id"))
-        .selectExpr("thread_id", "sender", "'replied' AS kind", "struct(msg_id AS t, msg_id) AS pos")
+        .selectExpr("thread_id", "sender", "'replied' AS kind", f"{position('msg_id', 'msg_id')} AS pos")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wonted.config import DEFAULT_SKEW, SkewPolicy
 from wonted.functions.domains import is_freemail
+from wonted.functions.position import id_of, time_of
 from wonted.functions.stats import histogram, log_size
 from wonted.operators.running import running
 from wonted.operators.skew import NONE_HOT, HotKeys
@@ -123,7 +124,7 @@ def novelties(
             of("attachment", "if(a <> '', concat('.', a), b)").alias("new_attachments"),
             F.expr("max(kind = 'reply_to') AS new_reply_to"),
         )
-        .selectExpr("*", "pos.t", "pos.msg_id")
+        .selectExpr("*", f"{time_of('pos')} AS t", f"{id_of('pos')} AS msg_id")
     )
     return running(
         per_message,

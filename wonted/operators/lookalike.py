@@ -23,7 +23,7 @@ SUBSTITUTED, SWAPPED = "\x01", "\x02"
 
 def edit_forms(df: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` once per form of a string column, with form, marks and drops: every result of
-    applying at most two edits to the string."""
+    applying at most two edits to the string (some more than once, as in a run of equal letters)."""
     s = column
 
     def edit(width, out, marks, drops):
@@ -56,7 +56,7 @@ def edit_forms(df: DataFrame, column: str) -> DataFrame:
         f"flatten(transform(_edits, e -> transform({later}, x -> {both}))))"
     )
     kept = [c for c in df.columns]
-    return df.selectExpr("*", f"{single} AS _edits").selectExpr(*kept, f"inline(array_distinct({forms}))")
+    return df.selectExpr("*", f"{single} AS _edits").selectExpr(*kept, f"inline({forms})")
 
 
 def domain_forms(domains: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
@@ -74,7 +74,8 @@ def match_forms(candidates: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     earliest = W.partitionBy("form", "drops").orderBy("trust_pos", "rd")
     targets = (
-        trusted.withColumn("_r", F.row_number().over(earliest))
+        trusted.dropDuplicates(["form", "drops", "rd"])
+        .withColumn("_r", F.row_number().over(earliest))
         .filter("_r <= 2")  # two, so that one of them is another domain
         .selectExpr("form", "marks", "drops AS t_drops", "struct(trust_pos AS pos, rd AS target) AS hit")
     )

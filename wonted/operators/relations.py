@@ -1,6 +1,6 @@
 """Reply credits, trust activation positions and trust tiers.
 
-A position is struct(t, msg_id) with t = sent_at when history is replayed in time order.  Credits and
+A position stands for (t, msg_id) with t = sent_at when history is replayed in time order.  Credits and
 tiers 2 and 3 never go away, so "was true before this message" is one comparison with the position at
 which it became true.
 """
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
 from wonted.functions.domains import is_freemail, reg_domain_of_clean
+from wonted.functions.position import TYPE, time_of
 from wonted.functions.text import address_domain
 from wonted.operators.baseline import TIMES, prior_state
 from wonted.operators.running import running
 from wonted.operators.skew import NONE_HOT, HotKeys, salted_left_join
 
-POSITION = "struct<t:bigint,msg_id:bigint>"
 
 
 def thread_senders(incoming: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def reply_credits(
     """
     wrote = thread_senders(incoming)
     marks = wrote.selectExpr(
-        "thread_id", "min_in AS t", "1 AS side", "0L AS id", "sender", f"cast(NULL AS {POSITION}) AS out_pos"
+        "thread_id", "min_in AS t", "1 AS side", "0L AS id", "sender", f"cast(NULL AS {TYPE}) AS out_pos"
     )
     sent = outgoing.selectExpr(
         "thread_id", "sent_at AS t", "0 AS side", "msg_id AS id", "cast(NULL AS string) AS sender", "pos AS out_pos"
@@ -71,16 +71,20 @@ def reply_credits(
     initiated = (
         addressed(outgoing)
         .join(wrote, ["thread_id", "sender"], "left")
-        .filter("min_in IS NULL OR pos.t <= min_in")
+        .filter(f"min_in IS NULL OR {time_of('pos')} <= min_in")
         .selectExpr("thread_id", "sender", "'initiated' AS kind", "pos")
     )
     return first_credit(replied.unionByName(initiated))
 
 
 def first_credit(events: DataFrame) -> DataFrame:
-    return events.groupBy("thread_id", "sender").agg(
-        F.min_by("kind", "pos").alias("kind"), F.min("pos").alias("pos")
-    )
+    """The earlier one of each pair's two kinds of credit (they never share a message)."""
+    firsts = [F.expr(f"min(if(kind = '{k}', pos, NULL)) AS {k}") for k in ("replied", "initiated")]
+    return events.groupBy("thread_id", "sender").agg(*firsts).selectExpr(
+        "thread_id", "sender",
+        "if(initiated IS NULL OR replied < initiated, 'replied', 'initiated') AS kind",
+        "least(replied, initiated) AS pos",
+    )
 
 
 SENDER_DOMAIN = reg_domain_of_clean(address_domain("sender"))
@@ -138,7 +142,7 @@ def join_activations(one_way: DataFrame, credits: DataFrame) -> DataFrame:
     """Per sender: ``pos3`` first credit, ``pos2`` first moment of tier 2 or above."""
     credited = credits.groupBy("sender").agg(F.min("pos").alias("pos3"))
     return one_way.join(credited, "sender", "full").selectExpr(
-        "sender", "pos3", "array_min(array_compact(array(own_pos2, pos3))) AS pos2"
+        "sender", "pos3", "least(own_pos2, pos3) AS pos2"
     )
 
 

@@ -15,6 +15,7 @@ from wonted.config import DEFAULT_REGISTRY
 from wonted.functions import domains as dm
 from wonted.functions import stats as st
 from wonted.functions import text as tx
+from wonted.functions.position import id_of, position, time_of
 from wonted.operators import baseline, features, gaps, lookalike, relations, threads
 from wonted.plans import reports
 from wonted.plans.rebuild import ORDER, Derived, replay
@@ -175,7 +176,7 @@ def domain_profile(spark, folder):
 def value_counts(spark, folder):
     """Names, attachment types, link domains and Reply-To addresses per sender."""
     values = baseline.sender_values(incoming(spark, folder))
-    return values.selectExpr("sender", "kind", "a AS value", "b AS detail", "n", "first_pos.t AS first_seen_at")
+    return values.selectExpr("sender", "kind", "a AS value", "b AS detail", "n", f"{time_of('first_pos')} AS first_seen_at")
 
 
 @query
@@ -192,7 +193,7 @@ def first_uses(spark, folder):
 
 
 def flat_credits(c: DataFrame) -> DataFrame:
-    return c.selectExpr("thread_id", "sender", "kind", "pos.t AS at", "pos.msg_id AS msg_id")
+    return c.selectExpr("thread_id", "sender", "kind", f"{time_of('pos')} AS at", f"{id_of('pos')} AS msg_id")
 
 
 @query
@@ -210,7 +211,7 @@ def conversation_credits(spark, folder):
 def trust_activations(spark, folder):
     """Per sender the messages at which tiers 3 and 2 became active."""
     acts = relations.activations(incoming(spark, folder), credits(spark, folder), ORDER)
-    return acts.selectExpr("sender", "pos3.msg_id AS tier3_at", "pos2.msg_id AS tier2_at")
+    return acts.selectExpr("sender", f"{id_of('pos3')} AS tier3_at", f"{id_of('pos2')} AS tier2_at")
 
 
 @query
@@ -235,7 +236,7 @@ def similar_hosts(spark, folder):
     """Hosts of pages that resemble an earlier host within two edits."""
     host = f"get({dm.link_hosts('url')}, 0)"
     hosts = read(spark, folder, "pages").selectExpr(f"{host} AS rd", "page_id").groupBy("rd").agg(
-        F.expr("struct(min(page_id) AS t, min(page_id) AS msg_id) AS trust_pos")
+        F.expr(f"{position('min(page_id)', 'min(page_id)')} AS trust_pos")
     )
     found = lookalike.lookalikes(hosts)
     return found.selectExpr(

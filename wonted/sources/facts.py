@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wonted.functions.domains import DEFAULT_SUFFIXES, SuffixRules, is_freemail, reg_domain_of_clean
+from wonted.functions.position import position
 from wonted.functions.text import (
     address_domain,
     display_name_ascii,
@@ -63,7 +64,7 @@ def prepare(
         "coalesce(array_size(attachments), 0) AS n_attachments",
         f"{N_LINKS} AS n_links",
         f"{t} AS t",
-        f"named_struct('t', {t}, 'msg_id', bigint(msg_id)) AS pos",
+        f"{position(t, 'bigint(msg_id)')} AS pos",
     )
     if ascii_names:
         return m.selectExpr(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POSITION = "struct<t:bigint,msg_id:bigint>"
+from wonted.functions.position import TYPE as POSITION
 
 SCHEMAS = {
     "marks": "account_id bigint, folder string, generation bigint, last_seen_uid bigint",
