@@ -70,8 +70,8 @@ def prior_same_hour(
 
 
 def value_rows(incoming: DataFrame) -> DataFrame:
-    """One row per (message, kind, value): link domains, attachment types, Reply-To addresses and
-    display names, so that one aggregation serves all four."""
+    """One row per (message, kind, value): link domains, attachment types and Reply-To addresses, so
+    that one aggregation serves all three."""
 
     def entry(kind, a, b="''", n="1L"):
         return f"named_struct('kind', '{kind}', 'a', {a}, 'b', {b}, 'n', bigint({n}))"
@@ -82,7 +82,6 @@ def value_rows(incoming: DataFrame) -> DataFrame:
             "transform(coalesce(attachments, array()), x -> "
             + entry("attachment", "coalesce(x.extension, '')", "x.mime_type") + ")",
             f"array({entry('reply_to', 'reply_to_email_norm')})",
-            f"array({entry('name', 'name_norm', 'name_skel')})",
         ]
     )
     return incoming.selectExpr(
@@ -90,12 +89,23 @@ def value_rows(incoming: DataFrame) -> DataFrame:
     )
 
 
+def _first_and_count(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("sender", "kind", "a", "b").agg(
+        F.sum("n").alias("n"), F.min("pos").alias("first_pos")
+    )
+
+
 def sender_values(incoming: DataFrame) -> DataFrame:
-    """(sender, kind, a, b) with its count, first position and time of first use."""
-    return (
-        value_rows(incoming)
-        .groupBy("sender", "kind", "a", "b")
-        .agg(F.sum("n").alias("n"), F.min("pos").alias("first_pos"))
+    """(sender, kind, a, b) with its count and first position, for links, attachments, Reply-To."""
+    return _first_and_count(value_rows(incoming))
+
+
+def sender_names(incoming: DataFrame) -> DataFrame:
+    """The same for display names: a is the name, b its skeleton."""
+    return _first_and_count(
+        incoming.filter("name_norm IS NOT NULL").selectExpr(
+            "sender", "pos", "'name' AS kind", "name_norm AS a", "name_skel AS b", "1L AS n"
+        )
     )
 
 
@@ -117,8 +127,7 @@ def novelties(
         return F.expr(f"array_sort(collect_set(if(kind = '{kind}', {value}, NULL)))")
 
     per_message = (
-        values.filter("kind != 'name'")
-        .groupBy("sender", F.col("first_pos").alias("pos"))
+        values.groupBy("sender", F.col("first_pos").alias("pos"))
         .agg(
             of("link", "a").alias("new_links"),
             of("attachment", "if(a <> '', concat('.', a), b)").alias("new_attachments"),

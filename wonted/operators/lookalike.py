@@ -101,12 +101,11 @@ def lookalikes(domains: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> Dat
     return match_forms(forms, can_be_target(forms))
 
 
-def name_owners(values: DataFrame, acts: DataFrame) -> DataFrame:
+def name_owners(names: DataFrame, acts: DataFrame) -> DataFrame:
     """(name_skel, owner1, owner2): the two earliest moments at which different senders became
     established owners of a display name.  Two suffice, as one of them is not the reader."""
     used = (
-        values.filter("kind = 'name'")
-        .groupBy(F.col("b").alias("name_skel"), "sender")
+        names.groupBy(F.col("b").alias("name_skel"), "sender")
         .agg(F.min("first_pos").alias("used_pos"))
     )
     established = acts.filter("pos3 IS NOT NULL").select("sender", "pos3")

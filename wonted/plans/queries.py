@@ -175,7 +175,8 @@ def domain_profile(spark, folder):
 @query
 def value_counts(spark, folder):
     """Names, attachment types, link domains and Reply-To addresses per sender."""
-    values = baseline.sender_values(incoming(spark, folder))
+    m = incoming(spark, folder)
+    values = baseline.sender_values(m).unionByName(baseline.sender_names(m))
     return values.selectExpr("sender", "kind", "a AS value", "b AS detail", "n", f"{time_of('first_pos')} AS first_seen_at")
 
 

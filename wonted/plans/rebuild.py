@@ -76,15 +76,15 @@ def replay(
     credits = keep(relations.reply_credits(inc, out, **common))
     replies = relations.domain_replies(credits)
     acts = keep(relations.activations(inc, credits, ORDER, registry=registry, **common))
-    values = keep(baseline.sender_values(inc))
+    values, named = keep(baseline.sender_values(inc)), keep(baseline.sender_names(inc))
     scored = judge(
-        inc.select(*MESSAGE), replies, acts, values, registry=registry, names=names, **common
+        inc.select(*MESSAGE), replies, acts, values, named, registry=registry, names=names, **common
     )
     return Derived(
         scored,
         features.message_scores(scored, registry),
         features.score_features(scored, registry, names),
-        credits, values, inc, replies, registry, hot, policy,
+        credits, values.unionByName(named), inc, replies, registry, hot, policy,
     )
 
 
@@ -116,6 +116,7 @@ def judge(
     replies: DataFrame,
     acts: DataFrame,
     values: DataFrame,
+    named: DataFrame,
     *,
     registry: Registry = DEFAULT_REGISTRY,
     hot: HotKeys = NONE_HOT,
@@ -136,7 +137,7 @@ def judge(
         context = sender_context(inc, replies, acts, registry, hot, policy, "context" in needs)
         judged = salted_left_join(judged, context, "sender", "msg_id", hot.get("sender"), policy)
     if "owners" in needs:
-        owners = lookalike.name_owners(values, acts)
+        owners = lookalike.name_owners(named, acts)
         judged = salted_left_join(judged, owners, "name_skel", "msg_id", hot.get("name_skel"), policy)
     if "novelties" in needs:
         judged = judged.join(baseline.novelties(values, ORDER, **common), "msg_id", "left")

@@ -119,11 +119,12 @@ def score_batch(
     link_counts = (
         values_before.filter("kind = 'link'").groupBy("sender").agg(F.count(F.lit(1)).alias("p_link_domains"))
     )
-    names = values.filter("kind = 'name'").select("b").distinct()
-    named = store.rows("sender_values", batch).filter("kind = 'name'").drop("batch_id").join(names, "b", "left_semi")
+    names = store.write("sender_names", baseline.sender_names(inc), batch)
+    shown = names.select("b").distinct()
+    named = store.rows("sender_names", batch).drop("batch_id").join(shown, "b", "left_semi")
     owners_acts = store.state("activations", batch, named.select("sender")).unionByName(acts)
     owners = lookalike.name_owners(
-        named.unionByName(values), _earliest(owners_acts, "sender", "pos3", "pos2")
+        named.unionByName(names), _earliest(owners_acts, "sender", "pos3", "pos2")
     )
 
     # judge

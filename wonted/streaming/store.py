@@ -28,6 +28,7 @@ SCHEMAS = {
     ),
     "sender_hours": "sender string, sent_hour_local int, p_hour bigint",
     "sender_values": f"sender string, kind string, a string, b string, n bigint, first_pos {POSITION}",
+    "sender_names": f"sender string, kind string, a string, b string, n bigint, first_pos {POSITION}",
     "thread_senders": "thread_id bigint, sender string, min_in bigint",
     "credits": f"thread_id bigint, sender string, kind string, pos {POSITION}",
     "activations": f"sender string, pos3 {POSITION}, pos2 {POSITION}",
@@ -53,6 +54,7 @@ MERGES = {
     ),
     "sender_hours": (["sender", "sent_hour_local"], {"p_hour": "sum"}),
     "sender_values": (["sender", "kind", "a", "b"], {"n": "sum", "first_pos": "min"}),
+    "sender_names": (["sender", "kind", "a", "b"], {"n": "sum", "first_pos": "min"}),
     "thread_senders": (["thread_id", "sender"], {"min_in": "min"}),
     "activations": (["sender"], {"pos3": "min", "pos2": "min"}),
     "domains": (["rd"], {"reply_pos": "min", "n_replied_threads": "sum", "trust_pos": "min"}),
