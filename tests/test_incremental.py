@@ -12,7 +12,7 @@ from wonted.operators.skew import find_hot_keys
 from wonted.plans.rebuild import replay
 from wonted.sources import facts
 from wonted.sources.facts import prepare
-from wonted.streaming.incremental import late_senders, score_batch
+from wonted.streaming.incremental import late_senders, replay_store, score_batch
 from wonted.streaming.store import Store
 
 
@@ -48,6 +48,9 @@ def test_batches_match_brute_force_in_arrival_order(spark, tmp_path, seed, polic
                 want.add(s)
             top[s] = max(top.get(s, 0), m["sent_at"])
     assert late == want and want
+    scores = replay_store(store).scores.select("msg_id", "anomaly_score").collect()
+    fresh = replay(prepare(frame(spark, rows))).scores.select("msg_id", "anomaly_score").collect()
+    assert sorted(map(tuple, scores)) == sorted(map(tuple, fresh))
 
 
 def test_in_order_batches_equal_replay_and_repeat_cleanly(spark, tmp_path):

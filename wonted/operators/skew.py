@@ -9,10 +9,13 @@ from wonted.config import DEFAULT_SKEW, SkewPolicy
 
 
 class HotKeys:
-    """Keys too large for one task, per key column: a small DataFrame (key, n, lo, hi) or None."""
+    """Keys too large for one task, per key column: a small DataFrame (key, n, lo, hi) or None.
 
-    def __init__(self, frames: dict[str, DataFrame] | None = None):
-        self._frames = frames or {}
+    ``rows`` is the number of rows measured.
+    """
+
+    def __init__(self, frames: dict[str, DataFrame] | None = None, rows: int = 0):
+        self._frames, self.rows = frames or {}, rows
 
     def get(self, column: str) -> DataFrame | None:
         return self._frames.get(column)
@@ -36,7 +39,7 @@ def find_hot_keys(
     """
     rows = df.count()
     if rows <= policy.hot_rows:
-        return NONE_HOT
+        return HotKeys(rows=rows)
     modulus = max(1, rows // policy.sample_target)
     sample = df.filter(F.pmod(F.xxhash64(row_id), F.lit(modulus)) == 0) if modulus > 1 else df
     entries = F.array(
@@ -64,7 +67,7 @@ def find_hot_keys(
             frames[c] = spark.createDataFrame(
                 mine, "key string, n bigint, lo bigint, hi bigint"
             ).withColumn("key", F.col("key").cast(kind))
-    return HotKeys(frames)
+    return HotKeys(frames, rows)
 
 
 def salted_left_join(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
 from wonted.operators import baseline, features, gaps, lookalike, relations
 from wonted.operators.skew import NONE_HOT, HotKeys, find_hot_keys, salted_left_join
+from wonted.session import checkpointed
 from wonted.sources import facts as facts_
 
 ORDER = ["t", "msg_id"]
@@ -62,12 +63,12 @@ def replay(
 
     The number of shuffles is fixed: by sender for state, by thread for credits, by message id (never
     skewed) to put columns together, and small ones by domain, name and form.  ``cut`` stores the
-    credits, activations and value counts, which several branches read; pass ``checkpointed`` for
-    large history.  ``names`` restricts the work to some features and what they need.
+    credits, activations and value counts, which several branches read; by default that happens, in
+    the shared folder, once the history is larger than ``policy.hot_rows``.  ``names`` restricts the work to some features and what they need.
     """
     if hot is None:
         hot = find_hot_keys(facts, ["sender", "thread_id", "name_skel", "rd"], "sent_at", "msg_id", policy)
-    keep = cut or (lambda df: df)
+    keep = cut or (checkpointed if hot.rows > policy.hot_rows else lambda df: df)
     common = {"hot": hot, "policy": policy}
     inc = facts_.incoming(facts).select(
         *MESSAGE, "message_id", "thread_id", "thread_depth", "sent_dow_local"

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
 from wonted.operators import arrival, baseline, features, lookalike, relations, threads
 from wonted.operators.skew import find_hot_keys, salted_left_join
-from wonted.plans.rebuild import MESSAGE
+from wonted.plans.rebuild import MESSAGE, Derived, replay
 from wonted.session import checkpointed
 from wonted.sources import facts as facts_
 from wonted.streaming.store import Store
@@ -22,15 +22,18 @@ from wonted.streaming.store import Store
 ORDER = ["msg_id"]
 
 
-def new_rows(messages: DataFrame, store: Store, batch: int) -> DataFrame:
+def new_rows(messages: DataFrame, store: Store, batch: int, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
     """Each (account, folder, generation, uid) once, and only above the stored mark of its folder.
 
     The marks have one row per folder; a changed generation starts a folder anew.
     """
     once = messages.dropDuplicates(["account_id", "folder", "generation", "uid"])
-    marks = store.state("marks", batch)
-    joined = once.join(marks, ["account_id", "folder", "generation"], "left")
-    return joined.filter("uid > coalesce(last_seen_uid, -1)").drop("last_seen_uid")
+    key = "concat(account_id, ':', generation, ':', folder) AS folder_key"
+    marks = store.state("marks", batch).selectExpr(key, "last_seen_uid")
+    keyed = once.selectExpr("*", key)
+    hot = find_hot_keys(keyed, ["folder_key"], "uid", "uid", policy).get("folder_key")
+    joined = salted_left_join(keyed, marks, "folder_key", "uid", hot, policy)
+    return joined.filter("uid > coalesce(last_seen_uid, -1)").drop("last_seen_uid", "folder_key")
 
 
 def with_threads(messages: DataFrame, store: Store, batch: int, policy: SkewPolicy) -> DataFrame:
@@ -67,7 +70,7 @@ def score_batch(
     for column, default in (("generation", "1L"), ("folder", "'INBOX'"), ("account_id", "1L"), ("uid", "msg_id")):
         if column not in messages.columns:
             messages = messages.withColumn(column, F.expr(default))
-    fresh = with_threads(new_rows(messages, store, batch), store, batch, policy)
+    fresh = with_threads(new_rows(messages, store, batch, policy), store, batch, policy)
     prepared = facts_.prepare(fresh, order_by="msg_id", ascii_names=ascii_names)
     prepared = checkpointed(prepared)  # read by every branch below
     hot = find_hot_keys(prepared, ["sender", "thread_id", "name_skel", "rd"], "msg_id", "msg_id", policy)
@@ -184,6 +187,12 @@ def late_senders(store: Store) -> DataFrame:
     return inside.union(across).distinct()
 
 
+def replay_store(store: Store, *, ascii_names: bool = False, **options) -> Derived:
+    """Replay everything stored in order of time, as after a first read or late arrivals."""
+    messages = store.rows("messages").drop("sender", "batch_id", "root_key")
+    return replay(facts_.prepare(messages, ascii_names=ascii_names), **options)
+
+
 def score_stream(
     source: DataFrame,
     store_folder: str,

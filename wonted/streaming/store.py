@@ -18,9 +18,13 @@ from wonted.functions.position import TYPE as POSITION
 SCHEMAS = {
     "marks": "account_id bigint, folder string, generation bigint, last_seen_uid bigint",
     "messages": (
-        "account_id bigint, folder string, uid bigint, msg_id bigint, message_id string, direction string, "
-        "sender string, from_display_name string, sent_at bigint, size_bytes bigint, n_attachments int, "
-        "n_links bigint, thread_id bigint, thread_depth int, root_key string"
+        "account_id bigint, folder string, generation bigint, uid bigint, msg_id bigint, message_id string, "
+        "direction string, sender string, from_email_norm string, from_display_name string, "
+        "reply_to_email_norm string, recipients array<string>, sent_at bigint, sent_hour_local int, "
+        "sent_dow_local int, size_bytes bigint, "
+        "attachments array<struct<mime_type:string,extension:string,size_bytes:bigint>>, "
+        "link_domains map<string,int>, links_extracted boolean, is_reply boolean, thread_id bigint, "
+        "thread_depth int, root_key string, auth_spf string, auth_dkim string, auth_dmarc string"
     ),
     "sender_state": (
         "sender string, p_n bigint, p_first bigint, p_last bigint, p_size double, p_size2 double, "
