@@ -131,7 +131,7 @@ def test_ingest_state(spark):
         [(1, "A", "inbox", 2, 1), (1, "B", "sent", 1, 9)],
         "account_id bigint, folder string, role string, generation bigint, last_seen_uid bigint",
     )
-    for policy in (SkewPolicy(), TINY, SkewPolicy(hot_rows=1, chunk_rows=1)):
+    for policy in (SkewPolicy(), SkewPolicy(broadcast_rows=0), SkewPolicy(hot_rows=1, chunk_rows=1, broadcast_rows=0)):
         assert {r["uid"] for r in landed.unseen_rows(batch, folders, policy).collect()} == {2, 3, 4}
         kept = landed.contiguous_prefix(landed.unseen_rows(batch, folders), policy)
         assert {r["uid"] for r in kept.collect()} == {2}

@@ -88,6 +88,7 @@ class SkewPolicy:
 
     At most ``max_hot_keys`` keys are listed (and broadcast).  A key that is not listed holds at most
     rows / (max_hot_keys + 1) rows, so leaving it whole is safe; results never depend on the list.
+    A lookup table counted to have at most ``broadcast_rows`` rows is broadcast.
     """
 
     hot_rows: int = 2_000_000
@@ -96,6 +97,7 @@ class SkewPolicy:
     max_hot_keys: int = 10_000
     max_salts: int = 256
     sample_target: int = 50_000_000
+    broadcast_rows: int = 200_000
 
 
 DEFAULT_SKEW = SkewPolicy()

@@ -94,6 +94,17 @@ def salted_left_join(
     return salted.drop("_salts").join(copies.drop("_salts"), [key, "_salt"], "left").drop("_salt")
 
 
+def lookup_join(
+    left: DataFrame, right: DataFrame, key: str, row_id: str, policy: SkewPolicy = DEFAULT_SKEW
+) -> DataFrame:
+    """Left join of wide rows with a table unique per key.  When the table is counted to be small it is
+    broadcast and the wide rows stay where they are; else hot keys are measured and salted."""
+    if right.limit(policy.broadcast_rows + 1).count() <= policy.broadcast_rows:
+        return left.join(F.broadcast(right), key, "left")
+    hot = find_hot_keys(left, [key], row_id, row_id, policy).get(key)
+    return salted_left_join(left, right, key, row_id, hot, policy)
+
+
 def chunk_columns(
     df: DataFrame, key: str, order: list[str], hot: DataFrame, policy: SkewPolicy
 ) -> DataFrame:

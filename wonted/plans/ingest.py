@@ -52,7 +52,7 @@ def ingest(
     unseen = landed_.unseen_rows(rows, state, policy)
     accepted = landed_.contiguous_prefix(unseen, policy)
     # stored once: counted here, written by the caller
-    new = checkpointed(landed_.message_facts(accepted, mine, structure_only=structure_only, registry=registry))
+    new = checkpointed(landed_.message_facts(accepted, mine, structure_only=structure_only, registry=registry, policy=policy))
     return IngestRun(
         facts=new if before is None else before.unionByName(new, allowMissingColumns=True),
         new_facts=new,

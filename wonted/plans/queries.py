@@ -425,9 +425,9 @@ def parsed_messages(spark, folder):
         "'http://www.', lang, '.example.org/ ', text), 'UTF-8') AS content",
     )
     parsed = archive.good_rows(archive.parse_messages(files)).selectExpr(
-        "*", "1L AS account_id", "'INBOX' AS folder", "'inbox' AS folder_role", "1L AS generation", "uid AS msg_id"
+        "*", "uid % 2 AS account_id", "'INBOX' AS folder", "'inbox' AS folder_role", "1L AS generation", "uid AS msg_id"
     )
-    me = spark.sql("SELECT 1L AS account_id, 'b@x.org' AS email_norm")
+    me = spark.sql("SELECT stack(2, 0L, 'b@x.org', 1L, 'b@x.org') AS (account_id, email_norm)")
     f = landed.message_facts(parsed, me)
     return f.selectExpr(
         "msg_id", "from_email_norm", "to_me_directly", "n_recipients", "sent_at", "size_bytes",

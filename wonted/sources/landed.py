@@ -20,7 +20,7 @@ from wonted.functions.domains import DEFAULT_SUFFIXES, SuffixRules, link_domain_
 from wonted.functions.sql import one_of
 from wonted.functions.stats import sender_local_time
 from wonted.functions.text import auth_verdict, file_extension, message_id_list, normalize_address
-from wonted.operators.skew import find_hot_keys, salted_left_join
+from wonted.operators.skew import lookup_join
 
 PART = (
     "struct<maintype:string,subtype:string,disposition:string,filename:string,size:bigint,text:string>"
@@ -81,6 +81,7 @@ def message_facts(
     structure_only: bool = False,
     registry: Registry = DEFAULT_REGISTRY,
     rules: SuffixRules = DEFAULT_SUFFIXES,
+    policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """Message facts of landed rows; rows without a usable From are left out.
 
@@ -88,8 +89,7 @@ def message_facts(
     describe structure without whole messages, where an embedded message is an attachment too.
     """
     own = mine.groupBy("account_id").agg(F.collect_set("email_norm").alias("my_addrs"))
-    # one short array per account; a plain join, sized and possibly broadcast by the optimizer
-    df = landed.join(own, "account_id", "left")
+    df = lookup_join(landed, own, "account_id", "msg_id", policy)
     mime = "concat(p.maintype, '/', p.subtype)"
     attachment = "p.disposition = 'attachment' OR (p.filename IS NOT NULL AND p.maintype <> 'text')"
     extension = file_extension("coalesce(p.filename, '')")
@@ -152,9 +152,8 @@ def message_facts(
 def with_folder(df: DataFrame, folders: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
     """Rows with the state of their folder; a folder with very many rows is spread over tasks."""
     keyed = df.selectExpr("*", f"{FOLDER_KEY} AS folder_key")
-    hot = find_hot_keys(keyed, ["folder_key"], "uid", "uid", policy).get("folder_key")
     state = folders.selectExpr(f"{FOLDER_KEY} AS folder_key", "generation AS known_generation", "last_seen_uid")
-    return salted_left_join(keyed, state, "folder_key", "uid", hot, policy)
+    return lookup_join(keyed, state, "folder_key", "uid", policy)
 
 
 def unseen_rows(landed: DataFrame, folders: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
@@ -168,9 +167,8 @@ def contiguous_prefix(batch: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> Da
     that nothing behind a gap is accepted and the gap is tried again next time."""
     keyed = batch.selectExpr("*", f"{FOLDER_KEY} AS folder_key")
     gaps = keyed.filter("NOT served").groupBy("folder_key").agg(F.min("uid").alias("first_missing"))
-    hot = find_hot_keys(keyed, ["folder_key"], "uid", "uid", policy).get("folder_key")
     return (
-        salted_left_join(keyed, gaps, "folder_key", "uid", hot, policy)
+        lookup_join(keyed, gaps, "folder_key", "uid", policy)
         .filter("first_missing IS NULL OR uid < first_missing")
         .select(*batch.columns)
     )

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
 from wonted.operators import arrival, baseline, features, lookalike, relations, threads
-from wonted.operators.skew import find_hot_keys, salted_left_join
+from wonted.operators.skew import find_hot_keys, lookup_join, salted_left_join
 from wonted.plans.rebuild import MESSAGE, Derived, replay
 from wonted.session import checkpointed
 from wonted.sources import facts as facts_
@@ -31,8 +31,7 @@ def new_rows(messages: DataFrame, store: Store, batch: int, policy: SkewPolicy =
     key = "concat(account_id, ':', generation, ':', folder) AS folder_key"
     marks = store.state("marks", batch).selectExpr(key, "last_seen_uid")
     keyed = once.selectExpr("*", key)
-    hot = find_hot_keys(keyed, ["folder_key"], "uid", "uid", policy).get("folder_key")
-    joined = salted_left_join(keyed, marks, "folder_key", "uid", hot, policy)
+    joined = lookup_join(keyed, marks, "folder_key", "uid", policy)
     return joined.filter("uid > coalesce(last_seen_uid, -1)").drop("last_seen_uid", "folder_key")
 
 
