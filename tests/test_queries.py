@@ -18,7 +18,9 @@ needs_data = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from wonted.plans.queries import QUERIES
+
+    assert set(QUERIES) <= set(entry.queries()) and set(QUERIES) <= set(entry.oracle_sql())
 
 
 @needs_data

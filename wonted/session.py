@@ -38,8 +38,7 @@ def work_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="wonted-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="wonted-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
