@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wonted.llm import line_dedup, mixing, packing, sharding
+from wonted.llm import line_dedup, mixing, near_dup, packing, sharding
 
 QUERIES = {
     "op1_bin_slack_packing": packing.query,
     "op4_byte_shards": sharding.query,
     "op5_line_dedup": line_dedup.query,
     "op8_pivotal_mix": mixing.query,
+    "op9_setsketch_near_dup": near_dup.query,
 }
 
 ORACLES = {"op4_byte_shards": sharding.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
