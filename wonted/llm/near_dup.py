@@ -8,9 +8,10 @@
    meet its smallest one only.  Pairs are estimated jointly: the counts of larger, smaller and equal registers
    with both set sizes give the likelihood of every Jaccard value; a pair goes on unless the threshold is refuted
    by ``slack`` nats.  What goes on is verified on the full sets, and verified links are joined into components.
-4. In a second round only members of one bucket that are still in different components meet: those outside the
-   bucket's main component against all others, in blocks of bounded size, sketches only; survivors are verified.
-   So no link within a bucket is left out, though pairs that cannot change the outcome are never formed.
+4. After that only members of one bucket that are still in different components matter: those outside the
+   bucket's main component meet the others in blocks of bounded size, sketches only, and hand on their few
+   likeliest partners for verification (2, then 16, then all that are left).  Components merge in between, so
+   little is left for the last round; it leaves out no pair that the sketches do not refute.
 5. Components by alternating large and small stars, checkpointed each round.
 
 The only links that can be missed are pairs that share no band: at a similarity of 0.85 with 24 bands of 5 fewer
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wonted.llm.common import DOCUMENT_COLUMNS, read, saved, texts
+from wonted.llm.common import DOCUMENT_COLUMNS, partitions, read, saved, texts
 from wonted.llm.hashing import chunks, shingles, text_bytes, words
 
 BANDS, ROWS = 24, 5
@@ -104,8 +105,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int = 5) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["doc_id", "shingles"])
 
-    wanted = texts(docs).join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    return wanted.mapInArrow(work, "doc_id long, shingles array<long>")
+    wanted = texts(docs).join(ids, "doc_id", "left_semi").groupBy("doc_id", "twin").agg(F.first("text").alias("text"))
+    return wanted.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles array<long>")
 
 
 # ---- likelihood ----------------------------------------------------------------------------------
@@ -125,18 +126,19 @@ def log_likelihood(j, larger, smaller, equal, na, nb):
     return terms[0] + terms[1] + terms[2]
 
 
+#: Jaccard values at which the likelihood is looked at; between two of them it hardly changes.
+GRID = np.linspace(0.02, 1.0, 50)
+
+
 def not_refuted(larger, smaller, equal, na, nb, percent: int, slack: float = 8.0) -> np.ndarray:
     """Whether a Jaccard value of percent / 100 or more stays possible: sizes allow it and the likelihood does."""
     larger, smaller, equal, na, nb = (np.asarray(x, np.float64) for x in (larger, smaller, equal, na, nb))
-    ok = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    lo, hi = np.zeros(len(na)), np.minimum(na, nb) / np.maximum(na, nb)
-    args = (larger, smaller, equal, na, nb)
-    for _ in range(40):  # the likelihood is concave in j
-        third = (hi - lo) / 3
-        left, right = log_likelihood(lo + third, *args), log_likelihood(hi - third, *args)
-        lo, hi = np.where(left < right, lo + third, lo), np.where(left < right, hi, hi - third)
-    best, at = (lo + hi) / 2, percent / 100
-    return ok & ((best >= at) | (log_likelihood(best, *args) - log_likelihood(np.full(len(na), at), *args) <= slack))
+    args, most = (larger, smaller, equal, na, nb), np.minimum(na, nb) / np.maximum(na, nb)
+    best, at = np.full(len(na), -np.inf), percent / 100
+    for j in GRID[GRID < at]:  # concave in j: above the threshold nothing refutes it
+        best = np.maximum(best, log_likelihood(np.minimum(j, most), *args))
+    fits = best - log_likelihood(np.minimum(at, most), *args) <= slack
+    return fits & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -154,11 +156,12 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(work, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs linked on their full sets."""
-    pairs = saved(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = saved(full_sets(docs, ids, k).distinct())
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -181,9 +184,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                edges.select("b", "b")
-            ).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b")).distinct()
         state = mark
         both = edges.union(edges.select("b", "a"))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -201,53 +202,71 @@ def _bands() -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * ROWS + 1, ROWS)) for i in range(BANDS)])
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, few: int = 256, many: int = 4096) -> DataFrame:
-    """(a, b) that share a bucket, are in different components and are not refuted.
+def _best_open(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, top: int, few: int = 256, many: int = 4096) -> DataFrame:
+    """(a, b): pairs in one bucket and different components that are not refuted, at most ``top`` likeliest for
+    each member outside its bucket's main component and block; and (x, x) for every member of any such pair.
 
-    Members outside a bucket's main component (few to a block) meet all members (many to a block).
+    Members outside the main component (few to a block) meet all members (many to a block).
     """
     marked = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     marked = marked.select("bucket", "band", "rep", F.coalesce("component", "rep").alias("label"))
     by_label = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    main = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("labels"), F.max("n").alias("inside"))
-    main = main.filter("labels > 1").select("bucket", "main", "members", (F.col("members") - F.col("inside")).alias("outside"))
-    open_ = marked.join(main, "bucket").join(classes, "rep")
-    row = F.struct("rep", "label", "n", "regs")
-    salt = F.xxhash64("rep")
-    members = open_.groupBy("bucket", "band", F.pmod(salt, F.ceil(F.col("members") / many)).alias("m")).agg(F.collect_list(row).alias("all"))
-    outside = open_.filter("label <> main")
-    outside = outside.groupBy("bucket", F.pmod(salt, F.ceil(F.col("outside") / few)).alias("o")).agg(F.collect_list(row).alias("out"))
+    main = by_label.groupBy("bucket").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("inside"), F.count("*").alias("labels")
+    )
+    main = main.filter("labels > 1 and members > 2")  # the two of a bucket of two have met
+    open_ = marked.join(main.drop("labels"), "bucket").join(classes, "rep")
+    row, salt = F.struct("rep", "label", "n", "regs"), F.xxhash64("rep")
+    members = open_.groupBy("bucket", "band", F.pmod(salt, F.ceil(F.col("members") / many)).alias("m"))
+    outside = open_.filter("label <> main").groupBy("bucket", F.pmod(salt, F.ceil((F.col("members") - F.col("inside")) / few)).alias("o"))
+    blocks = members.agg(F.collect_list(row).alias("all")).join(outside.agg(F.collect_list(row).alias("out")), "bucket")
+
+    def unpacked(rows):
+        f = rows.values
+        regs = np.frombuffer(b"".join(f.field("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        return [f.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "label", "n")] + [regs]
+
+    def chosen(found: list) -> pa.RecordBatch:
+        a, b, na, nb, equal, larger, group = (np.concatenate(x) for x in zip(*found))
+        ok = not_refuted(larger, REGISTERS - equal - larger, equal, na, nb, percent)
+        a, b, equal, group = a[ok], b[ok], equal[ok], group[ok]
+        order = np.lexsort((b, -equal, group))
+        group, fresh = group[order], np.ones(len(order), bool)
+        fresh[1:] = group[1:] != group[:-1]
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        best, ids = order[nth < top], np.unique(np.concatenate([a, b]))
+        low, high = np.minimum(a, b)[best], np.maximum(a, b)[best]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, ids])) for x in (low, high)], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack(rows):
-            f = rows.values if hasattr(rows, "values") else rows
-            regs = np.frombuffer(b"".join(f.field("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            return [f.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "label", "n")] + [regs]
-
+        found, held, group = [], 0, 0
         for batch in batches:
-            found_a, found_b = [], []
             for i in range(batch.num_rows):
                 band = batch.column(0)[i].as_py()
-                oid, olabel, on, oregs = unpack(batch.column(1)[i])
-                mid, mlabel, mn, mregs = unpack(batch.column(2)[i])
+                oid, olabel, on, oregs = unpacked(batch.column(1)[i])
+                mid, mlabel, mn, mregs = unpacked(batch.column(2)[i])
                 for x in range(len(oid)):
-                    near = (mlabel != olabel[x]) & (100 * np.minimum(mn, on[x]) >= percent * np.maximum(mn, on[x]))
-                    if not near.any():
-                        continue
-                    r, s = mregs[near], oregs[x]
-                    same = r == s
-                    earlier = same[:, : band * ROWS].reshape(len(r), -1, ROWS).all(2).any(1) if band else np.zeros(len(r), bool)
-                    equal, larger = same.sum(1), (s > r).sum(1)
-                    ns = np.full(len(r), on[x])
-                    keep = ~earlier  # another bucket has the pair
-                    keep[keep] = not_refuted(larger[keep], REGISTERS - equal[keep] - larger[keep], equal[keep], ns[keep], mn[near][keep], percent)
-                    found_b.append(mid[near][keep])
-                    found_a.append(np.full(keep.sum(), oid[x]))
-            a, b = (np.concatenate([*f, np.zeros(0, np.int64)]).astype(np.int64) for f in (found_a, found_b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    blocks = members.join(outside, "bucket").select("band", "out", "all")
-    return blocks.mapInArrow(work, "a long, b long").filter("a <> b").distinct()
+                    group += 1
+                    near = np.flatnonzero((mlabel != olabel[x]) & (100 * np.minimum(mn, on[x]) >= percent * np.maximum(mn, on[x])))
+                    same = mregs[near] == oregs[x]
+                    equal = same.sum(1)
+                    alike = equal >= 0.006 * percent * REGISTERS  # fewer are refuted anyway
+                    if band and alike.any():  # an earlier bucket has the pair
+                        alike &= ~same[:, : band * ROWS].reshape(len(near), band, ROWS).all(2).any(1)
+                    if alike.any():
+                        near, equal = near[alike], equal[alike]
+                        n = len(near)
+                        larger = (oregs[x] > mregs[near]).sum(1)
+                        found.append((np.full(n, oid[x]), mid[near], np.full(n, on[x]), mn[near], equal, larger, np.full(n, group)))
+                        held += n
+                        if held > 200_000:
+                            yield chosen(found)
+                            found, held = [], 0
+        if found:
+            yield chosen(found)
+
+    spread = blocks.select("band", "out", "all").repartition(partitions(shared))
+    return spread.mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
@@ -262,15 +281,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     shared = saved(banded.join(first.select("bucket", "first"), "bucket").select("bucket", "band", "rep", "first"))
 
     stars = shared.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = saved(_verified(docs, _likely(stars, classes, percent), k, percent))
+    tested = saved(_likely(stars, classes, percent))
+    links = _verified(tested, saved(full_sets(docs, _ends(tested), k)), percent)
     # rows with one id and several texts, or several ids and one text, belong together
     member = sets.join(by_fp.select("fp", "rep"), "fp").select("doc_id", "rep").distinct()
     own = member.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(own))
-    rest = _verified(docs, _open_pairs(shared, labels, classes, percent), k, percent)
-    final = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
 
-    found = marks.select("doc_id", "twin", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    full = None
+    for top in (2, 16, 1 << 60):
+        near = saved(_best_open(shared, labels, classes, percent, top))
+        if full is None:  # later rounds need no others
+            full = saved(full_sets(docs, near.filter("a = b").select(F.col("a").alias("doc_id")), k))
+        if near.filter("a < b").isEmpty():
+            break
+        pairs = saved(near.filter("a < b").join(tested, ["a", "b"], "left_anti"))
+        links = _verified(pairs, full, percent)
+        labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(links))
+        tested = tested.union(pairs)
+
+    found = marks.select("doc_id", "twin", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     linked = F.when(F.col("n") > 0, F.col("component"))
     return found.select("doc_id", "twin", F.col("n").alias("n_shingles"), F.coalesce(linked, "doc_id").alias("component_id"))
 
