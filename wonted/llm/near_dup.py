@@ -9,9 +9,10 @@
    with both set sizes give the likelihood of every Jaccard value; a pair goes on unless the threshold is refuted
    by ``slack`` nats.  What goes on is verified on the full sets, and verified links are joined into components.
 4. After that only members of one bucket that are still in different components matter: those outside the
-   bucket's main component meet the others in blocks of bounded size, sketches only, and hand on their few
-   likeliest partners for verification (2, then 16, then all that are left).  Components merge in between, so
-   little is left for the last round; it leaves out no pair that the sketches do not refute.
+   bucket's main component meet all others in blocks of bounded size.  A first pass over sketches alone finds who
+   still has a partner that is not refuted; only their sets are fetched.  A second pass has the sets in the
+   blocks: every pair not refuted is verified there unless the block has joined its two components already, and
+   only the links that join components leave the block.  So no pair is left out, and none is ever shipped.
 5. Components by alternating large and small stars, checkpointed each round.
 
 The only links that can be missed are pairs that share no band: at a similarity of 0.85 with 24 bands of 5 fewer
@@ -202,78 +203,119 @@ def _bands() -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * ROWS + 1, ROWS)) for i in range(BANDS)])
 
 
-def _best_open(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, top: int, few: int = 256, many: int = 4096) -> DataFrame:
-    """(a, b): pairs in one bucket and different components that are not refuted, at most ``top`` likeliest for
-    each member outside its bucket's main component and block; and (x, x) for every member of any such pair.
+def _blocks(shared: DataFrame, labels: DataFrame, members: DataFrame, few: int, many: int, least: int) -> DataFrame:
+    """band, out, all: per bucket with several components, members outside its main component (blocks that
+    weigh about ``few``) beside all members (about ``many``); members: rep, weight and columns to carry.
 
-    Members outside the main component (few to a block) meet all members (many to a block).
-    """
+    Buckets with fewer than ``least`` members are left out."""
     marked = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    marked = marked.select("bucket", "band", "rep", F.coalesce("component", "rep").alias("label"))
-    by_label = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    marked = marked.select("bucket", "band", "rep", F.coalesce("component", "rep").alias("label")).join(members, "rep")
+    by_label = marked.groupBy("bucket", "label").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
     main = by_label.groupBy("bucket").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("inside"), F.count("*").alias("labels")
-    )
-    main = main.filter("labels > 1 and members > 2")  # the two of a bucket of two have met
-    open_ = marked.join(main.drop("labels"), "bucket").join(classes, "rep")
-    row, salt = F.struct("rep", "label", "n", "regs"), F.xxhash64("rep")
-    members = open_.groupBy("bucket", "band", F.pmod(salt, F.ceil(F.col("members") / many)).alias("m"))
-    outside = open_.filter("label <> main").groupBy("bucket", F.pmod(salt, F.ceil((F.col("members") - F.col("inside")) / few)).alias("o"))
-    blocks = members.agg(F.collect_list(row).alias("all")).join(outside.agg(F.collect_list(row).alias("out")), "bucket")
-
-    def unpacked(rows):
+        F.max_by("label", F.struct("w", "label")).alias("main"), F.sum("w").alias("whole"), F.max("w").alias("inside"),
+        F.sum("n").alias("members"), F.count("*").alias("labels"),
+    )
+    main = main.filter(f"labels > 1 and members >= {least}").drop("labels", "members")
+    open_ = marked.join(main, "bucket")
+    row, salt = F.struct("label", *members.columns), F.xxhash64("rep")
+    all_ = open_.groupBy("bucket", "band", F.pmod(salt, F.ceil(F.col("whole") / many)).alias("m")).agg(F.collect_list(row).alias("all"))
+    out = open_.filter("label <> main").groupBy("bucket", F.pmod(salt, F.ceil((F.col("whole") - F.col("inside")) / few)).alias("o"))
+    blocks = all_.join(out.agg(F.collect_list(row).alias("out")), "bucket").select("band", "out", "all")
+    return blocks.repartition(partitions(shared))  # a block is work, not bytes
+
+
+class _Members:
+    """The members in one cell of a block."""
+
+    def __init__(self, rows):
         f = rows.values
-        regs = np.frombuffer(b"".join(f.field("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        return [f.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "label", "n")] + [regs]
-
-    def chosen(found: list) -> pa.RecordBatch:
-        a, b, na, nb, equal, larger, group = (np.concatenate(x) for x in zip(*found))
-        ok = not_refuted(larger, REGISTERS - equal - larger, equal, na, nb, percent)
-        a, b, equal, group = a[ok], b[ok], equal[ok], group[ok]
-        order = np.lexsort((b, -equal, group))
-        group, fresh = group[order], np.ones(len(order), bool)
-        fresh[1:] = group[1:] != group[:-1]
-        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-        best, ids = order[nth < top], np.unique(np.concatenate([a, b]))
-        low, high = np.minimum(a, b)[best], np.maximum(a, b)[best]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, ids])) for x in (low, high)], names=["a", "b"])
+        self.rep, self.label, self.n = (f.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "label", "n"))
+        self.regs = np.frombuffer(b"".join(f.field("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        self.sets = [np.sort(x.values.to_numpy()) for x in f.field("shingles")] if f.type.get_field_index("shingles") >= 0 else None
+
+
+def _candidates(batch: pa.RecordBatch, percent: int) -> Iterator[tuple]:
+    """Per row of ``_blocks`` and bounded number of pairs: out, all, and the places of the pairs not refuted."""
+    for i in range(batch.num_rows):
+        band = batch.column(0)[i].as_py()
+        out, all_ = _Members(batch.column(1)[i]), _Members(batch.column(2)[i])
+        xs, ys, equals, largers = [], [], [], []
+
+        def settled():
+            x, y, equal, larger = (np.concatenate(v) for v in (xs, ys, equals, largers))
+            ok = not_refuted(larger, REGISTERS - equal - larger, equal, out.n[x], all_.n[y], percent)
+            order = np.argsort(-equal[ok], kind="stable")
+            return out, all_, x[ok][order], y[ok][order]
+
+        for x in range(len(out.rep)):
+            y = np.flatnonzero((all_.label != out.label[x]) & (100 * np.minimum(all_.n, out.n[x]) >= percent * np.maximum(all_.n, out.n[x])))
+            same = all_.regs[y] == out.regs[x]
+            equal = same.sum(1)
+            alike = equal >= 0.006 * percent * REGISTERS  # fewer are refuted anyway
+            if band and alike.any():  # an earlier bucket has the pair
+                alike &= ~same[:, : band * ROWS].reshape(len(y), band, ROWS).all(2).any(1)
+            if alike.any():
+                y = y[alike]
+                xs.append(np.full(len(y), x))
+                ys.append(y)
+                equals.append(equal[alike])
+                largers.append((out.regs[x] > all_.regs[y]).sum(1))
+                if sum(map(len, ys)) > 200_000:
+                    yield settled()
+                    xs, ys, equals, largers = [], [], [], []
+        if xs:
+            yield settled()
+
+
+def _still_open(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """doc_id of every class with a partner in one bucket, in another component, that is not refuted."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out, all_, x, y in _candidates(batch, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(np.union1d(out.rep[x], all_.rep[y]))], names=["doc_id"])
+
+    members = classes.select("rep", "n", "regs", F.lit(1).alias("weight"))
+    # the two members of a bucket of two have met in the first round
+    return _blocks(shared, labels, members, 256, 4096, 3).mapInArrow(work, "doc_id long").distinct()
+
+
+def _joining_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): verified links that join the components that share a bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held, group = [], 0, 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                band = batch.column(0)[i].as_py()
-                oid, olabel, on, oregs = unpacked(batch.column(1)[i])
-                mid, mlabel, mn, mregs = unpacked(batch.column(2)[i])
-                for x in range(len(oid)):
-                    group += 1
-                    near = np.flatnonzero((mlabel != olabel[x]) & (100 * np.minimum(mn, on[x]) >= percent * np.maximum(mn, on[x])))
-                    same = mregs[near] == oregs[x]
-                    equal = same.sum(1)
-                    alike = equal >= 0.006 * percent * REGISTERS  # fewer are refuted anyway
-                    if band and alike.any():  # an earlier bucket has the pair
-                        alike &= ~same[:, : band * ROWS].reshape(len(near), band, ROWS).all(2).any(1)
-                    if alike.any():
-                        near, equal = near[alike], equal[alike]
-                        n = len(near)
-                        larger = (oregs[x] > mregs[near]).sum(1)
-                        found.append((np.full(n, oid[x]), mid[near], np.full(n, on[x]), mn[near], equal, larger, np.full(n, group)))
-                        held += n
-                        if held > 200_000:
-                            yield chosen(found)
-                            found, held = [], 0
-        if found:
-            yield chosen(found)
-
-    spread = blocks.select("band", "out", "all").repartition(partitions(shared))
-    return spread.mapInArrow(work, "a long, b long").distinct()
+            links, block, root = [], None, {}
+
+            def find(v):
+                while root.setdefault(v, v) != v:
+                    root[v] = v = root[root[v]]
+                return v
+
+            for out, all_, xs, ys in _candidates(batch, percent):
+                if out is not block:
+                    block, root = out, {}
+                for x, y in zip(xs, ys):
+                    p, q = find(out.label[x]), find(all_.label[y])
+                    if p != q:
+                        s, t = out.sets[x], all_.sets[y]
+                        common = len(np.intersect1d(s, t, assume_unique=True))
+                        if 100 * common >= percent * (len(s) + len(t) - common):
+                            root[p] = q
+                            links.append((out.rep[x], all_.rep[y]))
+            a, b = (pa.array([z[i] for z in links], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    members = classes.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    members = members.select("rep", "n", "regs", "shingles", (F.size("shingles") + 100).alias("weight"))
+    return _blocks(shared, labels, members, 40_000, 600_000, 2).mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """doc_id, twin, n_shingles, component_id per row: linked where 100 * intersection >= percent * union."""
     marks = saved(sketches(docs, k))
     sets = marks.filter("n > 0 and doc_id is not null")
-    by_fp = sets.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("regs").alias("regs"))
+    by_fp = saved(sets.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("regs").alias("regs")))
     classes = by_fp.select("rep", "n", "regs")
 
     banded = classes.select("rep", F.posexplode(_bands()).alias("band", "bucket"))
@@ -288,17 +330,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     own = member.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(own))
 
-    full = None
-    for top in (2, 16, 1 << 60):
-        near = saved(_best_open(shared, labels, classes, percent, top))
-        if full is None:  # later rounds need no others
-            full = saved(full_sets(docs, near.filter("a = b").select(F.col("a").alias("doc_id")), k))
-        if near.filter("a < b").isEmpty():
-            break
-        pairs = saved(near.filter("a < b").join(tested, ["a", "b"], "left_anti"))
-        links = _verified(pairs, full, percent)
-        labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(links))
-        tested = tested.union(pairs)
+    sets_left = saved(full_sets(docs, _still_open(shared, labels, classes, percent), k))
+    rest = saved(_joining_links(shared, labels, classes, sets_left, percent))
+    if not rest.isEmpty():
+        labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
 
     found = marks.select("doc_id", "twin", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     linked = F.when(F.col("n") > 0, F.col("component"))
