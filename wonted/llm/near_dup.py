@@ -10,8 +10,8 @@
    by ``slack`` nats.  What goes on is verified on the full sets, and verified links are joined into components.
 4. After that only members of one bucket that are still in different components matter: those outside the
    bucket's main component meet all others in blocks of bounded size.  A first pass over sketches alone finds who
-   still has a partner that is not refuted; only their sets are fetched.  A second pass has the sets in the
-   blocks: every pair not refuted is verified there unless the block has joined its two components already, and
+   still has a partner that is not refuted; only their texts are fetched.  A second pass has the texts in the
+   blocks (smaller than the sets, which are made there): every pair not refuted is verified there unless the block has joined its two components already, and
    only the links that join components leave the block.  So no pair is left out, and none is ever shipped.
 5. Components by alternating large and small stars, checkpointed each round.
 
@@ -92,22 +92,32 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
     return texts(docs).mapInArrow(work, "doc_id long, twin long, n long, fp binary, regs binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, shingles (array of hashes) of the documents whose id is in ``ids``."""
+def _sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    data, offsets = text_bytes(column)
+    for a, b in chunks(offsets):
+        off = offsets[a : b + 1]
+        h, _, _, first = words(data[off[0] : off[-1]], off - off[0])
+        yield from shingles(h, first, k)
+
+
+def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents whose id is in ``ids``, repeated rows once."""
+    found = texts(docs).join(ids, "doc_id", "left_semi").groupBy("doc_id", "twin").agg(F.first("text").alias("text"))
+    return found.select("doc_id", "text")
+
+
+def full_sets(wanted: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, shingles (array of hashes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for a, b in chunks(offsets):
-                off = offsets[a : b + 1]
-                h, _, _, first = words(data[off[0] : off[-1]], off - off[0])
-                sets = [s.view(np.int64) for s in shingles(h, first, k)]
-                ends = np.cumsum([0, *map(len, sets)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["doc_id", "shingles"])
+            sets = [s.view(np.int64) for s in _sets_of(batch.column(1), k)]
+            ends = np.cumsum([0, *map(len, sets)])
+            values = np.concatenate([*sets, np.zeros(0, np.int64)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "shingles"])
 
-    wanted = texts(docs).join(ids, "doc_id", "left_semi").groupBy("doc_id", "twin").agg(F.first("text").alias("text"))
-    return wanted.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles array<long>")
+    return wanted.mapInArrow(work, "doc_id long, shingles array<long>")
 
 
 # ---- likelihood ----------------------------------------------------------------------------------
@@ -227,18 +237,24 @@ def _blocks(shared: DataFrame, labels: DataFrame, members: DataFrame, few: int,
 class _Members:
     """The members in one cell of a block."""
 
-    def __init__(self, rows):
+    def __init__(self, rows, k: int):
         f = rows.values
         self.rep, self.label, self.n = (f.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "label", "n"))
         self.regs = np.frombuffer(b"".join(f.field("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        self.sets = [np.sort(x.values.to_numpy()) for x in f.field("shingles")] if f.type.get_field_index("shingles") >= 0 else None
+        self.rows, self.k, self._sets = f, k, None
+
+    @property
+    def sets(self) -> list[np.ndarray]:
+        if self._sets is None:
+            self._sets = list(_sets_of(self.rows.field("text"), self.k))
+        return self._sets
 
 
-def _candidates(batch: pa.RecordBatch, percent: int) -> Iterator[tuple]:
+def _candidates(batch: pa.RecordBatch, percent: int, k: int = 0) -> Iterator[tuple]:
     """Per row of ``_blocks`` and bounded number of pairs: out, all, and the places of the pairs not refuted."""
     for i in range(batch.num_rows):
         band = batch.column(0)[i].as_py()
-        out, all_ = _Members(batch.column(1)[i]), _Members(batch.column(2)[i])
+        out, all_ = _Members(batch.column(1)[i], k), _Members(batch.column(2)[i], k)
         xs, ys, equals, largers = [], [], [], []
 
         def settled():
@@ -280,7 +296,7 @@ def _still_open(shared: DataFrame, labels: DataFrame, classes: DataFrame, percen
     return _blocks(shared, labels, members, 256, 4096, 3).mapInArrow(work, "doc_id long").distinct()
 
 
-def _joining_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _joining_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): verified links that join the components that share a bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +308,7 @@ def _joining_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, set
                     root[v] = v = root[root[v]]
                 return v
 
-            for out, all_, xs, ys in _candidates(batch, percent):
+            for out, all_, xs, ys in _candidates(batch, percent, k):
                 if out is not block:
                     block, root = out, {}
                 for x, y in zip(xs, ys):
@@ -306,9 +322,9 @@ def _joining_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, set
             a, b = (pa.array([z[i] for z in links], pa.int64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
-    members = classes.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    members = members.select("rep", "n", "regs", "shingles", (F.size("shingles") + 100).alias("weight"))
-    return _blocks(shared, labels, members, 40_000, 600_000, 2).mapInArrow(work, "a long, b long")
+    members = classes.join(wanted.withColumnRenamed("doc_id", "rep"), "rep")
+    members = members.select("rep", "n", "regs", "text", (F.octet_length("text") + 200).alias("weight"))
+    return _blocks(shared, labels, members, 200_000, 2_000_000, 2).mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
@@ -324,14 +340,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
 
     stars = shared.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     tested = saved(_likely(stars, classes, percent))
-    links = _verified(tested, saved(full_sets(docs, _ends(tested), k)), percent)
+    links = _verified(tested, saved(full_sets(wanted_texts(docs, _ends(tested)), k)), percent)
     # rows with one id and several texts, or several ids and one text, belong together
     member = sets.join(by_fp.select("fp", "rep"), "fp").select("doc_id", "rep").distinct()
     own = member.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(own))
 
-    sets_left = saved(full_sets(docs, _still_open(shared, labels, classes, percent), k))
-    rest = saved(_joining_links(shared, labels, classes, sets_left, percent))
+    left = saved(wanted_texts(docs, _still_open(shared, labels, classes, percent)))
+    rest = saved(_joining_links(shared, labels, classes, left, k, percent))
     if not rest.isEmpty():
         labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
 
