@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from wonted.llm import line_dedup, mixing, near_dup, packing, sharding
+from wonted.llm import ann, exact_topk, line_dedup, mixing, near_dup, packing, sharding
 
 QUERIES = {
     "op1_bin_slack_packing": packing.query,
+    "op3_dimension_scan_ann": ann.query,
     "op4_byte_shards": sharding.query,
     "op5_line_dedup": line_dedup.query,
+    "op7_impact_topk": exact_topk.query,
     "op8_pivotal_mix": mixing.query,
     "op9_setsketch_near_dup": near_dup.query,
 }
 
-ORACLES = {"op4_byte_shards": sharding.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op4_byte_shards": sharding.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_impact_topk": exact_topk.ORACLE}
