@@ -26,9 +26,9 @@ def brute(df, zero, every, k, integer):
         e = r["embedding"]
         if r["vec_id"] is None or e is None or any(x is None or not np.isfinite(x) for x in e) or not (zero or any(e)):
             continue
-        rows[r["vec_id"]] = np.array(e + [0.0] * (16 - len(e)), np.float64)
+        rows[r["vec_id"]] = max(e, rows.get(r["vec_id"], e))
     ids = np.array(sorted(rows))
-    m = np.array([rows[i] for i in ids])
+    m = np.array([rows[i] + [0.0] * (16 - len(rows[i])) for i in ids], np.float64)
     if integer:
         m = np.floor(1024 * m)
     out = {}

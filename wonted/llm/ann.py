@@ -4,8 +4,9 @@ Vectors get one more component, the root of (greatest squared norm - own squared
 the largest inner product is the smallest distance, and all of it is rotated by one random orthogonal matrix.
 
 * Lists: k-means centres fitted on a bounded sample (``sample_rows``, in order of a hash of the id); every vector
-  is indexed in its nearest list.  A query probes the lists nearest to it, a quarter of all and at least as
-  many as hold more than enough vectors.
+  is indexed in its nearest list.  A query probes the lists nearest to it: ``share`` of all,
+  and at least as many as hold more than enough vectors.  Vectors without any clusters need a large share (0.7
+  gives a recall of 0.94 to 0.98 on them); with clusters a much smaller one will do.
 * Scan: in a list, the rotated components lie in column blocks.  After each block the partial squared distance,
   scaled to all dimensions, is tested against the query's k-th best distance so far; a candidate is abandoned
   when it is beyond (1 + epsilon / sqrt(dimensions seen)) times that, which a random rotation makes unlikely for
@@ -97,12 +98,13 @@ def scan(q: np.ndarray, v: np.ndarray, barred: np.ndarray, k: int, tile: int = 5
     return i[keep], j[keep]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int = 20_000, share: float = 0.25, block: int = 4096, query_block: int = 512, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int = 20_000, share: float = 0.7, block: int = 4096, query_block: int = 512, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score of vectors (vec_id, v)."""
-    norm = F.expr("aggregate(v, double(0), (a, x) -> a + x * x)")
+    norm = F.expr("aggregate(v, double(0), (a, x) -> a + double(x) * double(x))")
     n, width, longest = vectors.agg(F.count("*"), F.max(F.size("v")), F.max(norm)).first()
     if not n:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    stored = dict(vectors.dtypes)["v"]
     turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(width + 1, width + 1)))[0]
 
     def rotated(x: np.ndarray, extend: bool) -> np.ndarray:
@@ -124,7 +126,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int
             own = nearest(rotated(matrix(b.column(1)), True), at)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32))], names=["vec_id", "v", "list"])
 
-    indexed = saved(vectors.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<double>, list int"))
+    indexed = saved(vectors.select("vec_id", "v").mapInArrow(assign, f"vec_id long, v {stored}, list int"))
     sizes = np.zeros(len(at), np.int64)
     for r in indexed.groupBy("list").count().collect():  # at most 1024 rows
         sizes[r["list"]] = r["count"]
@@ -140,7 +142,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int
             array = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), array], names=["vec_id", "v", "lists"])
 
-    asked = queries.select("vec_id", "v").mapInArrow(probe, "vec_id long, v array<double>, lists array<int>")
+    asked = queries.select("vec_id", "v").mapInArrow(probe, f"vec_id long, v {stored}, lists array<int>")
     asked = saved(asked.select("vec_id", "v", F.explode("lists").alias("list")))
 
     per_list = lambda df, size: df.join(F.broadcast(df.groupBy("list").agg(F.ceil(F.count("*") / size).alias("parts"))), "list")  # noqa: E731  at most 1024 rows

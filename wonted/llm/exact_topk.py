@@ -106,7 +106,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 819
 
 def integers(table: DataFrame) -> DataFrame:
     """vec_id and floor(1024 * x) of every component."""
-    return usable(table, zero=True).select("vec_id", F.expr("transform(v, x -> double(floor(1024 * x)))").alias("v"))
+    return usable(table, zero=True).select("vec_id", F.expr("transform(v, x -> double(floor(1024 * double(x))))").alias("v"))
 
 
 def query(spark, folder: str) -> DataFrame:

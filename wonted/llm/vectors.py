@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 
 def usable(table: DataFrame, zero: bool) -> DataFrame:
-    """vec_id, v (array of doubles) of the rows that take part, one per id.
+    """vec_id, v (the embedding as stored) of the rows that take part, one per id.
 
     Left out: null ids, null vectors, vectors with null or non-finite components and, unless ``zero``, zero vectors.
     Rows that share an id count once, with the largest vector in array order.
     """
-    v = F.col("embedding").cast("array<double>")
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null")
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).filter("vec_id is not null and v is not null")
     rows = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     if not zero:
         rows = rows.filter("exists(v, x -> x <> 0)")
@@ -29,11 +28,11 @@ def cells(rows: DataFrame, keys: list[str], parts, name: str) -> DataFrame:
 
 
 def unpacked(cell: pa.Scalar, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and a matrix of ``width`` columns; shorter vectors are filled with zeros."""
+    """ids and a matrix of doubles with ``width`` columns; shorter vectors are filled with zeros."""
     rows = cell.values
     ids, lists = rows.field("vec_id").to_numpy(), rows.field("v")
     lengths = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy()
+    flat = lists.flatten().to_numpy().astype(np.float64)
     if (lengths == width).all():
         return ids, flat.reshape(-1, width)
     out = np.zeros((len(ids), width))
