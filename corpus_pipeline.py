@@ -11,11 +11,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wonted.llm import line_dedup, mixing, packing
+from wonted.llm import line_dedup, mixing, near_dup, packing, quality
 from wonted.session import work_folder
 
 STAGES = [
+    ("quality", quality.stage),
     ("line_dedup", line_dedup.stage),
+    ("near_dup", near_dup.stage),
     ("mixing", mixing.stage),
     ("packing", packing.stage),
 ]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wonted.llm import ann, exact_topk, line_dedup, mixing, near_dup, packing, sharding
+from wonted.llm import ann, exact_topk, line_dedup, mixing, near_dup, packing, quality, sharding
 
 QUERIES = {
     "op1_bin_slack_packing": packing.query,
+    "op2_factorisation_quality": quality.query,
     "op3_dimension_scan_ann": ann.query,
     "op4_byte_shards": sharding.query,
     "op5_line_dedup": line_dedup.query,
