@@ -30,7 +30,7 @@ from wonted.llm.common import DOCUMENT_COLUMNS, read, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
-ROWS = "row long, doc_id long, size long, sid int, salt long, p double"
+ROWS = "row long, doc_id long, size long, sid int, salt long, p double, source_size long, target double"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def _round_level(rows: DataFrame, groups: list, seed: int, level: int, last: boo
         p = pivot(pdf["p"].to_numpy(), u)
         if last:
             p = np.where((p > EPS) & (p < 1 - EPS), (u < p).astype(float), p)
-        return pdf.assign(p=p)[["row", "doc_id", "size", "sid", "salt", "p"]]
+        return pdf.assign(p=p)[[x.split()[0] for x in ROWS.split(", ")]]
 
     return rows.groupBy(*groups).applyInPandas(step, ROWS)
 
@@ -110,12 +110,12 @@ def fraction_left(p: Column) -> Column:
 
 
 def copies(sized: DataFrame, plan: DataFrame, seed: int = 17, group_rows: int = 20_000, fan_in: int = 256) -> DataFrame:
-    """row, doc_id, size, sid, copies: how often the mix takes each row of ``sizes``."""
+    """row, doc_id, size, sid, source_size, target, copies: how often the mix takes each row of ``sizes``."""
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = saved(plan.withColumn("want", want).withColumn("salts", F.ceil(F.col("rows") / group_rows)))
     widest = plan.agg(F.max("salts")).first()[0]  # one number
     if widest is None:
-        return sized.select("row", "doc_id", "size", F.lit(0).alias("sid"), F.lit(0).alias("copies"))
+        return sized.select("row", "doc_id", "size", *[F.lit(0).alias(c) for c in ("sid", "source_size", "target", "copies")])
     p = plan.withColumnRenamed("source", "source_")
     joined = sized.join(p, sized["source"].eqNullSafe(p["source_"]))
     whole = F.floor(F.col("want") + EPS)
@@ -123,6 +123,7 @@ def copies(sized: DataFrame, plan: DataFrame, seed: int = 17, group_rows: int =
         "row", "doc_id", "size", "sid",
         F.pmod(F.xxhash64("row", F.lit(seed)), F.col("salts")).alias("salt"),
         F.when(F.col("size") > 0, F.greatest(F.col("want") - whole, F.lit(0.0))).otherwise(0.0).alias("p"),
+        "source_size", "target",
     )
     size_class = F.floor(F.log2(F.col("size") + F.lit(1.0))).alias("class")
     done, level = [], 0
@@ -141,18 +142,15 @@ def copies(sized: DataFrame, plan: DataFrame, seed: int = 17, group_rows: int =
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    w = plan.select("sid", F.floor(F.col("want") + EPS).cast("int").alias("whole"))
-    return out.join(w, "sid").select("row", "doc_id", "size", "sid", (F.when(F.col("size") > 0, F.col("whole")).otherwise(0) + F.round("p").cast("int")).alias("copies"))
+    want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    whole = F.when(F.col("size") > 0, F.floor(want + EPS)).otherwise(0)
+    return out.select("row", "doc_id", "size", "sid", "source_size", "target", (whole + F.round("p")).cast("int").alias("copies"))
 
 
 def query(spark, folder: str) -> DataFrame:
     sized = sizes(read(spark, folder, "documents"))
-    plan = saved(targets(sized))
-    taken = copies(sized, plan)
-    p = plan.select("sid", "source", "source_size", "target")
-    return taken.join(p, "sid").select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies"
-    )
+    taken = copies(sized, targets(sized))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
