@@ -141,7 +141,7 @@ def _places(found: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def packed(cut: DataFrame, capacity: int = CAPACITY, salt_rows: int = 50_000) -> DataFrame:
+def packed(cut: DataFrame, capacity: int = CAPACITY, salt_rows: int = 1_000) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``pieces``; any column ``length`` will do."""
     cut = saved(cut)
     columns = cut.columns
