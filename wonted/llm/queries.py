@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wonted.llm import ann, exact_topk, line_dedup, mixing, near_dup, packing, quality, sharding
+from wonted.llm import ann, exact_topk, language, line_dedup, mixing, near_dup, packing, quality, sharding
 
 QUERIES = {
     "op1_bin_slack_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_impact_topk": exact_topk.query,
     "op8_pivotal_mix": mixing.query,
     "op9_setsketch_near_dup": near_dup.query,
+    "op10_evidence_language": language.query,
 }
 
 ORACLES = {"op4_byte_shards": sharding.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_impact_topk": exact_topk.ORACLE}
