@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wonted.llm import ann, exact_topk, language, line_dedup, mixing, near_dup, packing, quality, sharding
+from wonted.llm import ann, exact_topk, language, line_dedup, mixing, near_dup, packing, quality, sharding, substring_dedup
 
 QUERIES = {
     "op1_bin_slack_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_dimension_scan_ann": ann.query,
     "op4_byte_shards": sharding.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_suffix_array_dedup": substring_dedup.query,
     "op7_impact_topk": exact_topk.query,
     "op8_pivotal_mix": mixing.query,
     "op9_setsketch_near_dup": near_dup.query,
