@@ -18,7 +18,8 @@ A document longer than ``SLICE`` bytes is anchored in overlapping slices, with t
 
 Results for odd input: null text is empty; documents shorter than ``length`` lose nothing; rows that share an id
 keep apart by their text; repeated rows are documents of their own, so all their long strings repeat; null ids are
-ids like any other; empty tables give no rows.  Other columns are ignored.
+ids like any other (inside, the smallest 64-bit integer stands for them); empty tables give no rows.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wonted.llm.common import partitions, read, same_row, saved, texts
+from wonted.llm.common import partitions, read, saved, texts
 from wonted.llm.hashing import BYTE_VALUES, chunks, mix, powers, running, text_bytes
 
 GRAM = 128
@@ -39,6 +40,16 @@ PLACE_BITS = 21  # of a byte within a chunk
 SECOND_VALUES = mix(BYTE_VALUES)
 
 
+NO_ID = -(1 << 63)
+
+
+def owned(docs: DataFrame) -> DataFrame:
+    """owner (the id, never null), twin, text.  Spans and texts meet on (owner, twin): always this frame, so that
+    the plan deals out the texts once for all its joins."""
+    t = texts(docs)
+    return t.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("owner"), "twin", "text")
+
+
 # ---- anchors -------------------------------------------------------------------------------------
 
 
@@ -76,8 +87,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, twin, at (first window), n (windows), gram, context."""
-    names = ["doc_id", "twin", "at", "n", "gram", "context"]
+    """owner, twin, at (first window), n (windows), gram, context."""
+    names = ["owner", "twin", "at", "n", "gram", "context"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(batch, rows, at, n, gram, context):
@@ -97,7 +108,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     doc, at, *run = anchors(data[x:y], np.array([0, y - x]), length)
                     yield out(batch, doc + a, at + x - off[0], *run)
 
-    return texts(docs).mapInArrow(work, ", ".join(f"{c} long" for c in names))
+    return owned(docs).mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
 # ---- suffix arrays -------------------------------------------------------------------------------
@@ -286,31 +297,36 @@ def _by_counting(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, length: int = 400, wide: int = 4096) -> DataFrame:
-    """doc_id, twin, spans: (start, end) byte ranges that repeat, unmerged, for every document that has any."""
+    """owner, twin, spans: (start, end) byte ranges that repeat, unmerged, for every document that has any."""
     rows = anchor_rows(docs, length)
     grams = rows.groupBy("gram").agg(F.count("*").alias("times"), F.min("context").alias("least"), F.max("context").alias("most"))
-    grams = grams.filter("times > 1").select("gram", (F.col("least") != F.col("most")).alias("several"))
+    # written first: then a hot gram's side of the join can be split
+    grams = saved(grams.filter("times > 1").select("gram", (F.col("least") != F.col("most")).alias("several")))
     shared = saved(rows.join(grams, "gram"))
 
     mixed = shared.filter("several")
-    kinds = mixed.groupBy("gram", "context").agg(F.min(F.struct("doc_id", "twin", "at", "n")).alias("one"), F.count("*").alias("times"))
+    kinds = mixed.groupBy("gram", "context").agg(F.min(F.struct("owner", "twin", "at", "n")).alias("one"), F.count("*").alias("times"))
     kinds = saved(kinds.select("gram", "context", "times", "one.*"))
     many = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
-    t = texts(docs)
     cut = F.substring(F.col("text").cast("binary"), F.col("at").cast("int") + 1, (F.col("n") + length - 1).cast("int"))
-    raw = kinds.join(t, same_row(kinds, t)).select("gram", "context", cut.alias("raw")).dropDuplicates(["gram", "context"])
-    raw = saved(raw.join(many, "gram"))
-    narrow = _by_suffix_array(raw.filter(F.col("kinds") <= wide), length)
-    counted = _by_counting(raw.filter(F.col("kinds") > wide), length)
-    copied = kinds.filter("times > 1").select("gram", "context", F.lit(0).cast("long").alias("first"), "n")
-    repeats = narrow.union(counted).union(copied).groupBy("gram", "context").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
 
-    some = mixed.select("doc_id", "twin", "at", "gram", "context").join(repeats, ["gram", "context"])
-    some = some.select("doc_id", "twin", F.explode("runs").alias("r"), "at")
-    some = some.select("doc_id", "twin", (F.col("at") + F.col("r.first")).alias("a"), F.col("r.n").alias("n"))
-    all_ = shared.filter("not several").select("doc_id", "twin", F.col("at").alias("a"), "n")
-    found = some.union(all_).select("doc_id", "twin", F.struct(F.col("a").alias("start"), (F.col("a") + F.col("n") + length - 1).alias("end")).alias("span"))
-    return found.groupBy("doc_id", "twin").agg(F.collect_set("span").alias("spans"))
+    def contexts(which: DataFrame) -> DataFrame:
+        found = kinds.join(which, "gram").join(owned(docs), ["owner", "twin"]).select("owner", "twin", "gram", "context", cut.alias("raw"))
+        return found.groupBy("owner", "twin", "gram", "context").agg(F.first("raw").alias("raw"))  # repeated rows once
+
+    narrow = _by_suffix_array(contexts(many.filter(F.col("kinds") <= wide)), length)
+    repeats = narrow.union(kinds.filter("times > 1").select("gram", "context", F.lit(0).cast("long").alias("first"), "n"))
+    crowded = saved(many.filter(F.col("kinds") > wide))
+    if not crowded.isEmpty():
+        repeats = repeats.union(_by_counting(contexts(crowded), length))
+    repeats = repeats.groupBy("gram", "context").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+
+    some = mixed.select("owner", "twin", "at", "gram", "context").join(repeats, ["gram", "context"])
+    some = some.select("owner", "twin", F.explode("runs").alias("r"), "at")
+    some = some.select("owner", "twin", (F.col("at") + F.col("r.first")).alias("a"), F.col("r.n").alias("n"))
+    all_ = shared.filter("not several").select("owner", "twin", F.col("at").alias("a"), "n")
+    found = some.union(all_).select("owner", "twin", F.struct(F.col("a").alias("start"), (F.col("a") + F.col("n") + length - 1).alias("end")).alias("span"))
+    return found.groupBy("owner", "twin").agg(F.collect_set("span").alias("spans"))
 
 
 def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -335,8 +351,8 @@ def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:
             arrays = [pa.array([r[i] for r in out], k) for i, k in enumerate(types)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    t = texts(docs)
-    rows = t.join(found, same_row(t, found), "left").select(t["doc_id"], F.col("text").cast("binary"), "spans")
+    rows = owned(docs).join(found, ["owner", "twin"], "left")
+    rows = rows.select(F.nullif("owner", F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary"), "spans")
     return rows.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
