@@ -47,7 +47,7 @@ def of(df, **kw):
     return plain(sd.cut_out(df, sd.spans(df, **kw)))
 
 
-@pytest.mark.parametrize("wide", [4096, 5])
+@pytest.mark.parametrize("wide", [1024, 5])
 def test_all_strings_that_repeat(spark, wide):
     rows = rows_with_passages()
     assert of(spark.createDataFrame(rows, SCHEMA).repartition(4), wide=wide) == brute(rows)

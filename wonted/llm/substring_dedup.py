@@ -87,13 +87,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """owner, twin, at (first window), n (windows), gram, context."""
-    names = ["owner", "twin", "at", "n", "gram", "context"]
+    """owner, twin, gram, context, n (windows), places (of the first windows): one row per kind of run in a document,
+    so a text that repeats a phrase over and over has few rows."""
+    names = ["owner", "twin", "gram", "context", "n", "places"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(batch, rows, at, n, gram, context):
-            rows = pa.array(rows)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, (at, n, gram, context))], names=names)
+        def out(batch, doc, at, n, gram, context):
+            order = np.lexsort((at, context, gram, doc))
+            doc, at, n, gram, context = (x[order] for x in (doc, at, n, gram, context))
+            fresh = np.ones(len(doc), bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
+            one = np.flatnonzero(fresh)
+            places = pa.ListArray.from_arrays(pa.array(np.append(one, len(doc)), pa.int32()), pa.array(at))
+            rows = pa.array(doc[one])
+            arrays = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x[one]) for x in (gram, context, n)), places]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
@@ -108,7 +116,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     doc, at, *run = anchors(data[x:y], np.array([0, y - x]), length)
                     yield out(batch, doc + a, at + x - off[0], *run)
 
-    return owned(docs).mapInArrow(work, ", ".join(f"{c} long" for c in names))
+    return owned(docs).mapInArrow(work, "owner long, twin long, gram long, context long, n long, places array<long>")
 
 
 # ---- suffix arrays -------------------------------------------------------------------------------
@@ -253,7 +261,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---- the operator --------------------------------------------------------------------------------
 
 
-def _by_suffix_array(contexts: DataFrame, length: int, batch_bytes: int = 2 << 20) -> DataFrame:
+def _by_suffix_array(contexts: DataFrame, length: int, batch_bytes: int = 1 << 19) -> DataFrame:
     """gram, context, first, n: runs of repeated windows in the contexts of one gram (all in one task)."""
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
@@ -296,16 +304,16 @@ def _by_counting(contexts: DataFrame, length: int) -> DataFrame:
     return windows.join(often, ["h1", "h2"]).select("gram", "context", "first", F.lit(1).cast("long").alias("n"))
 
 
-def spans(docs: DataFrame, length: int = 400, wide: int = 4096) -> DataFrame:
+def spans(docs: DataFrame, length: int = 400, wide: int = 1024) -> DataFrame:
     """owner, twin, spans: (start, end) byte ranges that repeat, unmerged, for every document that has any."""
     rows = anchor_rows(docs, length)
-    grams = rows.groupBy("gram").agg(F.count("*").alias("times"), F.min("context").alias("least"), F.max("context").alias("most"))
+    grams = rows.groupBy("gram").agg(F.sum(F.size("places")).alias("times"), F.min("context").alias("least"), F.max("context").alias("most"))
     # written first: then a hot gram's side of the join can be split
     grams = saved(grams.filter("times > 1").select("gram", (F.col("least") != F.col("most")).alias("several")))
     shared = saved(rows.join(grams, "gram"))
 
     mixed = shared.filter("several")
-    kinds = mixed.groupBy("gram", "context").agg(F.min(F.struct("owner", "twin", "at", "n")).alias("one"), F.count("*").alias("times"))
+    kinds = mixed.groupBy("gram", "context").agg(F.min(F.struct("owner", "twin", F.col("places")[0].alias("at"), "n")).alias("one"), F.sum(F.size("places")).alias("times"))
     kinds = saved(kinds.select("gram", "context", "times", "one.*"))
     many = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
     cut = F.substring(F.col("text").cast("binary"), F.col("at").cast("int") + 1, (F.col("n") + length - 1).cast("int"))
@@ -321,11 +329,12 @@ def spans(docs: DataFrame, length: int = 400, wide: int = 4096) -> DataFrame:
         repeats = repeats.union(_by_counting(contexts(crowded), length))
     repeats = repeats.groupBy("gram", "context").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
 
-    some = mixed.select("owner", "twin", "at", "gram", "context").join(repeats, ["gram", "context"])
-    some = some.select("owner", "twin", F.explode("runs").alias("r"), "at")
-    some = some.select("owner", "twin", (F.col("at") + F.col("r.first")).alias("a"), F.col("r.n").alias("n"))
-    all_ = shared.filter("not several").select("owner", "twin", F.col("at").alias("a"), "n")
-    found = some.union(all_).select("owner", "twin", F.struct(F.col("a").alias("start"), (F.col("a") + F.col("n") + length - 1).alias("end")).alias("span"))
+    some = mixed.select("owner", "twin", "places", "gram", "context").join(repeats, ["gram", "context"])
+    all_ = shared.filter("not several").select("owner", "twin", "places", F.array(F.struct(F.lit(0).cast("long").alias("first"), "n")).alias("runs"))
+    found = some.select("owner", "twin", "places", "runs").union(all_)
+    found = found.select("owner", "twin", F.explode("places").alias("at"), "runs").select("owner", "twin", "at", F.explode("runs").alias("r"))
+    found = found.select("owner", "twin", (F.col("at") + F.col("r.first")).alias("a"), F.col("r.n").alias("n"))
+    found = found.select("owner", "twin", F.struct(F.col("a").alias("start"), (F.col("a") + F.col("n") + length - 1).alias("end")).alias("span"))
     return found.groupBy("owner", "twin").agg(F.collect_set("span").alias("spans"))
 
 
