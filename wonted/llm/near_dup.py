@@ -44,6 +44,9 @@ RATE = 20.0  # rate a of the exponential variates: keeps registers of any set ab
 MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+EDGES_PER_TASK = 100_000
+
+
 # ---- sketches ------------------------------------------------------------------------------------
 
 
@@ -197,13 +200,14 @@ def components(links: DataFrame) -> DataFrame:
         if mark == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b")).distinct()
         state = mark
+        tasks = max(1, -(-mark[0] // EDGES_PER_TASK))  # few edges need few tasks, and few files between them
+        edges = edges.coalesce(tasks)
         both = edges.union(edges.select("b", "a"))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(lowest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = both.join(lowest, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = saved(small.union(lowest.select("a", "m")).distinct())
+        edges = saved(small.union(lowest.select("a", "m")).coalesce(tasks).distinct().coalesce(tasks))
 
 
 # ---- the operator --------------------------------------------------------------------------------
