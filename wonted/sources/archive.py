@@ -48,13 +48,30 @@ def _decoded(part, limit: int) -> tuple[int | None, str | None]:
         return len(body), body.decode("utf-8", errors="replace")
 
 
+def _clean(value) -> str | None:
+    """Header objects and undecodable bytes as plain text."""
+    return None if value is None else str(value).encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+
+
+def _headers(msg, name: str) -> list[str]:
+    """Decoded values of a header; the raw text where it cannot be parsed."""
+    try:
+        return [_clean(v) for v in msg.get_all(name, [])]
+    except Exception:
+        return [_clean(v) for k, v in msg.raw_items() if k.lower() == name.lower()]
+
+
 def _columns(raw: bytes, limit: int) -> dict:
     """Header and structure columns of one message; every later rule is a Spark expression."""
-    from email import message_from_bytes
+    from email import message_from_bytes, policy
     from email.utils import getaddresses, parseaddr
 
-    msg = message_from_bytes(raw)
-    name, addr = parseaddr(msg.get("From", ""))
+    msg = message_from_bytes(raw, policy=policy.default)
+
+    def first(header: str) -> str | None:
+        return next(iter(_headers(msg, header)), None)
+
+    name, addr = parseaddr(first("From") or "")
     parts = []
     for part in msg.walk():
         if part.is_multipart():
@@ -65,7 +82,7 @@ def _columns(raw: bytes, limit: int) -> dict:
                 "maintype": part.get_content_maintype(),
                 "subtype": part.get_content_subtype(),
                 "disposition": (part.get_content_disposition() or "").lower(),
-                "filename": part.get_filename(),
+                "filename": _clean(part.get_filename()),
                 "size": size,
                 "text": text,
             }
@@ -73,14 +90,14 @@ def _columns(raw: bytes, limit: int) -> dict:
     return {
         "from_name": name,
         "from_addr": addr,
-        "reply_to_addr": parseaddr(msg.get("Reply-To", ""))[1],
-        "to_addrs": [a for _, a in getaddresses(msg.get_all("To", []))],
-        "cc_addrs": [a for _, a in getaddresses(msg.get_all("Cc", []))],
-        "date_hdr": msg.get("Date"),
-        "message_id_hdr": msg.get("Message-ID"),
-        "in_reply_to_hdr": msg.get("In-Reply-To"),
-        "references_hdr": msg.get("References"),
-        "auth_results_hdr": msg.get("Authentication-Results"),
+        "reply_to_addr": parseaddr(first("Reply-To") or "")[1],
+        "to_addrs": [a for _, a in getaddresses(_headers(msg, "To"))],
+        "cc_addrs": [a for _, a in getaddresses(_headers(msg, "Cc"))],
+        "date_hdr": first("Date"),
+        "message_id_hdr": first("Message-ID"),
+        "in_reply_to_hdr": first("In-Reply-To"),
+        "references_hdr": first("References"),
+        "auth_results_hdr": first("Authentication-Results"),
         "size_bytes": len(raw),
         "parts": parts,
     }
