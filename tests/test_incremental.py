@@ -1,8 +1,12 @@
 """Arrival order in batches against brute force, repeated batches, and equality with a replay."""
 
+import time
+
 import pytest
 from brute import Mailbox
 from mailboxes import frame, random_mailbox
+from pyspark.sql import types as T
+from test_ingest import COLUMNS, row
 from test_replay import TINY, same
 
 from wonted.config import SkewPolicy
@@ -12,7 +16,16 @@ from wonted.operators.skew import find_hot_keys
 from wonted.plans.rebuild import replay
 from wonted.sources import facts
 from wonted.sources.facts import prepare
-from wonted.streaming.incremental import late_senders, replay_store, score_batch
+from wonted.streaming.incremental import (
+    current_messages,
+    file_stream,
+    late_senders,
+    rebuild_store,
+    renumbered_folders,
+    replay_store,
+    score_batch,
+    score_stream,
+)
 from wonted.streaming.store import Store
 
 
@@ -86,3 +99,63 @@ def test_arrival_credits_with_very_late_rows(spark, policy):
         assert {(r["thread_id"], r["sender"]): (r["kind"], r["at"]) for r in got} == want
 
 
+
+
+def landed_mail(uid, folder="INBOX", generation=1, served=True, deleted=False, role="inbox", sender=None, msg_id=None):
+    sender = f"p{uid % 3}@acme-corp.com" if sender is None else sender
+    return row(uid, sender, folder, role, generation, served=served)[:5] + (msg_id or uid,) + row(uid, sender)[6:18] + (served, deleted)
+
+
+def land_files(spark, folder, *files):
+    for f in files:
+        spark.createDataFrame(list(f), COLUMNS + ", deleted boolean").coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(1.1)  # the source takes files by time of change
+
+
+def stream(spark, tmp_path, mine):
+    schema = T.StructType.fromDDL(COLUMNS + ", deleted boolean")
+    source = file_stream(spark, str(tmp_path / "landed"), schema, files_per_batch=1)
+    score_stream(source, str(tmp_path / "store"), str(tmp_path / "offsets"), mine=mine).awaitTermination()
+    store = Store(spark, str(tmp_path / "store"))
+    return store, sorted((r["folder"], r["generation"], r["uid"]) for r in current_messages(store).collect())
+
+
+@pytest.fixture
+def mine(spark):
+    return spark.createDataFrame([(1, "me@x.org")], "account_id bigint, email_norm string")
+
+
+def test_stream_of_landed_files(spark, tmp_path, mine):
+    """Interleaved ids in files taken one by one, a gap that is filled, one that is deleted, rows listed again."""
+    m = landed_mail
+    land_files(spark, tmp_path / "landed", [m(1), m(3), m(5), m(7)], [m(2), m(4), m(6), m(8), m(3)])
+    store, got = stream(spark, tmp_path, mine)
+    assert got == [("INBOX", 1, u) for u in range(1, 9)]
+    files = [m(9, served=False), m(10), m(11, sender=""), m(20, "Odd", role="strange")], [m(12), m(30, "Old")]
+    land_files(spark, tmp_path / "landed", *files)
+    assert stream(spark, tmp_path, mine)[1] == got + [("Old", 1, 30)]  # nothing behind the gap
+    land_files(spark, tmp_path / "landed", [m(9), m(11, served=False), m(13, served=False), m(14)])
+    filled = [("INBOX", 1, u) for u in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12)]
+    assert stream(spark, tmp_path, mine)[1] == filled + [("Old", 1, 30)]  # a served row stays served; 13 is a new gap
+    land_files(spark, tmp_path / "landed", [m(11, served=False), m(13, deleted=True)])
+    store, got = stream(spark, tmp_path, mine)
+    assert got == [*filled, ("INBOX", 1, 14), ("Old", 1, 30)]
+    scores = store.rows("message_scores")
+    assert scores.count() == scores.select("msg_id").distinct().count() == len(got)
+    assert renumbered_folders(store).isEmpty()
+
+
+def test_stream_with_a_renumbered_folder(spark, tmp_path, mine):
+    m = landed_mail
+    one = [m(u, sender="ann@acme-corp.com") for u in (1, 2, 3)] + [m(9, "Other", sender="ann@acme-corp.com", msg_id=9)]
+    two = [m(u, generation=2, sender="ann@acme-corp.com", msg_id=10 + u) for u in (1, 2, 3)]
+    late = [m(4, generation=1, sender="ann@acme-corp.com", msg_id=20)]
+    land_files(spark, tmp_path / "landed", one, two, late)
+    store, got = stream(spark, tmp_path, mine)
+    assert got == [("INBOX", 2, 1), ("INBOX", 2, 2), ("INBOX", 2, 3), ("Other", 1, 9)]
+    assert [(r["folder"], r["generation"]) for r in renumbered_folders(store).collect()] == [("INBOX", 2)]
+    again = {r["msg_id"]: r["baseline_n"] for r in replay_store(store, names=("cold_links",)).scores.collect()}
+    new = rebuild_store(store, str(tmp_path / "rebuilt"), 2)
+    fresh = {r["msg_id"]: r["baseline_n"] for r in new.rows("message_scores").collect()}
+    assert fresh == {9: 0, 11: 1, 12: 2, 13: 3} and set(again) == set(fresh) and sorted(again.values()) == [0, 1, 2, 3]
+    assert renumbered_folders(new).isEmpty()

@@ -8,7 +8,7 @@ from wonted.config import SkewPolicy
 from wonted.plans.rebuild import replay
 from wonted.sources.facts import prepare
 
-TINY = SkewPolicy(hot_rows=8, chunk_rows=3, id_block=4, max_salts=4)
+TINY = SkewPolicy(hot_rows=8, chunk_rows=3, id_block=4)
 
 
 def merged(seeds, **kw):

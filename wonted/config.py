@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field, replace
 
+from wonted.functions.domains import DEFAULT_SUFFIXES, SuffixRules
+
 DAY = 86400
 
 # Feature name, weight at raw = 1.0, group.  The order is the order of the score sum.
@@ -46,9 +48,10 @@ SENT_NAMES = ("Sent Messages", "[Gmail]/Sent Mail", "Sent Items", "Sent")
 
 @dataclass(frozen=True)
 class Registry:
-    """Weights and thresholds of the scoring rules.
+    """Weights and thresholds of the scoring rules, and the public-suffix rules behind every registrable domain.
 
-    ``version`` is stored with every score, so a changed registry makes old scores detectable.
+    ``version`` is stored with every score, so a changed registry makes old scores detectable.  Give the same
+    registry to every step, from landed rows to reports.
     """
 
     version: str = "1.0.0"
@@ -70,6 +73,7 @@ class Registry:
     max_text_bytes: int = 1024 * 1024
     listing_default: int = 200
     listing_max: int = 1000
+    suffixes: SuffixRules = DEFAULT_SUFFIXES
 
     def changed(self, **changes) -> Registry:
         """A registry with other weights or thresholds and a version stamp derived from them."""
@@ -86,16 +90,16 @@ DEFAULT_REGISTRY = Registry()
 class SkewPolicy:
     """When and how one key's rows are split over several tasks.
 
-    At most ``max_hot_keys`` keys are listed (and broadcast).  A key that is not listed holds at most
-    rows / (max_hot_keys + 1) rows, so leaving it whole is safe; results never depend on the list.
-    A lookup table counted to have at most ``broadcast_rows`` rows is broadcast.
+    Keys with more than ``hot_rows`` rows are listed and broadcast.  There are fewer than rows / ``hot_rows`` of
+    them; where that could exceed ``listed_keys``, the threshold rises to rows / ``listed_keys``, so the list is
+    never cut.  Results never depend on it.  A lookup table counted to have at most ``broadcast_rows`` rows is
+    broadcast.
     """
 
     hot_rows: int = 2_000_000
     chunk_rows: int = 500_000
     id_block: int = 1 << 19
-    max_hot_keys: int = 10_000
-    max_salts: int = 256
+    listed_keys: int = 1_000_000
     sample_target: int = 50_000_000
     broadcast_rows: int = 200_000
 

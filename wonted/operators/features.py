@@ -69,7 +69,7 @@ def reply_to_divergence(r: Registry):
 
 
 def embedded_addr_mismatch(r: Registry):
-    domain = reg_domain_of_clean(address_domain("e"))
+    domain = reg_domain_of_clean(address_domain("e"), r.suffixes)
     first = f"get(filter({emails_in_text('from_display_name')}, e -> {domain} <> rd), 0)"
     words = say("display name shows '", f"={first}", "' but real sender is <", "=sender", ">")
     # the cheap test keeps ordinary names away from the pattern

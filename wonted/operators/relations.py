@@ -87,14 +87,15 @@ def first_credit(events: DataFrame) -> DataFrame:
     )
 
 
-SENDER_DOMAIN = reg_domain_of_clean(address_domain("sender"))
+def sender_domain(registry: Registry = DEFAULT_REGISTRY) -> str:
+    return reg_domain_of_clean(address_domain("sender"), registry.suffixes)
 
 
-def domain_replies(credits: DataFrame) -> DataFrame:
+def domain_replies(credits: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
     """Per domain the first "replied" credit and their number."""
     return (
         credits.filter("kind = 'replied'")
-        .selectExpr(f"{SENDER_DOMAIN} AS rd", "pos")
+        .selectExpr(f"{sender_domain(registry)} AS rd", "pos")
         .groupBy("rd")
         .agg(F.min("pos").alias("reply_pos"), F.count(F.lit(1)).alias("n_replied_threads"))
     )
@@ -151,10 +152,10 @@ def activations(incoming: DataFrame, credits: DataFrame, order: list[str], **opt
     return join_activations(one_way_positions(incoming, order, **options), credits)
 
 
-def domain_trust(acts: DataFrame) -> DataFrame:
+def domain_trust(acts: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
     """Per domain the first moment one of its senders reached tier 2."""
     return (
-        acts.selectExpr(f"{SENDER_DOMAIN} AS rd", "pos2").groupBy("rd").agg(F.min("pos2").alias("trust_pos"))
+        acts.selectExpr(f"{sender_domain(registry)} AS rd", "pos2").groupBy("rd").agg(F.min("pos2").alias("trust_pos"))
     )
 
 
@@ -175,7 +176,7 @@ def current_tiers(
         F.max("pos").alias("last_pos"),
     )
     credited = credits.select("sender").distinct().selectExpr("sender", "true AS credited")
-    everyone = seen.join(credited, "sender", "full").selectExpr("*", f"{SENDER_DOMAIN} AS rd")
+    everyone = seen.join(credited, "sender", "full").selectExpr("*", f"{sender_domain(registry)} AS rd")
     known = salted_left_join(
         everyone, replies.select("rd", "reply_pos"), "rd", "sender", hot.get("rd"), policy
     )

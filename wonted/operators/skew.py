@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wonted.config import DEFAULT_SKEW, SkewPolicy
+from wonted.session import checkpointed
 
 
 class HotKeys:
@@ -35,7 +36,7 @@ def find_hot_keys(
 
     A table smaller than that has no hot key and costs one count.  A very large table is measured on
     a hash sample of row ids: the list steers the physical plan only, results never depend on it.
-    At most ``max_hot_keys`` rows reach the driver.
+    The list stays on the cluster; the driver sees one count per column.
     """
     rows = df.count()
     if rows <= policy.hot_rows:
@@ -45,28 +46,23 @@ def find_hot_keys(
     entries = F.array(
         *[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("key")) for c in columns]
     )
-    found = (
+    found = checkpointed(
         sample.select(F.explode(entries).alias("e"), F.col(time).cast("bigint").alias("t"))
         .filter("e.key IS NOT NULL")
         .groupBy("e.kind", "e.key")
         .agg(
             (F.count(F.lit(1)) * modulus).alias("n"),
-            F.min(F.nullif("t", F.lit(0))).alias("lo"),
+            F.coalesce(F.min(F.nullif("t", F.lit(0))), F.lit(0)).alias("lo"),
             F.max("t").alias("hi"),
         )
-        .filter(F.col("n") > policy.hot_rows)
-        .orderBy(F.desc("n"), "kind", "key")
-        .limit(policy.max_hot_keys)
-        .collect()
+        .filter(F.col("n") > max(policy.hot_rows, rows // policy.listed_keys))
     )
-    spark, frames = df.sparkSession, {}
-    for c in columns:
-        mine = [(r["key"], r["n"], r["lo"] or 0, r["hi"]) for r in found if r["kind"] == c]
-        if mine:
-            kind = df.schema[c].dataType.simpleString()
-            frames[c] = spark.createDataFrame(
-                mine, "key string, n bigint, lo bigint, hi bigint"
-            ).withColumn("key", F.col("key").cast(kind))
+    kinds = {r["kind"] for r in found.select("kind").distinct().collect()}
+    frames = {
+        c: found.filter(F.col("kind") == c).select(F.col("key").cast(df.schema[c].dataType).alias("key"), "n", "lo", "hi")
+        for c in columns
+        if c in kinds
+    }
     return HotKeys(frames, rows)
 
 
@@ -82,7 +78,7 @@ def salted_left_join(
     and the single right row of such a key is repeated once per salt."""
     if hot is None:
         return left.join(right, key, "left")
-    salts = F.least(F.ceil(F.col("n") / policy.chunk_rows), F.lit(policy.max_salts)).cast("int")
+    salts = F.ceil(F.col("n") / policy.chunk_rows).cast("int")  # all keys together: rows / chunk_rows copies
     h = F.broadcast(hot.select(F.col("key").alias(key), salts.alias("_salts")))
     many = F.coalesce("_salts", F.lit(1))
     salted = left.join(h, key, "left").withColumn(
@@ -120,20 +116,18 @@ def chunk_columns(
     h = F.broadcast(hot.select(F.col("key").alias(key), F.col("lo").alias("_lo"), width.alias("_w")))
     block = F.floor((F.col(time) - F.col("_lo")) / F.col("_w")).cast("bigint")
     df = df.join(h, key, "left").withColumn("_b", block)
-    crowded = (
+    # fewer than half as many crowded blocks as chunks, and never more than the policy lists
+    total = hot.agg(F.sum("n")).first()[0]
+    crowded = checkpointed(
         df.filter("_b IS NOT NULL")
         .groupBy(key, "_b")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > 2 * policy.chunk_rows)
-        .orderBy(F.desc("_n"), key, "_b")
-        .limit(policy.max_hot_keys)
+        .filter(F.col("_n") > max(2 * policy.chunk_rows, total // policy.listed_keys))
         .select(key, "_b")
     )
-    rows = crowded.collect()
     coarse = F.array("_b")
-    if rows:
-        listed = df.sparkSession.createDataFrame(rows, crowded.schema)
-        df = df.join(F.broadcast(listed.withColumn("_crowded", F.lit(True))), [key, "_b"], "left")
+    if not crowded.isEmpty():
+        df = df.join(F.broadcast(crowded.withColumn("_crowded", F.lit(True))), [key, "_b"], "left")
         last = F.floor(F.col(order[-1]) / policy.id_block).cast("bigint")
         fine = F.array("_b", *[F.col(c).cast("bigint") for c in order[:-1]], last)
         coarse = F.when(F.col("_crowded"), fine).otherwise(coarse)

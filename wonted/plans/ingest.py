@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
+from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, FOLDER_ROLES, Registry, SkewPolicy
+from wonted.functions.sql import one_of
 from wonted.session import checkpointed
 from wonted.sources import landed as landed_
 from wonted.sources.landed import RunStats
@@ -14,10 +16,14 @@ from wonted.sources.landed import RunStats
 
 @dataclass
 class IngestRun:
-    """Result of a run; ``facts`` and ``folders`` replace what was stored before."""
+    """Result of a run: all facts, the new ones, the folders read anew and the folder state.
+
+    ``sources.tables.write_run`` stores it.
+    """
 
     facts: DataFrame
     new_facts: DataFrame
+    invalid: DataFrame
     folders: DataFrame
     stats: RunStats
 
@@ -36,19 +42,21 @@ def ingest(
 
     ``landed`` has the rows the source lists, with ``served`` false where the content was missing.
     ``folders`` is the stored state (account_id, folder, role, generation, last_seen_uid).  A folder
-    whose generation changed loses its facts and starts again.  Rows without a sender are not stored,
-    but the mark moves past them.
+    whose generation changed loses its facts and starts again; rows of older generations, which a table that
+    is only appended to still lists, are stale.  Rows of folders without a known role are left out.  Rows
+    without a sender are not stored, but the mark moves past them.
     """
     rows = landed if "served" in landed.columns else landed.selectExpr("*", "true AS served")
-    listed = rows.selectExpr("account_id", "folder", "folder_role AS role", "generation").distinct()
-    state = landed_.valid_folders(landed_.known_folders(folders, listed))
-    invalid = landed_.invalidated_folders(state, listed)
-    before = facts
-    if facts is not None:
-        before, state = landed_.drop_invalidated(facts, state, listed)
-    else:
-        _, state = landed_.drop_invalidated(invalid, state, listed)
-    state = checkpointed(state)  # a row per folder, read by every step below
+    rows = rows.filter(one_of("folder_role", FOLDER_ROLES))
+    listed = rows.groupBy("account_id", "folder").agg(
+        F.max_by("folder_role", "generation").alias("role"), F.max("generation").alias("generation")
+    )
+    listed = checkpointed(listed)  # a row per folder, like the state; read by every step below
+    rows = landed_.current_rows(rows, listed, policy)
+    known = landed_.valid_folders(landed_.known_folders(folders, listed))
+    invalid = checkpointed(landed_.invalidated_folders(known, listed))
+    state = checkpointed(landed_.reset_folders(known, invalid))
+    before = facts if facts is None else landed_.without_folders(facts, invalid)
     unseen = landed_.unseen_rows(rows, state, policy)
     accepted = landed_.contiguous_prefix(unseen, policy)
     # stored once: counted here, written by the caller
@@ -56,6 +64,7 @@ def ingest(
     return IngestRun(
         facts=new if before is None else before.unionByName(new, allowMissingColumns=True),
         new_facts=new,
+        invalid=invalid,
         folders=checkpointed(landed_.advanced_marks(state, accepted)),
         stats=landed_.run_stats(unseen, new, state, invalid),
     )

@@ -43,7 +43,7 @@ def query(f: Query) -> Query:
 
 
 def mail(spark: SparkSession, folder: str) -> DataFrame:
-    return facts.prepare(shaped.mail_events(read(spark, folder, "events")), ascii_names=True)
+    return facts.prepare(shaped.mail_events(read(spark, folder, "events")))
 
 
 def incoming(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +101,7 @@ def embedded_addr_mismatch(spark, folder):
 @query
 def dormant_resurrection(spark, folder):
     """The silence rule over several years of orders (any other flag is taken as given)."""
-    m = facts.prepare(shaped.mail_orders(read(spark, folder, "orders")), ascii_names=True)
+    m = facts.prepare(shaped.mail_orders(read(spark, folder, "orders")))
     times = baseline.prior_state(m.select("sender", "t", "msg_id", "sent_at"), ORDER, only=baseline.TIMES)
     r = DEFAULT_REGISTRY
     return (
@@ -204,7 +204,7 @@ def reply_credits(spark, folder):
 
 @query
 def conversation_credits(spark, folder):
-    m = facts.prepare(shaped.mail_conversations(read(spark, folder, "conversations")), ascii_names=True)
+    m = facts.prepare(shaped.mail_conversations(read(spark, folder, "conversations")))
     return flat_credits(relations.reply_credits(facts.incoming(m), facts.outgoing(m)))
 
 
@@ -580,7 +580,7 @@ def stream_score(spark, folder):
         shaped.mail_events(events.filter(arrived)).write.mode("append").parquet(f"{base}/landed")
         schema = spark.read.parquet(f"{base}/landed").schema
         stream = incremental.file_stream(spark, f"{base}/landed", schema)
-        job = incremental.score_stream(stream, f"{base}/store", f"{base}/offsets", ascii_names=True)
+        job = incremental.score_stream(stream, f"{base}/store", f"{base}/offsets")
         job.awaitTermination()
     return Store(spark, f"{base}/store").rows("message_scores").drop("batch_id")
 

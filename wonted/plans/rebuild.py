@@ -74,7 +74,7 @@ def replay(
     )
     out = facts_.outgoing(facts)
     credits = keep(relations.reply_credits(inc, out, **common))
-    replies = relations.domain_replies(credits)
+    replies = relations.domain_replies(credits, registry)
     acts = keep(relations.activations(inc, credits, ORDER, registry=registry, **common))
     values, named = keep(baseline.sender_values(inc)), keep(baseline.sender_names(inc))
     scored = judge(
@@ -104,7 +104,7 @@ def sender_context(
     senders = inc.select("sender", "rd").distinct().join(acts.select("sender", "pos3"), "sender", "left")
     per_domain = replies.select("rd", "reply_pos")
     if lookalikes:
-        trust = relations.domain_trust(acts)
+        trust = relations.domain_trust(acts, registry)
         domains = inc.select("rd").distinct().join(trust, "rd", "full")
         alike = lookalike.lookalikes(domains, registry)
         per_domain = domains.join(per_domain, "rd", "left").join(alike, "rd", "left")

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wonted.functions.domains import DEFAULT_SUFFIXES, SuffixRules, is_freemail, reg_domain_of_clean
+from wonted.config import DEFAULT_REGISTRY, Registry
+from wonted.functions.domains import is_freemail, reg_domain_of_clean
 from wonted.functions.position import position
 from wonted.functions.text import (
     address_domain,
-    display_name_ascii,
     normalize_display_name,
     skeleton,
-    skeleton_ascii,
 )
 
 # Columns of the fact with the type and value used when a source does not have them.
@@ -45,13 +44,12 @@ def prepare(
     messages: DataFrame,
     *,
     order_by: str = "sent_at",
-    ascii_names: bool = False,
-    rules: SuffixRules = DEFAULT_SUFFIXES,
+    registry: Registry = DEFAULT_REGISTRY,
 ) -> DataFrame:
     """Complete a message table with missing columns and the derived ones used by the operators.
 
     ``order_by`` is "sent_at" to replay history in time order or "msg_id" for order of arrival.
-    ``ascii_names`` promises ASCII display names, which keeps the projection out of Python.
+    Names are folded in the JVM where they are ASCII; only the others reach Python.
     """
     kept = list(messages.columns)
     missing = [f"cast({_value(v)} AS {t}) AS {c}" for c, (t, v) in DEFAULTS.items() if c not in kept]
@@ -59,17 +57,13 @@ def prepare(
     m = messages.selectExpr("*", *missing).selectExpr(
         "*",
         "from_email_norm AS sender",
-        f"{reg_domain_of_clean(address_domain('from_email_norm'), rules)} AS rd",
-        f"{reg_domain_of_clean(address_domain('reply_to_email_norm'), rules)} AS reply_rd",
+        f"{reg_domain_of_clean(address_domain('from_email_norm'), registry.suffixes)} AS rd",
+        f"{reg_domain_of_clean(address_domain('reply_to_email_norm'), registry.suffixes)} AS reply_rd",
         "coalesce(array_size(attachments), 0) AS n_attachments",
         f"{N_LINKS} AS n_links",
         f"{t} AS t",
         f"{position(t, 'bigint(msg_id)')} AS pos",
     )
-    if ascii_names:
-        return m.selectExpr(
-            "*", f"nullif({display_name_ascii('from_display_name')}, '') AS name_norm"
-        ).selectExpr("*", f"{skeleton_ascii('name_norm')} AS name_skel")
     named = m.withColumn("name_norm", F.nullif(normalize_display_name("from_display_name"), F.lit("")))
     return named.withColumn("name_skel", skeleton("name_norm"))
 
@@ -91,7 +85,7 @@ def outgoing(facts: DataFrame) -> DataFrame:
     )
 
 
-def sender_dimension(facts: DataFrame) -> DataFrame:
+def sender_dimension(facts: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
     """Every address seen as incoming sender or outgoing recipient, with first and last time.
 
     Domain columns are computed once per distinct address.
@@ -102,7 +96,7 @@ def sender_dimension(facts: DataFrame) -> DataFrame:
         facts.selectExpr(f"explode({seen}) AS email_norm", "sent_at")
         .groupBy("email_norm")
         .agg(F.min("sent_at").alias("first_seen_at"), F.max("sent_at").alias("last_seen_at"))
-        .selectExpr("*", f"{domain} AS domain", f"{reg_domain_of_clean(domain)} AS reg_domain")
+        .selectExpr("*", f"{domain} AS domain", f"{reg_domain_of_clean(domain, registry.suffixes)} AS reg_domain")
         .withColumn("reg_domain_skeleton", skeleton("reg_domain"))
         .selectExpr(
             "email_norm", "domain", "reg_domain", "reg_domain_skeleton",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wonted.config import AUTH_METHODS, DEFAULT_REGISTRY, DEFAULT_SKEW, FOLDER_ROLES, Registry, SkewPolicy
-from wonted.functions.domains import DEFAULT_SUFFIXES, SuffixRules, link_domain_list
+from wonted.functions.domains import link_domain_list
 from wonted.functions.sql import one_of
 from wonted.functions.stats import sender_local_time
 from wonted.functions.text import auth_verdict, file_extension, message_id_list, normalize_address
@@ -80,7 +80,6 @@ def message_facts(
     *,
     structure_only: bool = False,
     registry: Registry = DEFAULT_REGISTRY,
-    rules: SuffixRules = DEFAULT_SUFFIXES,
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """Message facts of landed rows; rows without a usable From are left out.
@@ -107,7 +106,7 @@ def message_facts(
     attachment = f"coalesce({attachment}, false)"
     text = f"NOT {attachment} AND p.maintype = 'text' AND p.subtype IN ('plain', 'html')"
     too_large = f"coalesce(p.size > {registry.max_text_bytes}, false)"
-    norm = lambda a: normalize_address(a, rules)
+    norm = lambda a: normalize_address(a, registry.suffixes)
     addresses = "transform(filter(coalesce({0}, {1}), a -> a <> ''), a -> {2})"
     base = df.selectExpr(
         "account_id", "folder", "folder_role", "generation", "uid", "msg_id", "size_bytes", "from_name",
@@ -127,10 +126,18 @@ def message_facts(
         f"array_join(transform(filter(parts, p -> {text} AND NOT {too_large}), p -> coalesce(p.text, '')), "
         "'\\n') AS _text",
     ).filter("from_email_norm <> ''")
-    linked = base.selectExpr("*", f"{link_domain_list('_text', rules)} AS _links").drop("_text")
-    counts = "transform(array_distinct(_links), d -> struct(d, size(filter(_links, x -> x = d))))"
+    linked = base.selectExpr("*", f"{link_domain_list('_text', registry.suffixes)} AS _links").drop("_text")
+    # sorted links: equal ones are neighbours, so a count is the distance between two starts
+    ordered = linked.withColumn("_links", F.array_sort("_links")).withColumn(
+        "_starts", F.expr("filter(sequence(1, size(_links) + 1), i -> i > size(_links) OR i = 1 OR "
+                          "element_at(_links, i) <> element_at(_links, greatest(i - 1, 1)))")
+    )
+    counts = (
+        "transform(slice(_starts, 1, size(_starts) - 1), (s, k) -> "
+        "struct(element_at(_links, s), element_at(_starts, k + 2) - s))"
+    )
     self_sent = "array_contains(my_addrs, from_email_norm) AND NOT (auth_dmarc <=> 'fail')"
-    return linked.selectExpr(
+    return ordered.selectExpr(
         "account_id", "folder", "generation", "uid", "msg_id", "message_id", "in_reply_to", "references",
         f"if(folder_role = 'sent' OR ({self_sent}), 'out', 'in') AS direction",
         "from_email_norm", "nullif(from_name, '') AS from_display_name",
@@ -194,21 +201,34 @@ def invalidated_folders(folders: DataFrame, server: DataFrame) -> DataFrame:
     )
 
 
-def drop_invalidated(
-    facts: DataFrame, folders: DataFrame, server: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Facts without the invalidated folders, and folder state with their marks reset.
+def without_folders(facts: DataFrame, bad: DataFrame) -> DataFrame:
+    """Facts of other folders.  The anti join keeps them where they are when few folders are invalid: Spark
+    broadcasts by size."""
+    return facts.join(bad, ["account_id", "folder"], "left_anti")
 
-    The anti join keeps facts where they are when few folders are invalid: Spark broadcasts by size.
-    """
-    bad = invalidated_folders(folders, server)
-    kept = facts.join(bad, ["account_id", "folder"], "left_anti")
+
+def reset_folders(folders: DataFrame, bad: DataFrame) -> DataFrame:
+    """Folder state with the marks of some folders reset."""
     marked = bad.selectExpr("account_id", "folder", "true AS _bad")
-    reset = folders.join(marked, ["account_id", "folder"], "left").selectExpr(
+    return folders.join(marked, ["account_id", "folder"], "left").selectExpr(
         "account_id", "folder", "role", "if(_bad, NULL, generation) AS generation",
         "if(_bad, 0L, last_seen_uid) AS last_seen_uid",
     )
-    return kept, reset
+
+
+def drop_invalidated(
+    facts: DataFrame, folders: DataFrame, server: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Facts without the invalidated folders, and folder state with their marks reset."""
+    bad = invalidated_folders(folders, server)
+    return without_folders(facts, bad), reset_folders(folders, bad)
+
+
+def current_rows(landed: DataFrame, listed: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+    """Rows of the generation listed for their folder."""
+    now = listed.selectExpr(f"{FOLDER_KEY} AS folder_key", "generation AS _current")
+    keyed = landed.selectExpr("*", f"{FOLDER_KEY} AS folder_key")
+    return lookup_join(keyed, now, "folder_key", "uid", policy).filter("generation = _current").select(*landed.columns)
 
 
 def known_folders(folders: DataFrame, listed: DataFrame) -> DataFrame:

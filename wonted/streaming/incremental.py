@@ -11,34 +11,116 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
+from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, FOLDER_ROLES, Registry, SkewPolicy
+from wonted.functions.sql import one_of
 from wonted.operators import arrival, baseline, features, lookalike, relations, threads
 from wonted.operators.skew import find_hot_keys, lookup_join, salted_left_join
 from wonted.plans.rebuild import MESSAGE, Derived, replay
 from wonted.session import checkpointed
 from wonted.sources import facts as facts_
+from wonted.sources.landed import FOLDER_KEY, contiguous_prefix, message_facts
 from wonted.streaming.store import Store
 
 ORDER = ["msg_id"]
 
 
+KEY = ["account_id", "folder", "generation", "uid"]
+
+
 def new_rows(messages: DataFrame, store: Store, batch: int, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
-    """Each (account, folder, generation, uid) once, and only above the stored mark of its folder.
+    """Each (account, folder, generation, uid) once, if no earlier batch took it, in any order of uids.
 
-    The marks have one row per folder; a changed generation starts a folder anew.
+    Only the largest generation of a folder counts (numbers of a renumbered folder grow); rows of older ones
+    are stale.  Rows above the stored mark of their folder are new without a look at what is stored.
     """
-    once = messages.dropDuplicates(["account_id", "folder", "generation", "uid"])
-    key = "concat(account_id, ':', generation, ':', folder) AS folder_key"
-    marks = store.state("marks", batch).selectExpr(key, "last_seen_uid")
-    keyed = once.selectExpr("*", key)
-    joined = lookup_join(keyed, marks, "folder_key", "uid", policy)
-    return joined.filter("uid > coalesce(last_seen_uid, -1)").drop("last_seen_uid", "folder_key")
+    by = ["account_id", "folder"]
+    once = messages.dropDuplicates(KEY)
+    known = store.state("marks", batch).groupBy(*by).agg(
+        F.max("generation").alias("_known"), F.max_by("last_seen_uid", "generation").alias("_mark")
+    )
+    listed = once.groupBy(*by).agg(F.max("generation").alias("_listed"))
+    folders = listed.join(known, by, "left").selectExpr(
+        f"{FOLDER_KEY} AS folder_key", "greatest(_known, _listed) AS _current",
+        "if(_known >= _listed, _mark, NULL) AS _mark",
+    )
+    keyed = lookup_join(once.selectExpr("*", f"{FOLDER_KEY} AS folder_key"), folders, "folder_key", "uid", policy)
+    current = keyed.filter("generation = _current")
+    above = current.filter("_mark IS NULL OR uid > _mark").select(*messages.columns)
+    below = current.filter("uid <= _mark").select(*messages.columns)
+    if below.isEmpty():  # the usual case: nothing stored is read
+        return above
+    seen = store.taken(batch).join(below.select(*KEY), KEY, "left_semi")
+    return above.unionByName(below.join(seen, KEY, "left_anti"))
+
+
+def released_rows(landed: DataFrame, store: Store, batch: int, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+    """Landed rows of this batch and rows held back earlier, up to the first gap of their folder.
+
+    A row with ``served`` false is a gap: it and everything behind it in the folder are held back until the row
+    is served or listed as ``deleted``.  Rows of folders without a known role are left out.
+    """
+    served = landed if "served" in landed.columns else landed.withColumn("served", F.lit(True))
+    rows = served if "deleted" in landed.columns else served.withColumn("deleted", F.lit(False))
+    rows = rows.filter(one_of("folder_role", FOLDER_ROLES))
+    earlier = store.held(batch)
+    if earlier is not None:
+        rows = earlier.unionByName(rows)
+    best = W.partitionBy(*KEY).orderBy(F.desc("deleted"), F.desc("served"), "msg_id")
+    rows = rows.withColumn("_i", F.row_number().over(best)).filter("_i = 1 AND NOT deleted").drop("_i")
+    waiting = checkpointed(new_rows(rows, store, batch, policy))
+    released = contiguous_prefix(waiting, policy)
+    store.hold(waiting.join(released.select(*KEY), KEY, "left_anti"), batch)
+    return released
+
+
+def score_landed_batch(
+    landed: DataFrame,
+    mine: DataFrame,
+    store: Store,
+    batch: int,
+    *,
+    registry: Registry = DEFAULT_REGISTRY,
+    policy: SkewPolicy = DEFAULT_SKEW,
+    structure_only: bool = False,
+) -> DataFrame:
+    """From landed rows to scores in one step: gap rule, current generation, facts, scores."""
+    released = checkpointed(released_rows(landed, store, batch, policy))
+    facts = message_facts(released, mine, structure_only=structure_only, registry=registry, policy=policy)
+    facts = checkpointed(facts)
+    store.write("passed", released.select(*KEY).join(facts.select(*KEY), KEY, "left_anti"), batch)
+    return score_batch(facts, store, batch, registry=registry, policy=policy)
+
+
+def renumbered_folders(store: Store) -> DataFrame:
+    """Folders with facts of an older generation in the store.  Their contributions stay in the running state,
+    so a rebuild is due: ``replay_store`` and ``rebuild_store`` leave them out."""
+    marks = store.state("marks").groupBy("account_id", "folder")
+    found = marks.agg(F.min("generation").alias("oldest"), F.max("generation").alias("generation"))
+    return found.filter("oldest < generation")
+
+
+def current_messages(store: Store) -> DataFrame:
+    """Stored messages without those of older generations."""
+    stale = renumbered_folders(store).selectExpr("account_id", "folder", "generation AS _current")
+    rows = store.rows("messages").join(stale, ["account_id", "folder"], "left")
+    return rows.filter("_current IS NULL OR generation = _current").drop("_current")
+
+
+def rebuild_store(store: Store, folder: str, batch: int, **options) -> Store:
+    """A store in a new folder that holds the current messages only, scored again in order of arrival."""
+    new = Store(store.spark, folder)
+    score_batch(current_messages(store).drop("sender", "batch_id"), new, batch, **options)
+    held = store.held(batch + 1)
+    if held is not None:
+        new.hold(held, batch)
+    return new
 
 
 def with_threads(messages: DataFrame, store: Store, batch: int, policy: SkewPolicy) -> DataFrame:
     """Thread id and depth from reply headers, continuing stored threads; a given thread_id is kept."""
     if "thread_id" in messages.columns:
-        return messages.withColumn("root_key", F.lit(None).cast("string"))
+        given = "root_key" in messages.columns
+        return messages if given else messages.withColumn("root_key", F.lit(None).cast("string"))
     stored = store.rows("messages", batch)
     asked = messages.selectExpr(f"explode({threads.ANCESTORS}) AS message_id").distinct()
     known = stored.join(asked, "message_id", "left_semi").select(
@@ -60,7 +142,6 @@ def score_batch(
     *,
     registry: Registry = DEFAULT_REGISTRY,
     policy: SkewPolicy = DEFAULT_SKEW,
-    ascii_names: bool = False,
 ) -> DataFrame:
     """Judge one batch in order of arrival (msg_id) and store its facts, scores and contributions.
 
@@ -70,7 +151,7 @@ def score_batch(
         if column not in messages.columns:
             messages = messages.withColumn(column, F.expr(default))
     fresh = with_threads(new_rows(messages, store, batch, policy), store, batch, policy)
-    prepared = facts_.prepare(fresh, order_by="msg_id", ascii_names=ascii_names)
+    prepared = facts_.prepare(fresh, order_by="msg_id", registry=registry)
     prepared = checkpointed(prepared)  # read by every branch below
     hot = find_hot_keys(prepared, ["sender", "thread_id", "name_skel", "rd"], "msg_id", "msg_id", policy)
     common = {"hot": hot, "policy": policy}
@@ -95,8 +176,8 @@ def score_batch(
     acts_now = _earliest(before.unionByName(acts), "sender", "pos3", "pos2")
 
     # domains
-    fresh_domains = relations.domain_replies(credits).join(
-        relations.domain_trust(acts), "rd", "full"
+    fresh_domains = relations.domain_replies(credits, registry).join(
+        relations.domain_trust(acts, registry), "rd", "full"
     )
     domains = store.write("domains", fresh_domains, batch)
     touched = inc.select("rd").union(domains.select("rd"))
@@ -139,7 +220,7 @@ def score_batch(
         times, past.unionByName(inc.select("sender", "msg_id", "sent_at")), registry=registry, policy=policy
     )
     per_domain = domains_now.join(alike, "rd", "full")
-    context = senders.distinct().selectExpr("sender", f"{relations.SENDER_DOMAIN} AS rd")
+    context = senders.distinct().selectExpr("sender", f"{relations.sender_domain(registry)} AS rd")
     context = salted_left_join(context, per_domain, "rd", "sender", hot.get("rd"), policy).drop("rd")
     context = context.join(acts_now.select("sender", "pos3"), "sender", "left")
     judged = salted_left_join(state, context, "sender", "msg_id", hot.get("sender"), policy)
@@ -159,7 +240,9 @@ def score_batch(
     store.write("sender_hours", hours, batch)
     store.write("thread_senders", relations.thread_senders(inc), batch)
     store.write("messages", prepared, batch)
-    marks = prepared.groupBy("account_id", "folder", "generation").agg(F.max("uid").alias("last_seen_uid"))
+    passed = store.rows("passed", batch + 1).filter(F.col("batch_id") == batch)
+    took = prepared.select(*KEY).unionByName(passed.select(*KEY))
+    marks = took.groupBy("account_id", "folder", "generation").agg(F.max("uid").alias("last_seen_uid"))
     store.write("marks", marks, batch)
     return scores
 
@@ -186,10 +269,10 @@ def late_senders(store: Store) -> DataFrame:
     return inside.union(across).distinct()
 
 
-def replay_store(store: Store, *, ascii_names: bool = False, **options) -> Derived:
-    """Replay everything stored in order of time, as after a first read or late arrivals."""
-    messages = store.rows("messages").drop("sender", "batch_id", "root_key")
-    return replay(facts_.prepare(messages, ascii_names=ascii_names), **options)
+def replay_store(store: Store, *, registry: Registry = DEFAULT_REGISTRY, **options) -> Derived:
+    """Replay everything current in order of time, as after a first read, late arrivals or a renumbered folder."""
+    messages = current_messages(store).drop("sender", "batch_id", "root_key")
+    return replay(facts_.prepare(messages, registry=registry), registry=registry, **options)
 
 
 def score_stream(
@@ -197,18 +280,23 @@ def score_stream(
     store_folder: str,
     checkpoint: str,
     *,
+    mine: DataFrame | None = None,
     registry: Registry = DEFAULT_REGISTRY,
     policy: SkewPolicy = DEFAULT_SKEW,
-    ascii_names: bool = False,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Start scoring a stream of messages.  The checkpoint holds the source offsets; results are
-    exactly once because a batch replaces its own output."""
-    spark = source.sparkSession
-    store = Store(spark, store_folder)
+    """Start scoring a stream of message facts or, given the identities ``mine``, of landed rows.
+
+    The checkpoint holds the source offsets; results are exactly once because a batch replaces its own output.
+    """
+    store = Store(source.sparkSession, store_folder)
+    options = {"registry": registry, "policy": policy}
 
     def run(df: DataFrame, batch_id: int) -> None:
-        score_batch(df, store, batch_id, registry=registry, policy=policy, ascii_names=ascii_names)
+        if mine is None:
+            score_batch(df, store, batch_id, **options)
+        else:
+            score_landed_batch(df, mine, store, batch_id, **options)
 
     writer = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -17,6 +17,8 @@ from wonted.functions.position import TYPE as POSITION
 
 SCHEMAS = {
     "marks": "account_id bigint, folder string, generation bigint, last_seen_uid bigint",
+    "passed": "account_id bigint, folder string, generation bigint, uid bigint",  # rows without a usable sender
+    "holds": "n bigint",  # one row per batch that has a snapshot of held rows
     "messages": (
         "account_id bigint, folder string, generation bigint, uid bigint, msg_id bigint, message_id string, "
         "direction string, sender string, from_email_norm string, from_display_name string, "
@@ -101,6 +103,21 @@ class Store:
             df = df.join(keys.distinct(), keys.columns, "left_semi")
         return df.groupBy(*by).agg(*[F.expr(f"{how}({c}) AS {c}") for c, how in merges.items()])
 
+    def taken(self, before: int) -> DataFrame:
+        """Keys of the rows that batches before one took, with or without a usable sender."""
+        columns = ["account_id", "folder", "generation", "uid"]
+        return self.rows("messages", before).select(*columns).union(self.rows("passed", before).select(*columns))
+
+    def hold(self, df: DataFrame, batch: int) -> None:
+        """Replace the snapshot of the landed rows that wait behind a gap after this batch."""
+        df.write.mode("overwrite").parquet(f"{self.folder}/held/{int(batch)}")
+        self.write("holds", self.spark.range(1).selectExpr("1L AS n"), batch)
+
+    def held(self, before: int) -> DataFrame | None:
+        """The last snapshot of waiting rows before a batch."""
+        last = self.rows("holds", before).agg(F.max("batch_id")).first()[0]
+        return None if last is None else self.spark.read.parquet(f"{self.folder}/held/{last}")
+
     def compact(self, folder: str, last_batch: int) -> Store:
         """A store in a new folder with everything up to a batch merged under its number."""
         new = Store(self.spark, folder)
@@ -108,4 +125,7 @@ class Store:
             upto = last_batch + 1
             df = self.state(table, upto) if table in MERGES else self.rows(table, upto).drop("batch_id")
             new.write(table, df, last_batch)
+        waiting = self.held(last_batch + 1)
+        if waiting is not None:
+            new.hold(waiting, last_batch)
         return new
