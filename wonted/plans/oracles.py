@@ -389,6 +389,12 @@ ORACLES = {
       LEFT JOIN (SELECT msg_id, string_agg(feature, ',' ORDER BY -raw_value * weight, feature) AS f FROM fired
         WHERE feature IN ('auth_fail', 'cold_attachment', 'cold_links', 'cold_replyto') GROUP BY ALL) USING (msg_id)""",
     "stream_score": "SELECT * FROM scores",
+    "stream_ingest": f"""
+      WITH e AS (SELECT user_id % 3 AS account_id, event_type AS folder, event_id AS uid, 'u' || user_id || '@example.com' AS sender,
+          {SECONDS.format('ts')} AS sent_at, CAST(CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS BIGINT) AS generation,
+          event_id % 1009 = 7 AND (event_id % 2 = 0 OR event_type = 'error') AS missing FROM events),
+      gaps AS (SELECT account_id, folder, min(uid) AS gap FROM e WHERE missing GROUP BY ALL)
+      SELECT account_id, folder, generation, uid, sender, sent_at FROM e LEFT JOIN gaps USING (account_id, folder) WHERE gap IS NULL OR uid < gap""",
     "status_counts": "SELECT count(*) AS messages, count(*) FILTER (direction = 'in') AS incoming, count(DISTINCT sender) AS senders FROM mail",
     "sender_detail": """
       SELECT p.*, n_messages, n_replied_threads, n_user_initiated, trust_tier, n_with_attachments, n_with_links, first_msg_at, last_msg_at

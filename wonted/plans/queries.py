@@ -585,6 +585,37 @@ def stream_score(spark, folder):
     return Store(spark, f"{base}/store").rows("message_scores").drop("batch_id")
 
 
+def landed_mail(spark, folder) -> DataFrame:
+    """Events as landed mail: three accounts with a folder per event type."""
+    return read(spark, folder, "events").selectExpr(
+        "user_id % 3 AS account_id", "event_type AS folder", "'inbox' AS folder_role", "1L AS generation",
+        "event_id AS uid", "event_id AS msg_id", "10L AS size_bytes", "concat('User ', user_id) AS from_name",
+        "concat('U', user_id, '@Example.com') AS from_addr", "'' AS reply_to_addr", "array('me@x.org') AS to_addrs",
+        "array() AS cc_addrs", "date_format(ts, 'd MMM yyyy HH:mm:ss +0000') AS date_hdr",
+        "concat('<', event_id, '@x>') AS message_id_hdr", "cast(NULL AS string) AS in_reply_to_hdr",
+        "cast(NULL AS string) AS references_hdr", "cast(NULL AS string) AS auth_results_hdr",
+        f"cast(array() AS array<{landed.PART}>) AS parts", "event_id % 1009 <> 7 AS served",
+    )
+
+
+@query
+def stream_ingest(spark, folder):
+    """Landed files taken one by one: interleaved ids, gaps of which the second file fills every other one, and a
+    folder that the second file numbers anew; the current messages."""
+    base = f"{work_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    rows = landed_mail(spark, folder)
+    filled = rows.filter("NOT served AND uid % 2 = 1").withColumn("served", F.lit(True))
+    renumbered = rows.filter("folder = 'error'").withColumn("generation", F.lit(2).cast("bigint"))
+    second = rows.filter("uid % 2 = 1 AND served AND folder <> 'error'").unionByName(filled.filter("folder <> 'error'"))
+    for part in (rows.filter("uid % 2 = 0 OR NOT served"), second.unionByName(renumbered)):
+        part.write.mode("append").parquet(f"{base}/landed")
+        stream = incremental.file_stream(spark, f"{base}/landed", rows.schema)
+        mine = spark.sql("SELECT explode(array(0L, 1L, 2L)) AS account_id, 'me@x.org' AS email_norm")
+        incremental.score_stream(stream, f"{base}/store", f"{base}/offsets", mine=mine).awaitTermination()
+    store = Store(spark, f"{base}/store")
+    return incremental.current_messages(store).select("account_id", "folder", "generation", "uid", "sender", "sent_at")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Every message scored against the state before it, highest scores first."""
     return QUERIES["ranked_listing"](spark, folder)
