@@ -368,4 +368,5 @@ def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:
 def query(spark, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     result = cut_out(docs, spans(docs))
-    return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut can leave half a character
+    return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), kept.alias("text"))
