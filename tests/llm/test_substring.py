@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from cases import SCHEMA, odd_rows, plain
 
@@ -99,4 +100,26 @@ def test_odd_tables(spark, odd, nothing, crowded, folder_of):
     assert of(small) == want and of(crowded.filter("text is null or length(text) < 20000")) == want
     assert of(nothing) == []
     got = plain(sd.query(spark, folder_of(documents=small)))
-    assert got == sorted(((i, n, r, s, hashlib.sha256(k).hexdigest()) for i, n, r, s, k in want), key=repr)
+    assert got == sorted(((i, n, r, s, hashlib.sha256(k).hexdigest(), k.decode("utf-8", "replace")) for i, n, r, s, k in want), key=repr)
+
+
+def test_whole_table_equals_all_windows_counted(spark):
+    """Every window of every text of a table, counted by Python's own hash of its bytes."""
+    folder, length = "/root/testdata/sf0.01", 400
+    docs = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    raw = [(d["text"] or "").encode() for d in docs]
+    hashes = [np.array([hash(t[i : i + length]) for i in range(len(t) - length + 1)], np.int64) for t in raw]
+    values, times = np.unique(np.concatenate(hashes), return_counts=True)
+    often = values[times > 1]
+    want = []
+    for d, t, h in zip(docs, raw, hashes):
+        cover = np.zeros(len(t) + 1, np.int64)
+        at = np.flatnonzero(np.isin(h, often))
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + length, -1)
+        gone = np.cumsum(cover)[: len(t)] > 0
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1)
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        want.append((d["doc_id"], len(t), int(gone.sum()), len(edges), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+    got = plain(sd.query(spark, folder))
+    assert got == sorted(want, key=repr) and sum(r[2] > 0 for r in got) > 100
