@@ -4,7 +4,7 @@ import random
 
 
 DAY = 86400
-DOMAINS = ("acme-corp.com", "acme-c0rp.com", "acme-crop.com", "acmecorp.com", "gmail.com", "other.org", "a.io")
+DOMAINS = ("north-ford.com", "north-f0rd.com", "north-frod.com", "northford.com", "gmail.com", "other.org", "a.io")
 
 COLUMNS = (
     "msg_id bigint, sent_at bigint, sent_hour_local int, sent_dow_local int, direction string, "
@@ -42,10 +42,10 @@ def random_mailbox(seed, n=90, undated=True, in_order=False):
                 "sent_hour_local": None if times[i] == 0 else r.choice([9, 9, 9, 10, 3]),
                 "sent_dow_local": None if times[i] == 0 else i % 7,
                 "direction": "out" if out else "in",
-                "from_email_norm": "me@myco.com" if out else who,
+                "from_email_norm": "me@homestead.com" if out else who,
                 "from_display_name": r.choice([None, "Ann", "Ann Lee", "B0b Ray", "Bob Ray", "x"]),
                 "reply_to_email_norm": r.choice([None] * 4 + ["z@else.net", "y@other.org"]) if not out else None,
-                "recipients": r.sample(people + ["me@myco.com"], r.randint(0, 3)) if out else [],
+                "recipients": r.sample(people + ["me@homestead.com"], r.randint(0, 3)) if out else [],
                 "thread_id": r.randint(1, 12),
                 "thread_depth": r.randint(0, 3),
                 "size_bytes": r.choice([0, 900, 1000, 1100, 1200, 5000, 3_000_000]),

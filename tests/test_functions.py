@@ -22,9 +22,9 @@ def values(spark, inputs, *expressions):
 
 def test_normalize_address(spark):
     cases = {
-        "Jacob+tag@Example.COM": "jacob@example.com",
-        "j.a.cob+x@gmail.com": "jacob@gmail.com",
-        "j.acob@fastmail.com": "j.acob@fastmail.com",
+        "Otto+tag@Example.COM": "otto@example.com",
+        "o.t.to+x@gmail.com": "otto@gmail.com",
+        "o.tto@fastmail.com": "o.tto@fastmail.com",
         " <A.B@GoogleMail.com> ": "ab@googlemail.com",
         "a.b@mail.gmail.com": "ab@mail.gmail.com",
         "x@.host.org.": "x@host.org",
@@ -78,14 +78,14 @@ def test_skeleton_folds_lookalikes(spark):
 
 
 def test_display_names(spark):
-    texts = ['  "Dana   Ito" ', "Straße", "a\t b", '" "']
-    assert values(spark, texts, tx.normalize_display_name("x")) == ["dana ito", "strasse", "a b", ""]
-    assert values(spark, texts[:1], tx.display_name_ascii("x")) == ["dana ito"]
+    texts = ['  "Mira   Holt" ', "Straße", "a\t b", '" "']
+    assert values(spark, texts, tx.normalize_display_name("x")) == ["mira holt", "strasse", "a b", ""]
+    assert values(spark, texts[:1], tx.display_name_ascii("x")) == ["mira holt"]
 
 
 def test_osa_distance_against_brute_force(spark):
     r = random.Random(5)
-    pairs = [("acme-corp", "acme-c0rp"), ("exampel", "example"), ("abcdef", "uvwxyz"), ("ca", "abc"), ("", "ab")]
+    pairs = [("north-ford", "north-f0rd"), ("exampel", "example"), ("abcdef", "uvwxyz"), ("ca", "abc"), ("", "ab")]
     for _ in range(300):
         a = "".join(r.choice("abc") for _ in range(r.randint(0, 7)))
         b = list(a)
@@ -109,7 +109,7 @@ def test_links_keep_domains_only(spark):
 
 
 def test_freemail(spark):
-    assert values(spark, ["gmail.com", "myco.com"], dm.is_freemail("x")) == [True, False]
+    assert values(spark, ["gmail.com", "homestead.com"], dm.is_freemail("x")) == [True, False]
 
 
 def test_header_fields(spark):

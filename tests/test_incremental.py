@@ -91,7 +91,7 @@ def test_arrival_credits_with_very_late_rows(spark, policy):
             m["thread_id"] = i % 2
             m["sent_at"] = (i * 7919) % 151
             if m["direction"] == "in" and i % 3 == 0:
-                m |= {"direction": "out", "recipients": [m["from_email_norm"]], "from_email_norm": "me@myco.com"}
+                m |= {"direction": "out", "recipients": [m["from_email_norm"]], "from_email_norm": "me@homestead.com"}
         p = prepare(frame(spark, rows), order_by="msg_id")
         hot = find_hot_keys(p, ["thread_id"], "msg_id", "msg_id", policy)
         got = arrival_credits(facts.incoming(p), facts.outgoing(p), hot=hot, policy=policy)
@@ -104,7 +104,7 @@ def test_arrival_credits_with_very_late_rows(spark, policy):
 
 
 def landed_mail(uid, folder="INBOX", generation=1, served=True, deleted=False, role="inbox", sender=None, msg_id=None):
-    sender = f"p{uid % 3}@acme-corp.com" if sender is None else sender
+    sender = f"p{uid % 3}@north-ford.com" if sender is None else sender
     return row(uid, sender, folder, role, generation, served=served)[:5] + (msg_id or uid,) + row(uid, sender)[6:18] + (served, deleted)
 
 
@@ -154,7 +154,7 @@ def test_gaps_are_held_back_until_filled(spark, tmp_path):
 def test_stream_of_landed_files(spark, tmp_path, mine):
     """Two files taken one by one: interleaved ids, a gap filled by the second, a folder numbered anew."""
     def m(uid, *rest, **options):
-        return landed_mail(uid, *rest, **{"sender": "ann@acme-corp.com", "msg_id": uid, **options})
+        return landed_mail(uid, *rest, **{"sender": "ann@north-ford.com", "msg_id": uid, **options})
 
     one = [m(1), m(3), m(5, served=False), m(7), m(8, sender=""), m(31, "Old", generation=1), m(32, "Old", generation=1)]
     two = [m(2), m(5), m(41, "Old", generation=2), m(33, "Old", generation=1)]

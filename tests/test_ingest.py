@@ -21,14 +21,14 @@ COLUMNS = (
 FOLDERS = "account_id bigint, folder string, role string, generation bigint, last_seen_uid bigint"
 
 
-def row(uid, sender="dana@acme-corp.com", folder="INBOX", role="inbox", generation=1, auth=None, served=True):
+def row(uid, sender="mira@north-ford.com", folder="INBOX", role="inbox", generation=1, auth=None, served=True):
     return (1, folder, role, generation, uid, uid, 10, None, sender, None, ["me@x.org"], [],
-            "Mon, 5 Jan 2026 09:30:00 +0000", f"<{uid}@t>", None, None, auth, [], served)
+            "Wed, 3 Sep 2025 10:15:00 +0000", f"<{uid}@t>", None, None, auth, [], served)
 
 
 @pytest.fixture(scope="module")
 def mine(spark):
-    return spark.createDataFrame([(1, "jacobedurham@gmail.com")], "account_id bigint, email_norm string")
+    return spark.createDataFrame([(1, "ottokvance@gmail.com")], "account_id bigint, email_norm string")
 
 
 def land(spark, *rows):
@@ -52,8 +52,8 @@ def test_runs(spark, mine):
 
 def test_direction_and_missing_sender(spark, mine):
     rows = [
-        row(1, "Jacob.E.Durham@gmail.com"),
-        row(2, "jacobedurham@gmail.com", auth="mx; dmarc=fail"),
+        row(1, "Otto.K.Vance@gmail.com"),
+        row(2, "ottokvance@gmail.com", auth="mx; dmarc=fail"),
         row(3, ""),
         row(4, "other@x.org", "Sent", "sent"),
         row(5, "d@x.org", "Odd", "strange"),

@@ -21,14 +21,37 @@ def ramp(z: str, bounds: tuple) -> str:
     return f"(({z} - {start}D) / {full - start}D)"
 
 
-def mean_of(total: str, n: str) -> str:
-    return f"({total} / nullif({n}, 0))"
+# Moments are kept as (n, total, squares) of values counted in whole units of 10^-digits: integers in
+# decimals, so that partial sums merge exactly, in any order and under any split, and nothing cancels.
 
 
-def std_of(total: str, squares: str, n: str) -> str:
-    """Sample standard deviation from running sums; 0 below two values."""
-    spread = f"greatest({squares} - cast({total} AS double) * {total} / {n}, 0D)"
-    return f"(CASE WHEN {n} > 1 THEN sqrt({spread} / ({n} - 1)) ELSE 0D END)"
+def units(value: str, digits: int) -> str:
+    """A real value as a whole number of units, for ``total``."""
+    return f"cast(cast(round({value} * 1e{digits}D) AS bigint) AS decimal(19,0))"
+
+
+def squared(value: str) -> str:
+    """The square of a whole number, for ``squares``."""
+    return f"cast({value} AS decimal(19,0)) * cast({value} AS decimal(19,0))"
+
+
+def mean_of(total: str, n: str, digits: int = 0) -> str:
+    return f"(cast({total} AS double) / nullif({n}, 0) / 1e{digits}D)"
+
+
+def m2_of(total: str, squares: str, n: str, digits: int = 0) -> str:
+    """Sum of squared distances from the mean.  Distances are taken from the whole number next to the mean, exactly;
+    what is left of the mean is less than a unit."""
+    whole = "decimal(19,0)"
+    middle = f"cast({total} div nullif({n}, 0) AS {whole})"
+    around = f"{squares} - 2BD * {middle} * {total} + cast({n} AS {whole}) * {middle} * {middle}"
+    rest = f"cast({total} - cast({n} AS {whole}) * {middle} AS double)"
+    return f"(greatest(cast({around} AS double) - {rest} * {rest} / nullif({n}, 0), 0D) / 1e{2 * digits}D)"
+
+
+def std_of(total: str, squares: str, n: str, digits: int = 0) -> str:
+    """Sample standard deviation; 0 below two values."""
+    return f"(CASE WHEN {n} > 1 THEN sqrt({m2_of(total, squares, n, digits)} / ({n} - 1)) ELSE 0D END)"
 
 
 def hour_rarity(same_hour: str, all_hours: str, registry: Registry = DEFAULT_REGISTRY) -> str:
@@ -37,6 +60,9 @@ def hour_rarity(same_hour: str, all_hours: str, registry: Registry = DEFAULT_REG
     return f"(1D - 24D * (({same_hour} + {a}D) / ({all_hours} + {24 * a}D)))"
 
 
+LOG_DIGITS = 12  # decimals of a log size that count
+
+
 def log_size(size_bytes: str) -> str:
     return f"ln(cast(greatest({size_bytes}, 1) AS double))"
 

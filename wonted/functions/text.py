@@ -59,12 +59,14 @@ def skeleton_ascii(text: str) -> str:
     return f"translate(lower({text}), '{''.join(pairs)}', '{''.join(pairs.values())}')"
 
 
-def skeleton(column: str) -> Column:
+def skeleton(column: str | Column) -> Column:
     """Lookalike-folded form: lower case, compatibility decomposition, no accents, folded letters.
 
-    Only non-ASCII strings go through the UDF, the others reach it as NULL.  Use it on distinct
-    names and domains where possible.
+    Only non-ASCII strings of a named column go through the UDF, the others reach it as NULL; all of a computed one do.
+    ``operators.folding`` keeps ASCII rows away from Python altogether.
     """
+    if isinstance(column, Column):
+        return _skeleton_unicode(column)
     plain, text = F.expr(is_ascii(column)), F.col(column)
     return F.when(plain, F.expr(skeleton_ascii(column))).otherwise(_skeleton_unicode(F.when(~plain, text)))
 

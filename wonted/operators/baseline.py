@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wonted.config import DEFAULT_SKEW, SkewPolicy
 from wonted.functions.domains import is_freemail
 from wonted.functions.position import id_of, time_of
-from wonted.functions.stats import histogram, log_size
+from wonted.functions.stats import LOG_DIGITS, histogram, log_size, m2_of, mean_of, squared, units
 from wonted.operators.running import running
 from wonted.operators.skew import NONE_HOT, HotKeys
 
@@ -16,15 +16,15 @@ from wonted.operators.skew import NONE_HOT, HotKeys
 
 def own_state() -> dict[str, tuple[str, str]]:
     """What one message adds to its sender's state; every entry merges by sum, min or max."""
-    size = log_size("size_bytes")
+    size = units(log_size("size_bytes"), LOG_DIGITS)
     return {
         "p_n": ("count", "true"),
         "p_first": ("min", "nullif(sent_at, 0L)"),
         "p_last": ("max", "sent_at"),
         "p_size": ("sum", size),
-        "p_size2": ("sum", f"{size} * {size}"),
+        "p_size2": ("sum", squared(size)),
         "p_links": ("sum", "n_links"),
-        "p_links2": ("sum", "n_links * n_links"),
+        "p_links2": ("sum", squared("n_links")),
         "p_hours": ("count", "sent_hour_local IS NOT NULL"),
         "p_att": ("count", "n_attachments > 0"),
     }
@@ -178,16 +178,16 @@ def sender_profiles(incoming: DataFrame, credits: DataFrame, tiers: DataFrame) -
     Every group-by here combines before the shuffle, so a dominating sender costs one partial row per
     task.  Histograms are collected from at most 24 and 7 pre-counted rows.
     """
-    size = log_size("size_bytes")
+    size = units(log_size("size_bytes"), LOG_DIGITS)
     base = incoming.groupBy("sender").agg(
         *[
             F.expr(text)
             for text in (
                 "count(*) AS n_messages",
-                f"avg({size}) AS log_size_mean",
-                f"coalesce(var_samp({size}) * (count(*) - 1), 0D) AS log_size_m2",
-                "avg(n_links) AS links_mean",
-                "coalesce(var_samp(n_links) * (count(*) - 1), 0D) AS links_m2",
+                f"sum({size}) AS _size",
+                f"sum({squared(size)}) AS _size2",
+                "sum(n_links) AS _links",
+                f"sum({squared('n_links')}) AS _links2",
                 "count_if(n_attachments > 0) AS n_with_attachments",
                 "count_if(n_links > 0) AS n_with_links",
                 "count_if(reply_to_email_norm IS NOT NULL) AS n_replyto_divergent",
@@ -197,6 +197,12 @@ def sender_profiles(incoming: DataFrame, credits: DataFrame, tiers: DataFrame) -
             )
         ]
     )
+    moments = {"log_size": ("_size", "_size2", LOG_DIGITS), "links": ("_links", "_links2", 0)}
+    for name, (total, squares, digits) in moments.items():
+        base = base.selectExpr(
+            "*", f"{mean_of(total, 'n_messages', digits)} AS {name}_mean",
+            f"coalesce({m2_of(total, squares, 'n_messages', digits)}, 0D) AS {name}_m2",
+        ).drop(total, squares)
 
     def bins(column, size_, name):
         counts = f"map_from_entries(collect_list(struct(int({column}), n)))"

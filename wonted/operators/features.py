@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from wonted.config import DEFAULT_REGISTRY, FEATURES, Registry
 from wonted.functions.domains import reg_domain_of_clean
 from wonted.functions.sql import say
-from wonted.functions.stats import confidence, fired, hour_rarity, log_size, mean_of, ramp, std_of
+from wonted.functions.stats import LOG_DIGITS, confidence, fired, hour_rarity, log_size, mean_of, ramp, std_of
 from wonted.functions.text import address_domain, emails_in_text, format_size, one_decimal
 
 NAMES = tuple(n for n, _, _ in FEATURES)
@@ -134,8 +134,8 @@ def link_density_anomaly(r: Registry):
 
 
 def size_anomaly(r: Registry):
-    mean = mean_of("p_size", "p_n")
-    std = f"greatest({std_of('p_size', 'p_size2', 'p_n')}, {r.size_std_floor}D)"
+    mean = mean_of("p_size", "p_n", LOG_DIGITS)
+    std = f"greatest({std_of('p_size', 'p_size2', 'p_n', LOG_DIGITS)}, {r.size_std_floor}D)"
     z = f"(abs({log_size('size_bytes')} - {mean}) / {std})"
     words = say(
         f"={format_size('size_bytes')}", " message; sender's typical is ",

@@ -135,8 +135,12 @@ def one_way_positions(
 ) -> DataFrame:
     """(sender, own_pos2): the first message with which the one-way rule holds."""
     narrow = incoming.select("sender", "t", "msg_id", "sent_at", "pos")
-    grown = prior_state(narrow, order, only=TIMES, hot=hot, policy=policy, carry=carry)
-    return grown.filter(own_included(registry)).groupBy("sender").agg(F.min("pos").alias("own_pos2"))
+    return one_way_of(prior_state(narrow, order, only=TIMES, hot=hot, policy=policy, carry=carry), registry)
+
+
+def one_way_of(state: DataFrame, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
+    """The same from messages that have the sender's prior state already."""
+    return state.filter(own_included(registry)).groupBy("sender").agg(F.min("pos").alias("own_pos2"))
 
 
 def join_activations(one_way: DataFrame, credits: DataFrame) -> DataFrame:

@@ -222,7 +222,7 @@ ORACLES = {
       SELECT doc_id AS msg_id, CAST(1.0 AS DOUBLE) AS raw_value, 'display name shows ''' || foreign_[1] || ''' but real sender is <d' || doc_id || '@' || rd || '>' AS explanation
       FROM (SELECT doc_id, rd, list_filter([lower(x) for x in regexp_extract_all(text, '{EMAIL}')],
           lambda e: array_to_string(split(split_part(e, '@', 2), '.')[-2:], '.') <> rd) AS foreign_
-        FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'example.com' ELSE 'partnerfirm.com' END AS rd FROM documents))
+        FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'example.com' ELSE 'quayside.com' END AS rd FROM documents))
       WHERE len(foreign_) > 0""",
     "dormant_resurrection": f"""
       WITH o AS (SELECT o_orderkey AS msg_id, o_custkey AS sender, {SECONDS.format('o_orderdate')} AS ts_ FROM orders),
@@ -259,7 +259,7 @@ ORACLES = {
       SELECT thread_id, sender, kind, CAST(pos // 10000000000 AS BIGINT) AS "at", CAST(pos % 10000000000 AS BIGINT) AS msg_id FROM credits""",
     "conversation_credits": """
       WITH c AS (SELECT conv_id, conv_id * 1000 + turn AS id, conv_id * 1000000 + turn * 60 AS ts_, role = 'assistant' AS sent_,
-          'peer' || conv_id || '@partnerfirm.com' AS peer FROM conversations),
+          'peer' || conv_id || '@quayside.com' AS peer FROM conversations),
       w AS (SELECT conv_id, min(ts_) AS first_in FROM c WHERE NOT sent_ GROUP BY ALL),
       ev AS (SELECT c.conv_id, peer, CASE WHEN first_in < ts_ THEN 'replied' ELSE 'initiated' END AS kind, ts_, id
         FROM c LEFT JOIN w USING (conv_id) WHERE sent_)

@@ -42,8 +42,8 @@ def query(f: Query) -> Query:
 # ---- inputs --------------------------------------------------------------------------------------
 
 
-def mail(spark: SparkSession, folder: str) -> DataFrame:
-    return facts.prepare(shaped.mail_events(read(spark, folder, "events")))
+def mail(spark: SparkSession, folder: str, names: bool = False) -> DataFrame:
+    return facts.prepare(shaped.mail_events(read(spark, folder, "events")), names=names)
 
 
 def incoming(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +51,8 @@ def incoming(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def replayed(spark: SparkSession, folder: str, *names: str) -> Derived:
-    return replay(mail(spark, folder), names=names or features.NAMES)
+    names = names or features.NAMES
+    return replay(mail(spark, folder, "display_name_collision" in names), names=names)
 
 
 def credits(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,8 +91,8 @@ def embedded_addr_mismatch(spark, folder):
     """Addresses inside a text against the domain of its sender."""
     scored = read(spark, folder, "documents").selectExpr(
         "doc_id AS msg_id", "text AS from_display_name",
-        "if(doc_id % 2 = 0, 'example.com', 'partnerfirm.com') AS rd",
-        "concat('d', doc_id, '@', if(doc_id % 2 = 0, 'example.com', 'partnerfirm.com')) AS sender",
+        "if(doc_id % 2 = 0, 'example.com', 'quayside.com') AS rd",
+        "concat('d', doc_id, '@', if(doc_id % 2 = 0, 'example.com', 'quayside.com')) AS sender",
     ).selectExpr("msg_id", *features.feature("embedded_addr_mismatch"))
     return scored.filter("raw_embedded_addr_mismatch IS NOT NULL").selectExpr(
         "msg_id", "raw_embedded_addr_mismatch AS raw_value", "explain_embedded_addr_mismatch AS explanation"
@@ -146,10 +147,10 @@ def stale_scores(spark, folder):
 def prior_state(spark, folder):
     """State of the sender before each message."""
     state = baseline.prior_same_hour(baseline.prior_state(incoming(spark, folder), ORDER), ORDER)
-    size_std, links_std = st.std_of("p_size", "p_size2", "p_n"), st.std_of("p_links", "p_links2", "p_n")
+    size_std, links_std = st.std_of("p_size", "p_size2", "p_n", st.LOG_DIGITS), st.std_of("p_links", "p_links2", "p_n")
     return state.selectExpr(
         "msg_id", "p_n", "p_first", "p_last", "sent_at - p_last AS gap", "p_hours", "p_hour", "p_att",
-        f"round({st.mean_of('p_size', 'p_n')}, 6) AS size_mean", f"round({size_std}, 6) AS size_std",
+        f"round({st.mean_of('p_size', 'p_n', st.LOG_DIGITS)}, 6) AS size_mean", f"round({size_std}, 6) AS size_std",
         f"round({st.mean_of('p_links', 'p_n')}, 6) AS links_mean", f"round({links_std}, 6) AS links_std",
     )
 
@@ -175,7 +176,7 @@ def domain_profile(spark, folder):
 @query
 def value_counts(spark, folder):
     """Names, attachment types, link domains and Reply-To addresses per sender."""
-    m = incoming(spark, folder)
+    m = facts.incoming(mail(spark, folder, names=True))
     values = baseline.sender_values(m).unionByName(baseline.sender_names(m))
     return values.selectExpr("sender", "kind", "a AS value", "b AS detail", "n", f"{time_of('first_pos')} AS first_seen_at")
 
@@ -533,23 +534,21 @@ def account_detection(spark, folder):
 
 @query
 def ranked_listing(spark, folder):
-    d = replayed(spark, folder)
-    return reports.listing(d.incoming, d.scores, d.tiers(), limit=300).drop("message_id")
+    return replayed(spark, folder).listing(limit=300).drop("message_id")
 
 
 @query
 def tier_listing(spark, folder):
     """The default listing of senders now at tier 2, by the cheap features."""
     d = replayed(spark, folder, "auth_fail", "size_anomaly", "send_hour_anomaly")
-    rows = reports.listing(d.incoming, d.scores, d.tiers(), tier=2)
-    return rows.select("msg_id", "from_email_norm", "anomaly_score", "tier", "tier_label", "severity")
+    return d.listing(tier=2).select("msg_id", "from_email_norm", "anomaly_score", "tier", "tier_label", "severity")
 
 
 @query
 def listing_features(spark, folder):
     """Listing rows with their features, strongest first."""
     d = replayed(spark, folder, "auth_fail", "cold_attachment", "cold_links", "cold_replyto")
-    rows = reports.listing(d.incoming, d.scores, d.tiers(), limit=100)
+    rows = d.listing(limit=100)
     return reports.listing_details(rows.select("msg_id", "anomaly_score"), d.features).selectExpr(
         "msg_id", "anomaly_score", "array_join(features.feature, ',') AS features"
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
 from wonted.operators import baseline, features, gaps, lookalike, relations
 from wonted.operators.skew import NONE_HOT, HotKeys, find_hot_keys, salted_left_join
+from wonted.plans import reports
 from wonted.session import checkpointed
 from wonted.sources import facts as facts_
 
@@ -48,6 +49,17 @@ class Derived:
     def domain_profiles(self) -> DataFrame:
         return baseline.domain_profiles(self.incoming, self.replies)
 
+    def listing(self, *, limit: int | None = None, tier: int | None = None) -> DataFrame:
+        """``reports.listing`` of the scored messages, which have all its columns: nothing is joined before the top."""
+        rows = self.scored.selectExpr(
+            *reports.SHOWN, "anomaly_score", f"'{self.registry.version}' AS engine_version",
+            *[f"{c} AS {name}" if c in self.scored.columns else f"cast(NULL AS {t}) AS {name}"
+              for c, name, t in (("tier", "trust_tier_at_scoring", "int"), ("p_n", "baseline_n", "bigint"))],
+        )
+        return reports.ranked(
+            rows, self.tiers(), limit=limit, tier=tier, registry=self.registry, hot=self.hot.get("sender"), policy=self.policy
+        )
+
 
 def replay(
     facts: DataFrame,
@@ -61,25 +73,31 @@ def replay(
     """Score every incoming message of ``facts`` (see ``facts.prepare``) against the state before it.
 
     The number of shuffles is fixed: by sender for state, by thread for credits, by message id (never
-    skewed) to put columns together, and small ones by domain, name and form.  ``cut`` stores the
-    credits, activations and value counts, which several branches read; by default that happens, in
-    the shared folder, once the history is larger than ``policy.hot_rows``.  ``names`` restricts the work to some features and what they need.
+    skewed) to put columns together, and small ones by domain, name and form.  What several branches read is stored
+    once, in the shared folder: the facts, the messages with their sender's prior state (one pass by sender, from which
+    activations and silences follow too), credits, activations and value counts.  ``cut`` stores them another way.  ``names`` restricts the work to some features and what they need.
     """
+    needs = features.inputs_of(names)
+    keep = (cut or checkpointed) if needs else lambda df: df  # rules of a single message read the facts once
+    facts = keep(facts)
     if hot is None:
         hot = find_hot_keys(facts, ["sender", "thread_id", "name_skel", "rd"], "sent_at", "msg_id", policy)
-    keep = cut or (checkpointed if hot.rows > policy.hot_rows else lambda df: df)
     common = {"hot": hot, "policy": policy}
-    inc = facts_.incoming(facts).select(
-        *MESSAGE, "message_id", "thread_id", "thread_depth", "sent_dow_local"
-    )
+    inc = facts_.incoming(facts).select(*MESSAGE, "message_id", "thread_id", "thread_depth", "sent_dow_local")
     out = facts_.outgoing(facts)
     credits = keep(relations.reply_credits(inc, out, **common))
     replies = relations.domain_replies(credits, registry)
-    acts = keep(relations.activations(inc, credits, ORDER, registry=registry, **common))
-    values, named = keep(baseline.sender_values(inc)), keep(baseline.sender_names(inc))
-    scored = judge(
-        inc.select(*MESSAGE), replies, acts, values, named, registry=registry, names=names, **common
-    )
+    values, named = baseline.sender_values(inc), baseline.sender_names(inc)
+    state, acts = inc.select(*MESSAGE, "message_id"), None
+    if needs - {"novelties"}:
+        state = baseline.prior_state(state, ORDER, **common)
+        if "hours" in needs:
+            state = baseline.prior_same_hour(state, ORDER, **common)
+        state = keep(state)
+        acts = keep(relations.join_activations(relations.one_way_of(state, registry), credits))
+    if "novelties" in needs:
+        values = keep(values)
+    scored = judge(state, replies, acts, values, named, registry=registry, names=names, **common)
     return Derived(
         scored,
         features.message_scores(scored, registry),
@@ -112,9 +130,9 @@ def sender_context(
 
 
 def judge(
-    inc: DataFrame,
+    state: DataFrame,
     replies: DataFrame,
-    acts: DataFrame,
+    acts: DataFrame | None,
     values: DataFrame,
     named: DataFrame,
     *,
@@ -128,13 +146,9 @@ def judge(
     Only the inputs that the wanted features read are computed and joined.
     """
     common, needs = {"hot": hot, "policy": policy}, features.inputs_of(names)
-    judged = inc
-    if needs & {"tier", "state"}:
-        judged = baseline.prior_state(judged, ORDER, **common)
-    if "hours" in needs:
-        judged = baseline.prior_same_hour(judged, ORDER, **common)
+    judged = state
     if needs & {"tier", "context"}:
-        context = sender_context(inc, replies, acts, registry, hot, policy, "context" in needs)
+        context = sender_context(state, replies, acts, registry, hot, policy, "context" in needs)
         judged = salted_left_join(judged, context, "sender", "msg_id", hot.get("sender"), policy)
     if "owners" in needs:
         owners = lookalike.name_owners(named, acts)
@@ -142,9 +156,7 @@ def judge(
     if "novelties" in needs:
         judged = judged.join(baseline.novelties(values, ORDER, **common), "msg_id", "left")
     if "gaps" in needs:
-        times = baseline.prior_state(
-            inc.select("sender", "t", "msg_id", "sent_at"), ORDER, only=baseline.TIMES, **common
-        )
+        times = state.select("sender", "t", "msg_id", "sent_at", *baseline.TIMES)
         judged = judged.join(gaps.median_gaps(times, registry=registry, **common), "msg_id", "left")
     if "tier" in needs:
         judged = judged.selectExpr("*", f"{relations.tier_before(registry)} AS tier")

@@ -18,9 +18,34 @@ def severity(score: str) -> str:
     return f"CASE WHEN {score} >= 30 THEN 'hi' WHEN {score} >= 10 THEN 'mid' ELSE 'lo' END"
 
 
-def listing(
-    incoming: DataFrame,
-    scores: DataFrame,
+#: Columns of a message that a listing shows.
+SHOWN = ("msg_id", "message_id", "sender", "from_display_name", "sent_at", "n_attachments", "n_links", "size_bytes")
+
+
+def listing(incoming: DataFrame, scores: DataFrame, tiers: DataFrame, **options) -> DataFrame:
+    """``ranked`` of stored messages and stored scores.
+
+    Without a tier filter the top is taken from (score, time, id) alone, and only its rows, at most
+    ``registry.listing_max``, are looked up.
+    """
+    if options.get("tier") is not None:
+        return ranked(incoming.select(*SHOWN).join(scores, "msg_id"), tiers, **options)
+    rows = incoming.select("msg_id", "sent_at").join(scores.select("msg_id", "anomaly_score"), "msg_id")
+    top = F.broadcast(_top(rows, _size(**options)).select("msg_id"))  # at most 1000 ids
+    rows = incoming.select(*SHOWN).join(top, "msg_id", "left_semi").join(scores.join(top, "msg_id", "left_semi"), "msg_id")
+    return ranked(rows, tiers, **options)
+
+
+def _size(limit: int | None = None, registry: Registry = DEFAULT_REGISTRY, **_) -> int:
+    return min(registry.listing_default if limit is None else limit, registry.listing_max)
+
+
+def _top(rows: DataFrame, k: int) -> DataFrame:
+    return rows.orderBy(F.desc("anomaly_score"), F.desc("sent_at"), "msg_id").limit(k)
+
+
+def ranked(
+    rows: DataFrame,
     tiers: DataFrame,
     *,
     limit: int | None = None,
@@ -31,25 +56,25 @@ def listing(
 ) -> DataFrame:
     """Highest scores first, newest first among equals; a top-k, so no full sort takes place.
 
-    With a tier filter the sender's current tier decides, else the tier at scoring.
+    With a tier filter the sender's current tier decides, else the tier at scoring.  Without one the top is taken
+    before the tiers are looked up, and only tiers of its senders are worked out.
     """
-    k = min(registry.listing_default if limit is None else limit, registry.listing_max)
-    rows = incoming.join(scores, "msg_id")
-    joined = salted_left_join(rows, tiers, "sender", "msg_id", hot, policy).selectExpr(
-        "*", "coalesce(trust_tier, trust_tier_at_scoring) AS tier"
-    )
+    k = _size(limit, registry)
+    if tier is None:
+        rows = _top(rows, k)
+        few = F.broadcast(rows.select("sender").distinct())  # at most 1000
+        joined = rows.join(F.broadcast(tiers.join(few, "sender", "left_semi")), "sender", "left")
+    else:
+        joined = salted_left_join(rows, tiers, "sender", "msg_id", hot, policy)
+    joined = joined.selectExpr("*", "coalesce(trust_tier, trust_tier_at_scoring) AS tier")
     if tier is not None:
         joined = joined.filter(f"tier = {int(tier)}")
-    return (
-        joined.orderBy(F.desc("anomaly_score"), F.desc("sent_at"), "msg_id")
-        .limit(k)
-        .selectExpr(
-            "msg_id", "message_id", "sender AS from_email_norm", "from_display_name", "sent_at",
-            "n_attachments", "n_links", "size_bytes", "anomaly_score", "tier",
-            f"{tier_label('tier')} AS tier_label", f"{severity('anomaly_score')} AS severity",
-            "trust_tier_at_scoring", "baseline_n", "engine_version",
-        )
-    )
+    return _top(joined, k).selectExpr(
+        "msg_id", "message_id", "sender AS from_email_norm", "from_display_name", "sent_at",
+        "n_attachments", "n_links", "size_bytes", "anomaly_score", "tier",
+        f"{tier_label('tier')} AS tier_label", f"{severity('anomaly_score')} AS severity",
+        "trust_tier_at_scoring", "baseline_n", "engine_version",
+    )
 
 
 def listing_details(rows: DataFrame, features: DataFrame) -> DataFrame:

@@ -25,13 +25,13 @@ def unframe(content: bytes) -> bytes:
     """The message inside a framed file: a line with its byte count, the message, other data."""
     line, newline, rest = content.partition(b"\n")
     if not newline or not line:
-        raise ValueError("missing byte-count line")
+        raise ValueError("no line with the length of the frame")
     try:
         size = int(line.strip())
     except ValueError:
-        raise ValueError("bad byte-count line") from None
+        raise ValueError("the length of the frame is no number") from None
     if not 0 <= size <= len(rest):
-        raise ValueError(f"byte count {size} exceeds file size")
+        raise ValueError(f"frame of {size} bytes, fewer are there")
     return rest[:size]
 
 

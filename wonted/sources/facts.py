@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from wonted.config import DEFAULT_REGISTRY, Registry
 from wonted.functions.domains import is_freemail, reg_domain_of_clean
 from wonted.functions.position import position
-from wonted.functions.text import (
-    address_domain,
-    normalize_display_name,
-    skeleton,
-)
+from wonted.functions.text import address_domain, skeleton, skeleton_ascii
+from wonted.operators.folding import with_folded, with_names
 
 # Columns of the fact with the type and value used when a source does not have them.
 DEFAULTS = {
@@ -45,11 +42,12 @@ def prepare(
     *,
     order_by: str = "sent_at",
     registry: Registry = DEFAULT_REGISTRY,
+    names: bool = True,
 ) -> DataFrame:
     """Complete a message table with missing columns and the derived ones used by the operators.
 
     ``order_by`` is "sent_at" to replay history in time order or "msg_id" for order of arrival.
-    Names are folded in the JVM where they are ASCII; only the others reach Python.
+    Without ``names`` the folded display names, which only value counts and shared names need, stay NULL.
     """
     kept = list(messages.columns)
     missing = [f"cast({_value(v)} AS {t}) AS {c}" for c, (t, v) in DEFAULTS.items() if c not in kept]
@@ -64,8 +62,7 @@ def prepare(
         f"{t} AS t",
         f"{position(t, 'bigint(msg_id)')} AS pos",
     )
-    named = m.withColumn("name_norm", F.nullif(normalize_display_name("from_display_name"), F.lit("")))
-    return named.withColumn("name_skel", skeleton("name_norm"))
+    return with_names(m) if names else m.selectExpr("*", "string(NULL) AS name_norm", "string(NULL) AS name_skel")
 
 
 def _value(v) -> str:
@@ -92,17 +89,19 @@ def sender_dimension(facts: DataFrame, registry: Registry = DEFAULT_REGISTRY) ->
     """
     seen = "if(direction = 'in', array(sender), array_distinct(coalesce(recipients, array())))"
     domain = address_domain("email_norm")
-    return (
+    senders = (
         facts.selectExpr(f"explode({seen}) AS email_norm", "sent_at")
         .groupBy("email_norm")
         .agg(F.min("sent_at").alias("first_seen_at"), F.max("sent_at").alias("last_seen_at"))
         .selectExpr("*", f"{domain} AS domain", f"{reg_domain_of_clean(domain, registry.suffixes)} AS reg_domain")
-        .withColumn("reg_domain_skeleton", skeleton("reg_domain"))
-        .selectExpr(
-            "email_norm", "domain", "reg_domain", "reg_domain_skeleton",
-            f"{is_freemail('reg_domain')} AS is_freemail", "first_seen_at", "last_seen_at",
-        )
     )
+    return with_folded(
+        senders, "reg_domain", "email_norm", {"reg_domain_skeleton": skeleton_ascii("reg_domain")},
+        {"reg_domain_skeleton": skeleton("reg_domain")},
+    ).selectExpr(
+        "email_norm", "domain", "reg_domain", "reg_domain_skeleton",
+        f"{is_freemail('reg_domain')} AS is_freemail", "first_seen_at", "last_seen_at",
+    )
 
 
 def message_attachments(facts: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Sender domains by user_id % 10.
 EVENT_DOMAINS = (
-    "acme-corp.com", "acme-c0rp.com", "acme-crop.com", "partnerfirm.com", "growthly.io",
-    "gmail.com", "vendor.io", "supplies.io", "bank-alerts.com", "somewhere.org",
+    "north-ford.com", "north-f0rd.com", "north-frod.com", "quayside.com", "leadmill.io",
+    "gmail.com", "trader.io", "timberyard.io", "savings-note.com", "faraway.org",
 )
 
 
@@ -71,7 +71,7 @@ def mail_conversations(conversations: DataFrame) -> DataFrame:
     def ref(t):
         return F.concat(F.lit("<"), conv.cast("string"), F.lit("."), t.cast("string"), F.lit(">"))
 
-    peer = F.concat(F.lit("peer"), conv.cast("string"), F.lit("@partnerfirm.com"))
+    peer = F.concat(F.lit("peer"), conv.cast("string"), F.lit("@quayside.com"))
     out = F.col("role") == "assistant"
     return conversations.select(
         (conv * 1000 + turn).alias("msg_id"),

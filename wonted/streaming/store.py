@@ -29,8 +29,8 @@ SCHEMAS = {
         "thread_depth int, root_key string, auth_spf string, auth_dkim string, auth_dmarc string"
     ),
     "sender_state": (
-        "sender string, p_n bigint, p_first bigint, p_last bigint, p_size double, p_size2 double, "
-        "p_links bigint, p_links2 bigint, p_hours bigint, p_att bigint"
+        "sender string, p_n bigint, p_first bigint, p_last bigint, p_size decimal(38,0), p_size2 decimal(38,0), "
+        "p_links bigint, p_links2 decimal(38,0), p_hours bigint, p_att bigint"
     ),
     "sender_hours": "sender string, sent_hour_local int, p_hour bigint",
     "sender_values": f"sender string, kind string, a string, b string, n bigint, first_pos {POSITION}",
