@@ -6,14 +6,18 @@ make "earlier in time" and "known" two different things, which the replay needs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wonted.config import DEFAULT_REGISTRY, DEFAULT_SKEW, Registry, SkewPolicy
 from wonted.functions.position import position
+from wonted.operators.gaps import no_medians, prefix_medians
 from wonted.operators.relations import first_credit
 from wonted.operators.running import running
-from wonted.operators.skew import NONE_HOT, HotKeys, find_hot_keys
+from wonted.operators.skew import NONE_HOT, HotKeys
+from wonted.session import checkpointed
 
 
 def initiated(
@@ -146,31 +150,66 @@ def arrival_credits(
     return events.join(credited.select("thread_id", "sender"), ["thread_id", "sender"], "left_anti")
 
 
+def arrival_gap_events(
+    state: DataFrame, past: Callable[[DataFrame], DataFrame], hot: HotKeys = NONE_HOT, policy: SkewPolicy = DEFAULT_SKEW
+) -> DataFrame:
+    """(sender, at, g, n): how each message of a batch changes its sender's gaps between neighbouring times.
+
+    ``state`` has sender, msg_id, sent_at, p_last.  A message in order adds the gap since the latest time.  A late one
+    falls into a gap, which it splits in two; only for senders with late messages is ``past(senders)`` read: all
+    times (sender, msg_id, sent_at) that arrived before the batch.
+    """
+    times = state.select("sender", "msg_id", "sent_at", "p_last")
+    added = times.filter("sent_at >= p_last").selectExpr("sender", "msg_id AS at", "sent_at - p_last AS g", "1L AS n")
+    late = checkpointed(times.filter("sent_at < p_last").selectExpr("sender", "msg_id AS a", "sent_at AS m"))
+    if late.isEmpty():
+        return added
+    senders = late.select("sender").distinct()
+    arrived = past(senders).unionByName(times.join(senders, "sender", "left_semi").select("sender", "msg_id", "sent_at"))
+    split = neighbours(late, arrived, hot, policy)
+    changes = split.selectExpr(
+        "sender", "a AS at", "inline(array(struct(above - m AS g, 1L AS n), struct(m - below AS g, 1L AS n), struct(above - below AS g, -1L AS n)))"
+    )
+    return added.unionByName(changes.filter("g IS NOT NULL"))
+
+
+def neighbours(records: DataFrame, arrived: DataFrame, hot: HotKeys = NONE_HOT, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+    """Add to (sender, a, m) the latest time up to m and the earliest after it among rows of the sender that arrived before a.
+
+    The rows before a given one are a union of at most one aligned block of each size 1, 2, 4, ...: both sides are
+    copied once per size at most, and each block is looked through in order of time.
+    """
+    rows = records.selectExpr("sender", "a AS msg_id", "m AS t", "1 AS side").unionByName(
+        arrived.selectExpr("sender", "msg_id", "sent_at AS t", "0 AS side")
+    )
+    numbered = running(rows, ["sender"], ["msg_id", "side"], {"r": ("count", "side = 0")}, hot=hot.get("sender"), policy=policy)
+    # a record is in the table of arrived rows too, where it does not count for itself
+    numbered = numbered.selectExpr("sender", "msg_id", "t", "side", "if(side = 1, r - 1, r) AS r", "explode(sequence(0, 40)) AS level")
+    placed = numbered.filter(
+        "if(side = 0, shiftright(r, level) % 2 = 0, shiftright(r, level) % 2 = 1)"
+    ).selectExpr("sender", "msg_id", "t", "side", "level", "shiftright(r, level) - side AS block", "if(side = 0, t, NULL) AS given")
+    keys = ["sender", "level", "block"]
+    low = running(placed, keys, ["t", "side", "msg_id"], {"below": ("max", "given")}, hot=hot.get("sender"), policy=policy)
+    both = running(low, keys, ["t", "side", "msg_id"], {"above": ("min", "given")}, hot=hot.get("sender"), policy=policy, descending=True)
+    return both.filter("side = 1").groupBy("sender", F.col("msg_id").alias("a"), F.col("t").alias("m")).agg(
+        F.max("below").alias("below"), F.min("above").alias("above")
+    )
+
+
 def arrival_median_gaps(
-    state: DataFrame,
-    history: DataFrame,
-    *,
-    registry: Registry = DEFAULT_REGISTRY,
-    policy: SkewPolicy = DEFAULT_SKEW,
+    state: DataFrame, events: DataFrame, known: Callable[[DataFrame], DataFrame], *, registry: Registry = DEFAULT_REGISTRY
 ) -> DataFrame:
-    """(msg_id, gap, median_gap) of messages after a long silence, from the times that had arrived.
+    """(msg_id, gap, median_gap) of messages after a long silence, from the gaps that had arrived.
 
-    ``history`` holds all times (sender, msg_id, sent_at) up to and including the batch.  Only the few
-    messages after a silence read it.
+    ``events`` are those of the batch, ``known(senders)`` the counted gaps (sender, g, n) of earlier batches, read for
+    the senders that were silent, if any.
     """
     silent = state.filter(
         f"sent_at - p_last >= {registry.dormant_gap} AND p_n >= {registry.min_baseline}"
-    ).selectExpr("sender", "msg_id AS reader", "sent_at - p_last AS gap")
-    seen = silent.join(history, "sender").filter("msg_id < reader")
-    hot = find_hot_keys(seen, ["reader"], "sent_at", "msg_id", policy).get("reader")
-    gaps = running(
-        seen, ["reader"], ["sent_at", "msg_id"], {"_last": ("max", "sent_at")}, hot=hot, policy=policy
-    ).filter("_last IS NOT NULL")
-    return (
-        gaps.groupBy("reader", "gap", F.expr("sent_at - _last AS g"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(F.col("reader").alias("msg_id"), "gap")
-        .agg(F.percentile("g", F.lit(0.5), F.col("n")).alias("median_gap"), F.sum("n").alias("_n"))
-        .filter("_n >= 2")
-        .drop("_n")
-    )
+    ).selectExpr("sender", "msg_id AS at", "msg_id", "sent_at - p_last AS gap")
+    silent = checkpointed(silent)
+    if silent.isEmpty():
+        return no_medians(state)
+    senders = silent.select("sender").distinct()
+    earlier = known(senders).selectExpr("sender", "-1L AS at", "g", "n")
+    return prefix_medians(earlier.unionByName(events.join(senders, "sender", "left_semi")), silent)

@@ -338,12 +338,20 @@ ORACLES = {
         CASE WHEN page_id % 5 = 0 THEN '<' || (page_id - 1) || '@x>' END AS in_reply_to, CASE WHEN page_id % 4 = 0 THEN 2 ELSE 0 END AS n_references,
         page_id % 5 = 0 OR page_id % 4 = 0 AS is_reply, CASE WHEN page_id % 3 = 0 THEN 'pass' END AS auth_spf, dmarc AS auth_dmarc FROM q""",
     "parsed_messages": """
-      SELECT doc_id AS msg_id, 'd' || doc_id || '@' || lang || '.example.com' AS from_email_norm, true AS to_me_directly, 2 AS n_recipients,
-        CAST(1767607200 AS BIGINT) AS sent_at, strlen('From: Doc <d' || doc_id || '@' || lang || '.Example.com>') + strlen('To: a@x.org, B <b@x.org>')
-          + strlen('Date: Mon, 5 Jan 2026 10:00:00 +0000') + strlen('Message-ID: <' || doc_id || '@x>') + strlen('MIME-Version: 1.0')
-          + strlen('Content-Type: text/plain; charset=utf-8') + strlen('Content-Transfer-Encoding: 8bit') + 8
-          + strlen('http://www.' || lang || '.example.org/ ' || text) AS size_bytes,
-        1 + len(regexp_extract_all(text, 'https?://', 0, 'i')) AS n_links, '<' || doc_id || '@x>' AS message_id FROM documents""",
+      SELECT doc_id AS msg_id, 'd' || doc_id || '@' || lang || '.example.com' AS from_email_norm, CASE kind WHEN 1 THEN 'Döc, ' || doc_id ELSE 'Doc' END AS from_display_name,
+        true AS to_me_directly, 2 AS n_recipients, CAST(1767607200 AS BIGINT) AS sent_at,
+        strlen('From: ' || CASE kind WHEN 1 THEN '=?utf-8?B?' || base64(encode('Döc, ' || doc_id)) || '?=' ELSE 'Doc' END || ' <d' || doc_id || '@' || lang || '.Example.com>')
+          + strlen('To: a@x.org, B <b@x.org>') + strlen('Date: Mon, 5 Jan 2026 10:00:00 +0000') + strlen('Message-ID: <' || doc_id || '@x>') + strlen('MIME-Version: 1.0')
+          + CASE kind WHEN 1 THEN strlen('Content-Transfer-Encoding: base64') WHEN 2 THEN strlen('Content-Transfer-Encoding: quoted-printable') ELSE strlen('Content-Transfer-Encoding: 8bit') END
+          + CASE kind WHEN 3 THEN strlen('Content-Type: multipart/mixed; boundary=cut--cutContent-Type: text/plain; charset=x-unknown--cutContent-Type: application/zip')
+              + strlen('Content-Transfer-Encoding: base64Content-Disposition: attachment; filename=""UEs=--cut--') + strlen('=?utf-8?B?' || base64(encode('Rëport.ZIP')) || '?=') + 11
+            ELSE strlen('Content-Type: text/plain; charset=utf-8') END + 8
+          + CASE kind WHEN 1 THEN strlen(base64(encode(said))) + 2 * ((strlen(base64(encode(said))) - 1) // 76) WHEN 2 THEN strlen(replace(said, '=', '=3D')) ELSE strlen(said) END AS size_bytes,
+        1 + len(regexp_extract_all(text, 'https?://', 0, 'i')) AS n_links, '<' || doc_id || '@x>' AS message_id,
+        CASE kind WHEN 3 THEN 'zip' END AS extension, CASE kind WHEN 3 THEN 2 END AS attachment_bytes
+      FROM (SELECT *, doc_id % 6 AS kind, 'http://www.' || lang || '.example.org/ ' || text AS said FROM documents) WHERE kind < 5""",
+    "unreadable_files": """
+      SELECT 'ValueError' AS reason, count(*) AS n FROM documents WHERE doc_id % 6 = 5 HAVING count(*) > 0""",
     "unseen_rows": """
       SELECT account_id, folder, uid FROM landed LEFT JOIN folders USING (account_id, folder)
       WHERE NOT deleted AND uid > coalesce(last_seen_uid, 0)""",

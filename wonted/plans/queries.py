@@ -415,27 +415,56 @@ def header_facts(spark, folder):
     )
 
 
+def document_files(spark, folder) -> DataFrame:
+    """Documents as message files (path, content) of six shapes: plain, base64 with an encoded name, quoted-printable,
+    multipart with an attachment and an unknown charset, framed, and frames that are broken in two ways."""
+    said = "concat('http://www.', lang, '.example.org/ ', text)"
+    coded = "concat('=?utf-8?B?', base64(encode({0}, 'UTF-8')), '?=')"
+    name = f"if(kind = 1, {coded.format("concat('Döc, ', doc_id)")}, 'Doc')"
+    plain = "'Content-Type: text/plain; charset={0}\\nContent-Transfer-Encoding: {1}\\n\\n'"
+    file = (
+        "'\\n--cut\\nContent-Type: application/zip\\nContent-Transfer-Encoding: base64\\nContent-Disposition: attachment; filename=\"', "
+        f"{coded.format("'Rëport.ZIP'")}, '\"\\n\\nUEs=\\n--cut--\\n'"
+    )
+    body = (
+        f"CASE kind WHEN 1 THEN concat({plain.format('utf-8', 'base64')}, base64(encode(said, 'UTF-8'))) "
+        f"WHEN 2 THEN concat({plain.format('utf-8', 'quoted-printable')}, replace(said, '=', '=3D')) "
+        f"WHEN 3 THEN concat('Content-Type: multipart/mixed; boundary=cut\\n\\n--cut\\n', {plain.format('x-unknown', '8bit')}, said, {file}) "
+        f"ELSE concat({plain.format('utf-8', '8bit')}, said) END"
+    )
+    whole = (
+        f"concat('From: ', {name}, ' <d', doc_id, '@', lang, '.Example.com>\\nTo: a@x.org, B <b@x.org>\\n', "
+        "'Date: Mon, 5 Jan 2026 10:00:00 +0000\\nMessage-ID: <', doc_id, '@x>\\nMIME-Version: 1.0\\n', " + body + ")"
+    )
+    count = "CASE WHEN kind = 4 THEN string(octet_length(whole)) WHEN doc_id % 12 = 5 THEN 'many' ELSE string(octet_length(whole) + 99) END"
+    shaped_ = read(spark, folder, "documents").selectExpr("doc_id", "lang", "doc_id % 6 AS kind", f"{said} AS said")
+    return shaped_.selectExpr("doc_id", "kind", f"{whole} AS whole").selectExpr(
+        "concat('/store/', doc_id, if(kind < 4, '.eml', '.emlx')) AS path",
+        f"encode(if(kind < 4, whole, concat({count}, '\\n', whole, if(kind = 4, '<plist/>', ''))), 'UTF-8') AS content",
+    )
+
+
 @query
 def parsed_messages(spark, folder):
     """Whole texts wrapped as message files, parsed back, and turned into facts."""
-    files = read(spark, folder, "documents").selectExpr(
-        "concat('/store/', doc_id, '.eml') AS path",
-        "encode(concat('From: Doc <d', doc_id, '@', lang, '.Example.com>\\nTo: a@x.org, B <b@x.org>\\n',"
-        "'Date: Mon, 5 Jan 2026 10:00:00 +0000\\nMessage-ID: <', doc_id, '@x>\\nMIME-Version: 1.0\\n',"
-        "'Content-Type: text/plain; charset=utf-8\\nContent-Transfer-Encoding: 8bit\\n\\n',"
-        "'http://www.', lang, '.example.org/ ', text), 'UTF-8') AS content",
-    )
-    parsed = archive.good_rows(archive.parse_messages(files)).selectExpr(
+    parsed = archive.good_rows(archive.parse_messages(document_files(spark, folder))).selectExpr(
         "*", "uid % 2 AS account_id", "'INBOX' AS folder", "'inbox' AS folder_role", "1L AS generation", "uid AS msg_id"
     )
     me = spark.sql("SELECT stack(2, 0L, 'b@x.org', 1L, 'b@x.org') AS (account_id, email_norm)")
     f = landed.message_facts(parsed, me)
     return f.selectExpr(
-        "msg_id", "from_email_norm", "to_me_directly", "n_recipients", "sent_at", "size_bytes",
-        f"{facts.N_LINKS} AS n_links", "message_id",
+        "msg_id", "from_email_norm", "from_display_name", "to_me_directly", "n_recipients", "sent_at", "size_bytes",
+        f"{facts.N_LINKS} AS n_links", "message_id", "get(attachments, 0).extension AS extension",
+        "get(attachments, 0).size_bytes AS attachment_bytes",
     )
 
 
+@query
+def unreadable_files(spark, folder):
+    """Message files that could not be read, counted by reason."""
+    return archive.unreadable_counts(archive.parse_messages(document_files(spark, folder)))
+
+
 def landed_events(spark, folder) -> DataFrame:
     """Events as landed rows of 3 accounts with a folder per event type."""
     return read(spark, folder, "events").selectExpr(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +22,9 @@ PARSED = (
 )
 
 
+FOLD = re.compile(r"\r?\n(?=[ \t])|\r?\n$")
+
+
 def unframe(content: bytes) -> bytes:
     """The message inside a framed file: a line with its byte count, the message, other data."""
     line, newline, rest = content.partition(b"\n")
@@ -42,36 +46,62 @@ def _decoded(part, limit: int) -> tuple[int | None, str | None]:
         return None, None
     if part.get_content_type() not in ("text/plain", "text/html") or len(body) > limit:
         return len(body), None
-    try:
-        return len(body), body.decode(part.get_content_charset() or "utf-8", errors="replace")
-    except LookupError:
-        return len(body), body.decode("utf-8", errors="replace")
+    return len(body), _characters(body, part.get_content_charset())
+
+
+def _filename(part) -> str | None:
+    name = part.get_filename()
+    return None if name is None else _decoded_words(_plain(name))
+
 
+def _plain(raw: str) -> str:
+    """A raw header value on one line, undecodable bytes replaced."""
+    if "\n" in raw or "\r" in raw:
+        raw = FOLD.sub("", raw)
+    return raw if raw.isascii() else raw.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
-def _clean(value) -> str | None:
-    """Header objects and undecodable bytes as plain text."""
-    return None if value is None else str(value).encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
+def _decoded_words(text: str) -> str:
+    """Encoded words replaced by what they stand for; the text itself where they cannot be read."""
+    from email.header import decode_header
 
-def _headers(msg, name: str) -> list[str]:
-    """Decoded values of a header; the raw text where it cannot be parsed."""
+    if "=?" not in text:
+        return text
     try:
-        return [_clean(v) for v in msg.get_all(name, [])]
+        pieces = [(x.encode("utf-8", "replace") if isinstance(x, str) else x, charset) for x, charset in decode_header(text)]
+        return "".join(_characters(x, charset) for x, charset in pieces)
     except Exception:
-        return [_clean(v) for k, v in msg.raw_items() if k.lower() == name.lower()]
+        return text
+
+
+def _characters(raw: bytes, charset: str | None) -> str:
+    try:
+        return raw.decode(charset or "utf-8", errors="replace")
+    except LookupError:
+        return raw.decode("utf-8", errors="replace")
+
+
+def _people(lines: list[str]) -> list[tuple[str, str]]:
+    """Names and addresses of address headers.  Addresses are split before encoded names are read, which may hold commas."""
+    from email.utils import getaddresses
+
+    return [(_decoded_words(n), a) for n, a in getaddresses(lines)] if lines else []
 
 
 def _columns(raw: bytes, limit: int) -> dict:
     """Header and structure columns of one message; every later rule is a Spark expression."""
-    from email import message_from_bytes, policy
-    from email.utils import getaddresses, parseaddr
+    from email import message_from_bytes
 
-    msg = message_from_bytes(raw, policy=policy.default)
+    msg = message_from_bytes(raw)
+    headers: dict[str, list[str]] = {}
+    for name, value in msg.raw_items():
+        headers.setdefault(name.lower(), []).append(_plain(str(value)))
 
     def first(header: str) -> str | None:
-        return next(iter(_headers(msg, header)), None)
+        value = next(iter(headers.get(header, ())), None)
+        return None if value is None else _decoded_words(value)
 
-    name, addr = parseaddr(first("From") or "")
+    name, addr = next(iter(_people(headers.get("from", [])[:1])), ("", ""))
     parts = []
     for part in msg.walk():
         if part.is_multipart():
@@ -82,7 +112,7 @@ def _columns(raw: bytes, limit: int) -> dict:
                 "maintype": part.get_content_maintype(),
                 "subtype": part.get_content_subtype(),
                 "disposition": (part.get_content_disposition() or "").lower(),
-                "filename": _clean(part.get_filename()),
+                "filename": _filename(part),
                 "size": size,
                 "text": text,
             }
@@ -90,14 +120,14 @@ def _columns(raw: bytes, limit: int) -> dict:
     return {
         "from_name": name,
         "from_addr": addr,
-        "reply_to_addr": parseaddr(first("Reply-To") or "")[1],
-        "to_addrs": [a for _, a in getaddresses(_headers(msg, "To"))],
-        "cc_addrs": [a for _, a in getaddresses(_headers(msg, "Cc"))],
-        "date_hdr": first("Date"),
-        "message_id_hdr": first("Message-ID"),
-        "in_reply_to_hdr": first("In-Reply-To"),
-        "references_hdr": first("References"),
-        "auth_results_hdr": first("Authentication-Results"),
+        "reply_to_addr": next((a for _, a in _people(headers.get("reply-to", [])[:1])), ""),
+        "to_addrs": [a for _, a in _people(headers.get("to", []))],
+        "cc_addrs": [a for _, a in _people(headers.get("cc", []))],
+        "date_hdr": first("date"),
+        "message_id_hdr": first("message-id"),
+        "in_reply_to_hdr": first("in-reply-to"),
+        "references_hdr": first("references"),
+        "auth_results_hdr": first("authentication-results"),
         "size_bytes": len(raw),
         "parts": parts,
     }
