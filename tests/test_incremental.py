@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from brute import Mailbox
 from mailboxes import frame, random_mailbox
@@ -18,14 +19,16 @@ from wonted.sources import facts
 from wonted.sources.facts import prepare
 from wonted.streaming.incremental import (
     KEY,
+    arrived_facts,
     current_messages,
     file_stream,
+    follow_generations,
     late_senders,
     rebuild_store,
     released_rows,
-    renumbered_folders,
     replay_store,
     score_batch,
+    score_landed_batch,
     score_stream,
 )
 from wonted.streaming.store import Store
@@ -127,13 +130,15 @@ def mine(spark):
     return spark.createDataFrame([(1, "me@x.org")], "account_id bigint, email_norm string")
 
 
-def test_gaps_are_held_back_until_filled(spark, tmp_path):
+def test_gaps_are_held_back_until_filled(spark, tmp_path, mine):
     """Interleaved ids, gaps that are filled or deleted, rows listed again, older generations."""
-    m, store, got = landed_mail, Store(spark, str(tmp_path / "s")), set()
+    m, got = landed_mail, set()
     schema = COLUMNS + ", deleted boolean"
 
     def step(batch, *rows):
-        released = released_rows(spark.createDataFrame(list(rows), schema), store, batch).cache()
+        arrived = arrived_facts(spark.createDataFrame(list(rows), schema), mine)
+        store = follow_generations(arrived, Store(spark, str(tmp_path / "s"), batch), batch)
+        released = released_rows(arrived, store, batch).cache()
         keys = {(r["folder"], r["generation"], r["uid"]) for r in released.collect()}
         assert not keys & got  # nothing twice
         store.write("passed", released.select(*KEY), batch)
@@ -147,8 +152,12 @@ def test_gaps_are_held_back_until_filled(spark, tmp_path):
     # a served row stays served, also when a later listing misses it; 13 is a new gap
     assert step(2, m(9), m(10, served=False), m(13, served=False), m(14)) == inbox(9, 10, 12)
     assert step(3, m(9, served=False), m(13, deleted=True), m(15)) == inbox(14, 15)
-    assert step(4, m(1, generation=2), m(16)) == inbox(1, g=2)
-    assert step(5, m(17), m(2, generation=2), m(1, generation=2)) == inbox(2, g=2)
+    # the generation that arrived last counts, whether larger or smaller
+    assert step(4, m(16), m(1, generation=2, msg_id=101)) == inbox(1, g=2)
+    assert step(5, m(17), m(2, generation=2, msg_id=102), m(1, generation=2, msg_id=101)) == inbox(2, g=2)
+    got.clear()
+    assert step(6, m(3, generation=2, msg_id=103), m(2, msg_id=104), m(1, msg_id=105)) == inbox(1, 2)
+    assert step(7, m(30, "Old", msg_id=106), m(3, msg_id=107)) == inbox(3)  # the other folder kept what it had
 
 
 def test_stream_of_landed_files(spark, tmp_path, mine):
@@ -157,14 +166,41 @@ def test_stream_of_landed_files(spark, tmp_path, mine):
         return landed_mail(uid, *rest, **{"sender": "ann@north-ford.com", "msg_id": uid, **options})
 
     one = [m(1), m(3), m(5, served=False), m(7), m(8, sender=""), m(31, "Old", generation=1), m(32, "Old", generation=1)]
-    two = [m(2), m(5), m(41, "Old", generation=2), m(33, "Old", generation=1)]
+    two = [m(2), m(5), m(33, "Old", generation=1), m(41, "Old", generation=0)]
     land_files(spark, tmp_path / "landed", one, two)
     store, got = stream(spark, tmp_path, mine)
-    assert got == [("INBOX", 1, u) for u in (1, 2, 3, 5, 7)] + [("Old", 2, 41)]
-    scores = store.rows("message_scores")
-    assert scores.count() == scores.select("msg_id").distinct().count() == 8  # both old rows were scored when they came
-    assert [(r["folder"], r["generation"]) for r in renumbered_folders(store).collect()] == [("Old", 2)]
+    assert got == [("INBOX", 1, u) for u in (1, 2, 3, 5, 7)] + [("Old", 0, 41)]
+    live = {r["msg_id"]: r["baseline_n"] for r in store.rows("message_scores").collect()}
+    assert live == {1: 0, 3: 1, 2: 2, 5: 3, 7: 4, 41: 5}  # 31 and 32 are gone from the state, too
     again = {r["msg_id"]: r["baseline_n"] for r in replay_store(store, names=("cold_links",)).scores.collect()}
     new = rebuild_store(store, str(tmp_path / "rebuilt"), 2)
     fresh = {r["msg_id"]: r["baseline_n"] for r in new.rows("message_scores").collect()}
-    assert fresh == again == {1: 0, 2: 1, 3: 2, 5: 3, 7: 4, 41: 5} and renumbered_folders(new).isEmpty()
+    assert fresh == again == {1: 0, 2: 1, 3: 2, 5: 3, 7: 4, 41: 5}
+
+
+def test_no_content_is_stored(spark, tmp_path, mine):
+    """Rows that wait behind a gap, and everything else below the store, hold no text and no file names."""
+    secret = [("text", "plain", "", None, 9, "PRIVATE BODY http://seen.example.com"), ("application", "pdf", "attachment", "secret-plan.pdf", 5, None)]
+    rows = [landed_mail(u, served=u != 2) for u in (1, 2, 3)]
+    rows = [(*r[:17], secret, *r[18:]) for r in rows]
+    store = Store(spark, str(tmp_path / "s"))
+    for batch in (0, 1):
+        score_landed_batch(spark.createDataFrame(rows, COLUMNS + ", deleted boolean"), mine, store, batch)
+        assert [r["uid"] for r in store.held(batch + 1).filter("served").collect()] == [3]
+    found = [f.read_bytes() for f in tmp_path.rglob("*.parquet")]
+    assert len(found) > 10
+    for table in tmp_path.rglob("*.parquet"):
+        shown = repr(pq.read_table(table).to_pylist())
+        assert "PRIVATE" not in shown and "secret" not in shown
+    assert "example.com" in repr(store.held(2).collect())  # the facts themselves wait
+
+
+def test_merged_state_gives_the_same_scores(spark, tmp_path):
+    rows = random_mailbox(23, n=60, undated=False)
+    plain_ = stored(run(spark, tmp_path / "plain", rows, [15, 30, 45]))
+    store = Store(spark, str(tmp_path / "merged"))
+    for b, lo in enumerate((0, 15, 30, 45)):
+        store.merge_if_due(b, 2)
+        store.merge_if_due(b, 2)  # as after a failure
+        score_batch(frame(spark, rows[lo : lo + 15]), store, b)
+    assert stored(store) == plain_ and store._last(f"{store.folder}/merges", None) == (2, 0)

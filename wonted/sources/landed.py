@@ -81,8 +81,11 @@ def message_facts(
     structure_only: bool = False,
     registry: Registry = DEFAULT_REGISTRY,
     policy: SkewPolicy = DEFAULT_SKEW,
+    also: tuple[str, ...] = (),
+    usable_only: bool = True,
 ) -> DataFrame:
-    """Message facts of landed rows; rows without a usable From are left out.
+    """Message facts of landed rows, with the columns ``also`` as landed.  Rows without a usable From are left out, or with
+    ``usable_only`` off have an empty from_email_norm.
 
     ``mine`` is the identities table.  ``structure_only`` uses the attachment rule for rows that
     describe structure without whole messages, where an embedded message is an attachment too.
@@ -110,7 +113,7 @@ def message_facts(
     addresses = "transform(filter(coalesce({0}, {1}), a -> a <> ''), a -> {2})"
     base = df.selectExpr(
         "account_id", "folder", "folder_role", "generation", "uid", "msg_id", "size_bytes", "from_name",
-        "coalesce(my_addrs, array()) AS my_addrs",
+        *also, "coalesce(my_addrs, array()) AS my_addrs",
         f"coalesce({norm('from_addr')}, '') AS from_email_norm",
         f"CASE WHEN reply_to_addr <> '' THEN {norm('reply_to_addr')} END AS reply_to",
         f"{addresses.format('to_addrs', STRINGS, norm('a'))} AS to_norm",
@@ -125,7 +128,7 @@ def message_facts(
         f"NOT exists(coalesce(parts, array()), p -> {text} AND {too_large}) AS links_extracted",
         f"array_join(transform(filter(parts, p -> {text} AND NOT {too_large}), p -> coalesce(p.text, '')), "
         "'\\n') AS _text",
-    ).filter("from_email_norm <> ''")
+    ).filter("from_email_norm <> ''" if usable_only else "true")
     linked = base.selectExpr("*", f"{link_domain_list('_text', registry.suffixes)} AS _links").drop("_text")
     # sorted links: equal ones are neighbours, so a count is the distance between two starts
     ordered = linked.withColumn("_links", F.array_sort("_links")).withColumn(
@@ -149,7 +152,7 @@ def message_facts(
         "size_bytes", "attachments",
         f"map_from_entries({counts}) AS link_domains", "links_extracted",
         "in_reply_to IS NOT NULL OR size(references) > 0 AS is_reply",
-        "auth_spf", "auth_dkim", "auth_dmarc",
+        "auth_spf", "auth_dkim", "auth_dmarc", *also,
     )
 
 

@@ -27,21 +27,39 @@ ORDER = ["msg_id"]
 KEY = ["account_id", "folder", "generation", "uid"]
 
 
+def current_generations(rows: DataFrame) -> DataFrame:
+    """(account_id, folder, _listed): the generation of the row that arrived last."""
+    return rows.groupBy("account_id", "folder").agg(F.max_by("generation", "msg_id").alias("_listed"))
+
+
+def known_marks(store: Store, batch: int) -> DataFrame:
+    """(account_id, folder, _known, _mark) of what is stored; a store holds one generation of a folder."""
+    return store.state("marks", batch).selectExpr("account_id", "folder", "generation AS _known", "last_seen_uid AS _mark")
+
+
+def follow_generations(rows: DataFrame, store: Store, batch: int, **options) -> Store:
+    """The store to go on with.  If a folder comes with another generation than the stored one, larger or smaller, its rows
+    are gone at the source: everything else is scored again, in order of arrival, in a renewed store, as if they had never come."""
+    by = ["account_id", "folder"]
+    changed = current_generations(rows).join(known_marks(store, batch), by).filter("_listed <> _known").select(*by)
+    changed = checkpointed(changed)
+    if changed.isEmpty():
+        return store
+    new = rebuild_store(store, store.renewed(batch), batch - 1, without=changed, **options)
+    store.renew(batch)
+    return new
+
+
 def new_rows(messages: DataFrame, store: Store, batch: int, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
     """Each (account, folder, generation, uid) once, if no earlier batch took it, in any order of uids.
 
-    Only the largest generation of a folder counts (numbers of a renumbered folder grow); rows of older ones
-    are stale.  Rows above the stored mark of their folder are new without a look at what is stored.
+    Only the current generation of a folder counts.  Rows above the stored mark of their folder are new without a
+    look at what is stored.
     """
     by = ["account_id", "folder"]
     once = messages.dropDuplicates(KEY)
-    known = store.state("marks", batch).groupBy(*by).agg(
-        F.max("generation").alias("_known"), F.max_by("last_seen_uid", "generation").alias("_mark")
-    )
-    listed = once.groupBy(*by).agg(F.max("generation").alias("_listed"))
-    folders = listed.join(known, by, "left").selectExpr(
-        f"{FOLDER_KEY} AS folder_key", "greatest(_known, _listed) AS _current",
-        "if(_known >= _listed, _mark, NULL) AS _mark",
+    folders = current_generations(once).join(known_marks(store, batch), by, "left").selectExpr(
+        f"{FOLDER_KEY} AS folder_key", "_listed AS _current", "if(_known = _listed, _mark, NULL) AS _mark",
     )
     keyed = lookup_join(once.selectExpr("*", f"{FOLDER_KEY} AS folder_key"), folders, "folder_key", "uid", policy)
     current = keyed.filter("generation = _current")
@@ -53,18 +71,23 @@ def new_rows(messages: DataFrame, store: Store, batch: int, policy: SkewPolicy =
     return above.unionByName(below.join(seen, KEY, "left_anti"))
 
 
-def released_rows(landed: DataFrame, store: Store, batch: int, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
-    """Landed rows of this batch and rows held back earlier, up to the first gap of their folder.
-
-    A row with ``served`` false is a gap: it and everything behind it in the folder are held back until the row
-    is served or listed as ``deleted``.  Rows of folders without a known role are left out.
-    """
+def arrived_facts(landed: DataFrame, mine: DataFrame, **options) -> DataFrame:
+    """Facts of landed rows of folders with a known role, with served and deleted.  From here on there is no text and no
+    file name."""
     served = landed if "served" in landed.columns else landed.withColumn("served", F.lit(True))
     rows = served if "deleted" in landed.columns else served.withColumn("deleted", F.lit(False))
     rows = rows.filter(one_of("folder_role", FOLDER_ROLES))
+    return message_facts(rows, mine, also=("served", "deleted"), usable_only=False, **options)
+
+
+def released_rows(arrived: DataFrame, store: Store, batch: int, policy: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+    """Facts of this batch (``arrived_facts``) and those held back earlier, up to the first gap of their folder.
+
+    A row with ``served`` false is a gap: it and everything behind it in the folder are held back until the row
+    is served or listed as ``deleted``.
+    """
     earlier = store.held(batch)
-    if earlier is not None:
-        rows = earlier.unionByName(rows)
+    rows = arrived if earlier is None else earlier.unionByName(arrived)
     best = W.partitionBy(*KEY).orderBy(F.desc("deleted"), F.desc("served"), "msg_id")
     rows = rows.withColumn("_i", F.row_number().over(best)).filter("_i = 1 AND NOT deleted").drop("_i")
     waiting = checkpointed(new_rows(rows, store, batch, policy))
@@ -83,36 +106,34 @@ def score_landed_batch(
     policy: SkewPolicy = DEFAULT_SKEW,
     structure_only: bool = False,
 ) -> DataFrame:
-    """From landed rows to scores in one step: gap rule, current generation, facts, scores."""
-    released = checkpointed(released_rows(landed, store, batch, policy))
-    facts = message_facts(released, mine, structure_only=structure_only, registry=registry, policy=policy)
-    facts = checkpointed(facts)
-    store.write("passed", released.select(*KEY).join(facts.select(*KEY), KEY, "left_anti"), batch)
-    return score_batch(facts, store, batch, registry=registry, policy=policy)
+    """From landed rows to scores in one step: facts, current generation, gap rule, scores."""
+    options = {"registry": registry, "policy": policy}
+    arrived = checkpointed(arrived_facts(landed, mine, structure_only=structure_only, **options))
+    store = follow_generations(arrived, store, batch, **options)
+    released = checkpointed(released_rows(arrived, store, batch, policy))
+    usable = "from_email_norm <> ''"
+    store.write("passed", released.filter(f"NOT ({usable})").select(*KEY), batch)
+    return score_batch(released.filter(usable).drop("served", "deleted"), store, batch, fresh=True, **options)
 
 
-def renumbered_folders(store: Store) -> DataFrame:
-    """Folders with facts of an older generation in the store.  Their contributions stay in the running state,
-    so a rebuild is due: ``replay_store`` and ``rebuild_store`` leave them out."""
-    marks = store.state("marks").groupBy("account_id", "folder")
-    found = marks.agg(F.min("generation").alias("oldest"), F.max("generation").alias("generation"))
-    return found.filter("oldest < generation")
+def current_messages(store: Store) -> DataFrame:
+    """Stored messages; those of a folder that was numbered anew left with the store that had them."""
+    return store.rows("messages")
 
 
-def current_messages(store: Store) -> DataFrame:
-    """Stored messages without those of older generations."""
-    stale = renumbered_folders(store).selectExpr("account_id", "folder", "generation AS _current")
-    rows = store.rows("messages").join(stale, ["account_id", "folder"], "left")
-    return rows.filter("_current IS NULL OR generation = _current").drop("_current")
+def rebuild_store(store: Store, into: Store | str, batch: int, without: DataFrame | None = None, **options) -> Store:
+    """A new store with the current messages, scored again in order of arrival, what was passed over and what waits.
+    ``without`` lists folders (account_id, folder) to leave out."""
+    new = Store(store.spark, into) if isinstance(into, str) else into
 
+    def kept(df: DataFrame) -> DataFrame:
+        return df if without is None else df.join(without, ["account_id", "folder"], "left_anti")
 
-def rebuild_store(store: Store, folder: str, batch: int, **options) -> Store:
-    """A store in a new folder that holds the current messages only, scored again in order of arrival."""
-    new = Store(store.spark, folder)
-    score_batch(current_messages(store).drop("sender", "batch_id"), new, batch, **options)
+    new.write("passed", kept(store.rows("passed", batch + 1)).select(*KEY), batch)
+    score_batch(kept(store.rows("messages", batch + 1)).drop("sender", "batch_id"), new, batch, fresh=True, **options)
     held = store.held(batch + 1)
     if held is not None:
-        new.hold(held, batch)
+        new.hold(kept(held), batch)
     return new
 
 
@@ -142,16 +163,21 @@ def score_batch(
     *,
     registry: Registry = DEFAULT_REGISTRY,
     policy: SkewPolicy = DEFAULT_SKEW,
+    fresh: bool = False,
 ) -> DataFrame:
     """Judge one batch in order of arrival (msg_id) and store its facts, scores and contributions.
 
-    Returns the scores.  Repeating a batch number replaces its results by the same ones.
+    Returns the scores.  Repeating a batch number replaces its results by the same ones.  ``fresh`` tells that the rows
+    are current and new, which is looked up otherwise.
     """
     for column, default in (("generation", "1L"), ("folder", "'INBOX'"), ("account_id", "1L"), ("uid", "msg_id")):
         if column not in messages.columns:
             messages = messages.withColumn(column, F.expr(default))
-    fresh = with_threads(new_rows(messages, store, batch, policy), store, batch, policy)
-    prepared = facts_.prepare(fresh, order_by="msg_id", registry=registry)
+    if not fresh:
+        messages = checkpointed(messages)
+        store = follow_generations(messages, store, batch, registry=registry, policy=policy)
+        messages = new_rows(messages, store, batch, policy)
+    prepared = facts_.prepare(with_threads(messages, store, batch, policy), order_by="msg_id", registry=registry)
     prepared = checkpointed(prepared)  # read by every branch below
     hot = find_hot_keys(prepared, ["sender", "thread_id", "name_skel", "rd"], "msg_id", "msg_id", policy)
     common = {"hot": hot, "policy": policy}
@@ -166,11 +192,14 @@ def score_batch(
         "credits", arrival.arrival_credits(inc, out, known=known, credited=credited, **common), batch
     )
 
-    # activations: stored ones first, as they are earlier
+    # the senders' own state, once for everything that reads it
     senders = inc.select("sender")
-    carry = store.state("sender_state", batch, senders)
-    one_way = relations.one_way_positions(inc, ORDER, registry=registry, carry=carry, **common)
-    reached = relations.join_activations(one_way, credits)
+    state = baseline.prior_state(inc, ORDER, carry=store.state("sender_state", batch, senders), **common)
+    hours_before = store.state("sender_hours", batch, senders)
+    state = checkpointed(baseline.prior_same_hour(state, ORDER, carry=hours_before, **common))
+
+    # activations: stored ones first, as they are earlier
+    reached = relations.join_activations(relations.one_way_of(state, registry), credits)
     acts = store.write("activations", reached, batch)
     before = store.state("activations", batch, senders.union(acts.select("sender")))
     acts_now = _earliest(before.unionByName(acts), "sender", "pos3", "pos2")
@@ -211,14 +240,15 @@ def score_batch(
     )
 
     # judge
-    state = baseline.prior_state(inc, ORDER, carry=carry, **common)
-    hours_before = store.state("sender_hours", batch, senders)
-    state = baseline.prior_same_hour(state, ORDER, carry=hours_before, **common)
     times = state.select("sender", "msg_id", "sent_at", "p_n", "p_last")
-    past = store.rows("messages", batch).filter("direction = 'in'").select("sender", "msg_id", "sent_at")
-    median = arrival.arrival_median_gaps(
-        times, past.unionByName(inc.select("sender", "msg_id", "sent_at")), registry=registry, policy=policy
-    )
+
+    def past(who: DataFrame) -> DataFrame:
+        seen = store.rows("messages", batch).filter("direction = 'in'").select("sender", "msg_id", "sent_at")
+        return seen.join(who, "sender", "left_semi")
+
+    gap_events = checkpointed(arrival.arrival_gap_events(times, past, **common))
+    known_gaps = lambda who: store.state("sender_gaps", batch, who)
+    median = arrival.arrival_median_gaps(times, gap_events, known_gaps, registry=registry)
     per_domain = domains_now.join(alike, "rd", "full")
     context = senders.distinct().selectExpr("sender", f"{relations.sender_domain(registry)} AS rd")
     context = salted_left_join(context, per_domain, "rd", "sender", hot.get("rd"), policy).drop("rd")
@@ -238,6 +268,7 @@ def score_batch(
     store.write("sender_state", inc.groupBy("sender").agg(*added.values()), batch)
     hours = baseline.sender_hours(inc, "sent_hour_local").withColumnRenamed("n", "p_hour")
     store.write("sender_hours", hours, batch)
+    store.write("sender_gaps", gap_events.groupBy("sender", "g").agg(F.sum("n").alias("n")).filter("n <> 0"), batch)
     store.write("thread_senders", relations.thread_senders(inc), batch)
     store.write("messages", prepared, batch)
     passed = store.rows("passed", batch + 1).filter(F.col("batch_id") == batch)
@@ -284,15 +315,18 @@ def score_stream(
     registry: Registry = DEFAULT_REGISTRY,
     policy: SkewPolicy = DEFAULT_SKEW,
     available_now: bool = True,
+    merge_every: int = 16,
 ) -> StreamingQuery:
     """Start scoring a stream of message facts or, given the identities ``mine``, of landed rows.
 
-    The checkpoint holds the source offsets; results are exactly once because a batch replaces its own output.
+    The checkpoint holds the source offsets; results are exactly once because a batch replaces its own output.  The
+    state is merged to one row per key once in ``merge_every`` batches.
     """
-    store = Store(source.sparkSession, store_folder)
     options = {"registry": registry, "policy": policy}
 
     def run(df: DataFrame, batch_id: int) -> None:
+        store = Store(source.sparkSession, store_folder, before=batch_id)
+        store.merge_if_due(batch_id, merge_every)
         if mine is None:
             score_batch(df, store, batch_id, **options)
         else:
