@@ -85,11 +85,26 @@ def test_runs_over_a_table_that_only_grows(spark, mine, tmp_path):
     stats, stored = step(2, row(5), row(6, folder="Sent", role="sent"))  # earlier rows of the folders stay
     assert stats.new_messages == 2 and len(stored) == 5
     again = [("INBOX", 3, 1), ("INBOX", 3, 2), ("Sent", 1, 4), ("Sent", 1, 6)]
-    stats, stored = step(3, row(7, generation=2), row(1, generation=3), row(2, generation=3))
-    assert (stats.new_messages, stats.invalidated) == (2, 1) and stored == again
+    late = lambda uid, msg_id, generation: (*row(uid, generation=generation)[:5], msg_id, *row(uid)[6:])
+    stats, stored = step(3, row(7, generation=2), late(1, 11, 3), late(2, 12, 3))
+    assert (stats.new_messages, stats.invalidated, stats.stale) == (2, 1, 4) and stored == again
     for number in (4, 4):
         stats, stored = step(number)
         assert (stats.new_messages, stats.invalidated) == (0, 0) and stored == again
+    # numbered anew once more, with a smaller generation: what arrived last counts
+    stats, stored = step(5, late(1, 21, 2))
+    assert (stats.new_messages, stats.invalidated, stats.stale) == (2, 1, 5) and stored[:2] == [("INBOX", 2, 1), ("INBOX", 2, 7)] and len(stored) == 4
+
+
+def test_numbers_in_order_of_arrival(spark, mine):
+    """Sent folders first, then by folder and uid; the source's own listing decides what is current."""
+    rows = [row(u, folder=f, role=r, generation=g) for f, r, g in (("INBOX", "inbox", 4), ("Sent", "sent", 1), ("INBOX", "inbox", 9)) for u in (3, 1, 2)]
+    df = land(spark, *rows).drop("msg_id").repartition(4)
+    listing = spark.createDataFrame([(1, "INBOX", "inbox", 4), (1, "Sent", "sent", 1), (1, "Odd", "strange", 1)], "account_id bigint, folder string, role string, generation bigint")
+    run = ingest(df, mine, spark.createDataFrame([], FOLDERS), listing=listing, first_number=100)
+    got = sorted((r["msg_id"], r["folder"], r["generation"], r["uid"]) for r in run.facts.collect())
+    assert got == [(100 + i, "Sent", 1, i + 1) for i in range(3)] + [(103 + i, "INBOX", 4, i + 1) for i in range(3)]
+    assert run.stats.stale == 3 and {r["folder"] for r in run.folders.collect()} == {"INBOX", "Sent"}
 
 
 def test_sink_deletes_and_repeats(spark, tmp_path):

@@ -69,10 +69,11 @@ def replied(
         active = known.join(outgoing.select("thread_id").distinct(), "thread_id", "left_semi")
         records = records.unionByName(active.selectExpr("thread_id", "sender", "-1L AS a", "min_in AS m"))
     outs = outgoing.select("thread_id", "msg_id", "sent_at")
-    looked = later(records, outs, ["thread_id"], hot, policy)
-    sure = looked.filter("found > a").select(*columns, "found")
+    looked = checkpointed(later(records, outs, ["thread_id"], hot, policy))
+    found = looked.filter("found > a").select(*columns, "found")
     open_ = looked.filter("found <= a").select(*columns)
-    found = sure.unionByName(later_from(open_, outs, hot, policy).select(*columns, "found"))
+    if not open_.isEmpty():
+        found = found.unionByName(later_from(open_, outs, hot, policy).select(*columns, "found"))
     return (
         found.groupBy("thread_id", "sender")
         .agg(F.min("found").alias("msg_id"))

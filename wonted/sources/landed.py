@@ -184,14 +184,33 @@ def contiguous_prefix(batch: DataFrame, policy: SkewPolicy = DEFAULT_SKEW) -> Da
     )
 
 
+def folder_summary(rows: DataFrame, unseen: DataFrame, accepted: DataFrame, listed: DataFrame) -> DataFrame:
+    """Per folder what a run finds: unseen rows, unreadable ones among them, rows of other generations (stale), and the
+    generation and largest uid of the accepted ones."""
+    error = "parse_error IS NOT NULL" if "parse_error" in rows.columns else "false"
+    one = {"unseen": "0L", "unreadable": "0L", "stale": "0L", "top": "bigint(NULL)", "now": "bigint(NULL)"}
+
+    def part(df: DataFrame, **own: str) -> DataFrame:
+        return df.selectExpr("account_id", "folder", *[f"{v} AS {k}" for k, v in {**one, **own}.items()])
+
+    now = listed.selectExpr("account_id", "folder", "generation AS _now")
+    every = rows.groupBy("account_id", "folder", "generation").agg(F.count(F.lit(1)).alias("n"))
+    stale = every.join(now, ["account_id", "folder"], "left").filter("NOT (generation <=> _now)")
+    parts = part(unseen, unseen="1L", unreadable=f"if({error}, 1L, 0L)").unionByName(part(stale, stale="n"))
+    parts = parts.unionByName(part(accepted, top="uid", now="generation"))
+    sums = [F.sum(c).alias(c) for c in ("unseen", "unreadable", "stale")]
+    return parts.groupBy("account_id", "folder").agg(*sums, F.max("top").alias("top"), F.max("now").alias("now"))
+
+
 def advanced_marks(folders: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Folder state after a run: the mark is the largest accepted uid."""
-    top = accepted.groupBy("account_id", "folder").agg(
-        F.max("uid").alias("_top"), F.max("generation").alias("_generation")
-    )
+    """Folder state after a run: the mark is the largest accepted uid (of rows, or of their ``folder_summary``)."""
+    top = accepted
+    if "top" not in accepted.columns:
+        top = accepted.groupBy("account_id", "folder").agg(F.max("uid").alias("top"), F.max("generation").alias("now"))
+    top = top.select("account_id", "folder", "top", "now")
     return folders.join(top, ["account_id", "folder"], "left").selectExpr(
-        "account_id", "folder", "role", "coalesce(_generation, generation) AS generation",
-        "coalesce(greatest(last_seen_uid, _top), 0L) AS last_seen_uid",
+        "account_id", "folder", "role", "coalesce(now, generation) AS generation",
+        "coalesce(greatest(last_seen_uid, top), 0L) AS last_seen_uid",
     )
 
 
@@ -261,6 +280,7 @@ class RunStats:
     skipped: int
     invalidated: int
     initial_backfill: bool
+    stale: int = 0
 
     @property
     def needs_rebuild(self) -> bool:
@@ -268,17 +288,10 @@ class RunStats:
         return self.initial_backfill or self.invalidated > 0
 
 
-def run_stats(landed: DataFrame, accepted: DataFrame, folders: DataFrame, invalid: DataFrame) -> RunStats:
-    """Counts of one ingest run; one row per folder at most is looked at for the backfill flag."""
-    first = (
-        landed.groupBy("account_id", "folder")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(folders, ["account_id", "folder"], "left")
-        .filter("coalesce(last_seen_uid, 0) = 0")
-    )
-    return RunStats(
-        new_messages=accepted.count(),
-        skipped=landed.filter("parse_error IS NOT NULL").count() if "parse_error" in landed.columns else 0,
-        invalidated=invalid.count(),
-        initial_backfill=not first.isEmpty(),
-    )
+def run_stats(new_messages: int, summary: DataFrame, folders: DataFrame, invalid: DataFrame) -> RunStats:
+    """Counts of one ingest run, from tables with a row per folder; the facts were counted as they were written."""
+    first = "if(unseen > 0 AND coalesce(last_seen_uid, 0) = 0, 1L, 0L)"
+    per_folder = summary.join(folders, ["account_id", "folder"], "left").selectExpr("unreadable", "stale", f"{first} AS fresh", "0L AS bad")
+    rows = per_folder.unionByName(invalid.selectExpr("0L AS unreadable", "0L AS stale", "0L AS fresh", "1L AS bad"))
+    total = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns]).first()
+    return RunStats(new_messages, total["unreadable"], total["bad"], total["fresh"] > 0, total["stale"])

@@ -259,6 +259,8 @@ def score_batch(
     judged = judged.join(new, "msg_id", "left").join(median, "msg_id", "left")
     judged = judged.selectExpr("*", f"{relations.tier_before(registry)} AS tier")
     scored = features.with_features(judged, registry)
+    shown = [c for c in scored.columns if c.startswith(("raw_", "explain_"))]
+    scored = checkpointed(scored.select("msg_id", "tier", "p_n", "anomaly_score", *shown))  # two tables are made of it
 
     scores = store.write("message_scores", features.message_scores(scored, registry), batch)
     store.write("message_score_features", features.score_features(scored, registry), batch)
