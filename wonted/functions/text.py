@@ -137,8 +137,16 @@ def file_extension(filename: str) -> str:
 
 
 def one_decimal(x: str) -> str:
-    """One decimal; a value exactly half-way goes to the even digit."""
-    return f"format_string('%.1f', if({x} * 4D = floor({x} * 4D), bround({x}, 1), {x}))"
+    """One decimal of a number from 0, rounded by its exact binary value; exactly half-way goes to the even digit.
+
+    Scaling by a power of two is exact: the number is (whole + rest) / 2^40; ``over`` is how far it is above the middle.
+    """
+    one = "1099511627776"  # 2^40
+    parts = f"named_struct('whole', bigint(floor(v * {one}D)), 'rest', v * {one}D - floor(v * {one}D))"
+    tenths = f"named_struct('k', p.whole * 10 div {one}, 'over', double(p.whole * 10 % {one} - 549755813888L) + 10D * p.rest)"
+    digits = f"CASE WHEN q.over < 0 THEN q.k WHEN q.over > 0 THEN q.k + 1 ELSE q.k + q.k % 2 END"
+    shown = f"transform(transform(transform(array({x}), v -> {parts}), p -> {tenths}), q -> {digits})"
+    return f"if({x} < 500000D, get(transform({shown}, d -> concat(d div 10, '.', d % 10)), 0), format_string('%.1f', {x}))"
 
 
 def format_size(n_bytes: str) -> str:

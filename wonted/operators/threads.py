@@ -55,8 +55,8 @@ def resolve_threads(
 
     A message without a known ancestor belongs to the thread named by its oldest reference or itself;
     a thread's id is the msg_id of the message that opened it.  Others follow parent pointers, which
-    are doubled every round, so a chain of length n takes about log2(n) rounds; each round is stored in
-    the shared folder.  ``known`` (message_id, msg_id, thread_id, thread_depth) and ``known_roots``
+    are doubled every round, so a chain of length n takes about log2(n) rounds; each round stores the messages still
+    open in the shared folder.  ``known`` (message_id, msg_id, thread_id, thread_depth) and ``known_roots``
     (root_key, thread_id) continue from earlier batches.
     """
     up = parents(messages, known, policy)
@@ -90,24 +90,25 @@ def resolve_threads(
             )
         )
     state = checkpointed(state)
-    while not state.filter("at IS NOT NULL").isEmpty():
-        state = checkpointed(_double(state, policy))
-    found = state.selectExpr("msg_id", "thread_id", "depth AS thread_depth", "root_key")
+    settled, open_ = state.filter("at IS NULL"), state.filter("at IS NOT NULL")
+    while not open_.isEmpty():
+        moved = checkpointed(_double(settled, open_, policy))  # a round writes the open rows only
+        settled, open_ = settled.unionByName(moved.filter("at IS NULL")), moved.filter("at IS NOT NULL")
+    found = settled.selectExpr("msg_id", "thread_id", "depth AS thread_depth", "root_key")
     if known is not None:
         found = found.join(messages.select("msg_id"), "msg_id", "left_semi")
     return found
 
 
-def _double(state: DataFrame, policy: SkewPolicy) -> DataFrame:
-    moving = state.filter("at IS NOT NULL")
+def _double(settled: DataFrame, moving: DataFrame, policy: SkewPolicy) -> DataFrame:
+    """Open rows with the pointer of the row they point to, or settled with it."""
     hot = find_hot_keys(moving, ["at"], "msg_id", "msg_id", policy).get("at")
-    target = state.selectExpr(
+    target = settled.unionByName(moving).selectExpr(
         "msg_id AS at", "at AS n_at", "hops AS n_hops", "thread_id AS n_thread", "depth AS n_depth"
     )
-    moved = salted_left_join(
+    return salted_left_join(
         moving.select("msg_id", "at", "hops"), target, "at", "msg_id", hot, policy
     ).selectExpr(
         "msg_id", "n_at AS at", "hops + n_hops AS hops", "n_thread AS thread_id",
         "if(n_at IS NULL, n_depth + hops, 0) AS depth", "cast(NULL AS string) AS root_key",
     )
-    return state.filter("at IS NULL").unionByName(moved)

@@ -15,6 +15,9 @@ SECONDS = "CAST(floor(epoch({0})) AS BIGINT)"
 FREEMAIL = ", ".join(f"'{d}'" for d in FREEMAIL_DOMAINS)
 SUFFIXES = ", ".join(f"'{d}'" for d in DEFAULT_SUFFIXES.exact)
 
+# Landed rows of the ingest runs.
+RUN_ROWS = "SELECT user_id, user_id % 3 AS account_id, event_type AS folder, event_id + 2 AS uid, event_id % 1009 <> 7 AS served FROM events"
+
 CTES = {
     "mail": f"""
       SELECT event_id AS msg_id, {SECONDS.format('ts')} AS sent_at, CAST(hour(ts) AS INT) AS hr,
@@ -102,7 +105,8 @@ CTES = {
       UNION ALL SELECT msg_id, 'send_hour_anomaly', 8.0, 1 - 24 * ((p_hour + 0.5) / (p_hours + 12)), 'sent at ' || lpad(CAST(hr AS VARCHAR), 2, '0')
         || ':00 sender-local; ' || p_hour || ' of ' || p_hours || ' prior messages at this hour'
         FROM tiered WHERE tier >= 2 AND p_n >= 8 AND p_hours >= 8
-      UNION ALL SELECT msg_id, 'link_density_anomaly', 5.0, ((n_links - links_mean) / greatest(links_std, 1.0) - 2.0) / 4.0, ''
+      UNION ALL SELECT msg_id, 'link_density_anomaly', 5.0, ((n_links - links_mean) / greatest(links_std, 1.0) - 2.0) / 4.0,
+        n_links || ' links; sender''s typical is ' || printf('%.1f', links_mean) || ' ± ' || printf('%.1f', greatest(links_std, 1.0))
         FROM tiered WHERE tier >= 2 AND p_n >= 8 AND n_links > 0
       UNION ALL SELECT msg_id, 'size_anomaly', 5.0, (abs(ln(size) - size_mean) / greatest(size_std, 0.35) - 2.5) / 4.0,
         (CASE WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576) WHEN size >= 1024 THEN printf('%.1f KB', size / 1024)
@@ -217,7 +221,7 @@ ORACLES = {
             "size_anomaly", "cold_attachment", "cold_links", "cold_replyto",
         )
     },
-    "link_density_anomaly": "SELECT msg_id, raw_value FROM fired WHERE feature = 'link_density_anomaly'",
+    "link_density_anomaly": "SELECT msg_id, raw_value, explanation FROM fired WHERE feature = 'link_density_anomaly'",
     "embedded_addr_mismatch": f"""
       SELECT doc_id AS msg_id, CAST(1.0 AS DOUBLE) AS raw_value, 'display name shows ''' || foreign_[1] || ''' but real sender is <d' || doc_id || '@' || rd || '>' AS explanation
       FROM (SELECT doc_id, rd, list_filter([lower(x) for x in regexp_extract_all(text, '{EMAIL}')],
@@ -233,7 +237,7 @@ ORACLES = {
       GROUP BY c.msg_id, c.gap HAVING median(g.gap) > 0 AND c.gap > 6 * median(g.gap) AND count(*) >= 2""",
     "anomaly_score": "SELECT * FROM scores",
     "score_features": "SELECT msg_id, feature, raw_value, CAST(weight AS DOUBLE) AS weight, round(raw_value * weight, 4) AS contribution FROM fired",
-    "score_explanations": "SELECT msg_id, feature, explanation FROM fired WHERE feature <> 'link_density_anomaly'",
+    "score_explanations": "SELECT msg_id, feature, explanation FROM fired",
     "stale_scores": """
       SELECT msg_id, '1.0.0' AS engine_version, CAST(CASE WHEN dmarc = 'fail' THEN 15.0 ELSE 0.0 END AS DOUBLE) AS anomaly_score FROM inc""",
     "prior_state": """
@@ -272,7 +276,8 @@ ORACLES = {
     "thread_resolution": """
       WITH RECURSIVE up AS (
         SELECT a.conv_id * 1000 + a.turn AS msg_id, b.conv_id * 1000 + b.turn AS parent
-        FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1),
+        FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id
+          AND b.turn = CASE WHEN a.conv_id % 3 = 2 THEN least(0, a.turn - 1) ELSE a.turn - 1 END),
       walk AS (SELECT msg_id, msg_id AS thread_id, 0 AS thread_depth FROM up WHERE parent IS NULL
         UNION ALL SELECT u.msg_id, w.thread_id, w.thread_depth + 1 FROM up u JOIN walk w ON u.parent = w.msg_id)
       SELECT * FROM walk""",
@@ -399,10 +404,58 @@ ORACLES = {
     "stream_score": "SELECT * FROM scores",
     "stream_ingest": f"""
       WITH e AS (SELECT user_id % 3 AS account_id, event_type AS folder, event_id AS uid, 'u' || user_id || '@example.com' AS sender,
-          {SECONDS.format('ts')} AS sent_at, CAST(CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS BIGINT) AS generation,
-          event_id % 1009 = 7 AND (event_id % 2 = 0 OR event_type = 'error') AS missing FROM events),
-      gaps AS (SELECT account_id, folder, min(uid) AS gap FROM e WHERE missing GROUP BY ALL)
-      SELECT account_id, folder, generation, uid, sender, sent_at FROM e LEFT JOIN gaps USING (account_id, folder) WHERE gap IS NULL OR uid < gap""",
+          {SECONDS.format('ts')} AS sent_at, CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS BIGINT) AS generation,
+          event_id % 1009 = 7 AND (event_id % 2 = 0 OR event_type = 'error') AS missing, event_id % 1009 <> 7 AS served_first FROM events),
+      gaps AS (SELECT account_id, folder, min(uid) AS gap FROM e WHERE missing GROUP BY ALL),
+      firsts AS (SELECT account_id, folder, min(uid) AS first_gap FROM e WHERE NOT served_first GROUP BY ALL),
+      got AS (SELECT e.*, CASE WHEN folder <> 'error' AND uid % 2 = 0 AND (first_gap IS NULL OR uid < first_gap) THEN 0 ELSE 1 END AS batch
+        FROM e LEFT JOIN gaps USING (account_id, folder) LEFT JOIN firsts USING (account_id, folder) WHERE gap IS NULL OR uid < gap)
+      SELECT account_id, folder, generation, uid, sender, sent_at, count(*) OVER (PARTITION BY sender ORDER BY batch, uid) - 1 AS baseline_n FROM got""",
+    "ingest_runs": f"""
+      WITH r AS ({RUN_ROWS}),
+      early AS (SELECT account_id, folder, min(uid) AS gap FROM r WHERE NOT served AND uid % 2 = 0 GROUP BY ALL),
+      e AS (SELECT r.*, uid % 2 = 0 AND (gap IS NULL OR uid < gap) AS taken FROM r LEFT JOIN early USING (account_id, folder)),
+      marks AS (SELECT account_id, folder, coalesce(max(uid) FILTER (taken), 0) AS mark FROM e GROUP BY ALL),
+      late AS (SELECT e.* FROM e JOIN marks USING (account_id, folder) WHERE uid > mark),
+      again AS (SELECT * FROM r WHERE folder = 'error' AND uid % 2 = 0),
+      started AS (SELECT count(*) FILTER (mark = 0) > 0 AS fresh FROM marks),
+      second AS (SELECT count(*) AS n, count(*) FILTER ((uid - 2) % 101 = 3) AS bad FROM late)
+      SELECT CAST(0 AS INT) AS step, count(*) FILTER (taken) AS new_messages, count(*) FILTER ((uid - 2) % 101 = 3 AND uid % 2 = 0) AS skipped,
+        CAST(0 AS BIGINT) AS invalidated, CAST(0 AS BIGINT) AS stale, true AS initial_backfill FROM e
+      UNION ALL SELECT i, n, bad, 0, 0, fresh FROM second, started, range(1, 3) t(i)
+      UNION ALL SELECT 3, (SELECT count(*) FROM again), (SELECT count(*) FILTER ((uid - 2) % 101 = 3) FROM again),
+        (SELECT count(DISTINCT account_id) FROM again), (SELECT count(*) FROM r WHERE folder = 'error'), true
+      UNION ALL SELECT 4, count(*), count(*) FILTER ((uid - 2) % 101 = 3), 0, (SELECT count(*) FROM r WHERE folder = 'error'), true
+        FROM (SELECT * FROM r WHERE folder <> 'error' UNION ALL SELECT * FROM again) WHERE account_id = 1""",
+    "ingested_facts": f"""
+      WITH r AS ({RUN_ROWS}),
+      early AS (SELECT account_id, folder, min(uid) AS gap FROM r WHERE NOT served AND uid % 2 = 0 GROUP BY ALL),
+      e AS (SELECT r.*, uid % 2 = 0 AND (gap IS NULL OR uid < gap) AS taken FROM r LEFT JOIN early USING (account_id, folder)),
+      m AS (SELECT *, coalesce(max(uid) FILTER (taken) OVER (PARTITION BY account_id, folder), 0) AS mark FROM e)
+      SELECT account_id, folder, CAST(CASE WHEN folder = 'error' THEN 0 ELSE 1 END AS BIGINT) AS generation, uid,
+        CASE WHEN folder = 'purchase' OR user_id = account_id THEN 'out' ELSE 'in' END AS direction, 'u' || user_id || '@example.com' AS from_email_norm
+      FROM m WHERE CASE WHEN folder = 'error' THEN uid % 2 = 0 ELSE account_id = 1 OR taken OR uid > mark END""",
+    "arrival_numbers": f"""
+      SELECT account_id, folder, uid, row_number() OVER (ORDER BY folder <> 'purchase', account_id, folder, uid) AS msg_id FROM ({RUN_ROWS})""",
+    "auth_levels": """
+      SELECT event_id AS msg_id, raw AS raw_value, CASE raw WHEN 1.0 THEN 'DMARC failed for sending domain' WHEN 0.8 THEN 'DKIM and SPF both failed'
+        ELSE 'SPF softfail for sending domain' END AS explanation
+      FROM (SELECT event_id, CAST(CASE WHEN k % 10 = 1 THEN 1.0 WHEN k % 2 = 0 AND k % 3 > 0 THEN 0.8 WHEN k % 3 = 2 THEN 0.4 END AS DOUBLE) AS raw
+        FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)) WHERE raw IS NOT NULL""",
+    "silent_scores": f"""
+      WITH o AS (SELECT o_orderkey AS msg_id, o_custkey AS sender, {SECONDS.format('o_orderdate')} AS ts_ FROM orders),
+      g AS (SELECT *, ts_ - lag(ts_) OVER w AS gap, count(*) OVER w - 1 AS n, lag(ts_) OVER w - first_value(ts_) OVER w AS span
+        FROM o WINDOW w AS (PARTITION BY sender ORDER BY ts_, msg_id)),
+      c AS (SELECT c.msg_id, c.gap FROM g c JOIN g ON g.sender = c.sender AND (g.ts_, g.msg_id) < (c.ts_, c.msg_id) AND g.gap IS NOT NULL
+        WHERE c.gap >= 90 * 86400 AND c.n >= 8 GROUP BY c.msg_id, c.gap
+        HAVING median(g.gap) > 0 AND c.gap > 6 * median(g.gap) AND count(*) >= 2)
+      SELECT g.msg_id, CAST(CASE WHEN n >= 2 AND span >= 7 * 86400 THEN 2 ELSE 0 END AS INT) AS tier,
+        CAST(CASE WHEN g.msg_id % 3 > 0 THEN 0 WHEN c.msg_id IS NULL THEN 15 ELSE 20 END AS DOUBLE) AS anomaly_score,
+        CASE WHEN g.msg_id % 3 = 0 AND c.msg_id IS NOT NULL THEN 'first message in ' || (c.gap // 86400) || ' days, combined with other anomalies' END AS explanation
+      FROM g LEFT JOIN c ON c.msg_id = g.msg_id""",
+    "rescored": """
+      SELECT msg_id, '1.0.0' AS engine_version, CAST(CASE WHEN dmarc = 'fail' THEN 15.0 ELSE 0.0 END AS DOUBLE) AS anomaly_score,
+        CAST(CASE WHEN dmarc = 'fail' THEN 15.0 END AS DOUBLE) AS points FROM inc""",
     "status_counts": "SELECT count(*) AS messages, count(*) FILTER (direction = 'in') AS incoming, count(DISTINCT sender) AS senders FROM mail",
     "sender_detail": """
       SELECT p.*, n_messages, n_replied_threads, n_user_initiated, trust_tier, n_with_attachments, n_with_links, first_msg_at, last_msg_at

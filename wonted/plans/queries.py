@@ -16,11 +16,12 @@ from wonted.functions import domains as dm
 from wonted.functions import stats as st
 from wonted.functions import text as tx
 from wonted.functions.position import id_of, position, time_of
-from wonted.operators import baseline, features, gaps, lookalike, relations, threads
+from wonted.operators import baseline, features, gaps, lookalike, ordinals, relations, threads
 from wonted.plans import reports
+from wonted.plans.ingest import ingest
 from wonted.plans.rebuild import ORDER, Derived, replay
 from wonted.session import work_folder
-from wonted.sources import archive, facts, landed, shaped
+from wonted.sources import archive, facts, landed, shaped, tables
 from wonted.sources.shaped import read
 from wonted.streaming import incremental
 from wonted.streaming.store import Store
@@ -74,16 +75,19 @@ def rule(name: str) -> Query:
 
 
 for _name in features.NAMES:
-    if _name not in ("link_density_anomaly", "dormant_resurrection", "embedded_addr_mismatch"):
+    if _name not in ("dormant_resurrection", "embedded_addr_mismatch"):
         rule(_name)
 
 
 @query
-def link_density_anomaly(spark, folder):
-    scored = replayed(spark, folder, "link_density_anomaly").scored
-    return scored.filter("raw_link_density_anomaly IS NOT NULL").selectExpr(
-        "msg_id", "raw_link_density_anomaly AS raw_value"
-    )
+def auth_levels(spark, folder):
+    """All levels of the authentication rule, by verdicts that vary."""
+    k = "int(regexp_extract(props, '([0-9]+)', 1))"
+    verdicts = [f"if({k} % 10 = 1, 'fail', 'none') AS auth_dmarc", f"if({k} % 2 = 0, 'fail', 'pass') AS auth_dkim",
+                f"element_at(array('pass', 'fail', 'softfail'), {k} % 3 + 1) AS auth_spf"]
+    judged = read(spark, folder, "events").selectExpr("event_id AS msg_id", *verdicts)
+    rows = judged.selectExpr("msg_id", *features.feature("auth_fail")).filter("raw_auth_fail IS NOT NULL")
+    return rows.selectExpr("msg_id", "raw_auth_fail AS raw_value", "explain_auth_fail AS explanation")
 
 
 @query
@@ -127,9 +131,7 @@ def score_features(spark, folder):
 
 @query
 def score_explanations(spark, folder):
-    """Explanations of all features but link density (its two decimals are compared as numbers)."""
-    rows = replayed(spark, folder, *[n for n in features.NAMES if n != "link_density_anomaly"]).features
-    return rows.select("msg_id", "feature", "explanation")
+    return replayed(spark, folder).features.select("msg_id", "feature", "explanation")
 
 
 @query
@@ -140,6 +142,34 @@ def stale_scores(spark, folder):
     return features.stale_scores(scores, newer)
 
 
+@query
+def silent_scores(spark, folder):
+    """Scores over several years of orders: a long silence counts where another rule fired, too."""
+    failed = F.when(F.col("o_orderkey") % 3 == 0, "fail").otherwise("pass").alias("auth_dmarc")
+    orders = read(spark, folder, "orders")
+    m = shaped.mail_orders(orders).join(orders.select(F.col("o_orderkey").alias("msg_id"), failed), "msg_id")
+    d = replay(facts.prepare(m, names=False), names=("auth_fail", "dormant_resurrection"))
+    return d.scored.selectExpr("msg_id", "tier", "anomaly_score", "explain_dormant_resurrection AS explanation").withColumn(
+        "explanation", F.expr("if(anomaly_score > 15, explanation, NULL)")
+    )
+
+
+@query
+def rescored(spark, folder):
+    """Stored scores of an older registry for every other message, replaced, and read back as the current ones."""
+    base = f"{work_folder(spark)}/scores-{uuid.uuid4().hex}"
+    m = facts.prepare(shaped.mail_events(read(spark, folder, "events")), names=False)
+    older = DEFAULT_REGISTRY.changed(weights={"auth_fail": 20.0})
+    for run, (registry, some) in enumerate(((older, "msg_id % 2 = 0"), (DEFAULT_REGISTRY, "msg_id % 2 = 1"))):
+        d = replay(m, registry=registry, names=("auth_fail",))
+        tables.write_scores(d.scores.filter(some), d.features.filter(some), base, run)
+    now = replay(m, names=("auth_fail",))
+    tables.rescore_stale(now, base, 2)
+    scores, why = tables.read_scores(spark, base)
+    points = why.groupBy("msg_id").agg(F.sum("contribution").alias("points"))
+    return scores.join(points, "msg_id", "left").select("msg_id", "engine_version", "anomaly_score", "points")
+
+
 # ---- baselines -----------------------------------------------------------------------------------
 
 
@@ -229,7 +259,13 @@ def trust_tier_current(spark, folder):
 
 @query
 def thread_resolution(spark, folder):
+    """Conversations as threads: by In-Reply-To, by a References chain, and by References to the root only."""
     m = shaped.mail_conversations(read(spark, folder, "conversations"))
+    chain = "transform(filter(sequence(0, turn), i -> i < turn), i -> concat('<', conv, '.', i, '>'))"
+    m = m.selectExpr("*", "msg_id div 1000 AS conv", "msg_id % 1000 AS turn").selectExpr(
+        "msg_id", "message_id", "CASE conv % 3 WHEN 0 THEN in_reply_to WHEN 1 THEN NULL ELSE if(turn > 0, '<lost>', NULL) END AS in_reply_to",
+        f"CASE conv % 3 WHEN 1 THEN {chain} WHEN 2 THEN slice({chain}, 1, 1) ELSE references END AS references",
+    )
     return threads.resolve_threads(m).select("msg_id", "thread_id", "thread_depth")
 
 
@@ -629,11 +665,11 @@ def landed_mail(spark, folder) -> DataFrame:
 @query
 def stream_ingest(spark, folder):
     """Landed files taken one by one: interleaved ids, gaps of which the second file fills every other one, and a
-    folder that the second file numbers anew; the current messages."""
+    folder that the second file numbers anew, with a smaller generation; the current messages with their live baselines."""
     base = f"{work_folder(spark)}/ingest-{uuid.uuid4().hex}"
     rows = landed_mail(spark, folder)
     filled = rows.filter("NOT served AND uid % 2 = 1").withColumn("served", F.lit(True))
-    renumbered = rows.filter("folder = 'error'").withColumn("generation", F.lit(2).cast("bigint"))
+    renumbered = rows.filter("folder = 'error'").withColumn("generation", F.lit(0).cast("bigint"))
     second = rows.filter("uid % 2 = 1 AND served AND folder <> 'error'").unionByName(filled.filter("folder <> 'error'"))
     for part in (rows.filter("uid % 2 = 0 OR NOT served"), second.unionByName(renumbered)):
         part.write.mode("append").parquet(f"{base}/landed")
@@ -641,7 +677,71 @@ def stream_ingest(spark, folder):
         mine = spark.sql("SELECT explode(array(0L, 1L, 2L)) AS account_id, 'me@x.org' AS email_norm")
         incremental.score_stream(stream, f"{base}/store", f"{base}/offsets", mine=mine).awaitTermination()
     store = Store(spark, f"{base}/store")
-    return incremental.current_messages(store).select("account_id", "folder", "generation", "uid", "sender", "sent_at")
+    live = store.rows("message_scores").select("msg_id", "baseline_n")
+    return incremental.current_messages(store).join(live, "msg_id").select(
+        "account_id", "folder", "generation", "uid", "sender", "sent_at", "baseline_n"
+    )
+
+
+def mail_of_runs(spark, folder) -> DataFrame:
+    """``landed_mail`` with unreadable rows, sent folders, and senders that are the accounts' own."""
+    rows = landed_mail(spark, folder)
+    return rows.selectExpr(
+        *[c for c in rows.columns if c not in ("folder_role", "uid")], "uid + 2 AS uid",
+        "if(folder = 'purchase', 'sent', 'inbox') AS folder_role", "if(uid % 101 = 3, 'ValueError: cut', NULL) AS parse_error",
+    )
+
+
+def ingest_history(spark, folder):
+    """Stored runs: half of the rows with gaps; all rows, twice; one folder numbered anew with a smaller generation; one
+    account read again from another source.  The folder of the store, and the counts of each run."""
+    base, counts = f"{work_folder(spark)}/runs-{uuid.uuid4().hex}", []
+    rows = mail_of_runs(spark, folder)
+    accounts = read(spark, folder, "nation").filter("n_nationkey < 3").selectExpr(
+        "bigint(n_nationkey) AS id", "concat('box', n_nationkey, '@x.org') AS email", "array(concat('U', n_nationkey, '+me@Example.com')) AS aliases",
+        "'oauth2' AS auth_method",
+    )
+    mine = landed.identities(landed.valid_accounts(accounts))
+    whole = rows.withColumn("served", F.lit(True))
+    again = whole.filter("folder = 'error' AND uid % 2 = 0").selectExpr(
+        *[c for c in whole.columns if c not in ("generation", "msg_id")], "0L AS generation", "msg_id + 1000000000000 AS msg_id"
+    )
+    none = spark.createDataFrame([], "account_id bigint, folder string, role string, generation bigint, last_seen_uid bigint")
+    for run, listed in ((0, rows.filter("uid % 2 = 0")), (1, whole), (1, whole), (2, whole.unionByName(again)), (3, whole.unionByName(again))):
+        before = tables.read_folders(spark, base) if run != 1 else first
+        state, stored = before if before is not None else none, tables.read_facts(spark, base, before=run)
+        if run == 3:
+            stored, state = landed.switch_source(stored, state, 1)
+            tables.forget(spark.sql("SELECT 1L AS account_id, string(NULL) AS folder"), base, run)
+        done = ingest(listed, mine, state, stored)
+        if run == 3:  # what the switch deletes stays deleted beside what the run itself found invalid
+            done.invalid = done.invalid.unionByName(spark.sql("SELECT 1L AS account_id, string(NULL) AS folder"))
+        tables.write_run(done, base, run)
+        first = tables.read_folders(spark, base) if run == 0 else first
+        counts.append((len(counts), done.stats.new_messages, done.stats.skipped, done.stats.invalidated, done.stats.stale, done.stats.initial_backfill))
+    return base, counts
+
+
+@query
+def ingest_runs(spark, folder):
+    """What each run of ``ingest_history`` counted: new, unreadable, invalidated, stale, first reads."""
+    _, counts = ingest_history(spark, folder)
+    return spark.createDataFrame(
+        counts, "step int, new_messages bigint, skipped bigint, invalidated bigint, stale bigint, initial_backfill boolean"
+    )
+
+
+@query
+def ingested_facts(spark, folder):
+    """The facts that are stored after the runs of ``ingest_history``."""
+    base, _ = ingest_history(spark, folder)
+    return tables.read_facts(spark, base).select("account_id", "folder", "generation", "uid", "direction", "from_email_norm")
+
+
+@query
+def arrival_numbers(spark, folder):
+    """Landed rows numbered in order of arrival, sent folders first."""
+    return ordinals.arrival_numbers(mail_of_runs(spark, folder)).select("account_id", "folder", "uid", "msg_id")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
