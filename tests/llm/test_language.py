@@ -1,5 +1,6 @@
 """Language of pages: against plain Python, and against what the pages declare."""
 
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -55,6 +56,20 @@ def brute(rows, model, trust=30.0, alpha=1.0, weight=4.0):
     return sorted(out, key=repr)
 
 
+def test_entities_declarations_and_hostile_pages():
+    assert language.visible("<p>caf&eacute; &amp; th&#233;</p><script>x</script>") == "café & thé"
+    cases = {
+        "<html xml:lang='pt-BR'>": "pt", "<HTML class=x data-lang=zz LANG = de>": "de", "<html data-lang='xx'><p>": None, "<html": None, "": None,
+        "<html><meta http-equiv='Content-Language' content='it'>": "it", "<htmlx lang=fr>": None, "<html lang=en><meta http-equiv=content-language content=fr>": "en",
+    }
+    assert {h: language.declared(h) for h in cases} == cases
+    for unit in ("<script>", "<!--", "<html ", "<meta ", "<html lang", "<p>x", "&amp", "<style>a</style"):
+        page = unit * (1_000_000 // len(unit))
+        start = time.process_time()
+        language.visible(page), language.declared(page)
+        assert time.process_time() - start < 8
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return language.gram_model(documents(spark))

@@ -81,6 +81,28 @@ def test_ann_recall_and_exact_scores(spark):
     assert max(abs(s - exact[i][x]) for i in got for x, s in got[i]) < 1e-12  # sums in another order
 
 
+def test_most_candidates_are_abandoned_where_vectors_have_clusters(spark):
+    """The adaptive branch: with the bound of the nearest list, a fifth of the lists finds the neighbours and few are measured in full."""
+    rng = np.random.default_rng(12)
+    middle = 3 * rng.normal(size=(40, 64))
+    v = middle[rng.integers(0, 40, 4000)] + 0.5 * rng.normal(size=(4000, 64))
+    turn = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    q, told = v[:50] @ turn, {}
+    exact = ann.distances(v[:50], v)
+    bound = np.sort(exact, axis=1)[:, 25]  # as if the nearest list had been measured
+    barred = np.zeros((50, 4000), bool)
+    i, j = ann.scan(q, v @ turn, barred, 20, bound, told=told)
+    want = {(x, y) for x in range(50) for y in np.argsort(exact[x], kind="stable")[:20]}
+    assert len(want & set(zip(i, j))) >= 0.99 * len(want)
+    assert told["abandoned"] > 0.9 * told["pairs"] and told["components"] < 0.5 * told["pairs"] * 64
+    df = spark.createDataFrame([(n, [float(x) for x in r], 0) for n, r in enumerate(v)], SCHEMA).repartition(3)
+    vectors = ann.usable(df, zero=False)
+    got = of(ann.search(vectors, vectors.filter("vec_id % 100 = 0"), share=0.2))
+    products = {x: sorted(((-(np.float32(v[x]).astype(float) * np.float32(v[y]).astype(float)).sum(), y) for y in range(4000) if y != x))[:20] for x in got}
+    hits = sum(len({y for y, _ in got[x]} & {y for _, y in products[x]}) for x in got)
+    assert hits >= 0.9 * 20 * len(got)
+
+
 def test_few_vectors_and_clashing_columns(spark):
     df = table(spark, 1500).filter("vec_id in (0, 20, 31, 40, 1020, 1100)").selectExpr("*", "1 rank", "2 score", "'x' v", "'y' list")
     v = ann.usable(df, zero=False)

@@ -11,6 +11,9 @@
 All counts are sums over groups, combined before the shuffle; a hot host is one row by then.  The tables of hosts,
 domains, suffixes and declared values are joined back, never collected.
 
+A page is read in one pass, so very long and hostile pages take time in proportion to their length; a comment, script or tag
+that is not closed reaches to the end.
+
 Results for odd input: null html is empty text, without a declaration; an address without a host has an empty one,
 which is a host like any other; a page without any text goes by the other evidence; null and repeated ids are
 rows like any other; documents without a language are not learned from; without any there is one language, null;
@@ -29,13 +32,16 @@ from pyspark.sql import functions as F
 
 from wonted.llm.common import read, saved
 from wonted.llm.hashing import BYTE_VALUES, FOLDED_VALUES, chunks, text_bytes
+from wonted.llm.main_text import lines
 
 BITS = 15
 BUCKETS = 1 << BITS
 VALUES = [np.roll(FOLDED_VALUES, 17 * i) ^ BYTE_VALUES[i] for i in range(3)]
 
-HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
-DECLARED = re.compile(r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?\s*([a-z]+)""")
+HTML_TAG = re.compile(r"(?i)<html(?=[\s/>])")
+META_TAG = re.compile(r"(?i)<meta(?=[\s/])")
+LANG = re.compile(r"""(?i)(?<![\w:-])(?:xml:)?lang\s*+=\s*+["']?\s*+([a-z]++)""")
+CONTENT = re.compile(r"""(?i)(?<![\w:-])content\s*+=\s*+["']?\s*+([a-z]++)""")
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -82,12 +88,24 @@ def gram_model(docs: DataFrame, alpha: float = 0.5) -> tuple[list[str], np.ndarr
 
 
 def visible(html: str) -> str:
-    return " ".join(HIDDEN.sub(" ", html).split())
+    """The page's text, character references decoded; one pass, linear in the length of the page."""
+    return " ".join(x.text for x in lines(html))
 
 
 def declared(html: str) -> str | None:
-    found = DECLARED.search(html)
-    return found.group(1).lower() if found else None
+    """Language of the html element (lang or xml:lang), else of a content-language declaration in a meta element."""
+    m = HTML_TAG.search(html)
+    if m:
+        end = html.find(">", m.end())
+        found = LANG.search(html[m.end() : end if end >= 0 else len(html)])
+        if found:
+            return found[1].lower()
+    at = 0
+    while (m := META_TAG.search(html, at)) is not None and (end := html.find(">", m.end())) >= 0:
+        tag, at = html[m.end() : end], end
+        if "content-language" in tag.lower() and (found := CONTENT.search(tag)):
+            return found[1].lower()
+    return None
 
 
 def read_pages(pages: DataFrame, model: tuple[list[str], np.ndarray], trust: float = 30.0) -> DataFrame:

@@ -36,7 +36,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, parts:
     Only documents that lose a line have a row.
     """
     n, latest = parts or partitions(docs), F.desc_nulls_last("doc_id")
-    ranged = occurrences(docs, min_chars).repartitionByRange(n, "h1", "h2", latest).sortWithinPartitions("h1", "h2", latest, "pos")
+    found = saved(occurrences(docs, min_chars))  # dealing out by ranges reads it twice
+    ranged = found.repartitionByRange(n, "h1", "h2", latest).sortWithinPartitions("h1", "h2", latest, "pos")
     occ = saved(ranged.withColumn("part", F.spark_partition_id()))
 
     # all lines of one (hash, document) are in one partition, so the counts add up

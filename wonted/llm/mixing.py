@@ -33,11 +33,17 @@ EPS = 1e-9
 ROWS = "row long, doc_id long, size long, sid int, salt long, p double, source_size long, target double"
 
 
+def row_mark():
+    """A hash of id, source and text; null differs from empty, in each of them."""
+    given = [F.col(c).isNull() for c in ("doc_id", "source", "text")]
+    return F.xxhash64("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), *given)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """row (a hash of id, source and text), doc_id, source, size in words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
-        F.xxhash64("doc_id", "source", "text").alias("row"),
+        row_mark().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
@@ -148,15 +154,16 @@ def copies(sized: DataFrame, plan: DataFrame, seed: int = 17, group_rows: int =
 
 
 def query(spark, folder: str) -> DataFrame:
-    sized = sizes(read(spark, folder, "documents"))
+    sized = saved(sizes(read(spark, folder, "documents")))  # the texts are read once
     taken = copies(sized, targets(sized))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Documents as often as the mix takes them (0, 1 or 2 rows each)."""
-    sized = sizes(docs)
-    taken = copies(sized, targets(sized)).groupBy("row").agg(F.sum("copies").cast("int").alias("times"))
-    rows = docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.xxhash64("doc_id", "source", "text"))
-    once = rows.dropDuplicates(["row"]).join(taken.filter("times > 0"), "row")
+    sized = saved(sizes(docs))
+    taken = copies(sized, targets(sized)).groupBy("row", F.col("doc_id").alias("id")).agg(F.sum("copies").cast("int").alias("times"))
+    rows = docs.select(*DOCUMENT_COLUMNS).withColumn("row", row_mark())
+    same = (rows["row"] == taken["row"]) & rows["doc_id"].cast("long").eqNullSafe(taken["id"])
+    once = rows.dropDuplicates(["row", "doc_id"]).join(taken.filter("times > 0"), same)
     return once.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*DOCUMENT_COLUMNS)

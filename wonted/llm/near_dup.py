@@ -44,6 +44,8 @@ RATE = 20.0  # rate a of the exponential variates: keeps registers of any set ab
 MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Ids, 8 bytes each, that may be broadcast.
+LISTED = 500_000
 EDGES_PER_TASK = 100_000
 
 
@@ -104,7 +106,12 @@ def _sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents whose id is in ``ids``, repeated rows once."""
+    """doc_id, text of the documents whose id is in ``ids``, repeated rows once.
+
+    Up to ``LISTED`` ids, counted, are sent to the texts; with more the texts are dealt out by id."""
+    ids = saved(ids)
+    if ids.limit(LISTED + 1).count() <= LISTED:
+        ids = F.broadcast(ids)
     found = texts(docs).join(ids, "doc_id", "left_semi").groupBy("doc_id", "twin").agg(F.first("text").alias("text"))
     return found.select("doc_id", "text")
 

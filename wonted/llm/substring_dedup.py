@@ -306,7 +306,7 @@ def _by_counting(contexts: DataFrame, length: int) -> DataFrame:
 
 def spans(docs: DataFrame, length: int = 400, wide: int = 4096) -> DataFrame:
     """owner, twin, spans: (start, end) byte ranges that repeat, unmerged, for every document that has any."""
-    rows = anchor_rows(docs, length)
+    rows = saved(anchor_rows(docs, length))
     grams = rows.groupBy("gram").agg(F.sum(F.size("places")).alias("times"), F.min("context").alias("least"), F.max("context").alias("most"))
     # written first: then a hot gram's side of the join can be split
     grams = saved(grams.filter("times > 1").select("gram", (F.col("least") != F.col("most")).alias("several")))
