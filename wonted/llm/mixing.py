@@ -35,8 +35,9 @@ ROWS = "row long, doc_id long, size long, sid int, salt long, p double, source_s
 
 def row_mark():
     """A hash of id, source and text; null differs from empty, in each of them."""
-    given = [F.col(c).isNull() for c in ("doc_id", "source", "text")]
-    return F.xxhash64("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), *given)
+    missing = [F.col(c).isNull() for c in ("doc_id", "source", "text")]
+    marked = F.xxhash64("doc_id", "source", "text", *missing)  # a null by itself leaves the hash as it is
+    return F.when(missing[0] | missing[1] | missing[2], marked).otherwise(F.xxhash64("doc_id", "source", "text"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
