@@ -1,15 +1,26 @@
 """Threads, lookalikes, running state, joins, ingest state and reports on small fixtures."""
 
+import math
 import random
+import statistics
+from collections import Counter
+from fractions import Fraction
 
 import pytest
 from brute import osa
 from mailboxes import frame, random_mailbox
+from pyspark.sql import functions as F
 from test_replay import TINY
 
 from wonted.config import SkewPolicy
 from wonted.functions.position import position
+from wonted.functions.stats import mean_of, squared, std_of, units
+from wonted.functions.text import normalize_display_name, skeleton
 from wonted.operators import lookalike
+from wonted.operators.arrival import arrival_gap_events
+from wonted.operators.folding import with_names
+from wonted.operators.gaps import prefix_medians
+from wonted.operators.ordinals import numbered
 from wonted.operators.running import running
 from wonted.operators.skew import find_hot_keys, salted_left_join
 from wonted.operators.threads import resolve_threads
@@ -218,3 +229,88 @@ def test_stream_threads_and_compaction(spark, tmp_path):
     assert scores[0] == scores[1] and len(scores[0]) == sum(m["direction"] == "in" for m in rows)
     threads = {r["msg_id"]: (r["thread_id"], r["thread_depth"]) for r in store.rows("messages").collect()}
     assert threads == threads_by_definition(headers)
+
+
+def test_moments_are_exact_under_any_split(spark):
+    """Values near 1e9 with a spread of 1: nine digits of the spread, and the same bits however the rows are dealt."""
+    value = "1e9D + sin(id * 0.7D) + cos(id * 1.3D)"
+    rows = spark.range(200_000).selectExpr("id", f"{value} AS x")
+    u = units("x", 6)
+
+    def of(df):
+        total = df.selectExpr(f"{u} AS u").selectExpr("count(*) AS n", "sum(u) AS t", f"sum({squared('u')}) AS s")
+        return total.selectExpr(f"{mean_of('t', 'n', 6)} AS mean", f"{std_of('t', 's', 'n', 6)} AS std").first()
+
+    got = [of(rows.repartition(k, by)) for k, by in ((1, "id"), (7, F.col("id") % 3), (16, F.xxhash64("id")))]
+    assert len({tuple(r) for r in got}) == 1
+    xs = [math.floor(1e6 * r[0] + 0.5) for r in rows.select("x").collect()]
+    mean = Fraction(sum(xs), len(xs))
+    std = math.sqrt(sum((x - mean) ** 2 for x in xs) / (len(xs) - 1)) / 1e6
+    assert got[0]["std"] == pytest.approx(std, rel=1e-12) and got[0]["mean"] == pytest.approx(float(mean) / 1e6, rel=1e-15)
+    one = rows.filter("id = 5")
+    assert of(one)["std"] == 0 and of(rows.filter("id < 0"))["mean"] is None
+
+
+def test_medians_of_prefixes(spark):
+    """One sender with many events and readers, others with few; counts may be taken back."""
+    rng = random.Random(7)
+    events = [("a", rng.randrange(90), rng.choice([0, 5, 5, 70, 2**31, rng.randrange(10**7)]), rng.choice([1, 1, 3])) for _ in range(900)]
+    events += [("b", i, 100 * i, 1) for i in range(4)] + [("a", 80, 5, -1)] * 2
+    readers = [("a", at, i, 1) for i, at in enumerate(rng.randrange(95) for _ in range(25))] + [("b", 1, 100, 1), ("b", 2, 101, 1), ("c", 5, 102, 1), ("b", 9, 103, 1)]
+    got = prefix_medians(
+        spark.createDataFrame(events, "sender string, at bigint, g bigint, n bigint"),
+        spark.createDataFrame(readers, "sender string, at bigint, msg_id bigint, gap bigint"),
+    )
+    want = {}
+    for sender, at, i, _ in readers:
+        counts = Counter()
+        for s, a, g, n in events:
+            if s == sender and a < at:
+                counts[g] += n
+        seen = sorted(counts.elements())
+        if len(seen) >= 2:
+            want[i] = statistics.median(seen)
+    assert {r["msg_id"]: r["median_gap"] for r in got.collect()} == want and 103 in want and 102 not in want
+
+
+def test_gap_events_of_late_messages(spark):
+    """What arrives late splits a gap: at any moment the counted gaps are those between the sorted times."""
+    rng = random.Random(8)
+    rows, last = [], {}
+    for i in range(130):
+        sender, t = rng.choice("ab"), rng.randrange(300)
+        rows.append((sender, i, t, last.get(sender)))
+        last[sender] = max(t, last.get(sender, t))
+    batch = spark.createDataFrame(rows[50:], "sender string, msg_id bigint, sent_at bigint, p_last bigint")
+    before = spark.createDataFrame([r[:3] for r in rows[:50]], "sender string, msg_id bigint, sent_at bigint")
+    found = arrival_gap_events(batch, lambda who: before.join(who, "sender", "left_semi")).collect()
+
+    def gaps(sender, upto):
+        times = sorted(t for s, i, t, _ in rows[:upto] if s == sender)
+        return Counter(b - a for a, b in zip(times, times[1:]))
+
+    for upto in (50, 51, 60, 99, 130):
+        for sender in "ab":
+            counts = gaps(sender, 50)
+            for r in found:
+                if r["sender"] == sender and r["at"] < upto:
+                    counts[r["g"]] += r["n"]
+            assert {g: n for g, n in counts.items() if n} == dict(gaps(sender, upto))
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(a, b) for a in range(40) for b in (3, 1, 2)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint").repartition(5)
+    got = {(r["a"], r["b"]): r["n"] for r in numbered(df, ["a % 2", "a", "b"], "n", 10).collect()}
+    assert got == {k: 10 + i for i, k in enumerate(sorted(rows, key=lambda r: (r[0] % 2, *r)))}
+
+
+def test_names_are_folded_once_per_distinct_text(spark):
+    names = ["Anna  Bell", "'Ünal' Özil", "STRASSE", "Straße", None, "", "  ", "Ünal", "раура1"]
+    df = spark.createDataFrame([(i, names[i % len(names)]) for i in range(60)], "msg_id bigint, from_display_name string")
+    got = {r["from_display_name"]: (r["name_norm"], r["name_skel"]) for r in with_names(df).collect()}
+    by_row = df.select("from_display_name", F.nullif(normalize_display_name("from_display_name"), F.lit("")).alias("n"))
+    want = {r["from_display_name"]: (r["n"], r["s"]) for r in by_row.select("*", skeleton("n").alias("s")).collect()}
+    assert got == want and got["Straße"][0] == "strasse" and got[""] == (None, None)
+    plain_ = with_names(df.filter("from_display_name = 'STRASSE'"))
+    assert "Python" not in plain_._jdf.queryExecution().toString()  # nothing but ASCII: no Python at all
