@@ -63,39 +63,52 @@ def prefix_medians(events: DataFrame, readers: DataFrame) -> DataFrame:
     sizes = per_at.selectExpr(
         "*", "sum(n) OVER (PARTITION BY sender ORDER BY at, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS size"
     ).filter("side = 0 AND size >= 2")
-    middles = sizes.selectExpr("sender", "at", "msg_id", "gap", "explode(array_distinct(array((size - 1) div 2, size div 2))) AS k")
+    middles = sizes.selectExpr("sender", "at", "msg_id", "gap", "size", "explode(array_distinct(array((size - 1) div 2, size div 2))) AS k")
     found = prefix_select(events, middles)
     return found.groupBy("msg_id", "gap").agg(F.avg("g").alias("median_gap"))
 
 
 def prefix_select(events: DataFrame, targets: DataFrame) -> DataFrame:
-    """``targets`` (sender, at, k, others) with g: the k-th smallest (from 0) of the sender's events at smaller ``at``.
+    """``targets`` (sender, at, k, size, others) with g: the k-th smallest (from 0) of the sender's ``size`` events at smaller ``at``.
 
     The value is found digit by digit from the highest: events that share the digits found so far are counted by next
     digit and place, a running sum over the places tells a target how many lie before it, and the digit in which
     its rank falls is the next.  A round costs the events still in question and ``2 ** DIGIT`` rows a target,
-    whatever the number of targets a sender has.
+    whatever the number of targets a sender has.  As soon as all targets together have no more events in question than
+    a round costs, at once for most data, these are looked through.
     """
-    others = [c for c in targets.columns if c not in ("sender", "at", "k")]
-    top = events.agg(F.max("g")).first()[0] or 0
-    rounds = max(1, -(-int(top).bit_length() // DIGIT))
+    others = [c for c in targets.columns if c not in ("sender", "at", "k", "size")]
     events = checkpointed(events)
+    rows, top = events.agg(F.count(F.lit(1)), F.coalesce(F.max("g"), F.lit(0))).first()
     open_ = checkpointed(targets.selectExpr("*", "0L AS found"))
-    for i in range(rounds):
-        shift = DIGIT * (rounds - 1 - i)
-        near = events.selectExpr("sender", "at", f"shiftright(g, {shift + DIGIT}) AS found", f"int(shiftright(g, {shift}) & {2**DIGIT - 1}) AS digit", "n")
-        near = near.join(open_.select("sender", "found").distinct(), ["sender", "found"], "left_semi")
-        counts = near.groupBy("sender", "found", "digit", "at").agg(F.sum("n").alias("n"))
-        asked = open_.selectExpr("*", f"explode(sequence(0, {2**DIGIT - 1})) AS digit")
-        rows = counts.selectExpr("*", "1 AS side").unionByName(asked.selectExpr("*", "0L AS n", "0 AS side"), allowMissingColumns=True)
-        before = "sum(n) OVER (PARTITION BY sender, found, digit ORDER BY at, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c"
-        told = rows.selectExpr("*", before).filter("side = 0")
-        told = told.groupBy("sender", "at", "k", "found", *others).agg(F.expr("transform(array_sort(collect_list(struct(digit, c))), x -> x.c) AS counts"))
-        walk = (
-            "aggregate(counts, named_struct('digit', 0, 'seen', 0L, 'left', k, 'done', false), (a, c) -> named_struct("
-            "'digit', if(a.done OR a.left < c, a.digit, a.digit + 1), 'seen', a.seen, "
-            "'left', if(a.done OR a.left < c, a.left, a.left - c), 'done', a.done OR a.left < c))"
-        )
-        told = told.selectExpr("sender", "at", "found", *others, f"{walk} AS w")
-        open_ = checkpointed(told.selectExpr("sender", "at", "w.left AS k", *others, f"found * {2**DIGIT} + w.digit AS found"))
-    return open_.withColumnRenamed("found", "g").drop("k")
+    n_targets, shift = open_.count(), DIGIT * -(-int(top).bit_length() // DIGIT)
+    while shift and open_.agg(F.sum("size")).first()[0] > rows + n_targets * 2**DIGIT:
+        shift -= DIGIT
+        open_ = checkpointed(_next_digit(events, open_, shift, others))
+    if not shift:
+        return open_.withColumnRenamed("found", "g").drop("k", "size")
+    near = events.selectExpr("sender", "at AS when", f"shiftright(g, {shift}) AS found", "g", "n")
+    met = near.join(open_, ["sender", "found"]).filter("when < at").groupBy("sender", "at", "k", *others, "g").agg(F.sum("n").alias("n"))
+    names = ", ".join(["sender", "at", "k", *others])
+    upto = met.selectExpr("*", f"sum(n) OVER (PARTITION BY {names} ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c")
+    # k counts from the first event in question
+    return upto.filter("c > k").groupBy("sender", "at", "k", *others).agg(F.min("g").alias("g")).drop("k")
+
+
+def _next_digit(events: DataFrame, open_: DataFrame, shift: int, others: list[str]) -> DataFrame:
+    """Targets with one more digit found, their rank and number of events among those that share it."""
+    near = events.selectExpr("sender", "at", f"shiftright(g, {shift + DIGIT}) AS found", f"int(shiftright(g, {shift}) & {2**DIGIT - 1}) AS digit", "n")
+    near = near.join(open_.select("sender", "found").distinct(), ["sender", "found"], "left_semi")
+    counts = near.groupBy("sender", "found", "digit", "at").agg(F.sum("n").alias("n"))
+    asked = open_.drop("size").selectExpr("*", f"explode(sequence(0, {2**DIGIT - 1})) AS digit")
+    rows = counts.selectExpr("*", "1 AS side").unionByName(asked.selectExpr("*", "0L AS n", "0 AS side"), allowMissingColumns=True)
+    before = "sum(n) OVER (PARTITION BY sender, found, digit ORDER BY at, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c"
+    told = rows.selectExpr("*", before).filter("side = 0")
+    told = told.groupBy("sender", "at", "k", "found", *others).agg(F.expr("transform(array_sort(collect_list(struct(digit, c))), x -> x.c) AS counts"))
+    walk = (
+        "aggregate(counts, named_struct('digit', 0, 'left', k, 'done', false), (a, c) -> named_struct("
+        "'digit', if(a.done OR a.left < c, a.digit, a.digit + 1), "
+        "'left', if(a.done OR a.left < c, a.left, a.left - c), 'done', a.done OR a.left < c))"
+    )
+    told = told.selectExpr("sender", "at", "found", *others, "counts", f"{walk} AS w")
+    return told.selectExpr("sender", "at", "w.left AS k", "counts[w.digit] AS size", *others, f"found * {2**DIGIT} + w.digit AS found")
