@@ -8,12 +8,12 @@ positions (pos = time and id in one number).
 from __future__ import annotations
 
 from wonted.config import TIER_LABELS
-from wonted.functions.domains import DEFAULT_SUFFIXES, FREEMAIL_DOMAINS
 from wonted.sources.shaped import EVENT_DOMAINS
 
 SECONDS = "CAST(floor(epoch({0})) AS BIGINT)"
-FREEMAIL = ", ".join(f"'{d}'" for d in FREEMAIL_DOMAINS)
-SUFFIXES = ", ".join(f"'{d}'" for d in DEFAULT_SUFFIXES.exact)
+# Own lists, not the library's: open mailbox providers and suffixes of two labels that the tables can hold.
+FREEMAIL = "'gmail.com', 'googlemail.com', 'outlook.com', 'hotmail.com', 'yahoo.com', 'icloud.com', 'gmx.de', 'web.de', 'orange.fr', 'free.fr'"
+SUFFIXES = "'co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'co.nz', 'com.br', 'com.mx', 'co.za', 'co.in'"
 
 # Landed rows of the ingest runs.
 RUN_ROWS = "SELECT user_id, user_id % 3 AS account_id, event_type AS folder, event_id + 2 AS uid, event_id % 1009 <> 7 AS served FROM events"
