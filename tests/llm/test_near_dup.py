@@ -77,6 +77,17 @@ def test_words_and_shingles():
         assert len(s) == len(word_set(d))
 
 
+def test_long_words_that_polynomials_take_for_equal():
+    """Thue-Morse words: their polynomials modulo 2^64 are equal for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    x, y = bytes(97 + i for i in bits), bytes(98 - i for i in bits)
+    c = hashing.running(np.frombuffer(x + y, np.uint8), hashing.FOLDED_VALUES)
+    assert (c[4096] - c[0]) == (c[8192] - c[4096]) * hashing.powers(4097)[1][4096]
+    raw = x + b" " + y + b" " + x.upper() + b" " + y[:65] + b" " + x[:64]
+    h, a, b, _ = hashing.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert len(h) == 5 and h[0] != h[1] and h[0] == h[2] and len(set(h.tolist())) == 4
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     for j in (0.3, 0.6, 0.85, 0.95):

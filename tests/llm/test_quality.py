@@ -1,5 +1,8 @@
-"""The factorisation machine: identity, held-out accuracy, odd tables."""
+"""The factorisation machine: inputs, identity, held-out accuracy, odd tables."""
 
+import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -16,6 +19,45 @@ def machine(seed=2):
     return quality.Machine(0.3, rng.normal(size=n), rng.normal(size=(n, quality.FACTORS)), np.zeros(quality.STATS), np.ones(quality.STATS))
 
 
+def statistics(text, declared):
+    """The statistics of one document, in plain Python."""
+    raw, blanks = text.encode(), b" \t\v\f\r"
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    folded = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    stop, loud, sign = b".,;:'\"-()", b"!?", b"#$%&*+/<=>@[\\]^_`{|}~"
+    kinds = [
+        lambda c: 65 <= c <= 90, lambda c: 97 <= c <= 122, lambda c: 48 <= c <= 57, lambda c: c in blanks, lambda c: c == 10,
+        lambda c: c in stop, lambda c: c in loud, lambda c: c in sign, lambda c: c >= 128,
+    ]
+    n = max(len(words), 1)
+    return [sum(map(k, raw)) / max(len(raw), 1) for k in kinds] + [
+        sum(map(len, words)) / n / 10,
+        len(set(folded)) / n,
+        math.log1p(len(words)) / 10,
+        raw.count(b"\n") / n,
+        sum(65 <= w[0] <= 90 for w in words) / n,
+        sum(a == b for a, b in zip(folded, folded[1:])) / n,
+        sum(len(w) == 1 and w[0] in sign for w in words) / n,
+        math.log1p(max(declared, 0)) / 15,
+    ]
+
+
+def test_inputs_are_those_of_plain_python_and_of_each_document_alone():
+    rng = random.Random(4)
+    some = ["a", "A", "the", "The", "#", "%", "12", "Ünder!", "x" * 90, "X" * 90, "(so)", "end."]
+    texts = ["", " \n\n ", "a", "a a A", "a b"] + ["".join(rng.choice(some) + rng.choice([" ", "\n", "\t "]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    texts += ["word " * 200_000, "tail"]  # a chunk of its own
+    declared = np.arange(len(texts), dtype=float) - 3
+    done = 0
+    for a, b, bucket, ends, stats in quality.inputs(pa.array(texts), declared):
+        for i in range(a, b):
+            assert np.allclose(stats[i - a], statistics(texts[i], declared[i]), atol=1e-12), texts[i][:50]
+            ((_, _, alone, _, own),) = quality.inputs(pa.array([texts[i]]), declared[i : i + 1])
+            assert (own[0] == stats[i - a]).all() and list(alone) == list(bucket[ends[i - a] : ends[i - a + 1]])
+            done += 1
+    assert done == len(texts)
+
+
 def test_linear_time_sum_is_the_sum_over_pairs():
     m, texts = machine(), ["one two Three two!", "", "a b\nc d e f", "ÄÖ 12 34 % &"]
     for a, b, bucket, ends, stats in quality.inputs(pa.array(texts), np.arange(4.0)):

@@ -189,6 +189,14 @@ def test_packing(odd, capacity):
     assert n <= tokens / capacity + 2
 
 
+def test_packing_of_a_whole_table(spark):
+    """All ids are those of the tokenizer that the vocabulary's file describes, and padding is small."""
+    folder = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    n, tokens = check_packing(rows, packing.query(spark, folder).collect(), 2048)
+    assert n * 2048 <= tokens * 1.01 + 2048
+
+
 def test_packing_special_token_and_rare_characters(spark):
     rows = [(1, "a <|endoftext|> b", "en", "s", 1), (2, "\x1c\x1d tab em \U0001f600 你好  \x85x", "en", "s", 1), (3, "a" * 9000, "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

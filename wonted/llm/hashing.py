@@ -1,16 +1,20 @@
 """64-bit hashes of words, word shingles and byte grams, computed with numpy inside tasks.
 
 A word's hash is a polynomial in its bytes modulo 2^64 with a random value per byte, read off running sums, then
-mixed.  Upper-case ASCII letters share the values of the lower-case ones.
+mixed.  Upper-case ASCII letters share the values of the lower-case ones.  Such polynomials take certain pairs of
+strings of about 1,000 bytes for equal whatever the values are, so words of more than ``LONG`` bytes are digested instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+#: Longest word whose hash is the polynomial.
+LONG = 64
 #: Bytes handled at a time, so that all arrays stay in cache; a longer document is a chunk of its own.
 CHUNK = 1 << 19
 BASE = 0xC2B2AE3D27D4EB4D | 5
@@ -20,6 +24,8 @@ _rng = np.random.default_rng(20240229)
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] = np.arange(97, 123)
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,6 +92,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     c = running(data, FOLDED_VALUES)
     h = mix((c[b] - c[a]) * powers(len(data))[1][a])
+    for i in np.flatnonzero(b - a > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(FOLDED[data[a[i] : b[i]]].tobytes(), digest_size=8).digest(), "little")
     return h, a, b, np.searchsorted(a, offsets)
 
 
