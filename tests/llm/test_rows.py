@@ -81,6 +81,21 @@ def test_line_dedup_hash_columns_and_long_documents(spark, folder_of):
     assert stage[0]["n_chars"] == len(stage[0]["text"]) and len(stage) == 6
 
 
+def test_line_keys_are_trimmed_only_where_there_is_something_to_trim(spark):
+    bare = "Éa Line Of 20 Letters"
+    texts = [f"{a}{bare}{b}" for a in ["", *" \t\x0b\x0c\r", "\u00a0"] for b in ["", *" \t\x0b\x0c\r", "\u00a0", " \t\r"]]
+    texts += [" " * 30, "x" * 19 + " ", " " + "x" * 20, "x" * 20, "", "é" * 20 + "\t", "\n".join([bare, " " + bare, ""]), None]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert plain(lines_of(df)) == sorted(brute_lines(rows), key=repr)
+    keys = {(r["doc_id"], r["pos"]): (r["h1"], r["h2"]) for r in line_dedup.occurrences(df).collect()}
+    stripped = {(i, k): lower(line.strip(BLANK)) for i, t, *_ in rows for k, line in enumerate((t or "").split("\n"))}
+    long = {at: key for at, key in stripped.items() if len(key) >= 20}
+    assert keys.keys() == long.keys() and len(set(keys.values())) == len({(keys[at], long[at]) for at in long}) == len(set(long.values()))
+    plan = line_dedup.occurrences(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == plan.count("THEN trim(") > 0
+
+
 def test_line_dedup_odd_tables(nothing, crowded, odd):
     assert plain(lines_of(nothing)) == []
     assert plain(lines_of(crowded)) == plain(lines_of(odd))

@@ -25,8 +25,11 @@ from wonted.llm.common import BLANKS, ascii_lower, partitions, read, same_row, s
 def occurrences(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """h1, h2, doc_id, twin, pos of every line whose key has at least ``min_chars`` code points."""
     lines = texts(docs).select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    bare = lines.select("doc_id", "twin", "pos", F.btrim("line", F.lit(BLANKS)).alias("bare")).filter(F.char_length("bare") >= min_chars)
-    key = bare.select("doc_id", "twin", "pos", ascii_lower(F.col("bare")).alias("key"))
+    # trimming needs several times a line's size in memory, and most lines have nothing to trim; char_length goes first for the same reason
+    edged = F.substring("line", 1, 1).isin(*BLANKS) | F.substring("line", -1, 1).isin(*BLANKS)
+    bare = F.when(edged, F.btrim("line", F.lit(BLANKS))).otherwise(F.col("line"))
+    long = lines.filter(F.char_length("line") >= min_chars).select("doc_id", "twin", "pos", bare.alias("bare")).filter(F.char_length("bare") >= min_chars)
+    key = long.select("doc_id", "twin", "pos", ascii_lower(F.col("bare")).alias("key"))
     return key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "twin", "pos")
 
 
