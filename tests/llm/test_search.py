@@ -6,6 +6,7 @@ from cases import plain
 from compare import compare, duck
 
 from wonted.llm import ann, exact_topk
+from wonted.llm.vectors import beside, parts_of
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -70,6 +71,41 @@ def test_index_stops_on_proof_only():
         assert list(ids) == list(np.lexsort((np.arange(2000), -s))[:10]) and (scores == s[ids]).all()
 
 
+def test_queries_of_a_block_share_the_segments():
+    """Copies, ties and components of any size: whole blocks of queries equal brute force, the own id left out."""
+    rng = np.random.default_rng(8)
+    for scale in (3, 300, 1e5, 3e6):  # small scores with many ties, exact and rounded accumulators
+        x = np.floor(scale * rng.normal(size=(3000, 24)) * np.linspace(2, 0.1, 24))
+        x[100:1100] = x[100]
+        ids = rng.permutation(3000).astype(np.int64)
+        at, found, scores = exact_topk.ImpactIndex(ids, x).search_all(x[::37], ids[::37], 10)
+        for n, place in enumerate(range(0, 3000, 37)):
+            s = x @ x[place]
+            order = [i for i in np.lexsort((ids, -s)) if i != place][:10]
+            assert list(found[at == n]) == list(ids[order]) and list(scores[at == n]) == list(s[order])
+
+
+def test_short_vectors_are_never_read():
+    rng = np.random.default_rng(9)
+    x = np.floor(1000 * rng.normal(size=(6000, 16)))
+    x[1000:] = np.floor(x[1000:] / 10_000)
+    index = exact_topk.ImpactIndex(np.arange(6000), x)
+    index.vectors[3000:] = np.nan
+    at, found, _ = index.search_all(x[:50], np.arange(50), 10)
+    for n in range(50):
+        s = x @ x[n]
+        assert list(found[at == n]) == [i for i in np.lexsort((np.arange(6000), -s)) if i != n][:10]
+
+
+def test_shuffled_rows_hold_one_vector(spark):
+    """No arrays of vectors in a row, and few copies of the queries: parts grow with the table, up to a bound."""
+    v = exact_topk.integers(table(spark))
+    assert "collect_list" not in exact_topk.search(v, v.filter("vec_id % 20 = 0"))._jdf.queryExecution().toString()
+    assert [parts_of(n, 8192) for n in (0, 8192, 8193, 615_384, 12_000_000, 30_000_000)] == [1, 1, 2, 48, 48, 115]
+    got = beside(v, v.filter("vec_id % 20 = 0"), 5).collect()
+    assert len(got) == v.count() + 5 * v.filter("vec_id % 20 = 0").count() and {r["part"] for r in got} == set(range(5))
+
+
 def test_ann_recall_and_exact_scores(spark):
     df = table(spark, 1500)
     vectors = ann.usable(df, zero=False)

@@ -1,13 +1,13 @@
 """Exact top-k inner products from an impact-ordered, score-at-a-time index.
 
-Components are integers.  The index of a block of vectors has, for every dimension, posting segments: the vectors
-whose component falls into one quantisation level.  A query weighs each segment by its own component, takes the
-segments by descending absolute impact and adds the level's middle to the accumulators of the segment's vectors.
+Components are integers.  The index of a part of the vectors has the dimensions by descending energy and the vectors by
+descending norm, cut into segments: the postings of a run of vectors in a run of dimensions.  A block of queries takes
+the segments by descending impact and adds query times component to the accumulators of the segment's vectors.
 
-At any time a score differs from its accumulator by at most the sum over the dimensions of the larger of the
-quantisation error and the greatest impact not yet taken there.  A vector whose accumulator is more than twice that
-below the k-th best accumulator is proven out.  Taking segments stops when few vectors are left; these possible
-members are scored exactly.  The blocks' winners meet in a window per query.
+At any time a score differs from its accumulator by at most the product of what is left of the query's and of the
+vector's norm, and rounding.  Vectors that stay below the k-th best score so far by more than that are proven out;
+once the norms themselves are too small for all queries, the part's other segments are not taken.  What is left is
+scored exactly.  The parts' winners meet in a window per query.
 
 Vectors null or with null or non-finite components, and null ids, take no part; rows that share an id count once
 (the largest vector); shorter vectors count as filled with zeros; empty tables give no rows.
@@ -23,84 +23,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wonted.llm.common import read, saved
-from wonted.llm.vectors import best, cells, top, unpacked, usable
+from wonted.llm.vectors import Held, beside, best, matrix, parts_of, runs, segments, small, usable
 
-#: Shares of the postings after which the proof is tried.
-STEPS = (0.2, 0.35, 0.5, 0.65, 0.8, 1.0)
+#: Shares of the dimensions after which the proof is tried.
+STEPS = (0.25, 0.5, 0.75, 1.0)
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
 
 
 class ImpactIndex:
-    """Posting segments of one block, by dimension and quantised component."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 32):
-        self.ids, self.vectors = ids, vectors
-        n, width = vectors.shape
-        self.step = max(1.0, np.ceil((np.abs(vectors).max(initial=0) + 1) / levels))
-        level = np.floor(vectors / self.step).astype(np.int64)
-        key = (np.arange(width) << 32) + (level + (1 << 31))
-        flat = key.T.ravel()  # by dimension, then vector
-        order = np.argsort(flat, kind="stable")
-        self.postings = (order % max(n, 1)).astype(np.int64)
-        flat = flat[order]
-        self.start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-        self.end = np.r_[self.start[1:], len(flat)].astype(np.int64) if len(flat) else self.start
-        self.dim = flat[self.start] >> 32
-        low = ((flat[self.start] & ((1 << 32) - 1)) - (1 << 31)) * self.step
-        self.middle, self.most = low + self.step / 2, np.maximum(np.abs(low), np.abs(low + self.step))
+    """Postings of one part: dimensions by descending energy, vectors by descending norm."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        size, width = norms(vectors), vectors.shape[1]
+        order = np.lexsort((ids, -size))
+        self.dims = np.argsort(-np.einsum("ij,ij->j", vectors, vectors, dtype=np.float64), kind="stable")
+        self.ids, self.vectors = ids[order], vectors[np.ix_(order, self.dims)]
+        self.cuts = sorted({round(share * width) for share in STEPS})
+        self.bounds = list(segments(len(ids)))
+        #: by segment and cut: the greatest norm of what lies behind the cut
+        self.left = np.array([[norms(self.vectors[a:b, c:]).max() for c in [0, *self.cuts]] for a, b in self.bounds])
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and exact scores of the k best, own id left out."""
-        n = len(self.ids)
-        impact = q[self.dim] * self.middle
-        order = np.argsort(-np.abs(impact), kind="stable")
-        sizes = np.cumsum((self.end - self.start)[order])
-        total, error = np.zeros(n), np.abs(q) * self.step / 2
-        few, a = max(8 * k, n // 32), 0
-        possible = np.arange(n)
-        for share in STEPS:
-            b = int(np.searchsorted(sizes, share * sizes[-1])) + 1 if share < 1 else len(order)
-            taken = order[a:b]
-            if len(taken):
-                members = np.concatenate([self.postings[x:y] for x, y in zip(self.start[taken], self.end[taken])])
-                total += np.bincount(members, np.repeat(impact[taken], (self.end - self.start)[taken]), n)
-            a = max(a, b)
-            rest = order[a:]
-            left = np.zeros(len(q))
-            np.maximum.at(left, self.dim[rest], np.abs(q[self.dim[rest]]) * self.most[rest])
-            bound = np.maximum(error, left).sum() + 1e-6 * (1 + np.abs(total).max(initial=0))
-            kth = np.partition(total, n - k - 1)[n - k - 1] if n > k + 1 else -np.inf  # one more than k: own may be among them
-            possible = np.flatnonzero(total >= kth - 2 * bound)
-            if len(possible) <= few:
-                break
-        possible = possible[self.ids[possible] != own]
-        scores = self.vectors[possible] @ q  # integers far below 2^53: exact
-        at = top(scores, self.ids[possible], k)
-        return self.ids[possible][at], scores[at]
+        _, ids, scores = self.search_all(q[None, :], np.array([own]), k)
+        return ids, scores
+
+    def search_all(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, ids and exact scores of the k best of each, by descending score; own ids left out."""
+        held, q = Held(len(queries), k), queries[:, self.dims].astype(np.float64)
+        least = self.left[:, 0].max(initial=0) * norms(q)  # rounding, where accumulators may not be exact
+        rounding = np.where(least < 2**24, 0.0, (q.shape[1] + 4) * 2.0**-23 * least)
+        kind = np.float32 if least.max(initial=0) < 1e30 and np.abs(q).max(initial=0) < 1e30 else np.float64
+        low, q_left = q.astype(kind), np.array([norms(q[:, c:]) for c in [0, *self.cuts]])
+        useful = dict.fromkeys(self.cuts, True)
+        for (a, b), v_left in zip(self.bounds, self.left):
+            bound = held.bound(-np.inf) - rounding
+            rows = np.flatnonzero(q_left[0] * v_left[0] * (1 + 1e-9) >= bound)
+            if not len(rows):
+                break  # later vectors are no longer than these
+            part = self.vectors[a:b].astype(kind, copy=False)
+            total, done = None, 0
+            for cut, v, each in zip(self.cuts, v_left[1:], q_left[1:]):
+                rest = v * each[rows] * (1 + 1e-9)
+                if cut < q.shape[1] and not (useful[cut] and (rest < bound[rows] / 2).mean() > 0.5):
+                    continue
+                taken = low[rows, done:cut] @ part[:, done:cut].T
+                total, done = taken if total is None else total + taken, cut
+                stay = total.max(axis=1) >= bound[rows] - rest
+                useful[cut] = stay.mean() < 0.75  # else the next segments pass this cut by
+                rows, total = (rows, total) if stay.all() else (rows[stay], total[stay])
+            edge = bound[rows]
+            if b - a > k + 1:  # one more than k: own may be among them
+                unknown = np.flatnonzero(~held.full[rows])
+                edge[unknown] = np.partition(total[unknown], b - a - k - 1, axis=1)[:, b - a - k - 1] - 2 * rounding[rows[unknown]]
+            i, j = divmod(np.flatnonzero(total >= edge.astype(kind)[:, None]), b - a)
+            i, j = rows[i], a + j
+            i, j = (x[self.ids[j] != own[i]] for x in (i, j))
+            scores = np.einsum("ij,ij->i", q[i], self.vectors[j], dtype=np.float64)  # integers far below 2^53: exact
+            held.add(i, self.ids[j], scores.astype(np.int64))
+        held.settle()
+        return held.keys, held.ids, held.scores
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192, query_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score over integer vectors (vec_id, v)."""
     n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
-    parts, query_parts = max(1, -(-n // block)), max(1, -(-queries.count() // query_block))
     width = width or 0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, index = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(0)[i].as_py() != part:
-                    part, index = batch.column(0)[i].as_py(), ImpactIndex(*unpacked(batch.column(1)[i], width))
-                out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-                for own, q in zip(*unpacked(batch.column(2)[i], width)):
-                    ids, scores = index.search(q, own, k)
-                    for o, x in zip(out, (np.full(len(ids), own), ids, scores)):
-                        o.append(x)
-                arrays = [pa.array(np.concatenate(o).astype(np.int64)) for o in out]
-                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
-
-    v = cells(vectors, [], F.lit(parts), "all")
-    q = cells(queries, [], F.lit(query_parts), "asked").select("asked", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("all_part"))
-    met = v.withColumn("all_part", F.col("all_part").cast("int")).join(q, "all_part").select("all_part", "all", "asked")
+        part, rows, index = None, [], None
+        for this, asks, batch in runs(batches, query_block):
+            if this != part:
+                part, rows, index = this, [], None
+            ids, v = batch.column(2).to_numpy(), matrix(batch.column(3), width)
+            if not asks:
+                rows.append((ids, small(v)))
+            elif rows or index:
+                if rows:
+                    index, rows = ImpactIndex(*(np.concatenate(x) for x in zip(*rows))), []
+                at, found, scores = index.search_all(v, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], found, scores)], names=["query_id", "vec_id", "score"])
+
+    met = beside(vectors.select("vec_id", "v"), queries.select("vec_id", "v"), parts_of(n, block))
     return best(met.mapInArrow(work, "query_id long, vec_id long, score long"), k, "long")
 
 
