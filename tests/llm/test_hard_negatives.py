@@ -1,6 +1,7 @@
 """Hard negatives against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import CLASHING, plain
 from compare import compare, duck
@@ -61,6 +62,44 @@ def test_large_components_are_exact(spark):
     assert mined(spark.createDataFrame(huge, SCHEMA)) == sorted(brute(huge), key=repr)
 
 
+def test_positives_multiply_their_own_label_only(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    labels, v, done = rng.integers(0, 10, 5000), np.floor(100 * rng.normal(size=(5000, 8))), []
+    monkeypatch.setattr(hn, "products", lambda q, v, f=hn.products: (done.append(len(q) * len(v)), f(q, v))[1])
+    held = hn.Part(np.arange(5000), labels, v).positives(np.arange(200), labels[:200], v[:200], 5)
+    assert sum(done) == sum((labels == x).sum() for x in labels[:200])
+    for n in range(200):
+        s = np.where(labels == labels[n], v @ v[n], -np.inf)
+        assert list(held.ids[held.keys == n]) == [i for i in np.lexsort((np.arange(5000), -s)) if i != n][:5]
+
+
+def test_many_windows_of_a_block_at_once():
+    rng = np.random.default_rng(10)
+    labels, v = rng.integers(0, 3, 4000), np.floor(40 * rng.normal(size=(4000, 8)))
+    v[500:900] = v[500]
+    positives = [sorted(int(x) for x in rng.integers(-2000, 20_000, rng.integers(1, 6))) for _ in range(100)]
+    held = hn.Part(np.arange(4000), labels, v).negatives(labels[:100], v[:100], hn.bounds(pa.array(positives), 5, 50, 95), 3)
+    for n in range(100):
+        s = v @ v[n]
+        for place, positive in enumerate(positives[n]):
+            fit = [i for i in np.lexsort((np.arange(4000), -s)) if labels[i] != labels[n] and 50 * positive <= 100 * s[i] <= 95 * positive]
+            assert list(held.ids[held.keys == n * 5 + place]) == fit[:3]
+
+
+def test_windows_beyond_64_bits():
+    got = hn.bounds(pa.array([[hn.MOST, -hn.MOST], [0]]), 2, 50, 95)
+    assert got[0].tolist() == [[-(-50 * hn.MOST // 100), -(50 * hn.MOST // 100)], [95 * hn.MOST // 100, -95 * hn.MOST // 100]]
+    assert got[1, :, 0].tolist() == [0, 0]
+    assert got[1, 0, 1] > got[1, 1, 1]
+    over = hn.bounds(pa.array([[hn.MOST]]), 1, 150, 300)  # no score is that high
+    assert over[0, 0, 0] > over[0, 1, 0]
+
+
+def test_shuffled_rows_hold_one_vector(spark):
+    v = hn.usable(spark.createDataFrame(rows(), SCHEMA))
+    assert "collect_list(struct(vec_id" not in hn.mine(v, v.filter("vec_id % 50 = 0"))._jdf.queryExecution().toString()
+
+
 def test_windows_of_zero_and_negative_scores():
     assert hn.window(0, 50, 95) == (0, 0)
     least, most = hn.window(-100, 50, 95)

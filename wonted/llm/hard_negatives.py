@@ -1,10 +1,11 @@
 """Hard negatives by a secondary sort: rows that score high for an anchor but have another label.
 
-* Scores are integer inner products of whole blocks of anchors with blocks of vectors; a block hands on only what
-  may still be asked for, so shuffled rows grow with anchors times blocks, never with all pairs: first its best
-  rows of the anchor's own label, then, for each positive found, its best rows of other labels in the positive's
-  window (low * positive <= 100 * negative <= high * positive).  Both selections are exact, as a row that is not
-  among the first of its block is not among the first of all.
+* Scores are integer inner products of blocks of anchors with parts of the vectors; a part hands on only what
+  may still be asked for, so shuffled rows grow with anchors times parts, never with all pairs: first its best
+  rows of the anchor's own label (which alone are multiplied), then, for each positive found, its best rows of other
+  labels in the positive's window (low * positive <= 100 * negative <= high * positive).  Both selections are exact, as
+  a row that is not among the first of its part is not among the first of all.  Within a part, runs of vectors are
+  multiplied in turn, and only scores that reach a window above its last row so far are looked at.
 * Positives and negatives meet under the key (anchor, descending score, positive before negative, id): rows are
   dealt out by anchor and sorted within partitions, and one iterator passes over them.  A positive opens a window,
   a negative is emitted for every open window that holds it, a window closes with its last negative.  The iterator
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wonted.llm.common import read, saved
-from wonted.llm.vectors import top, unpacked
+from wonted.llm.vectors import Held, beside, matrix, parts_of, runs, segments, small
 
 MOST = 2**63 - 1
 PAIR = "anchor_id long, vec_id long, score long"
@@ -40,13 +41,22 @@ def usable(table: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.max(F.struct("v", "label")).alias("r")).select("vec_id", "r.label", "r.v")
 
 
-def products(q: np.ndarray, v: np.ndarray, scale: float) -> np.ndarray:
-    """Integer inner products of floor(scale * x), rows of q by rows of v, exact up to 64 bits."""
-    q, v = (np.floor(scale * np.clip(x, -1e300, 1e300)) for x in (q, v))
-    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1] < 2**53:
-        return (q @ v.T).astype(np.int64)
-    whole = np.vectorize(int, otypes=[object])
-    exact = whole(q).dot(whole(v).T)
+def whole(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x), whole numbers as floats."""
+    return small(np.floor(scale * np.clip(x, -1e300, 1e300)))
+
+
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, rows of q by rows of v, exact up to 64 bits (as floats where those are exact)."""
+    size = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+    if 2**24 <= size < 1e30:  # norms tell more
+        size = min(size, np.prod([np.sqrt(np.square(x, dtype=float).sum(axis=1).max(initial=0)) for x in (q, v)]))
+    if size < 2**24 - 1:  # no sum of some of the products is larger
+        return q.astype(np.float32, copy=False) @ v.astype(np.float32, copy=False).T
+    if size < 2**53 - 1:
+        return q.astype(float) @ v.astype(float).T
+    ints = np.vectorize(int, otypes=[object])
+    exact = ints(q).dot(ints(v).T)
     return np.vectorize(lambda x: max(-MOST, min(MOST, x)), otypes=[np.int64])(exact)
 
 
@@ -55,65 +65,121 @@ def window(positive: int, low: int, high: int) -> tuple[int, int]:
     return -(-low * positive // 100), high * positive // 100
 
 
-def met(vectors: DataFrame, anchors: DataFrame, extra: list[str], block: int, anchor_block: int) -> DataFrame:
-    """Every block of anchors beside every block of vectors: rows, asked (arrays of structs)."""
-    parts, anchor_parts = max(1, -(-vectors.count() // block)), max(1, -(-anchors.count() // anchor_block))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    rows = vectors.groupBy(part(parts).alias("part")).agg(F.collect_list(F.struct("vec_id", "label", "v")).alias("rows"))
-    asked = anchors.groupBy(part(anchor_parts).alias("asked_part")).agg(F.collect_list(F.struct("vec_id", "label", "v", *extra)).alias("asked"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return rows.join(asked, "part").select("rows", "asked")
-
-
-def pairs(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """anchor_id, vec_id, score of (anchor, ids, scores)."""
-    columns = zip(*((np.full(len(ids), a, np.int64), ids, scores) for a, ids, scores in found)) if found else [[np.zeros(0, np.int64)]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["anchor_id", "vec_id", "score"])
+def bounds(positives: pa.ListArray, places: int, low: int, high: int) -> np.ndarray:
+    """By row and place, least and greatest negative of a positive score, within 64 bits; least > greatest where no window is."""
+    out = np.tile(np.array([[MOST], [-MOST]]), (len(positives), 1, places))
+    lengths = np.diff(positives.offsets.to_numpy())
+    row, flat = np.repeat(np.arange(len(lengths)), lengths), positives.flatten().to_numpy()
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    if len(flat) and max(-int(flat.min()), int(flat.max())) * max(abs(low), abs(high)) >= 2**62:
+        flat = flat.astype(object)
+    least, most = window(flat, low, high)
+    at = np.flatnonzero((least <= MOST) & (most >= -MOST))
+    out[row[at], 0, place[at]] = np.maximum(least[at], -MOST)
+    out[row[at], 1, place[at]] = np.minimum(most[at], MOST)
+    return out
+
+
+class Part:
+    """One part of the vectors, by label and id."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, v: np.ndarray):
+        order = np.lexsort((ids, labels))
+        self.ids, self.labels, self.v = ids[order], labels[order], v[order]
+
+    def positives(self, anchors: np.ndarray, labels: np.ndarray, q: np.ndarray, k: int) -> Held:
+        """The k best rows of its own label for each anchor."""
+        held = Held(len(anchors), k)
+        for label in np.unique(labels):
+            rows = np.flatnonzero(labels == label)
+            start, end = np.searchsorted(self.labels, label), np.searchsorted(self.labels, label, "right")
+            for a, b in segments(end - start):
+                scores = products(q[rows], self.v[start + a : start + b])
+                floor = held.bound(-np.inf)[rows]
+                if b - a > k + 1:  # one more than k: the anchor may be among them
+                    new = np.flatnonzero(~held.full[rows])
+                    floor[new] = np.partition(scores[new], b - a - k - 1, axis=1)[:, b - a - k - 1]
+                i, j = reached(scores, floor, None)
+                i, s, j = rows[i], scores[i, j], start + a + j
+                at = self.ids[j] != anchors[i]
+                held.add(i[at], self.ids[j[at]], s[at].astype(np.int64))
+        held.settle()
+        return held
+
+    def negatives(self, labels: np.ndarray, q: np.ndarray, windows: np.ndarray, k: int) -> Held:
+        """The k best rows of other labels for each (anchor, place); windows: least and greatest by anchor and place."""
+        places = windows.shape[2]
+        held, open_ = Held(len(labels) * places, k), windows[:, 0] <= windows[:, 1]
+        most = windows[:, 1].max(axis=1)
+        for a, b in segments(len(self.ids)):
+            scores = products(q, self.v[a:b])
+            floors = np.where(open_, held.bound(windows[:, 0].ravel()).reshape(-1, places), np.inf)
+            least = floors.min(axis=1)
+            rows = np.flatnonzero(scores.max(axis=1) >= least)
+            i, j = reached(scores[rows], least[rows], most[rows])
+            i, j = rows[i], j + a
+            i, j = (x[self.labels[j] != labels[i]] for x in (i, j))
+            s = scores[i, j - a].astype(np.int64)
+            for place in range(places):
+                at = np.flatnonzero((s >= floors[i, place]) & (s <= windows[i, 1, place]))
+                at = at[s[at] >= windows[i[at], 0, place]]  # floors are rounded beyond 2^53
+                held.add(i[at] * places + place, self.ids[j[at]], s[at])
+        held.settle()
+        return held
+
+
+def reached(scores: np.ndarray, floor: np.ndarray, ceiling: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of scores from floor to ceiling of the row.  Rounded bounds only let more through."""
+    kind = scores.dtype if scores.dtype.kind == "f" else np.float64
+    at = scores >= np.nextafter(floor.astype(kind), -np.inf)[:, None]
+    if ceiling is not None:
+        at &= scores <= np.nextafter(ceiling.astype(kind), np.inf)[:, None]
+    return divmod(np.flatnonzero(at), max(1, scores.shape[1]))
+
+
+def pairs(anchors: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (anchors, ids, scores)], names=["anchor_id", "vec_id", "score"])
 
 
 def mine(vectors: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: float = 256.0, block: int = 4096, anchor_block: int = 512) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of (vec_id, label, v)."""
-    width = vectors.agg(F.max(F.size("v"))).first()[0] or 0
-
-    def blocks(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids, v = unpacked(batch.column(0)[r], width)
-                asked_ids, q = unpacked(batch.column(1)[r], width)
-                rows, asked = batch.column(0)[r].values, batch.column(1)[r].values
-                same = asked.field("label").to_numpy()[:, None] == rows.field("label").to_numpy()[None, :]
-                yield ids, asked_ids, same, products(q, v, scale), asked
+    rows, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    width = width or 0
+
+    parts = parts_of(rows, block)
+
+    def met(batches: Iterator[pa.RecordBatch]):
+        part, gathered, index = None, [], None
+        for this, asks, batch in runs(batches, anchor_block):
+            if this != part:
+                part, gathered, index = this, [], None
+            ids, labels, v = batch.column(2).to_numpy(), batch.column(3).to_numpy(), whole(matrix(batch.column(4), width), scale)
+            if not asks:
+                gathered.append((ids, labels, v))
+            elif gathered or index:
+                if gathered:
+                    index, gathered = Part(*(np.concatenate(x) for x in zip(*gathered))), []
+                yield index, ids, labels, v, batch
 
     def best_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, asked_ids, same, scores, _ in blocks(batches):
-            found = []
-            for i, anchor in enumerate(asked_ids):
-                at = np.flatnonzero(same[i] & (ids != anchor))
-                at = at[top(scores[i, at], ids[at], positives)]
-                found.append((anchor, ids[at], scores[i, at]))
-            yield pairs(found)
+        for part, ids, labels, q, _ in met(batches):
+            held = part.positives(ids, labels, q, positives)
+            yield pairs(ids[held.keys], held.ids, held.scores)
 
     def best_negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, asked_ids, same, scores, asked in blocks(batches):
-            found = []
-            for i, anchor in enumerate(asked_ids):
-                other = np.flatnonzero(~same[i])
-                s, taken = scores[i, other], []
-                for positive in set(asked.field("positive_scores")[i].as_py()):
-                    least, most = window(positive, low, high)
-                    at = np.flatnonzero((s >= least) & (s <= most))
-                    taken.append(at[top(s[at], ids[other[at]], negatives)])
-                at = other[np.unique(np.concatenate(taken))]
-                found.append((anchor, ids[at], scores[i, at]))
-            yield pairs(found)
-
-    near = met(vectors, anchors, [], block, anchor_block).mapInArrow(best_positives, PAIR)
+        for part, ids, labels, q, batch in met(batches):
+            held = part.negatives(labels, q, bounds(batch.column(5), positives, low, high), negatives)
+            found = np.unique(np.stack([held.keys // positives, held.ids, held.scores]), axis=1)  # once for all its windows
+            yield pairs(ids[found[0]], found[1], found[2])
+
+    columns = ["vec_id", "label", "v"]
+    near = beside(vectors.select(columns), anchors.select(columns), parts).mapInArrow(best_positives, PAIR)
     order = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
     chosen = saved(near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= positives).drop("place"))
 
     per_anchor = chosen.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_list("score").alias("positive_scores"))
-    asked = anchors.join(per_anchor, "vec_id")  # ``positives`` scores an anchor
-    far = met(vectors, asked, ["positive_scores"], block, anchor_block).mapInArrow(best_negatives, PAIR)
+    asked = anchors.join(per_anchor, "vec_id").select(*columns, "positive_scores")  # ``positives`` scores an anchor
+    far = beside(vectors.select(columns), asked, parts).mapInArrow(best_negatives, PAIR)
     keyed = chosen.withColumn("negative", F.lit(False)).unionByName(far.withColumn("negative", F.lit(True)))
     keyed = keyed.select("anchor_id", "score", "negative", "vec_id")
     ordered = keyed.repartition("anchor_id").sortWithinPartitions("anchor_id", F.desc("score"), "negative", "vec_id")
